@@ -12,6 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    profiles = langid.fit(docs.where(~langid.held_out()))
+    out = langid.identify(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substring_dedup import remove_repeated_passages
 
@@ -37,6 +46,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_langid": op1_langid,
         "op2_substring_dedup": op2_substring_dedup,
         "op5_simhash": op5_simhash,
         "op10_suffix_dedup": op10_suffix_dedup,
