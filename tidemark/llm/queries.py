@@ -29,6 +29,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_spans"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.cover_tree import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.suffix_dedup import remove_repeated_strings
 
@@ -68,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_bpe": op4_bpe,
         "op5_simhash": op5_simhash,
+        "op6_ann": op6_ann,
+        "op7_cover_tree": op7_cover_tree,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
