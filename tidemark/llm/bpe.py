@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.rows import field, named, row_of, with_row
+
 #: Words of more bytes are contracted by a priority queue: a recursive query takes a round a merge.
 SQL_BYTES, CHUNK_BYTES, ROWS = 256, 1 << 19, 256
 
@@ -175,6 +177,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     bytes; equal texts get equal ids; an empty table stays empty; columns of docs named ids or decoded are replaced.
     """
     keep = [c for c in docs.columns if c not in ("ids", "decoded")]
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
-    out = rows.mapInArrow(_code_task(path, pattern), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded binary")
-    return out.select(*[F.col(f"row.`{c}`") for c in keep], "ids", "decoded")
+    rows = docs.select(named(text).cast("string").alias("text"), row_of(docs, keep))
+    out = rows.mapInArrow(_code_task(path, pattern), with_row(rows.schema["row"].dataType, "ids array<int>, decoded binary"))
+    return out.select(*[field(c) for c in keep], "ids", "decoded")

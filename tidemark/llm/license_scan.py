@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytehash as bh
+from tidemark.llm.rows import field, named, row_of, with_row
 
 # Phrases that stand for a licence wherever they occur.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -99,7 +100,7 @@ def _frequency_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     """IDF of every licence word over all texts; the driver receives a number a vocabulary word."""
-    parts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_frequency_task, "word long, n long")
+    parts = docs.select(named(text).cast("string").alias("text")).mapInArrow(_frequency_task, "word long, n long")
     counts = {r.word: r.n for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
     words = range(len(_vocabulary()[0]))
     return np.array([np.log((1 + counts.get(-1, 0)) / (1 + counts.get(w, 0))) for w in words])
@@ -195,7 +196,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     idf = rarity(docs, text)
     keep = [c for c in docs.columns if c not in RESULT]
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    rows = docs.select(named(text).cast("string").alias("text"), row_of(docs, keep))
     kinds = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    out = rows.mapInArrow(_scan_task(idf), f"row {rows.schema['row'].dataType.simpleString()}, {kinds}")
-    return out.select(*[F.col(f"row.`{c}`") for c in keep], *RESULT)
+    out = rows.mapInArrow(_scan_task(idf), with_row(rows.schema["row"].dataType, kinds))
+    return out.select(*[field(c) for c in keep], *RESULT)

@@ -41,6 +41,32 @@ def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: a third of the way in ten characters become two words, two thirds in a word is put in, and the last five characters go."""
+    import public_tokenizers
+
+    from tidemark.llm.token_count import RESULT, count_edited
+
+    n = F.coalesce(F.length("text"), F.lit(0))
+    third = F.floor(n / 3)
+
+    def edit(start: F.Column, stop: F.Column, text: str) -> F.Column:
+        return F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.lit(text).alias("text"))
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("edits", F.array(edit(third, third + 10, "two words"), edit(2 * third, 2 * third, " inserted"), edit(n - 6, n - 1, "")))
+    out = count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", *RESULT)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack
+
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words"), F.xxhash64("text").alias("cluster"))
+    return pack(rows, F.col("n_words"), F.col("source"), F.col("cluster"), capacity=8192)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.suffix_dedup import remove_repeated_strings
 
@@ -82,6 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_ann": op6_ann,
         "op7_cover_tree": op7_cover_tree,
+        "op8_token_counts": op8_token_counts,
+        "op9_packing": op9_packing,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components, local_roots
 from tidemark.llm.durable import saved
+from tidemark.llm.rows import field, named, row_of
 
 BITS, TILE = 64, 256
 
@@ -39,7 +40,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4) -> DataFra
     def of(column: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in column], dtype=np.uint64).view(np.int64))
 
-    return docs.withColumn("fp", of(F.col(f"`{text}`").cast("string")))
+    return docs.withColumn("fp", of(named(text).cast("string")))
 
 
 def _blocks(distance: int, equal: int) -> list[tuple[int, int]]:
@@ -127,15 +128,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     new = ["fp", "fingerprint", "component_id"]
     keep = [c for c in docs.columns if c not in new]
-    others = F.struct(*[F.col(f"`{c}`") for c in keep if c != text]).alias("row")
-    body = [F.col(f"`{text}`").alias("body")] if carry_text else []
-    base = saved(fingerprints(docs.select(*[F.col(f"`{c}`") for c in keep]), text, words).select(others, *body, "fp"), "fingerprints")
-    least = base.select("fp", F.col(f"row.`{doc_id}`").alias("id")).groupBy("fp").agg(F.min("id").alias("id"))
+    others = row_of(docs, [c for c in keep if c != text])
+    body = [named(text).alias("body")] if carry_text else []
+    base = saved(fingerprints(docs.select(*[named(c) for c in keep]), text, words).select(others, *body, "fp"), "fingerprints")
+    least = base.select("fp", F.col("row").getField(doc_id).alias("id")).groupBy("fp").agg(F.min("id").alias("id"))
     classes = saved(least, "classes")
     roots = components(near_edges(classes.select("fp"), distance))
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     names = linked.groupBy("root").agg(F.min("id").alias("component_id"))
     of = linked.select("fp", "root").join(names.select(F.expr("root + 1 - 1").alias("root"), "component_id"), "root").select(F.col("fp").alias("fp2"), "component_id")
     out = base.join(of, F.col("fp") == F.col("fp2"))
-    columns = [F.col("body").alias(c) if c == text else F.col(f"row.`{c}`") for c in keep if carry_text or c != text]
+    columns = [F.col("body").alias(c) if c == text else field(c) for c in keep if carry_text or c != text]
     return out.select(*columns, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import windows as wd
+from tidemark.llm.rows import field, with_row
 
 REMOVED = "n_words long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string"
 
@@ -62,7 +63,7 @@ def _remove_task(shape: wd.Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8) -> DataFrame:
-    """All rows of docs with n_words, n_removed, removed (maximal word intervals) and kept_text.
+    """All rows of docs with n_words, n_removed, removed (maximal word intervals) and, for the text, kept_text.
 
     Words are maximal runs of characters other than ASCII white space, unchanged.  A word is removed if a window of
     `window` consecutive words over it also starts elsewhere, in the same text or another; windows are judged on the
@@ -74,7 +75,6 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int =
     base = wd.keyed(docs, text)
     runs = wd.repeated_runs(base, shape, _count_windows)
     done = wd.with_runs(base, runs).select("text", "runs", "row")
-    row = base.schema["row"].dataType.simpleString()
-    out = done.mapInArrow(_remove_task(shape), f"row {row}, {REMOVED}")
+    out = done.mapInArrow(_remove_task(shape), with_row(base.schema["row"].dataType, REMOVED))
     new = ["n_words", "n_removed", "removed", "kept_text"]
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *new)
+    return out.select(*[field(c) for c in docs.columns if c not in new and c != text], *new)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import windows as wd
+from tidemark.llm.rows import field, with_row
 
 _SUFFIX = "lead long, key long, rid long, lo int, live boolean"
 _FOUND = "rid long, lo int, live boolean, edge boolean, lead long, key long, m long"
@@ -127,7 +128,7 @@ def _remove_task(shape: wd.Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def remove_repeated_strings(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 200) -> DataFrame:
-    """All rows of docs with n_bytes, n_removed, removed (maximal byte runs) and kept_bytes.
+    """All rows of docs with n_bytes, n_removed, removed (maximal byte runs) and, for the text, kept_bytes.
 
     Texts are UTF-8 bytes.  A byte is removed if a string of `length` bytes over it also starts elsewhere, in the same
     text or another; strings are judged on the input, overlaps count, and no match crosses texts.  A null text is
@@ -139,7 +140,6 @@ def remove_repeated_strings(docs: DataFrame, text: str = "text", length: int = 4
     base = wd.keyed(docs, text)
     runs = wd.repeated_runs(base, shape, _compare_neighbours)
     done = wd.with_runs(base, runs).select("text", "runs", "row")
-    row = base.schema["row"].dataType.simpleString()
-    out = done.mapInArrow(_remove_task(shape), f"row {row}, n_bytes long, n_removed long, removed array<struct<start:long,stop:long>>, kept_bytes binary")
+    out = done.mapInArrow(_remove_task(shape), with_row(base.schema["row"].dataType, "n_bytes long, n_removed long, removed array<struct<start:long,stop:long>>, kept_bytes binary"))
     new = ["n_bytes", "n_removed", "removed", "kept_bytes"]
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *new)
+    return out.select(*[field(c) for c in docs.columns if c not in new and c != text], *new)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bytehash as bh
 from tidemark.llm.durable import saved
+from tidemark.llm.rows import named, row_of
 
 ANCHORS = "rid long, g long, c long, lo int, n int"
 _U = np.uint64
@@ -126,8 +127,9 @@ def window_batches(batch: pa.RecordBatch, shape: Shape) -> Iterator[dict[str, np
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
     """rid, text and row (all columns): rid is a hash of the whole row's text and columns, so that equal rows share it."""
-    plain = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(F.xxhash64(*[c.cast("string") for c in plain]).alias("rid"), F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[c for c in plain if True]).alias("row"))
+    others = [c for c in docs.columns if c != text]
+    body = named(text).cast("string")
+    return docs.select(F.xxhash64(body, *[named(c).cast("string") for c in others]).alias("rid"), body.alias("text"), row_of(docs, others) if others else F.lit(None).cast("struct<none:int>").alias("row"))
 
 
 def repeated_runs(base: DataFrame, shape: Shape, repeated_windows: Callable[[DataFrame, Shape], DataFrame]) -> DataFrame:
