@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components, local_roots
@@ -118,7 +118,7 @@ def near_edges(fps: DataFrame, distance: int = 4, equal: int = 2, tile: int = TI
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, carry_text: bool = True) -> DataFrame:
-    """All rows of docs with fp, fingerprint (16 hex digits) and component_id.
+    """All rows of docs with fp, root (a fingerprint that names the component), fingerprint (16 hex digits) and component_id.
 
     Texts link whose fingerprints differ in at most `distance` bits; component_id is the smallest doc_id reachable, the
     row's own included.  Null texts and texts without words have fingerprint zero and link like any other; equal rows
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members' are null.  Columns of docs named like a result column are replaced by it.  Without carry_text the result
     has no text column, and texts are not written to the shared folder.
     """
-    new = ["fp", "fingerprint", "component_id"]
+    new = ["fp", "root", "fingerprint", "component_id"]
     keep = [c for c in docs.columns if c not in new]
     others = row_of(docs, [c for c in keep if c != text])
     body = [named(text).alias("body")] if carry_text else []
@@ -136,7 +136,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = components(near_edges(classes.select("fp"), distance))
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     names = linked.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = linked.select("fp", "root").join(names.select(F.expr("root + 1 - 1").alias("root"), "component_id"), "root").select(F.col("fp").alias("fp2"), "component_id")
+    of = linked.select("fp", "root").join(names.select(F.expr("root + 1 - 1").alias("root"), "component_id"), "root").select(F.col("fp").alias("fp2"), "root", "component_id")
     out = base.join(of, F.col("fp") == F.col("fp2"))
     columns = [F.col("body").alias(c) if c == text else field(c) for c in keep if carry_text or c != text]
-    return out.select(*columns, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(*columns, "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of docs that stay when one document of each near-duplicate component does: the one of least doc_id.
+
+    Null ids come last, then the least text hash decides; of repeated rows one stays.  Columns are those of docs.
+    """
+    body = F.xxhash64(F.coalesce(named(text).cast("string"), F.lit("")))
+    marked = docs.select(named(doc_id).alias("id"), body.alias("body_hash"), named(text).alias("text"))
+    members = near_duplicates(marked, "id", "text", words, distance, carry_text=False)
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body_hash")).alias("x"))
+    chosen = first.select(F.xxhash64("x.id", "x.body_hash").alias("chosen_key"))
+    whole = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), F.xxhash64(named(doc_id), body).alias("row_key"))
+    stays = whole.join(chosen, F.col("row_key") == F.col("chosen_key"))
+    one = Window.partitionBy("row_key").orderBy("chosen_key")
+    return stays.withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*[field(c) for c in docs.columns])

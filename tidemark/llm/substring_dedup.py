@@ -32,7 +32,7 @@ def _count_windows(texts: DataFrame, shape: wd.Shape) -> DataFrame:
     return live.join(again.select(F.expr("k + 1 - 1").alias("k")), "k", "left_semi")
 
 
-def _remove_task(shape: wd.Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _remove_task(shape: wd.Shape, as_is: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, runs = batch.column("text"), batch.column("runs")
@@ -46,7 +46,7 @@ def _remove_task(shape: wd.Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 if a == b:
                     n_removed.append(0)
                     removed.append([])
-                    kept.append(b" ".join(words).decode())
+                    kept.append((texts[i].as_py() or "") if as_is else b" ".join(words).decode())
                     continue
                 mask = wd.covered(len(words), run_of["lo"][a:b].astype(np.int64), run_of["n"][a:b].astype(np.int64), shape.window)
                 start, stop = wd.spans_of(mask)
@@ -62,19 +62,20 @@ def _remove_task(shape: wd.Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8, as_is: bool = False) -> DataFrame:
     """All rows of docs with n_words, n_removed, removed (maximal word intervals) and, for the text, kept_text.
 
     Words are maximal runs of characters other than ASCII white space, unchanged.  A word is removed if a window of
     `window` consecutive words over it also starts elsewhere, in the same text or another; windows are judged on the
     input.  A null text has no words and an empty kept_text; texts under `window` words lose nothing; a row that
     occurs twice repeats itself and so loses every window; an empty table gives an empty result.  Columns of docs
-    named like a result column are replaced by it.  `gram` (words in an anchor) sets only the cost.
+    named like a result column are replaced by it.  `gram` (words in an anchor) sets only the cost.  Kept words are joined by one
+    space; with as_is, a text that loses nothing is kept with its own white space.
     """
     shape = wd.Shape(window, gram, "word")
     base = wd.keyed(docs, text)
     runs = wd.repeated_runs(base, shape, _count_windows)
     done = wd.with_runs(base, runs).select("text", "runs", "row")
-    out = done.mapInArrow(_remove_task(shape), with_row(base.schema["row"].dataType, REMOVED))
+    out = done.mapInArrow(_remove_task(shape, as_is), with_row(base.schema["row"].dataType, REMOVED))
     new = ["n_words", "n_removed", "removed", "kept_text"]
     return out.select(*[field(c) for c in docs.columns if c not in new and c != text], *new)
