@@ -101,7 +101,7 @@ class Coder:
             at = np.repeat(np.arange(len(chosen), dtype=np.int32), length)
             place = (np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
             self.db.register("init", pa.table({"w": at, "p": place, "t": self.bytes[np.frombuffer(b"".join(chosen), np.uint8)]}))
-            ids = self.db.execute(_ENCODE).to_arrow_table()["ids"].combine_chunks()
+            ids = self.db.sql(_ENCODE).to_arrow_table()["ids"].combine_chunks()
             self.db.unregister("init")
             flat, offsets = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
             for k, a, b in zip(part, offsets[:-1], offsets[1:], strict=True):
@@ -119,7 +119,7 @@ class Coder:
             at = np.repeat(np.arange(len(n), dtype=np.int32), n)
             place = (np.arange(len(at)) - np.repeat(part[:-1] - part[0], n)).astype(np.int32)
             self.db.register("tokens", pa.table({"w": at, "p": place, "t": ids[part[0] : part[-1]]}))
-            got = self.db.execute(_DECODE).to_arrow_table()["bytes"].to_pylist()
+            got = self.db.sql(_DECODE).to_arrow_table()["bytes"].to_pylist()
             self.db.unregister("tokens")
             out += got
         return out

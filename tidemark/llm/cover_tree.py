@@ -116,10 +116,13 @@ def _pivot_task(pivots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(2))
-            far = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T)) if pivots.shape[1] == x.shape[1] else np.full((len(x), 1), 2.0)
-            cell = far.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(x)), cell])], names=["cid", "grp", "v", "m", "cell", "far"])
+            cell, far = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, 2.0)
+            fits = np.flatnonzero(batch.column(2).value_lengths().to_numpy() == pivots.shape[1])  # others share a cell
+            if len(fits) and len(pivots):
+                gap = np.sqrt(np.maximum(0, 2 - 2 * matrix(batch.column(2).take(pa.array(fits))) @ pivots.T))
+                cell[fits] = gap.argmin(axis=1)
+                far[fits] = gap.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=["cid", "grp", "v", "m", "cell", "far"])
 
     return run
 
@@ -145,7 +148,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id:
     dims = F.size("v")
     common = classes.groupBy(dims.alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     chosen = classes.where(dims == (common.d if common else 0)).orderBy(F.xxhash64("cid")).select("v").limit(n_pivots).collect()
-    pivots = np.array([r.v for r in chosen], dtype=np.float64).reshape(len(chosen), -1)
+    pivots = np.array([r.v for r in chosen], dtype=np.float64).reshape(len(chosen), common.d if common else 0)
     celled = classes.select("cid", "grp", "v", "m").mapInArrow(_pivot_task(pivots), "cid long, grp long, v array<double>, m long, cell int, far double")
     cells = celled.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).withColumn("parts", F.ceil(F.col("n") / CHUNK_ROWS).cast("int"))
     gaps = [float(x) for x in np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T)).ravel()] or [0.0]
