@@ -46,7 +46,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tidemark.plans import filings, ledgers, market, operations, research, telemetry  # noqa: F401
+    from tidemark.plans import filings, ledgers, market, more, operations, research, telemetry  # noqa: F401
 
 
 _load()
