@@ -127,6 +127,18 @@ def _pivot_task(pivots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
+def _pair_task(pivots: np.ndarray, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keep the pairs of cells (columns a, b, ra, rb) that some close pair of rows could join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            gap = np.linalg.norm(pivots[a] - pivots[b], axis=1) if len(pivots) else np.zeros(len(a))
+            yield batch.filter(pa.array(gap <= batch.column("ra").to_numpy() + batch.column("rb").to_numpy() + reach))
+
+    return run
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector; links are pairs of one label with cosine >= threshold.
 
@@ -151,12 +163,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id:
     pivots = np.array([r.v for r in chosen], dtype=np.float64).reshape(len(chosen), common.d if common else 0)
     celled = classes.select("cid", "grp", "v", "m").mapInArrow(_pivot_task(pivots), "cid long, grp long, v array<double>, m long, cell int, far double")
     cells = celled.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).withColumn("parts", F.ceil(F.col("n") / CHUNK_ROWS).cast("int"))
-    gaps = [float(x) for x in np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T)).ravel()] or [0.0]
-    gap = F.element_at(F.array(*[F.lit(x) for x in gaps]), F.col("a.cell") * max(1, len(chosen)) + F.col("b.cell") + 1) if len(gaps) <= 4096 else F.lit(0.0)
     reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
-    met = cells.alias("a").join(cells.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.cell") <= F.col("b.cell")))
-    met = met.where(gap <= F.col("a.radius") + F.col("b.radius") + reach)
-    met = met.select(F.col("a.grp").alias("grp"), F.col("a.cell").alias("a"), F.col("b.cell").alias("b"), F.explode(F.sequence(F.lit(0), F.col("a.parts") - 1)).alias("i"), F.col("b.parts").alias("bp"))
+    left = cells.select("grp", F.col("cell").alias("a"), F.col("radius").alias("ra"), F.col("parts").alias("ap"))
+    right = cells.select("grp", F.col("cell").alias("b"), F.col("radius").alias("rb"), F.col("parts").alias("bp"))
+    met = left.join(right, "grp").where("a <= b").select("grp", "a", "b", "ra", "rb", "ap", "bp")  # at most MAX_PIVOTS cells a group
+    met = met.mapInArrow(_pair_task(pivots, reach), met.schema).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ap") - 1)))
     met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bp") - 1))).where("a < b or i <= j")
     tile = F.struct("grp", "a", "i", "b", "j")
     own = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
