@@ -119,6 +119,18 @@ def test_empty_tables(empty):
         assert out.collect() == []
 
 
+def test_saved_tables_can_be_dropped(spark):
+    from tidemark.llm.durable import drop_saved, saved
+
+    df = saved(spark.range(5).toDF("id"), "five")
+    assert df.count() == 5
+    path = df.inputFiles()[0]
+    drop_saved(spark)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not place.getFileSystem(conf).exists(place)
+
+
 def test_multikey_order():
     rng = np.random.default_rng(3)
     keys = [rng.integers(0, 4, 500), rng.integers(0, 4, 500), rng.integers(0, 50, 500)]

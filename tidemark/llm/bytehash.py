@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODES = [_RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64) for _ in range(2)]

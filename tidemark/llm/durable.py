@@ -18,8 +18,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/tidemark-shared"
 
 
+_written: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and a lost executor costs nothing before it."""
+    """Write df to the shared folder and read it back: lineage ends there and a lost executor costs nothing before it.
+
+    The table stays until `drop_saved`, as later DataFrames read it.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Hold Arrow batches of texts to `size`, unless the session has set its own: workers keep a few times a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, size)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Delete the tables that `saved` wrote from this process; DataFrames that read them are useless afterwards."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -18,15 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytehash import text_slices
+from tidemark.llm.durable import small_batches
 
-DIM, SYMBOLS, SEED, CHUNK = 512, 128, 11, 128
+DIM, SYMBOLS, SEED, CHUNK, SLICE = 512, 128, 11, 64, 1 << 18
 UNKNOWN = "und"
 
 
 @cache
 def _symbol_table() -> np.ndarray:
     """Symbol of each code point: 0 for what is no letter, 1 to 26 for a-z in either case, else one of 101 classes."""
-    table = np.zeros(0x110000, dtype=np.int32)
+    table = np.zeros(0x110000, dtype=np.uint8)
     for c in range(0x110000):
         letter = chr(c)
         if letter.isalpha():
@@ -35,6 +36,12 @@ def _symbol_table() -> np.ndarray:
     return table
 
 
+@cache
+def _gram_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Scratch space of a worker: which trigrams a slice has (all false between slices), and their numbers."""
+    return np.zeros(SYMBOLS**3, dtype=bool), np.zeros(SYMBOLS**3, dtype=np.int32)
+
+
 @cache
 def _letters() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(SEED)).choice(np.array([-1, 1], np.float32), (SYMBOLS, DIM))
@@ -44,14 +51,17 @@ def _bound(grams: np.ndarray) -> np.ndarray:
     """Vectors of trigrams: letters rotated by place and multiplied."""
     letters = _letters()
     a, b, c = grams // SYMBOLS**2, grams // SYMBOLS % SYMBOLS, grams % SYMBOLS
-    return np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
+    out = np.roll(letters, 2, axis=1)[a]
+    out *= np.roll(letters, 1, axis=1)[b]
+    out *= letters[c]
+    return out
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigram numbers of a slice, the text that each belongs to, and each text's number of letters."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
-    symbol = _symbol_table()[points]
+    symbol = _symbol_table()[points].astype(np.int32)
     n = len(offsets) - 1
     letters = np.concatenate(([0], np.cumsum(symbol > 0)))[begins]
     symbol = np.insert(symbol, begins[:-1], 0)  # every text starts with a boundary
@@ -69,10 +79,10 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def _counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct trigrams of a slice, each trigram's number among them, its text, and letters by text."""
     gram, text, letters = _trigrams(data, offsets)
-    seen = np.zeros(SYMBOLS**3, dtype=bool)
+    seen, number = _gram_tables()
     seen[gram] = True
     distinct = np.flatnonzero(seen)
-    number = np.zeros(SYMBOLS**3, dtype=np.int32)
+    seen[distinct] = False
     number[distinct] = np.arange(len(distinct))
     return distinct, number[gram], text, letters
 
@@ -82,7 +92,7 @@ def _bundle_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), dtype=object)
-        for row, end, data, offsets in text_slices(batch.column(0)):
+        for row, end, data, offsets in text_slices(batch.column(0), SLICE):
             distinct, number, text, letters = _counted(data, offsets)
             weight = 1.0 / np.maximum(1, np.bincount(text, minlength=end - row))
             for lang in set(langs[row:end]):
@@ -107,6 +117,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
 
     The driver receives one vector of DIM numbers a language, summed by Spark.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     parts = rows.mapInArrow(_bundle_task, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
     sums = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
@@ -119,7 +130,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
 
 def _predict(profiles: Profiles, column: pa.Array) -> tuple[list[str], np.ndarray]:
     names, scores = [], np.zeros(len(column))
-    for row, end, data, offsets in text_slices(column):
+    for row, end, data, offsets in text_slices(column, SLICE):
         distinct, number, text, letters = _counted(data, offsets)
         bound = _bound(distinct)
         for at in range(0, end - row, CHUNK):
@@ -147,6 +158,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     named lang_pred or score are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(profiles)  # languages x DIM floats
 
     @F.pandas_udf("lang_pred string, score double")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytehash as bh
+from tidemark.llm.durable import small_batches
 from tidemark.llm.rows import field, named, row_of, with_row
 
 # Phrases that stand for a licence wherever they occur.
@@ -194,6 +195,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     places.  Repeated rows count in the word frequencies like any; an empty table stays empty; columns of docs named
     like a result column are replaced.
     """
+    small_batches(docs.sparkSession)
     idf = rarity(docs, text)
     keep = [c for c in docs.columns if c not in RESULT]
     rows = docs.select(named(text).cast("string").alias("text"), row_of(docs, keep))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components, local_roots
-from tidemark.llm.durable import saved
+from tidemark.llm.durable import saved, small_batches
 from tidemark.llm.rows import field, named, row_of
 
 BITS, TILE = 64, 256
@@ -36,6 +36,8 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
     """docs with a column fp (signed 64-bit fingerprint)."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(column: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in column], dtype=np.uint64).view(np.int64))

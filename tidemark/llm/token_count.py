@@ -16,6 +16,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.durable import small_batches
 from tidemark.llm.rows import field, named, row_of, with_row
 
 SEGMENT = 512
@@ -150,6 +151,7 @@ def count_edited(docs: DataFrame, path: str, pattern: str, text: str = "text", e
     deletes; places beyond the end are clipped.  Counts are those of encoding the whole text anew.  Repeated rows count
     alike; an empty table stays empty; columns of docs named like a result column are replaced.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in RESULT and c != edits]
     rows = docs.select(named(text).cast("string").alias("text"), named(edits).cast(EDITS).alias("edits"), row_of(docs, keep))
     out = rows.mapInArrow(_count_task(path, pattern, size), with_row(rows.schema["row"].dataType, ", ".join(f"{c} long" for c in RESULT)))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytehash as bh
-from tidemark.llm.durable import saved
+from tidemark.llm.durable import saved, small_batches
 from tidemark.llm.rows import named, row_of
 
 ANCHORS = "rid long, g long, c long, lo int, n int"
@@ -117,7 +117,7 @@ def window_batches(batch: pa.RecordBatch, shape: Shape) -> Iterator[dict[str, np
         if not len(text):
             continue
         # a slice of many runs is cut again: memory follows the texts, not the number of windows
-        for part in np.array_split(np.arange(len(text)), max(1, int(run["n"].sum()) >> 19)):
+        for part in np.array_split(np.arange(len(text)), max(1, int(run["n"].sum()) >> 17)):
             n = run["n"][part].astype(np.int64)
             value, at = window_hashes(codes, first, text[part], run["lo"][part].astype(np.int64), n, shape)
             of = np.repeat(text[part], n)
@@ -127,6 +127,7 @@ def window_batches(batch: pa.RecordBatch, shape: Shape) -> Iterator[dict[str, np
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
     """rid, text and row (all columns): rid is a hash of the whole row's text and columns, so that equal rows share it."""
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text]
     body = named(text).cast("string")
     return docs.select(F.xxhash64(body, *[named(c).cast("string") for c in others]).alias("rid"), body.alias("text"), row_of(docs, others) if others else F.lit(None).cast("struct<none:int>").alias("row"))
