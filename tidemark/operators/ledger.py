@@ -118,10 +118,18 @@ def chain_violations(events: DataFrame) -> DataFrame:
 
 
 def banded_queue(candidates: DataFrame, now: str, band: F.Column, at: str, key: str) -> DataFrame:
-    """Queue order: rows a day old first, then by band, time of discovery and key."""
+    """Queue order: rows a day old first, then by band, time of discovery and key.
+
+    A row's place is its rank within its band and day plus the rows of all earlier bands and days, so no task holds the
+    whole queue; the running total is over one row a band and day.
+    """
     aged = F.col(at) <= F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 24 HOUR")
-    ranked = candidates.withColumn("band", F.when(aged, 0).otherwise(band))
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("band", at, key)))
+    ranked = candidates.withColumns({"band": F.when(aged, 0).otherwise(band), "day__": F.to_date(at)})
+    ranked = ranked.withColumn("nth__", F.row_number().over(Window.partitionBy("band", "day__").orderBy(at, key)))
+    before = Window.orderBy("band", "day__").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranked.groupBy("band", "day__").agg(F.count("*").alias("n__")).select("band", "day__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("ahead__"))
+    out = ranked.join(ahead, ["band", "day__"])
+    return out.withColumn("place", F.col("nth__") + F.col("ahead__")).drop("day__", "nth__", "n__", "ahead__")
 
 
 def hash_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: str) -> DataFrame:
