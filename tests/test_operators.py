@@ -148,6 +148,18 @@ def test_limiter_forgets_refusals():
     assert stateful.admissions([0, 1, 2, 10.5, 11], 10, 2, []) == [(True, 0.0), (True, 0.0), (False, 8), (True, 0.0), (True, 0.0)]
 
 
+def test_all_caps_hold_at_once():
+    assert stateful.capped([0, 5, 12, 24, 36, 101], ((10.0, 1), (100.0, 3))) == [True, False, True, True, False, True]
+
+
+def test_retries_and_sessions(spark):
+    rows = [(1, 1, False), (1, 2, True), (2, 1, False), (3, 6, False)]
+    got = stateful.terminal_status(spark.createDataFrame(rows, "job int, n_try int, ok boolean"), "job", "n_try", F.col("ok"), 6)
+    assert {r.job: (r.status, r.first_ok, r.delay) for r in got.collect()} == {1: ("completed", 2, None), 2: ("retry_wait", None, 300), 3: ("failed", None, None)}
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (2, 3, 3, 8)], "day date")
+    assert {(r.day.day, r.horizon, r.target_date and r.target_date.day) for r in ledger.sessions_after(days, "day", (1, 2)).collect()} == {(2, 1, 3), (2, 2, 8), (3, 1, 8), (3, 2, None), (8, 1, None), (8, 2, None)}
+
+
 def test_limiter_stream_equals_batch(spark, tmp_path):
     rows = [(u, 10 * u + i, dt.datetime(2024, 1, 1, 0, 0, i * 7 % 50)) for u in range(3) for i in range(8)]
     events = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")

@@ -100,12 +100,34 @@ def canonical_url(c: F.Column) -> F.Column:
     return F.regexp_replace(F.concat(host, F.substr(bare, F.length(parts) + 1)), r"/+$", "")
 
 
+def words(c: F.Column) -> F.Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 0)
+
+
 def overlap(a: F.Column, b: F.Column) -> F.Column:
     """Distinct words that both texts have."""
-    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 0)
     return F.size(F.array_intersect(words(a), words(b)))
 
 
+def supported(claim: F.Column, evidence: F.Column) -> F.Column:
+    """Whether the evidence holds a quarter of the claim's distinct words, and two at least."""
+    return overlap(claim, evidence) >= F.greatest(F.lit(2), F.ceil(F.size(F.array_distinct(words(claim))) / 4))
+
+
+def normalized_list(c: F.Column) -> F.Column:
+    """Entries trimmed, in lower case, each once, in order."""
+    return F.array_sort(F.array_distinct(F.transform(c, lambda x: F.lower(F.trim(x)))))
+
+
+def excerpt(c: F.Column, terms: Sequence[str], width: int) -> tuple[F.Column, F.Column]:
+    """`width` characters from the first listed term that occurs, else from the start; and whether a term occurred."""
+    low, at, aware = F.lower(c), F.lit(1), F.lit(False)
+    for t in reversed(terms):
+        hit = F.contains(low, F.lit(t))
+        at, aware = F.when(hit, F.locate(t, low)).otherwise(at), hit | aware
+    return F.substr(c, at, F.lit(width)), aware
+
+
 def holds_number(c: F.Column, number: str) -> F.Column:
     """Whether a number stands in a text as a whole, thousands separators aside."""
     return F.regexp_replace(c, r"(?<=[0-9]),(?=[0-9]{3})", "").rlike(rf"(?<![0-9.]){number}(?![0-9]|\.[0-9])")

@@ -95,6 +95,20 @@ def conflicting_replays(existing: DataFrame, incoming: DataFrame, key: str, dige
     return existing.select(key, F.col(digest).alias("before")).join(incoming.select(key, F.col(digest).alias("after")), key).where(~F.col("before").eqNullSafe(F.col("after"))).select(key)
 
 
+def mismatches(recorded: DataFrame, again: DataFrame, keys: Sequence[str], field: str) -> DataFrame:
+    """keys, recorded, recomputed: receipts that the rule, run again, does not give."""
+    both = recorded.select(*keys, F.col(field).alias("recorded")).join(again.select(*keys, F.col(field).alias("recomputed")), [*keys])
+    return both.where(~F.col("recorded").eqNullSafe(F.col("recomputed")))
+
+
+def sessions_after(calendar: DataFrame, day: str, horizons: Sequence[int]) -> DataFrame:
+    """day, horizon, target_date: the session so many sessions later, null beyond the calendar's end (a row a day)."""
+    numbered = calendar.select(day).distinct().withColumn("i", F.row_number().over(Window.orderBy(day)))
+    asked = numbered.select(day, "i", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"))
+    target = numbered.select(F.col(day).alias("target_date"), F.col("i").alias("j"))
+    return asked.join(target, F.col("i") + F.col("horizon") == F.col("j"), "left").select(day, "horizon", "target_date")
+
+
 def keep_old(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Upsert that overwrites with what is not null."""
     o, n = old.alias("o"), new.alias("n")

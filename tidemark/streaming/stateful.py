@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,6 +56,36 @@ def limit_stream(events: DataFrame, window_s: float, limit: int) -> DataFrame:
     return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, DECISIONS, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def capped(seconds: Iterable[float], caps: Sequence[tuple[float, int]]) -> list[bool]:
+    """Whether each call, in order, stays within all caps (window in seconds, calls admitted in it)."""
+    longest, held, out = max(w for w, _ in caps), [], []
+    for now in seconds:
+        held = [t for t in held if t > now - longest]
+        out.append(all(sum(t > now - w for t in held) < n for w, n in caps))
+        if out[-1]:
+            held.append(now)
+    return out
+
+
+def capped_batch(events: DataFrame, caps: Sequence[tuple[float, int]]) -> DataFrame:
+    """user_id, event_id, admitted under several caps at once; each user's calls are one fold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["s", "event_id"])
+        return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "admitted": capped(pdf["s"], caps)})
+
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return events.select("user_id", "event_id", seconds.alias("s")).groupBy("user_id").applyInPandas(run, "user_id long, event_id long, admitted boolean")
+
+
+def terminal_status(attempts: DataFrame, job: str, attempt: str, ok: F.Column, most: int) -> DataFrame:
+    """job, status, first_ok, delay: completed at the first success, failed after `most` attempts, else waiting for a retry."""
+    by = attempts.groupBy(job).agg(F.max(attempt).alias("n"), F.min(F.when(ok, F.col(attempt))).alias("first_ok"))
+    done, spent = F.col("first_ok").isNotNull(), F.col("n") >= most
+    delay = F.least(F.lit(86_400), F.lit(300) * F.pow(F.lit(2), F.col("n") - 1)).cast("long")
+    return by.select(job, F.when(done, "completed").when(spent, "failed").otherwise("retry_wait").alias("status"), "first_ok", F.when(~done & ~spent, delay).alias("delay"))
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "24 hours", slide: str = "1 hour") -> DataFrame:
     """Counts in sliding event-time windows; on a stream, rows later than the watermark are dropped."""
     w = F.window("ts", size, slide)
