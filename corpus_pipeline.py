@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import langid
 from tidemark.llm.durable import saved
 from tidemark.llm.packing import pack
-from tidemark.llm.simhash import representatives
+from tidemark.llm.shingles import representatives
 from tidemark.llm.substring_dedup import remove_repeated_passages
 
 CAPACITY = 8192
@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of SimHash near duplicates: the one of least doc_id."""
+    """One document of each component of texts whose 5-word shingles are 80 % alike: the one of least doc_id."""
     return representatives(docs)
 
 
