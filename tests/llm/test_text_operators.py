@@ -15,11 +15,11 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, license_scan, packing, simhash, token_count
+from tidemark.llm import bpe, langid, license_scan, packing, simhash, token_count, windows
 from tidemark.llm.bytehash import sliding_min, text_slices
 from tidemark.llm.components import components
-from tidemark.llm.substring_dedup import remove_repeated_passages
-from tidemark.llm.suffix_dedup import multikey_order, remove_repeated_strings
+from tidemark.llm.substring_dedup import _count_windows, remove_repeated_passages
+from tidemark.llm.suffix_dedup import multikey_quicksort, remove_repeated_strings
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, source string, rid string, n int, row string"
@@ -77,9 +77,9 @@ def removed(rows: list[tuple], units, window: int) -> Counter:
     return out
 
 
-@pytest.mark.parametrize("window", [35, 8])
-def test_passages(docs, rows, window):
-    got = remove_repeated_passages(docs, window=window, gram=4)
+@pytest.mark.parametrize("window,screen", [(35, True), (8, True), (35, False)])
+def test_passages(docs, rows, window, screen):
+    got = remove_repeated_passages(docs, window=window, gram=4, screen=screen)
     assert set(docs.columns) - {"text"} <= set(got.columns)
     found = Counter((r.doc_id, r.n_words, r.n_removed, tuple(r.kept_text.encode().split())) for r in got.collect())
     assert found == removed(rows, lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()), window)
@@ -95,13 +95,33 @@ def test_passages_as_is_and_spans(docs, rows):
             assert (r.doc_id, r.kept_text) in texts
 
 
-@pytest.mark.parametrize("length,gram", [(400, 200), (50, 20)])
-def test_strings(docs, rows, length, gram):
-    got = remove_repeated_strings(docs, length=length, gram=gram)
+@pytest.mark.parametrize("length,gram,block", [(400, 200, 8), (50, 20, 8), (50, 20, 1), (30, 10, 21)])
+def test_strings(docs, rows, length, gram, block):
+    got = remove_repeated_strings(docs, length=length, gram=gram, block=block)
     found = Counter((r.doc_id, r.n_bytes, r.n_removed, tuple(bytes(r.kept_bytes))) for r in got.collect())
     assert found == removed(rows, lambda t: (t or "").encode(), length)
 
 
+def test_frequent_anchors_are_dealt(docs, rows, monkeypatch):
+    monkeypatch.setattr(windows, "LIGHT", 1)
+    monkeypatch.setattr(windows, "SALTS", 3)
+    got = remove_repeated_strings(docs, length=60, gram=20)
+    found = Counter((r.doc_id, r.n_bytes, r.n_removed, tuple(bytes(r.kept_bytes))) for r in got.collect())
+    assert found == removed(rows, lambda t: (t or "").encode(), 60)
+
+
+def test_many_equal_rows(spark):
+    """Equal rows cost their number, not its square: each run is listed once."""
+    text = " ".join(f"w{i * 7 % 311}" for i in range(120))
+    table = spark.createDataFrame([(1, text)] * 10_000 + [(2, text + " tail"), (3, "other words")], "doc_id long, text string")
+    base = windows.keyed(table, "text")
+    runs = windows.repeated_runs(base, windows.Shape(35, 8, "word"), _count_windows)
+    longest = windows.with_runs(base, runs).agg(F.max(F.size("runs"))).first()[0]
+    assert longest <= 120
+    got = remove_repeated_passages(table).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(1, 120, 120, 10_000), (2, 121, 120, 1), (3, 2, 0, 1)}
+
+
 def test_empty_tables(empty):
     profiles = langid.fit(empty)
     assert profiles.names == ()
@@ -131,13 +151,14 @@ def test_saved_tables_can_be_dropped(spark):
     assert not place.getFileSystem(conf).exists(place)
 
 
-def test_multikey_order():
+def test_multikey_quicksort():
     rng = np.random.default_rng(3)
-    keys = [rng.integers(0, 4, 500), rng.integers(0, 4, 500), rng.integers(0, 50, 500)]
-    order = multikey_order(keys)
-    rows = list(zip(*(k[order].tolist() for k in keys), strict=True))
-    assert rows == sorted(zip(*(k.tolist() for k in keys), strict=True))
-    assert sorted(order.tolist()) == list(range(500))
+    for n, width, letters in ((0, 9, 4), (1, 9, 4), (500, 3, 2), (3000, 21, 2), (700, 40, 256)):
+        text = rng.integers(0, letters, (n, width)).astype(np.uint8)
+        text[n // 2 :] = text[: n - n // 2]
+        order = multikey_quicksort(text)
+        assert [bytes(text[i]) for i in order] == sorted(map(bytes, text))
+        assert sorted(order.tolist()) == list(range(n))
 
 
 def test_sliding_min_and_slices():

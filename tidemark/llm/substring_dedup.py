@@ -19,17 +19,18 @@ def _window_task(shape: wd.Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in wd.window_batches(batch, shape):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for k in ("key", "rid", "lo", "live")], names=["key", "rid", "lo", "live"])
+                names = ["k1", "k2", *wd.ID, "lo", "live"]
+                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for k in names], names=names)
 
     return run
 
 
 def _count_windows(texts: DataFrame, shape: wd.Shape) -> DataFrame:
-    """Live windows whose hash occurs more than once."""
-    every = texts.mapInArrow(_window_task(shape), "key long, rid long, lo int, live boolean")
-    again = every.groupBy(F.col("key").bitwiseXOR(F.lit(1)).alias("k")).agg(F.count("*").alias("m")).where("m > 1")
-    live = every.where("live").withColumn("k", F.col("key").bitwiseXOR(F.lit(1)))
-    return live.join(again.select(F.expr("k + 1 - 1").alias("k")), "k", "left_semi")
+    """Live windows whose two hashes occur more than once."""
+    every = texts.mapInArrow(_window_task(shape), "k1 long, k2 long, rid long, rid2 int, lo int, live boolean")
+    again = every.groupBy(F.col("k1").bitwiseXOR(F.lit(1)).alias("k"), F.col("k2").alias("l")).agg(F.count("*").alias("m")).where("m > 1")
+    again = again.select(F.col("k").bitwiseXOR(F.lit(1)).alias("k1"), F.expr("l + 1 - 1").alias("k2"))
+    return every.where("live").join(again, ["k1", "k2"], "left_semi")
 
 
 def _remove_task(shape: wd.Shape, as_is: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -62,7 +63,7 @@ def _remove_task(shape: wd.Shape, as_is: bool) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8, as_is: bool = False) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8, as_is: bool = False, screen: bool = True) -> DataFrame:
     """All rows of docs with n_words, n_removed, removed (maximal word intervals) and, for the text, kept_text.
 
     Words are maximal runs of characters other than ASCII white space, unchanged.  A word is removed if a window of
@@ -74,7 +75,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int =
     """
     shape = wd.Shape(window, gram, "word")
     base = wd.keyed(docs, text)
-    runs = wd.repeated_runs(base, shape, _count_windows)
+    runs = (wd.repeated_runs if screen else wd.every_window)(base, shape, _count_windows)
     done = wd.with_runs(base, runs).select("text", "runs", "row")
     out = done.mapInArrow(_remove_task(shape, as_is), with_row(base.schema["row"].dataType, REMOVED))
     new = ["n_words", "n_removed", "removed", "kept_text"]

@@ -2,14 +2,16 @@
 
 A window's Rabin-Karp hash decides whether it repeats, but most windows of a corpus occur once and need not travel.
 Each window selects one anchor, the smallest of the hashed grams inside it; equal windows select equal anchors at the
-same offset.  So Spark first counts anchors (about two for each window length):
+same offset.  So Spark first counts anchors (about two for each window length), each with the run of windows around it:
 
 * an anchor that occurs once: none of its windows repeats;
 * an anchor whose whole context (the tokens of all its windows) occurs again: all of its windows repeat;
-* the rest: these windows' own hashes are counted one by one.
+* the rest is undecided.  It is cut to blocks of a few windows and asked again, with the tokens that all windows of a
+  block share as the anchor (`blocks`), or its windows are looked at one by one.
 
-Every shuffle is keyed by a hash and pre-aggregated, or is a join that adaptive execution can split, so a passage that
-a third of all texts share puts no unbounded group into one task.
+Equality of contexts and windows is that of two independent 64-bit hashes; an anchor's single hash only proposes.
+Every shuffle is keyed by a hash and pre-aggregated, or is a join whose frequent keys (fewer than HEAVY, whatever
+the data) are dealt to several parts, so a passage that a third of all texts share puts no unbounded group into one task.
 """
 
 from __future__ import annotations
@@ -26,18 +28,22 @@ from tidemark.llm import bytehash as bh
 from tidemark.llm.durable import saved, small_batches
 from tidemark.llm.rows import named, row_of
 
-ANCHORS = "rid long, g long, c long, lo int, n int"
+#: rid, rid2: the row; g: anchor; c, d: context; lo, n: first window and number of windows; at: anchor's place after lo.
+RUNS = "rid long, rid2 int, g long, c long, d long, lo int, n int, at int, live boolean"
+ID = ("rid", "rid2")
+HEAVY, LIGHT, SALTS = 1_024, 1_000, 64
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
 class Shape:
-    """window: tokens in a window; gram: tokens in an anchor; unit: 'word' or 'byte'."""
+    """window: tokens in a window; gram: tokens in an anchor; unit: 'word' or 'byte'; block: windows asked together."""
 
     window: int
     gram: int
     unit: str
+    block: int = 8
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -48,51 +54,72 @@ def tokens(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray
     return bh.word_codes(data, starts, stops), first
 
 
+def _contexts(codes: np.ndarray, lo: np.ndarray, n: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the tokens of n windows from lo on, and of the anchor's place among them."""
+    shape = (n.astype(np.uint64) << _U(32)) ^ at.astype(np.uint64)
+    return tuple(bh.mix(bh.mix(bh.Rolling(codes, lane).spans(lo, lo + n - 1 + window)) ^ shape) for lane in (1, 0))
+
+
 def anchors(codes: np.ndarray, first: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
-    """Runs of windows that select the same anchor: text number, g (anchor), c (context), lo (in text), n."""
-    none = {k: np.zeros(0, np.int64) for k in ("text", "lo", "n")} | {k: np.zeros(0, np.uint64) for k in ("g", "c")}
+    """Runs of windows that select the same anchor: text number and the fields of RUNS."""
     w, k = shape.window, shape.gram
     length = np.diff(first)
     if len(codes) < w or not (length >= w).any():
-        return none
+        none = np.zeros(0, np.int64)
+        return {f: none for f in ("text", "lo", "n", "at")} | {f: none.view(np.uint64) for f in ("g", "c", "d")}
     gram = bh.mix(bh.Rolling(codes, 0).every(k))
     key = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
     chosen = bh.sliding_min(key, w - k + 1)
     text = np.repeat(np.arange(len(length)), length)[: len(chosen)]
-    at = np.flatnonzero(np.arange(len(chosen)) + w <= first[1:][text])
-    anchor = (chosen[at] & _LOW).astype(np.int64)
+    start = np.flatnonzero(np.arange(len(chosen)) + w <= first[1:][text])
+    anchor = (chosen[start] & _LOW).astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    lo, n, anchor = at[cut], np.diff(np.concatenate((cut, [len(at)]))), anchor[cut]
-    context = bh.mix(bh.Rolling(codes, 1).spans(lo, lo + n - 1 + w))
-    context = bh.mix(context ^ (n.astype(np.uint64) << _U(32)) ^ (anchor - lo).astype(np.uint64))
+    lo, n, anchor = start[cut], np.diff(np.concatenate((cut, [len(start)]))), anchor[cut]
+    c, d = _contexts(codes, lo, n, anchor - lo, w)
     text = text[lo]
-    return {"text": text, "lo": lo - first[text], "n": n, "g": gram[anchor], "c": context}
+    return {"text": text, "lo": lo - first[text], "n": n, "at": anchor - lo, "g": gram[anchor], "c": c, "d": d}
 
 
-def window_hashes(codes: np.ndarray, first: np.ndarray, text: np.ndarray, lo: np.ndarray, n: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of given runs, run after run, and each one's start within its text."""
-    at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-    start = at + np.repeat(first[text], n)
-    return bh.mix(bh.Rolling(codes, 1).spans(start, start + shape.window)), at
+def blocks(codes: np.ndarray, first: np.ndarray, runs: dict[str, np.ndarray], shape: Shape) -> dict[str, np.ndarray]:
+    """Runs (text, lo, n, at, live) cut to blocks of `shape.block` windows, counted from the anchor.
+
+    A block's anchor is what all its windows share, whether or not the run holds all of them, so that equal windows
+    lie in blocks of equal anchors.
+    """
+    b, w = shape.block, shape.window
+    back, least = runs["at"] // b, (runs["at"] - runs["n"] + 1) // b  # block numbers of a run's first and last window
+    size = back - least + 1
+    of = np.repeat(np.arange(len(size)), size)
+    number = back[of] - (np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size))
+    anchor = runs["lo"][of] + runs["at"][of]
+    lo = np.maximum(runs["lo"][of], anchor - number * b - b + 1)
+    end = np.minimum(runs["lo"][of] + runs["n"][of] - 1, anchor - number * b)
+    text = runs["text"][of]
+    begin = first[text]
+    core = begin + anchor - number * b
+    g = bh.mix(bh.mix(bh.Rolling(codes, 0).spans(core, core + w - b + 1)) ^ number.astype(np.uint64))
+    at, n = anchor - lo, end - lo + 1
+    c, d = _contexts(codes, begin + lo, n, at, w)
+    return {"text": text, "lo": lo, "n": n, "at": at, "g": g, "c": c, "d": d, "live": runs["live"][of]}
+
+
+def _run_batch(rid: np.ndarray, rid2: np.ndarray, row: int, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+    of = row + found["text"]
+    live = found.get("live", np.ones(len(of), dtype=bool))
+    small = [pa.array(found[f].astype(np.int32)) for f in ("lo", "n", "at")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rid[of]), pa.array(rid2[of]), *(pa.array(found[f].view(np.int64)) for f in ("g", "c", "d")), *small, pa.array(live.astype(bool))],
+        names=["rid", "rid2", "g", "c", "d", "lo", "n", "at", "live"],
+    )
 
 
 def _anchor_task(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            for row, _, data, offsets in bh.text_slices(batch.column(1)):
+            rid, rid2 = (batch.column(f).to_numpy() for f in ID)
+            for row, _, data, offsets in bh.text_slices(batch.column("text")):
                 codes, first = tokens(data, offsets, shape.unit)
-                found = anchors(codes, first, shape)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rid[row + found["text"]]),
-                        pa.array(found["g"].view(np.int64)),
-                        pa.array(found["c"].view(np.int64)),
-                        pa.array(found["lo"].astype(np.int32)),
-                        pa.array(found["n"].astype(np.int32)),
-                    ],
-                    names=["rid", "g", "c", "lo", "n"],
-                )
+                yield _run_batch(rid, rid2, row, anchors(codes, first, shape))
 
     return run
 
@@ -105,59 +132,111 @@ def run_lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.repeat(np.arange(len(column)), size), fields
 
 
-def window_batches(batch: pa.RecordBatch, shape: Shape) -> Iterator[dict[str, np.ndarray]]:
-    """Windows of the runs listed beside each text (columns rid, text, runs): rid, lo, live, hash, and the slice's bytes and places.
-
-    The hash also covers the anchor, so that equal hashes mean 128 equal bits.
-    """
-    rid, runs = batch.column("rid").to_numpy(), batch.column("runs")
+def listed_runs(batch: pa.RecordBatch, shape: Shape) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """First row, bytes, token codes, token offsets and listed runs of each slice of a batch (columns text, runs)."""
+    runs = batch.column("runs")
     for row, end, data, offsets in bh.text_slices(batch.column("text")):
-        codes, first = tokens(data, offsets, shape.unit)
         text, run = run_lists(runs.slice(row, end - row))
-        if not len(text):
-            continue
+        if len(text):
+            codes, first = tokens(data, offsets, shape.unit)
+            yield row, data, codes, first, {"text": text, "live": run["live"].astype(bool)} | {f: run[f].astype(np.int64) for f in ("lo", "n", "at")}
+
+
+def _block_task(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, rid2 = (batch.column(f).to_numpy() for f in ID)
+            for row, _, codes, first, runs in listed_runs(batch, shape):
+                yield _run_batch(rid, rid2, row, blocks(codes, first, runs, shape))
+
+    return run
+
+
+def window_batches(batch: pa.RecordBatch, shape: Shape, step: int = 1 << 17) -> Iterator[dict[str, np.ndarray]]:
+    """Windows of the runs listed beside each text, some `step` at a time: rid, rid2, lo, live, two hashes, and the slice's bytes and places."""
+    rid, rid2 = (batch.column(f).to_numpy() for f in ID)
+    for row, data, codes, first, runs in listed_runs(batch, shape):
+        rolling = [bh.Rolling(codes, lane) for lane in (1, 0)]
         # a slice of many runs is cut again: memory follows the texts, not the number of windows
-        for part in np.array_split(np.arange(len(text)), max(1, int(run["n"].sum()) >> 17)):
-            n = run["n"][part].astype(np.int64)
-            value, at = window_hashes(codes, first, text[part], run["lo"][part].astype(np.int64), n, shape)
-            of = np.repeat(text[part], n)
-            key = bh.mix(value ^ np.repeat(run["g"][part].astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15), n))
-            yield {"rid": rid[row + of], "lo": at.astype(np.int32), "live": np.repeat(run["live"][part].astype(bool), n), "key": key.view(np.int64), "data": data, "place": first[of] + at}
+        for part in np.array_split(np.arange(len(runs["text"])), max(1, int(runs["n"].sum()) // step)):
+            n = runs["n"][part]
+            at = np.repeat(runs["lo"][part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            of = np.repeat(runs["text"][part], n)
+            place = first[of] + at
+            k1, k2 = (bh.mix(r.spans(place, place + shape.window)).view(np.int64) for r in rolling)
+            yield {"rid": rid[row + of], "rid2": rid2[row + of], "lo": at.astype(np.int32), "live": np.repeat(runs["live"][part], n), "k1": k1, "k2": k2, "data": data, "place": place}
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
-    """rid, text and row (all columns): rid is a hash of the whole row's text and columns, so that equal rows share it."""
+    """rid, rid2, text and row (all other columns): 96 bits of hash of the whole row name it, so that equal rows share them."""
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text]
     body = named(text).cast("string")
-    return docs.select(F.xxhash64(body, *[named(c).cast("string") for c in others]).alias("rid"), body.alias("text"), row_of(docs, others) if others else F.lit(None).cast("struct<none:int>").alias("row"))
+    whole = [body, *[named(c).cast("string") for c in others]]
+    return docs.select(F.xxhash64(*whole).alias("rid"), F.hash(*whole).alias("rid2"), body.alias("text"), row_of(docs, others) if others else F.lit(None).cast("struct<none:int>").alias("row"))
 
 
-def repeated_runs(base: DataFrame, shape: Shape, repeated_windows: Callable[[DataFrame, Shape], DataFrame]) -> DataFrame:
-    """rid, lo, n: the runs of windows of `base` (columns rid, text, row) that start more than once in the corpus.
+def _meet(rows: DataFrame, keys: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with keys (on, m): m counts the rows of a key, total all rows of all keys.
 
-    `repeated_windows` takes texts joined with their undecided runs and returns rid, lo for the live windows that repeat.
+    Keys of more than total / HEAVY rows (fewer than HEAVY keys, so they are broadcast) are dealt to SALTS parts.
     """
-    every = base.select("rid", "text").mapInArrow(_anchor_task(shape), ANCHORS)
-    other = F.col("g").bitwiseXOR(F.lit(0x5DEECE66D))
-    again = every.groupBy(other.alias("k")).agg(F.count("*").alias("m")).where("m > 1").select("k")
-    dup = saved(every.withColumn("k", other).join(again.select(F.expr("k + 1 - 1").alias("k")), "k", "left_semi").drop("k"), "anchors")
-    classes = saved(
-        dup.groupBy("g", "c").agg(F.count("*").alias("m"), F.first("rid").alias("rid"), F.first("lo").alias("lo"), F.first("n").alias("n")),
-        "contexts",
-    )
-    whole = classes.where("m > 1").select(F.xxhash64("g", "c").alias("k"), F.col("g").alias("g2"), F.col("c").alias("c2"))
-    whole_runs = dup.withColumn("k", F.xxhash64("g", "c")).join(whole, "k").where("g = g2 and c = c2").select("rid", "lo", "n")
-    open_groups = classes.groupBy("g").agg(F.min("m").alias("least")).where("least = 1").select(F.expr("g + 1 - 1").alias("g"))
-    undecided = classes.join(open_groups, "g").select("rid", F.struct("g", "lo", "n", (F.col("m") == 1).alias("live")).alias("run"))
-    lists = undecided.groupBy("rid").agg(F.collect_list("run").alias("runs"))
-    singles = repeated_windows(base.join(lists, "rid"), shape).select("rid", "lo", F.lit(1).alias("n"))
-    return whole_runs.unionByName(singles)
+    frequent = F.col("m") > max(LIGHT, total // HEAVY)
+    heavy = F.broadcast(keys.where(frequent).select(*on, F.lit(True).alias("hot")))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64(*ID, "lo"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    parts = F.explode(F.when(frequent, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    dealt = rows.join(heavy, on, "left").withColumn("part", part).drop("hot")
+    return dealt.join(keys.withColumn("part", parts).drop("m"), [*on, "part"], how).drop("part")
+
+
+def _settle(runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Runs (ID, lo, n) of live runs whose windows all repeat, and what is left: ID, runs (lo, n, at, live) to be looked at.
+
+    Of equal contexts one is left, live only if it stands alone.
+    """
+    again = saved(runs.groupBy(F.col("g").bitwiseXOR(F.lit(0x5DEECE66D)).alias("k")).agg(F.count("*").alias("m")).where("m > 1"), f"{name}-anchors")
+    repeated = again.select(F.col("k").bitwiseXOR(F.lit(0x5DEECE66D)).alias("g"), "m")
+    dup = saved(_meet(runs, repeated, ["g"], again.agg(F.sum("m")).first()[0] or 0, "left_semi"), f"{name}-runs")
+    classes = saved(dup.groupBy("g", "c", "d").agg(F.count("*").alias("m"), F.max("live").alias("live"), *[F.first(f).alias(f) for f in (*ID, "lo", "n", "at")]), f"{name}-contexts")
+    whole = classes.where("m > 1").select("g", "c", "d", "m")
+    all_repeat = _meet(dup.where("live"), whole, ["g", "c", "d"], dup.count()).select(*ID, "lo", "n")
+    alone = (F.col("m") == 1) & F.col("live")
+    groups = classes.groupBy(F.col("g").bitwiseXOR(F.lit(0x2545F491)).alias("k")).agg(F.count("*").alias("m"), F.max(alone).alias("open")).where("open")
+    groups = groups.select(F.col("k").bitwiseXOR(F.lit(0x2545F491)).alias("g"), "m")
+    left = _meet(classes.withColumn("live", alone).drop("m"), groups, ["g"], classes.count())
+    return all_repeat, left.groupBy(*ID).agg(F.collect_list(F.struct("lo", "n", "at", "live")).alias("runs"))
+
+
+def repeated_runs(base: DataFrame, shape: Shape, repeated_windows: Callable[[DataFrame, Shape], DataFrame], by_blocks: bool = False) -> DataFrame:
+    """rid, rid2, lo, n: the runs of windows of `base` (columns rid, rid2, text, row) that start more than once in the corpus.
+
+    `repeated_windows` takes texts with their undecided runs and returns rid, rid2, lo of the live windows that repeat;
+    with by_blocks, undecided runs are first asked again block by block.
+    """
+    texts = base.select(*ID, "text")
+
+    def beside(lists: DataFrame) -> DataFrame:
+        """Texts of the runs, one of each set of equal rows."""
+        return texts.join(lists, list(ID)).dropDuplicates(list(ID))
+
+    found, left = _settle(texts.mapInArrow(_anchor_task(shape), RUNS), "anchor")
+    if by_blocks:
+        more, left = _settle(saved(beside(left).mapInArrow(_block_task(shape), RUNS), "blocks"), "block")
+        found = found.unionByName(more)
+    return found.unionByName(repeated_windows(beside(left), shape).select(*ID, "lo", F.lit(1).alias("n")))
+
+
+def every_window(base: DataFrame, shape: Shape, repeated_windows: Callable[[DataFrame, Shape], DataFrame]) -> DataFrame:
+    """The same result without anchors: each window of each text is looked at."""
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) if shape.unit == "word" else F.octet_length("text")
+    n = F.greatest(words - shape.window + 1, F.lit(0))
+    runs = base.select(*ID, "text", F.array(F.struct(F.lit(0).alias("lo"), n.alias("n"), F.lit(0).alias("at"), F.lit(True).alias("live"))).alias("runs")).where(words >= shape.window)
+    return repeated_windows(runs, shape).select(*ID, "lo", F.lit(1).alias("n")).distinct()
 
 
 def with_runs(base: DataFrame, runs: DataFrame) -> DataFrame:
-    """base with a list column `runs`; texts without any keep a null."""
-    return base.join(runs.groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("runs")), "rid", "left")
+    """base with a list column `runs`; texts without any keep a null.  Equal rows give each run once."""
+    return base.join(runs.groupBy(*ID).agg(F.collect_set(F.struct("lo", "n")).alias("runs")), list(ID), "left")
 
 
 def covered(n_tokens: int, lo: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
