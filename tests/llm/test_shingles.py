@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from tidemark.llm import shingles
+from tidemark.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,15 +49,17 @@ def planted(seed=3):
     return texts
 
 
-@pytest.mark.parametrize("often,listed", [(4, 1 << 16), (2, 50), (10**6, 1)])
-def test_near_copies_go(spark, monkeypatch, often, listed):
-    monkeypatch.setattr(shingles, "OFTEN", often)
-    monkeypatch.setattr(shingles, "LISTED", listed)
+@pytest.mark.parametrize("blocks", [5, 6])
+def test_near_copies_go(spark, monkeypatch, blocks):
+    monkeypatch.setattr(simhash, "LEAST_BLOCKS", blocks)
     texts = planted()
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     want, links = kept(texts)
     assert sum(0.8 <= x < 0.95 for x in links) > 30
-    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    # no pair below 0.8 links; of those above, one of just 0.8 may be missed, most so among sets of a few shingles
+    assert len(got) == len(set(got)) and set(want) <= set(got)
+    assert len(got) - len(want) <= 0.03 * (len(texts) - len(want))
 
 
 def test_one_family_and_nothing(spark):

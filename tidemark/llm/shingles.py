@@ -1,36 +1,30 @@
-"""Near-dedup by exact Jaccard similarity of word shingles: every pair of at least 4/5 is found.
+"""Exact Jaccard similarity of word-shingle sets, as the last check of near-duplicate pairs.
 
-Two sets of n and m shingles whose similarity is 4/5 or more share one of the first n - ceil(4n/5) + 1 and
-m - ceil(4m/5) + 1 shingles in any common order, so pairs meet on those prefixes and are then counted in full.  The
-order puts shingles that a sample finds often last; it sets only the cost.  Groups that share a shingle are first joined
-to one member each, and pairs are made only of what is still in different components, so a large group of near copies
-does not make all of its pairs.
+Groups that share a block are first joined to one member each, and pairs are made only of what is still in different
+components, so a large group of near copies does not make all of its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytehash as bh
 from tidemark.llm.components import components
-from tidemark.llm.durable import saved, small_batches
+from tidemark.llm.durable import saved
 from tidemark.llm.license_scan import LOWER
-from tidemark.llm.rows import field, named, row_of, with_row
 
-WORDS, SAMPLE, OFTEN, LISTED, STAR_ROUNDS = 5, 20_000, 4, 1 << 16, 1
+WORDS = 5
 _U = np.uint64
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, often: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles (64-bit hashes) of each text of a slice, text after text, and where each text's begin.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles (64-bit hashes, in order) of each text of a slice, text after text, and where each text's begin.
 
-    Words are cut at white space and ASCII letters lower-cased; a text of fewer words is one shingle.  Hashes are in
-    order, those listed in `often` last.
+    Words are cut at white space and ASCII letters lower-cased; a text of fewer words is one shingle.
     """
     low = LOWER[data]
     starts, stops, first = bh.word_spans(low, offsets)
@@ -40,12 +34,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, often: np.ndarray, words
     text = np.repeat(np.arange(len(length)), total)
     at = np.arange(len(text)) - np.repeat(np.cumsum(total) - total, total) + first[text]
     value = bh.mix(bh.Rolling(codes, 1).spans(at, np.minimum(at + words, first[text + 1])))
-    place = np.zeros(len(value), np.int64)
-    if len(often):
-        names = np.argsort(often)
-        near = names[np.minimum(np.searchsorted(often, value, sorter=names), len(often) - 1)]
-        place = np.where(often[near] == value, near + 1, 0)
-    order = np.lexsort((value, place, text))
+    order = np.lexsort((value, text))
     value, text = value[order], text[order]
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
@@ -53,59 +42,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, often: np.ndarray, words
     return value, np.searchsorted(text, np.arange(len(length) + 1))
 
 
-def _class_of(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One hash a set, whatever the order of its members; zero for the empty set."""
+def class_of(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One hash a set; zero for the empty set."""
     total = np.concatenate((np.zeros(1, _U), np.cumsum(bh.mix(value ^ _U(0x9E3779B97F4A7C15)))))
     size = np.diff(bounds).astype(np.uint64)
     return np.where(size > 0, bh.mix(total[bounds[1:]] - total[bounds[:-1]] + bh.mix(size)), _U(0)).view(np.int64)
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    """How many of a set's n shingles must be looked at so that no similarity of 4/5 is missed."""
-    return np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+def similar_sizes(a: str, b: str) -> F.Column:
+    """Whether the sizes of two sets leave room for a similarity of 4/5."""
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def _set_task(often: np.ndarray, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """row, cls, n and the prefix (or the whole set) of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, offsets in bh.text_slices(batch.column(0)):
-                value, bounds = shingle_sets(data, offsets, often)
-                size = np.diff(bounds)
-                keep = size if whole else prefix_length(size)
-                ends = np.cumsum(keep)
-                at = np.arange(int(keep.sum())) + np.repeat(bounds[:-1] - ends + keep, keep)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(value[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), pa.array(_class_of(value, bounds)), pa.array(size.astype(np.int64)), lists], names=["row", "cls", "n", "grams"])
-
-    return run
-
-
-def _sets(docs: DataFrame, text: F.Column, columns: list[str], often: np.ndarray, whole: bool) -> DataFrame:
-    rows = docs.select(text.cast("string").alias("text"), row_of(docs, columns))
-    return rows.mapInArrow(_set_task(often, whole), with_row(rows.schema["row"].dataType, "cls long, n long, grams array<long>"))
-
-
-def frequent(docs: DataFrame, text: str) -> np.ndarray:
-    """Up to LISTED shingles that occur OFTEN or more times among SAMPLE different texts, the most frequent last."""
-    step = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64(named(text).cast("string")), F.lit(step)) == 0).select(named(text).cast("string").alias("text")).distinct()
-    grams = _sets(some.select("text", F.lit(0).alias("zero")), F.col("text"), ["zero"], np.zeros(0, _U), True).select(F.explode("grams").alias("g"))
-    top = grams.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") >= OFTEN).orderBy(F.desc("m"), "g").limit(LISTED)
-    return np.array([r.g for r in top.collect()][::-1], dtype=np.int64).view(np.uint64)
-
-
-def _possible(a: str, b: str) -> F.Column:
-    """Whether sizes and the places of a shared shingle leave room for similarity 4/5."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * rest >= 4 * (na + nb))
-
-
-def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of 4/5 or more, by counting their common shingles."""
-    pairs = saved(pairs.distinct(), "pairs")
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
     one = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
     two = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
@@ -113,71 +63,20 @@ def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Da
     return met.where(9 * F.size(F.array_intersect("ga", "gb")) >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b")
 
 
-def _with_roots(met: DataFrame, edges: DataFrame | None) -> DataFrame:
-    if edges is None:
-        return met.withColumn("root", F.col("cls"))
-    return met.join(components(edges), F.col("cls") == F.col("node"), "left").select("tok", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
-
-
-def similar_edges(met: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (a, b) between classes that join what pairs of similarity 4/5 join; met: tok, cls, n, pos of prefixes.
+def similar_edges(met: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) between classes that join what checked pairs join; met: tok, cls, n, head, head_n.
 
-    sets_of gives cls, grams of the classes (c) that a step compares.
+    head is one of the classes that share tok.  `check` takes pairs (a, b) and returns those that are near.
     """
-    edges = None
-    item = F.struct("cls", "n", "pos", "root")
-    for k in range(STAR_ROUNDS):
-        rows = _with_roots(met, edges).select("tok", item.alias("x"))
-        heads = rows.groupBy(F.col("tok").bitwiseXOR(F.lit(11)).alias("k")).agg(F.min(F.struct(F.xxhash64("x.cls", F.lit(k)).alias("h"), "x")).alias("y"))
-        heads = heads.select(F.expr("k + 1 - 1").alias("k"), F.col("y.x").alias("y"))
-        near = rows.withColumn("k", F.col("tok").bitwiseXOR(F.lit(11))).join(heads, "k").where("x.root <> y.root").where(_possible("x", "y"))
-        found = saved(_verified(near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), sets_of), "similar")
-        edges = found if edges is None else edges.unionByName(found)
-    rows = saved(_with_roots(met, edges).select("tok", item.alias("x")), "rooted")
+    stars = met.where("cls <> head").where(similar_sizes("n", "head_n")).select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    edges = saved(check(stars.distinct()), "stars")
+    item = F.struct("cls", "n", F.coalesce("root", "cls").alias("root"))
+    rows = saved(met.join(components(edges), F.col("cls") == F.col("node"), "left").select("tok", item.alias("x")), "rooted")
     parts = rows.groupBy("tok", F.col("x.root").alias("root")).agg(F.count("*").alias("m"))
     mixed = parts.groupBy(F.col("tok").bitwiseXOR(F.lit(13)).alias("k")).agg(F.max(F.struct("m", "root")).getField("root").alias("main"), F.count("*").alias("roots")).where("roots > 1")
     every = saved(rows.withColumn("k", F.col("tok").bitwiseXOR(F.lit(13))).join(mixed.select(F.expr("k + 1 - 1").alias("k"), "main"), "k").select("k", "x", "main"), "mixed")
     other = every.where("x.root <> main")
     # a pair with one end in the main component is made once, from its other end
-    pairs = other.select("k", "x").join(every.select("k", F.col("x").alias("y"), "main"), "k").where("x.root <> y.root and (y.root = main or x.cls < y.cls)").where(_possible("x", "y"))
-    last = _verified(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), sets_of)
+    pairs = other.select("k", "x").join(every.select("k", F.col("x").alias("y"), "main"), "k").where("x.root <> y.root and (y.root = main or x.cls < y.cls)").where(similar_sizes("x.n", "y.n"))
+    last = check(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
     return edges.unionByName(saved(last, "similar"))
-
-
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay when one document of each component of similar texts does: the one of least doc_id.
-
-    Texts are similar whose sets of 5-word shingles have a Jaccard similarity of 4/5 or more; no such pair is left out.
-    Texts without words (null ones too) are alike.  Null ids come last, then the least text hash decides; of repeated
-    rows one stays.  Columns are those of docs; an empty table stays empty.
-    """
-    small_batches(docs.sparkSession)
-    body = F.xxhash64(F.coalesce(named(text).cast("string"), F.lit("")))
-    key = F.xxhash64(named(doc_id), body)
-    marked = docs.select(named(doc_id).alias("id"), body.alias("body_hash"), named(text).alias("text"))
-    base = _sets(marked, F.col("text"), ["id", "body_hash"], frequent(docs, text), False)
-    who = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.body_hash").alias("body_hash"))
-    classes = saved(base.groupBy("cls").agg(F.min(who).alias("x"), (F.count("*") > 1).alias("many"), F.first("n").alias("n"), F.first("grams").alias("grams")), "classes")
-    toks = classes.select("cls", "n", F.posexplode("grams").alias("pos", "tok"))
-    # tokens are counted by 32 bits: one that only seems to repeat costs a row
-    short = F.hash("tok")
-    again = toks.groupBy(short.alias("k")).agg(F.count("*").alias("m")).where("m > 1").select((F.col("k") + 1 - 1).alias("k"))
-    met = saved(toks.withColumn("k", short).join(again, "k", "left_semi").select("tok", "cls", "n", "pos"), "met")
-
-    def rows_of(source: DataFrame, keys: DataFrame) -> DataFrame:
-        """Rows of source (with row_key) of the keys (wanted, many); only rows that may be repeated are dealt anew to keep one."""
-        here = source.join(keys, F.col("row_key") == F.col("wanted"))
-        one = Window.partitionBy("row_key").orderBy("wanted")
-        return here.where("not many").drop("wanted", "many").unionByName(here.where("many").withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("wanted", "many", "nth"))
-
-    def sets_of(compared: DataFrame) -> DataFrame:
-        keys = classes.join(compared, F.col("cls") == F.col("c"), "left_semi").select(F.xxhash64("x.id", "x.body_hash").alias("wanted"), "many")
-        texts = rows_of(docs.select(key.alias("row_key"), named(text).alias("text")), keys)
-        return saved(_sets(texts, F.col("text"), ["row_key"], np.zeros(0, _U), True).select("cls", "grams"), "sets")
-
-    roots = components(similar_edges(met, sets_of))
-    linked = classes.select("cls", "x", "many").join(roots, F.col("cls") == F.col("node"), "left").select("x", "many", F.coalesce("root", "cls").alias("root"))
-    first = linked.groupBy("root").agg(F.min(F.struct("x", "many")).alias("y"))
-    chosen = saved(first.select(F.xxhash64("y.x.id", "y.x.body_hash").alias("wanted"), "y.many"), "chosen")
-    whole = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), key.alias("row_key"))
-    return rows_of(whole, chosen).select(*[field(c) for c in docs.columns])

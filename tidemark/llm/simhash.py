@@ -1,7 +1,13 @@
-"""SimHash near-dedup: fingerprints meet on pigeonhole blocks and are verified by Hamming distance."""
+"""SimHash near-dedup: fingerprints meet on pigeonhole blocks and are verified by Hamming distance.
+
+`near_duplicates` links 64-bit fingerprints within a few bits, exactly.  `representatives` keeps one text of each group
+whose word shingles are 80 % alike: so far apart only part of the blocks agree, so its fingerprints are wider and its
+keys are many choices of blocks, and what they propose is verified by Hamming distance, then by the shingles.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
@@ -12,9 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import bytehash as bh
+from tidemark.llm import shingles
 from tidemark.llm.components import components, local_roots
 from tidemark.llm.durable import saved, small_batches
-from tidemark.llm.rows import field, named, row_of
+from tidemark.llm.rows import field, named, row_of, with_row
 
 BITS, TILE = 64, 256
 
@@ -101,6 +109,11 @@ def _link_task(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def equal_blocks(n: int, distance: int = 4) -> int:
+    """Blocks that a bucket key names: the fewest, two at least, whose bits give a bucket for every 64 of n fingerprints."""
+    return next((e for e in range(2, 12) if n <= 64 << (BITS // (distance + e)) * e), 12)
+
+
 def near_edges(fps: DataFrame, distance: int = 4, equal: int = 2, tile: int = TILE) -> DataFrame:
     """Edges (a, b) that join what distinct fingerprints (fp) within `distance` bits join.
 
@@ -135,7 +148,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = saved(fingerprints(docs.select(*[named(c) for c in keep]), text, words).select(others, *body, "fp"), "fingerprints")
     least = base.select("fp", F.col("row").getField(doc_id).alias("id")).groupBy("fp").agg(F.min("id").alias("id"))
     classes = saved(least, "classes")
-    roots = components(near_edges(classes.select("fp"), distance))
+    roots = components(near_edges(classes.select("fp"), distance, equal_blocks(classes.count(), distance)))
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     names = linked.groupBy("root").agg(F.min("id").alias("component_id"))
     of = linked.select("fp", "root").join(names.select(F.expr("root + 1 - 1").alias("root"), "component_id"), "root").select(F.col("fp").alias("fp2"), "root", "component_id")
@@ -144,17 +157,159 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(*columns, "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of docs that stay when one document of each near-duplicate component does: the one of least doc_id.
+LANES, NIBBLES, LEAST_BLOCKS, RECALL, SIMILARITY = 4, 64, 5, 0.995, 0.8
+
+
+def _agreement(similarity: float) -> float:
+    """Share of fingerprint bits that two sets of this Jaccard similarity have in common, on average."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _distance(similarity: float) -> int:
+    """Bits in which sets of this similarity differ at most, but for one pair in a thousand."""
+    n, p = LANES * 64, 1 - _agreement(similarity)
+    return math.ceil(n * p + 3 * math.sqrt(n * p * (1 - p)))
+
+
+def block_choices(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> np.ndarray:
+    """Choices of four-bit blocks, a row a bucket key, for n fingerprints.
+
+    Keys are as wide as log2 n, so that unlike fingerprints seldom meet, and so many that a pair of the given
+    similarity agrees on all blocks of one with probability `recall`.
+    """
+    wide = max(LEAST_BLOCKS, math.ceil(math.log2(max(2, n)) / 4))
+    keys = math.ceil(math.log(1 - recall) / math.log(1 - _agreement(similarity) ** (4 * wide)))
+    rng = np.random.Generator(np.random.PCG64(5))
+    return np.array([rng.choice(NIBBLES, wide, replace=False) for _ in range(keys)])
+
+
+def wide_prints(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """LANES x 64 fingerprint bits (as signed 64-bit numbers) of each set of shingles."""
+    counts = np.zeros((len(bounds) - 1, LANES * 64), np.int64)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for a in range(0, len(value), 1 << 14):
+        part, of = value[a : a + (1 << 14)], text[a : a + (1 << 14)]
+        lanes = np.column_stack([bh.mix(part ^ np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)) for i in range(1, LANES + 1)])
+        bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1, bitorder="little")
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        counts[of[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > np.diff(bounds)[:, None], axis=1, bitorder="little").view(np.int64)
+
+
+def _set_task(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """row, cls, n and the fingerprint (or the whole set) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in bh.text_slices(batch.column(0)):
+                value, bounds = shingles.shingle_sets(data, offsets)
+                if whole:
+                    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1, dtype=np.int32) * LANES), pa.array(wide_prints(value, bounds).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), pa.array(shingles.class_of(value, bounds)), pa.array(np.diff(bounds).astype(np.int32)), lists], names=["row", "cls", "n", "grams"])
+
+    return run
+
+
+def _sets(docs: DataFrame, columns: list[str], whole: bool) -> DataFrame:
+    rows = docs.select(F.col("text").cast("string").alias("text"), row_of(docs, columns))
+    return rows.mapInArrow(_set_task(whole), with_row(rows.schema["row"].dataType, "cls long, n int, grams array<long>"))
+
+
+def _key_task(choices: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """tok, cls, n for each class and key."""
+    keys, wide = choices.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                prints = part.column(2).flatten().to_numpy().reshape(-1, LANES).view(np.uint8)
+                nibble = np.stack((prints & 15, prints >> 4), axis=2).reshape(len(prints), NIBBLES).astype(np.int64)
+                tok = np.broadcast_to(np.arange(keys, dtype=np.int64), (len(prints), keys)).copy()
+                for i in range(wide):
+                    tok = tok << 4 | nibble[:, choices[:, i]]
+                of = np.repeat(np.arange(len(prints)), keys)
+                yield pa.RecordBatch.from_arrays([pa.array(tok.reshape(-1)), pa.array(part.column(0).to_numpy()[of]), pa.array(part.column(1).to_numpy()[of])], names=["tok", "cls", "n"])
+
+    return run
+
 
-    Null ids come last, then the least text hash decides; of repeated rows one stays.  Columns are those of docs.
+def _meet_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tok, cls: those of toks that several classes have, each with the first class of its tok."""
+    tok, cls, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def met(first: tuple | None, last: bool) -> pa.RecordBatch:
+        new = np.ones(len(tok), dtype=bool)
+        new[1:] = tok[1:] != tok[:-1]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(tok)), 0))
+        several = ~new
+        several[:-1] |= ~new[1:]
+        names, sizes = cls[head], n[head]
+        if first is not None and len(tok) and tok[0] == first[0]:
+            mine = tok == first[0]
+            names, sizes, several = np.where(mine, first[1], names), np.where(mine, first[2], sizes), several | mine
+        keep = np.flatnonzero(several if last else several[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, cls, n, names, sizes)], names=["tok", "cls", "n", "head", "head_n"])
+
+    first: tuple | None = None
+    for batch in batches:
+        tok, cls, n = (np.concatenate((old, batch.column(i).to_numpy())) for i, old in enumerate((tok, cls, n)))
+        if len(tok) < 2:
+            continue
+        yield met(first, False)
+        # the last row waits for its successor; its tok's first class goes with it
+        begin = int(np.searchsorted(tok, tok[-1]))
+        if not (first is not None and first[0] == tok[-1]):
+            first = (tok[-1], cls[begin], n[begin]) if begin < len(tok) - 1 else None
+        tok, cls, n = tok[-1:], cls[-1:], n[-1:]
+    if len(tok):
+        yield met(first, True)
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay when one document of each component of similar texts does: the one of least doc_id.
+
+    Texts are similar whose sets of 5-word shingles have a Jaccard similarity of 4/5 or more.  Pairs are proposed by
+    256-bit fingerprints of the sets that agree on the blocks of some bucket key and differ in no more bits than such
+    sets do; then the sets themselves are compared, so no pair below 4/5 links.  A pair of just 4/5 is proposed with
+    probability RECALL, closer ones nearly always, equal sets always.  Texts without words (null ones too) are alike.
+    Null ids come last, then the least text hash decides; of repeated rows one stays.  Columns are those of docs; an
+    empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     body = F.xxhash64(F.coalesce(named(text).cast("string"), F.lit("")))
+    key = F.xxhash64(named(doc_id), body)
     marked = docs.select(named(doc_id).alias("id"), body.alias("body_hash"), named(text).alias("text"))
-    members = near_duplicates(marked, "id", "text", words, distance, carry_text=False)
-    first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body_hash")).alias("x"))
-    chosen = first.select(F.xxhash64("x.id", "x.body_hash").alias("chosen_key"))
-    whole = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), F.xxhash64(named(doc_id), body).alias("row_key"))
-    stays = whole.join(chosen, F.col("row_key") == F.col("chosen_key"))
-    one = Window.partitionBy("row_key").orderBy("chosen_key")
-    return stays.withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*[field(c) for c in docs.columns])
+    who = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.body_hash").alias("body_hash"))
+    grouped = _sets(marked, ["id", "body_hash"], False).groupBy("cls")
+    classes = saved(grouped.agg(F.min(who).alias("x"), (F.count("*") > 1).alias("many"), F.first("n").alias("n"), F.first("grams").alias("fp")), "classes")
+    toks = classes.where("n > 0").select("cls", "n", "fp").mapInArrow(_key_task(block_choices(classes.count())), "tok long, cls long, n int")
+    sorted_toks = toks.repartition("tok").sortWithinPartitions("tok", "cls")
+    met = saved(sorted_toks.mapInArrow(_meet_task, "tok long, cls long, n int, head long, head_n int"), "met")
+
+    def rows_of(source: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows of source (with row_key) of the keys (wanted, many); only rows that may be repeated are dealt anew to keep one."""
+        here = source.join(keys, F.col("row_key") == F.col("wanted"))
+        one = Window.partitionBy("row_key").orderBy("wanted")
+        return here.where("not many").drop("wanted", "many").unionByName(here.where("many").withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("wanted", "many", "nth"))
+
+    def sets_of(compared: DataFrame) -> DataFrame:
+        keys = classes.join(compared, F.col("cls") == F.col("c"), "left_semi").select(F.xxhash64("x.id", "x.body_hash").alias("wanted"), "many")
+        texts = rows_of(docs.select(key.alias("row_key"), named(text).alias("text")), keys)
+        return saved(_sets(texts, ["row_key"], True).select("cls", "grams"), "sets")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        one = classes.select(F.col("cls").alias("a"), F.col("fp").alias("fa"))
+        two = classes.select(F.col("cls").alias("b"), F.col("fp").alias("fb"))
+        apart = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(LANES)), F.lit(0))
+        near = pairs.join(one, "a").join(two, "b").where(apart <= _distance(SIMILARITY)).select("a", "b")
+        return shingles.verified(saved(near, "pairs"), sets_of)
+
+    roots = components(shingles.similar_edges(met, check))
+    linked = classes.select("cls", "x", "many").join(roots, F.col("cls") == F.col("node"), "left").select("x", "many", F.coalesce("root", "cls").alias("root"))
+    first = linked.groupBy("root").agg(F.min(F.struct("x", "many")).alias("y"))
+    chosen = saved(first.select(F.xxhash64("y.x.id", "y.x.body_hash").alias("wanted"), "y.many"), "chosen")
+    whole = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), key.alias("row_key"))
+    return rows_of(whole, chosen).select(*[field(c) for c in docs.columns])
