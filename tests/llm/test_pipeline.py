@@ -41,3 +41,18 @@ def test_letterless_and_null_texts(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4]
     assert corpus_pipeline.packing(spark, docs, "").count() == 6
+
+
+def test_columns_that_clash_and_empty_tables(spark):
+    """A user's own columns come through every stage as they are; an empty table stays empty."""
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "en", "s", 3, "mine", 0.125, "keepme", "rid"), (2, "other " + words, None, None, None, "mine", 0.125, "keepme", "rid"), (3, "x", "fr", "s", 1, "mine", 0.125, "keepme", "rid"), (4, "plain text of another kind", "en", "s", 1, "mine", 0.125, "keepme", "rid")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, n_words string, row string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, "")
+            assert out.columns == docs.columns, name
+            assert all((r.lang_pred, r.score, r.n_words, r.row) == ("mine", 0.125, "keepme", "rid") for r in out.collect())
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} >= {1, 2}
+    assert {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()} == {1: "", 2: "other", 3: "x", 4: "plain text of another kind"}
+    assert corpus_pipeline.packing(spark, docs.limit(0), "").collect() == []

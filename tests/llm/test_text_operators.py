@@ -241,6 +241,64 @@ def test_language(spark):
     assert sum(told[i] == k for i, _, k, _ in texts) >= 118
 
 
+def plain_profile(text: str) -> np.ndarray:
+    """Sum of a text's trigram vectors, letter by letter: 0 is a boundary."""
+    symbols = [0]
+    for c in text:
+        low = ord(c.lower()[0])
+        s = 0 if not c.isalpha() else low - 96 if 97 <= low <= 122 else 27 + low % 101
+        if s or symbols[-1]:
+            symbols.append(s)
+    if symbols[-1]:
+        symbols.append(0)
+    v = langid._letters()
+    out = np.zeros(langid.DIM)
+    for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+        out += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    return out
+
+
+def test_language_by_hand(spark):
+    """Prototypes and cosines worked out text by text; short and odd texts; names that clash; repeated rows."""
+    texts = ["a", "7a", " a", "é", "1 2 z", "", "12", None, "Straße heute", "the cat", "the cat", "le chat", "x" * 30_000, "der  Hund\n\tläuft", "a1b2c3"]
+    langs = ["en", "en", None, "fr", "en", "en", "fr", "en", "de", "en", "en", "fr", None, "de", None]
+    rows = [(i, t, g, "user's own", 0.25) for i, (t, g) in enumerate(zip(texts, langs, strict=True))]
+    docs = spark.createDataFrame([*rows, rows[9]], "doc_id long, text string, lang string, told__ string, score double").repartition(3)
+    profiles = langid.fit(docs)
+    want: dict[str, np.ndarray] = {}
+    for _, t, g, *_ in [*rows, rows[9]]:
+        if g and any(c.isalpha() for c in t or ""):
+            v = plain_profile(t)
+            want[g] = want.get(g, 0) + v / max(1, len([1 for c in zip(*_grams(t))]))
+    assert profiles.names == ("de", "en", "fr")
+    proto = np.array([want[n] / np.linalg.norm(want[n]) for n in profiles.names])
+    assert np.allclose(profiles.vectors, proto, atol=1e-4)
+    got = langid.identify(docs, profiles)
+    assert got.columns == ["doc_id", "text", "lang", "told__", "lang_pred", "score"]
+    for r in got.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        v = plain_profile(r.text)
+        cosine = proto @ v / np.linalg.norm(v)
+        assert r.score == pytest.approx((1 + cosine.max()) / 2, abs=1e-4)
+        assert r.lang_pred in profiles.names and cosine[profiles.names.index(r.lang_pred)] == pytest.approx(cosine.max(), abs=1e-4)
+        assert r["told__"] == "user's own"
+    one = langid.Profiles(("b", "c"), np.vstack([proto[:1]] * 2).astype(np.float32))
+    assert {r.lang_pred for r in langid.identify(docs.where("doc_id = 0"), one).collect()} == {"b"}  # a tie
+
+
+def _grams(text: str) -> list[list[int]]:
+    symbols = [0]
+    for c in text:
+        s = int(c.isalpha())
+        if s or symbols[-1]:
+            symbols.append(s)
+    if symbols[-1]:
+        symbols.append(0)
+    return [symbols[:-2], symbols[1:-1], symbols[2:]]
+
+
 def test_licenses(spark, docs, rows):
     extra = [(5000, "Released under CC BY. All rights reserved, all RIGHTS reserved", None, None, None, None, None), (5001, license_scan.NOTICES[0][1].title(), None, None, None, None, None), (5002, license_scan.NOTICES[0][2] + " only", None, None, None, None, None), (5003, "the gnu general public  License", None, None, None, None, None)]
     table = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
@@ -258,6 +316,44 @@ def test_licenses(spark, docs, rows):
     assert by_id[5001].labels == "mit" and by_id[5001].score == pytest.approx(1) and by_id[5002].labels == ""
 
 
+def plain_scan(text: str | None, idf: dict[str, float]) -> tuple[set[str], float]:
+    """Labels and score by trying every start of every template."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels = {label for p, label in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()}
+    best = 1.0 if labels else 0.0
+    for label, notice, key in license_scan.NOTICES:
+        t, k = notice.split(), key.split()
+        a = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+        weight = [max(idf[x], 1e-6) for x in t]
+        for start in range(-a, len(w)):
+            if w[start + a : start + a + len(k)] == k:
+                share = sum(v for d, v in enumerate(weight) if 0 <= start + d < len(w) and w[start + d] == t[d]) / sum(weight)
+                if share >= license_scan.LEAST_SHARE:
+                    labels.add(label)
+                    best = max(best, share)
+    return labels, best
+
+
+def test_notices_by_every_start(spark):
+    rnd = random.Random(12)
+    texts: list[str | None] = [None, "", "mit", "public license"]
+    for _, notice, key in license_scan.NOTICES * 4:
+        w = notice.split()
+        for _ in range(rnd.randint(0, 8)):  # some words altered, dropped or put in
+            i = rnd.randrange(len(w))
+            w[i : i + rnd.choice([0, 1])] = rnd.choice([[], ["changed"]])
+        texts.append(rnd.choice(["", "before it, "]) + " ".join(w[rnd.choice([0, 0, 3]) :]) + rnd.choice([".", " " + key, " general public license"]))
+    texts.append("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted")
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    idf = dict(zip(license_scan._vocabulary()[0], license_scan.rarity(table), strict=True))
+    found = 0
+    for r in license_scan.scan(table).collect():
+        labels, score = plain_scan(texts[r.doc_id], idf)
+        assert (r.labels, r.score) == (",".join(sorted(labels)), pytest.approx(score))
+        found += bool(labels)
+    assert 30 < found < len(texts)
+
+
 def test_bpe(docs, rows):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -279,6 +375,36 @@ def test_bpe_words_by_either_way():
     assert coder.decode_words(ids, starts) == words
 
 
+def test_remembered_words(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    coder, rnd = bpe.Coder(RANKS, PATTERN), random.Random(9)
+    for _ in range(12):
+        words = sorted({"".join(rnd.choices("abé", k=rnd.choice([1, 3, 4, 60]))).encode() for _ in range(25)})
+        ids, starts, back = coder.code(words)
+        want, at = coder.encode_words(words)
+        assert ids.tolist() == want.tolist() and starts.tolist() == at.tolist() and back == words
+    assert coder.code([])[2] == []
+
+
+def test_kept_trees(spark, docs, tmp_path):
+    """An edit job reads the kept trees, encodes little, and gives back trees that the next job can use."""
+    count = token_count.counter(RANKS, PATTERN)
+    token_count.keep_trees(docs.withColumn("tree", F.lit("clash")), RANKS, PATTERN).write.parquet(f"{tmp_path}/one")
+    table = spark.read.parquet(f"{tmp_path}/one")
+    assert set(table.columns) == {*docs.columns, "tree"}
+    for name in ("two", "three"):
+        edit = F.struct(F.lit(3).alias("start"), F.lit(5).alias("stop"), F.lit(" new words").alias("text"))
+        out = token_count.edit_trees(table.withColumn("edits", F.array(edit)), RANKS, PATTERN)
+        out.drop(*token_count.RESULT).write.parquet(f"{tmp_path}/{name}")
+        for r in out.collect():
+            assert sum(x.length for x in r.tree) == len(r.text) and sum(x.tokens for x in r.tree) == count(r.text) == r.tokens_after
+            assert len(r.text) < 9000 or r.chars_encoded_again < 4 * token_count.SEGMENT
+        table = spark.read.parquet(f"{tmp_path}/{name}")
+    long = token_count.SegmentTree("ab " * 2000, count)
+    long.edit(10, 10, " cd ef" * 2000)
+    assert len(long.leaves()) > 20 and sum(t for _, t in long.leaves()) == long.total
+
+
 def test_edited_counts(spark, docs):
     count = token_count.counter(RANKS, PATTERN)
     rnd = random.Random(6)
@@ -297,7 +423,8 @@ def test_edited_counts(spark, docs):
                 assert tree.total == count(text)
     edits = F.array(F.struct(F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"), F.lit("Oh ").alias("text")), F.lit(None))
     got = token_count.count_edited(docs.withColumn("edits", edits), RANKS, PATTERN)
-    for r, text in ((r, r.text or "") for r in got.collect()):
+    for r, text in ((r, r.text.removeprefix("Oh ")) for r in got.collect()):
+        assert r.text == "Oh " + text
         assert (r.tokens_before, r.tokens_after, r.n_edits, r.n_chars_after) == (count(text), count("Oh " + text), 1, len(text) + 3)
 
 
@@ -308,6 +435,44 @@ def test_long_edit_touches_little():
     assert tree.encoded < 3 * token_count.SEGMENT
 
 
+def plain_packing(sizes, sources, clusters, capacity, share=0.5):
+    """Every open bin is tried; the fullest that takes the piece gets it, of equally full ones the first opened."""
+    bins: list[list[int]] = []
+    out = [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fits = []
+        for b, held in enumerate(bins):
+            room = capacity - sum(sizes[j] for j in held)
+            mine = sum(sizes[j] for j in held if sources[j] == sources[i])
+            alike = any(clusters[j] == clusters[i] for j in held) and clusters[i] is not None
+            full = sources[i] is not None and any(sources[j] == sources[i] for j in held) and mine >= max(1, int(capacity * share))
+            if room >= sizes[i] and not alike and not full:
+                fits.append((room, b))
+        b = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([])
+        bins[b].append(i)
+        out[i] = b
+    return out
+
+
+def test_packing_is_best_fit():
+    rnd = random.Random(3)
+    for _ in range(60):
+        n = rnd.randint(0, 60)
+        sizes = [rnd.choice([0, 1, 5, 20, 40, 60, 99, 100]) for _ in range(n)]
+        sources, clusters = ([rnd.choice([None, *names]) for _ in range(n)] for names in ("ab", "klmnopq"))
+        assert packing.best_fit(sizes, sources, clusters, 100) == plain_packing(sizes, sources, clusters, 100)
+
+
+def test_long_documents_are_cut_to_pieces(spark):
+    docs = spark.createDataFrame([(1, 2500, None, None), (2, 1000, "s", "k"), (3, 500, "s", None)], "doc_id long, n long, source string, kind string")
+    got = packing.pack(docs, F.col("n"), F.col("source"), F.col("kind"), capacity=1000).collect()
+    mine = [r for r in got if r.doc_id == 1]
+    assert sorted((r.start, r.size) for r in mine) == [(0, 1000), (1000, 1000), (2000, 500)]
+    assert len({r.bin for r in mine}) == 3
+
+
 def test_packing(spark):
     rnd = random.Random(8)
     rows = [(i, rnd.choice([0, 1, 50, 300, 900, 2500]), rnd.choice(["hot", "hot", "b", None]), rnd.choice([None, "c1", "c2", f"u{i}"])) for i in range(400)]

@@ -66,7 +66,6 @@ def test_empty_vectors(spark):
 
 def test_nearest_neighbours(spark, table, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_ROWS", 70)
-    monkeypatch.setattr(ann, "QUERY_ROWS", 5)
     got = ann.nearest(table, (table["vec_id"] % 10 == 0) & (table["vec_id"] < 260), k=10).collect()
     rows = [r for r in vectors() if r[0] < 260 or r[0] == 906]
     ids = np.array([r[0] for r in rows])
@@ -85,3 +84,24 @@ def test_nearest_neighbours(spark, table, monkeypatch):
     assert hit >= 0.9 * total
     few = ann.nearest(table.where("vec_id < 5"), table["vec_id"] == 0, k=20).collect()
     assert len(few) == 4
+
+
+def test_neighbours_of_uneven_norms_and_ties(spark, monkeypatch):
+    """Norms from 0.001 to 1000, equal vectors at the border of the list, and columns named like those of the result."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((200, 8)) * 10.0 ** rng.integers(-3, 4, (200, 1))
+    x[100:130] = x[7]
+    rows = [(i, [float(v) for v in x[i]], 1, 2.0) for i in range(200)]
+    table = spark.createDataFrame([*rows, rows[7], rows[60]], "vec_id long, embedding array<double>, rank int, score double").repartition(4)
+    got = ann.nearest(table, table["vec_id"] % 20 == 0, k=5).collect()
+    hit = 0
+    ids = np.array([*range(200), 7, 60])
+    every = np.vstack([x, x[7], x[60]])
+    for q in range(0, 200, 20):
+        score = (every * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:5]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine) and len(mine) == 5
+        hit += sum(r.score >= score[order[-1]] * (1 - 1e-12) if score[order[-1]] > 0 else True for r in mine)
+    assert hit >= 45

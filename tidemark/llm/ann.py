@@ -9,7 +9,7 @@ probability `confidence`.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.vectors import matrix, usable
 
 DIMS, CONFIDENCE, LEAF, SEED = 8, 0.98, 64, 7
-SHARD_ROWS, QUERY_ROWS = 20_000, 2_000
+SHARD_ROWS = 20_000
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -57,48 +57,70 @@ class KdTree:
         return (gap * gap).sum(axis=1)
 
 
-def _search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, norm: float, stop: float) -> tuple[list[int], list[int], list[float]]:
-    """Nearest k found for each query among the rows of one shard."""
-    d = x.shape[1]
-    directions = np.random.Generator(np.random.PCG64(SEED)).standard_normal((d + 1, DIMS))
-    extra = np.sqrt(np.maximum(0, norm * norm - (x * x).sum(axis=1)))
-    low = np.column_stack((x, extra)) @ directions
-    tree = KdTree(low)
-    x, ids, low = x[tree.order], ids[tree.order], low[tree.order]
-    low_q = q @ directions[:d]
-    out: tuple[list[int], list[int], list[float]] = ([], [], [])
-    for row in range(len(q)):
-        box = tree.box_distances(low_q[row])
-        leaves = np.argsort(box, kind="stable")
-        square = float(q[row] @ q[row]) + norm * norm
-        best_score, best_id, limit, at, step = np.zeros(0), np.zeros(0, np.int64), np.inf, 0, 4
-        while at < len(leaves) and box[leaves[at]] < stop * limit:
-            near = leaves[at : at + step]
-            near = near[box[near] < stop * limit]
-            rows = np.concatenate([np.arange(tree.bounds[n], tree.bounds[n + 1]) for n in near])
-            if limit < np.inf:
-                gap = low[rows] - low_q[row]
-                rows = rows[(gap * gap).sum(axis=1) < stop * limit]
-            rows = rows[ids[rows] != query_ids[row]]
-            score = np.concatenate((best_score, (x[rows] * q[row]).sum(axis=1)))
-            name = np.concatenate((best_id, ids[rows]))
-            top = np.lexsort((name, -score))[:k]
-            best_score, best_id = score[top], name[top]
-            if len(top) == k:
-                limit = max(0.0, square - 2 * best_score[-1])
-            at, step = at + step, 2 * step
-        out[0].extend([int(query_ids[row])] * len(best_id))
-        out[1].extend(best_id.tolist())
-        out[2].extend(best_score.tolist())
-    return out
-
-
-def _search_task(k: int, norm: float, stop: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = ([], [], [])
-        if rows.num_rows and queries.num_rows:
-            found = _search(rows["id"].to_numpy(), matrix(rows["v"]), queries["id"].to_numpy(), matrix(queries["v"]), k, norm, stop)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+class Shard:
+    """Rows of one shard in the order of the kd-tree over their projections."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, norm: float) -> None:
+        d = x.shape[1]
+        directions = np.random.Generator(np.random.PCG64(SEED)).standard_normal((d + 1, DIMS))
+        extra = np.sqrt(np.maximum(0, norm * norm - (x * x).sum(axis=1)))
+        low = np.column_stack((x, extra)) @ directions
+        self.tree = KdTree(low)
+        order = self.tree.order
+        self.ids, self.x, self.low, self.norm, self.directions = ids[order], x[order], low[order], norm, directions[:d]
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, stop: float) -> tuple[list[int], list[int], list[float]]:
+        """Nearest k found for each query."""
+        tree, low_q = self.tree, q @ self.directions
+        out: tuple[list[int], list[int], list[float]] = ([], [], [])
+        for row in range(len(q)):
+            box = tree.box_distances(low_q[row])
+            leaves = np.argsort(box, kind="stable")
+            square = float(q[row] @ q[row]) + self.norm * self.norm
+            best_score, best_id, limit, at, step = np.zeros(0), np.zeros(0, np.int64), np.inf, 0, 4
+            while at < len(leaves) and box[leaves[at]] < stop * limit:
+                near = leaves[at : at + step]
+                near = near[box[near] < stop * limit]
+                rows = np.concatenate([np.arange(tree.bounds[n], tree.bounds[n + 1]) for n in near])
+                if limit < np.inf:
+                    gap = self.low[rows] - low_q[row]
+                    rows = rows[(gap * gap).sum(axis=1) < stop * limit]
+                rows = rows[self.ids[rows] != query_ids[row]]
+                score = np.concatenate((best_score, (self.x[rows] * q[row]).sum(axis=1)))
+                name = np.concatenate((best_id, self.ids[rows]))
+                top = np.lexsort((name, -score))[:k]
+                best_score, best_id = score[top], name[top]
+                if len(top) == k:
+                    limit = max(0.0, square - 2 * best_score[-1])
+                at, step = at + step, 2 * step
+            out[0].extend([int(query_ids[row])] * len(best_id))
+            out[1].extend(best_id.tolist())
+            out[2].extend(best_score.tolist())
+        return out
+
+
+def _search_task(k: int, norm: float, stop: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by shard, length and side: a shard's rows are gathered and indexed once, then its queries stream past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, index = None, [], None
+        for batch in batches:
+            shard, dim, side = (batch.column(f).to_numpy() for f in ("shard", "dim", "side"))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(dim) != 0) | (np.diff(side) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if now != (shard[a], dim[a]):
+                    now, parts, index = (shard[a], dim[a]), [], None
+                ids, v = batch.column("id").slice(a, b - a).to_numpy(), matrix(batch.column("v").slice(a, b - a))
+                if side[a] == 0:
+                    parts.append((ids, v))
+                    continue
+                if index is None and parts:
+                    index = Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), norm)
+                if index is not None:
+                    found = index.search(ids, v, k, stop)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -106,8 +128,8 @@ def _search_task(k: int, norm: float, stop: float) -> Callable[[pa.Table, pa.Tab
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the k rows found of largest inner product, nearest first.
 
-    Every usable row is indexed, in shards of about SHARD_ROWS rows; queries go to every shard in blocks of about
-    QUERY_ROWS, so no task holds more than a shard and a block.  Vectors that are null, zero or hold null or non-finite
+    Every usable row is indexed, in shards of about SHARD_ROWS rows, each sent and indexed once; every query goes to
+    every shard and streams past it in Arrow batches, so no task holds more than a shard and a batch.  Vectors that are null, zero or hold null or non-finite
     components take no part; vectors of another length than the query's are no candidates; rows with the query's own
     vec_id are left out, and of query rows that repeat a vec_id the least vector searches.  Ties go to the smaller
     vec_id; fewer candidates than k give all of them; an empty table gives an empty result.
@@ -115,13 +137,13 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, vec_id: str = "
     rows = usable(vectors, vector).where(F.col(f"`{vec_id}`").isNotNull())
     rows = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.transform(f"`{vector}`", lambda x: x.cast("double")).alias("v"), is_query.alias("q")).withColumn("dim", F.size("v"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("n_q"), F.sqrt(F.max(square)).alias("norm")).first()
-    shards, blocks = max(1, round(size.n / SHARD_ROWS)), max(1, round(size.n_q / QUERY_ROWS))
+    size = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("norm")).first()
+    shards = max(1, round(size.n / SHARD_ROWS))
     stop = chi_square_quantile(confidence, DIMS)
     queries = rows.where("q").groupBy("id", "dim").agg(F.min("v").alias("v"))
-    left = rows.select("id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select("id", "v", "dim", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    keys = ("shard", "block", "dim")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search_task(k, float(size.norm or 0), stop), "query_id long, vec_id long, score double")
+    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards).cast("long")).alias("shard"), "dim", F.lit(0).alias("side"), "id", "v")
+    right = queries.select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), "dim", F.lit(1).alias("side"), "id", "v")
+    dealt = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "side")
+    found = dealt.mapInArrow(_search_task(k, float(size.norm or 0), stop), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

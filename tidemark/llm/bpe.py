@@ -19,10 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.durable import small_batches
 from tidemark.llm.rows import field, named, row_of, with_row
 
 #: Words of more bytes are contracted by a priority queue: a recursive query takes a round a merge.
 SQL_BYTES, CHUNK_BYTES, ROWS = 256, 1 << 19, 256
+#: Words that a worker remembers with their ids, and the longest of them; when there are more it starts anew.
+REMEMBERED, SHORT = 100_000, 48
 
 _ENCODE = """
 WITH RECURSIVE s(i, w, l) AS (
@@ -49,6 +52,7 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         rows = [(self.ranks[z[:i]] << 20 | self.ranks[z[i:]], r) for z, r in self.ranks.items() for i in range(1, len(z)) if z[:i] in self.ranks and z[i:] in self.ranks]
+        self.known: dict[bytes, tuple[np.ndarray, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
         merges = pa.table({"pair": pa.array([k for k, _ in rows], pa.int64()), "r": pa.array([r for _, r in rows], pa.int32())})
         vocabulary = pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "h": pa.array([z.hex() for z in self.ranks])})
@@ -124,6 +128,18 @@ class Coder:
             out += got
         return out
 
+    def code(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Ids of all words, where each word's begin, and the bytes that they decode to; frequent words are coded once a worker."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        ids, starts = self.encode_words(new)
+        found = dict(zip(new, zip(np.split(ids, starts[1:-1]), self.decode_words(ids, starts), strict=True), strict=True)) if new else {}
+        pairs = [found.get(w) or self.known[w] for w in words]
+        self.known.update((w, (x.copy(), y)) for w, (x, y) in found.items() if len(w) <= SHORT)
+        flat = np.concatenate([x for x, _ in pairs]) if pairs else np.zeros(0, np.int32)
+        return flat, np.concatenate(([0], np.cumsum([len(x) for x, _ in pairs]))).astype(np.int64), [y for _, y in pairs]
+
 
 @cache
 def coder(path: str, pattern: str) -> Coder:
@@ -151,8 +167,7 @@ def _code_task(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]],
             numbers = _Numbers()
             texts = [np.fromiter(map(numbers.__getitem__, own.split(t.as_py() or "")), dtype=np.int32) for t in batch.column(0)]
             words = [w.encode() for w in numbers]
-            ids, starts = own.encode_words(words)
-            back = own.decode_words(ids, starts)
+            ids, starts, back = own.code(words)
             del numbers, words
             for a in range(0, len(texts), ROWS):
                 part = [_gather(ids, starts, t) for t in texts[a : a + ROWS]]
@@ -176,6 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     tokens are ordinary text.  A word that is itself a token takes that id.  A null or empty text has no ids and empty
     bytes; equal texts get equal ids; an empty table stays empty; columns of docs named ids or decoded are replaced.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("ids", "decoded")]
     rows = docs.select(named(text).cast("string").alias("text"), row_of(docs, keep))
     out = rows.mapInArrow(_code_task(path, pattern), with_row(rows.schema["row"].dataType, "ids array<int>, decoded binary"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bytehash import text_slices
 from tidemark.llm.durable import small_batches
+from tidemark.llm.rows import field, named
 
 DIM, SYMBOLS, SEED, CHUNK, SLICE = 512, 128, 11, 64, 1 << 18
 UNKNOWN = "und"
@@ -64,8 +65,8 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     symbol = _symbol_table()[points].astype(np.int32)
     n = len(offsets) - 1
     letters = np.concatenate(([0], np.cumsum(symbol > 0)))[begins]
-    symbol = np.insert(symbol, begins[:-1], 0)  # every text starts with a boundary
-    starts = begins[:-1] + np.arange(n)
+    symbol = np.insert(symbol, np.column_stack((begins[:-1], begins[1:])).reshape(-1), 0)  # a boundary before and after every text
+    starts = begins[:-1] + 2 * np.arange(n)
     text = np.repeat(np.arange(n), np.diff(np.concatenate((starts, [len(symbol)]))))
     keep = symbol > 0
     keep[1:] |= symbol[:-1] > 0
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     The driver receives one vector of DIM numbers a language, summed by Spark.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    rows = docs.where(named(lang).isNotNull()).select(named(text).cast("string").alias("text"), named(lang).cast("string").alias("lang"))
     parts = rows.mapInArrow(_bundle_task, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
     sums = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     found = sorted((r.lang, [c.x for c in r.v]) for r in sums.collect())
@@ -144,7 +145,7 @@ def _predict(profiles: Profiles, column: pa.Array) -> tuple[list[str], np.ndarra
                 continue
             cosine = vector @ profiles.vectors.T / np.maximum(length, 1e-9)[:, None]
             best = cosine.argmax(axis=1)
-            known = (letters[at : at + n] > 0) & (length > 0)
+            known = letters[at : at + n] > 0
             scores[row + at : row + at + n] = np.where(known, np.clip((1 + cosine[np.arange(n), best].astype(float)) / 2, 0, 1), 0.0)
             names += [profiles.names[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
     return names, scores
@@ -153,9 +154,10 @@ def _predict(profiles: Profiles, column: pa.Array) -> tuple[list[str], np.ndarra
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """docs with lang_pred and score = (1 + cosine) / 2.
 
-    A null or empty text, one without letters, or no profiles at all: `und` with score 0.  Only the text is an input.
-    Ties go to the first name in order.  Equal texts get equal answers; an empty table stays empty; columns of docs
-    named lang_pred or score are replaced.
+    A null or empty text, one without letters, or no profiles at all: `und` with score 0; a text with a letter always
+    gets a language.  Only the text is an input, whole, however long.  Ties go to the first name in order.  Equal texts
+    get equal answers, repeated rows stay; an empty table stays empty; columns of docs named lang_pred or score are
+    replaced, all others kept whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -166,9 +168,11 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
         names, scores = _predict(shared.value, pa.array(column, pa.string(), from_pandas=True))
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    told = docs.select(*keep, of(F.col(f"`{text}`").cast("string")).alias("told__"))
-    return told.select(*keep, "told__.lang_pred", "told__.score")
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    # called nondeterministic, so that a filter on its result is not pushed below it and evaluated a second time
+    once = of.asNondeterministic()
+    told = docs.select(F.struct(*[named(c) for c in keep]).alias("row"), once(named(text).cast("string")).alias("told"))
+    return told.select(*[field(c) for c in keep], "told.lang_pred", "told.score")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

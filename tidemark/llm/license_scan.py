@@ -1,8 +1,10 @@
 """License scans with a positional index of rare words.
 
-Templates are word sequences.  Each file's licence words are looked up from the rarest in the corpus on; a rare word at
-file place p that stands at place d of a template proposes the start p - d, the template's other words are compared at
-the same relative places, and a mandatory key phrase must stand whole.
+Templates are word sequences.  Each is posted under the rarest word (by IDF over the corpus) of the phrase in it that
+must stand whole, with that word's place.  A file's licence words are looked up in this index: a posted word at file
+place p that stands at place d of a template proposes the start p - d.  The mandatory phrase is verified there, then the
+template's other words are compared at the same relative places.  As the phrase must stand whole, no match is missed,
+and the work follows the words found, not the number of templates.
 """
 
 from __future__ import annotations
@@ -31,9 +33,17 @@ NOTICES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("cc-notice", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "person or organization obtaining a copy of the software"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0", "eclipse public license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", "changing it is allowed as long as the name is changed"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
-RARE, LEAST_SHARE = 3, 0.6
+LEAST_SHARE = 0.6
 
 
 def _license_word_byte() -> np.ndarray:
@@ -107,69 +117,76 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.array([np.log((1 + counts.get(-1, 0)) / (1 + counts.get(w, 0))) for w in words])
 
 
-def _places(t: Template, idf: np.ndarray, word: np.ndarray, text: np.ndarray, first: np.ndarray, postings: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of a template in a slice and the share of its weight that stands there (base phrases: whole only)."""
-    rare = np.argsort(-idf[t.words], kind="stable")[: 1 if t.base else RARE]
-    starts = np.unique(np.concatenate([postings.get(int(t.words[d]), np.zeros(0, np.int64)) - d for d in rare]))
-    n = len(t.words)
-    if t.base:
-        starts = starts[(starts >= 0) & (starts + n <= len(word))]
-        starts = starts[text[starts] == text[starts + n - 1]]
-        for d in range(n):
-            starts = starts[word[starts + d] == t.words[d]]
-        return starts, np.ones(len(starts))
-    a, b = t.key
-    starts = starts[(starts + a >= 0) & (starts + b <= len(word))]
-    for d in range(a, b):
-        starts = starts[word[starts + d] == t.words[d]]
-    starts = starts[text[starts + a] == text[starts + b - 1]]
-    weight = np.maximum(idf[t.words], 1e-6)
-    share = np.zeros(len(starts))
-    home = text[starts + a]
-    for d in range(n):
-        at = np.clip(starts + d, 0, max(0, len(word) - 1))
-        share += weight[d] * ((starts + d >= first[home]) & (starts + d < first[home + 1]) & (word[at] == t.words[d]))
-    share /= weight.sum()
-    return starts[share >= LEAST_SHARE], share[share >= LEAST_SHARE]
+class Index:
+    """Templates as rows of word numbers and weights, and postings (template, place) of the words they are posted under."""
+
+    def __init__(self, known: list[Template], idf: np.ndarray) -> None:
+        self.known = known
+        self.length = np.array([len(t.words) for t in known])
+        self.key = np.array([t.key for t in known])
+        self.base = np.array([t.base for t in known])
+        self.words = np.full((len(known), self.length.max()), -2)
+        self.weight = np.zeros(self.words.shape)
+        posted = []
+        for i, t in enumerate(known):
+            self.words[i, : len(t.words)] = t.words
+            w = np.maximum(idf[t.words], 1e-6)
+            self.weight[i, : len(w)] = w / w.sum()
+            place = t.key[0] + int(np.argmax(idf[t.words[slice(*t.key)]]))
+            posted.append((int(t.words[place]), i, place))
+        word, self.template, self.place = np.array(sorted(posted)).T
+        self.first = np.searchsorted(word, np.arange(len(idf) + 2))  # no postings under the last number, which is -1 from the end
+
+    def matches(self, word: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template, text and start of each match in a slice, and the share of the template's weight that stands there."""
+        n = (self.first[1:] - self.first[:-1])[word]
+        at = np.flatnonzero(n)
+        n = n[at]
+        post = np.repeat(self.first[word[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        t, start = self.template[post], np.repeat(at, n) - self.place[post]
+        a, b = self.key[t].T
+        good = (start + a >= 0) & (start + b <= len(word))
+        t, start, a, b = t[good], start[good], a[good], b[good]
+        good = text[start + a] == text[start + b - 1]
+        for d in range(int((self.key[:, 1] - self.key[:, 0]).max())):
+            p = np.minimum(a + d, b - 1)
+            good &= word[start + p] == self.words[t, p]
+        t, start, home = t[good], start[good], text[start[good] + a[good]]
+        share = np.zeros(len(t))
+        for d in range(self.words.shape[1]):
+            inside = (start + d >= first[home]) & (start + d < first[home + 1])
+            share += self.weight[t, d] * (inside & (word[np.clip(start + d, 0, max(0, len(word) - 1))] == self.words[t, d]))
+        good = self.base[t] | (share >= LEAST_SHARE)
+        return t[good], home[good], start[good] - first[home[good]], np.where(self.base[t], 1.0, share)[good]
 
 
 def _scan_task(idf: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    known = templates()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(templates(), idf)
         for batch in batches:
             for row, end, data, offsets in bh.text_slices(batch.column(0)):
                 n = end - row
                 word, first = _numbered(data, offsets)
                 text = np.repeat(np.arange(n), np.diff(first))
-                hits = np.flatnonzero(word >= 0)
-                hits = hits[np.argsort(word[hits], kind="stable")]
-                cut = np.flatnonzero(np.diff(word[hits])) + 1
-                postings = {int(word[p[0]]): p for p in np.split(hits, cut) if len(p)}
-                base = np.zeros(n, np.int64)
-                low, high, score = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n)
+                t, of, start, share = index.matches(word, text, first)
+                base = index.base[t]
+                count, score = np.bincount(of[base], minlength=n), np.zeros(n)
+                low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+                np.maximum.at(score, of, share)
+                np.minimum.at(low, of[base], start[base])
+                np.maximum.at(high, of[base], start[base])
                 labels: list[set[str]] = [set() for _ in range(n)]
                 base_labels: list[set[str]] = [set() for _ in range(n)]
-                for t in known:
-                    starts, share = _places(t, idf, word, text, first, postings)
-                    if not len(starts):
-                        continue
-                    of = text[starts + t.key[0]]
-                    np.maximum.at(score, of, share)
-                    for i in np.unique(of):
-                        labels[i].add(t.label)
-                        if t.base:
-                            base_labels[i].add(t.label)
-                    if t.base:
-                        base += np.bincount(of, minlength=n)
-                        np.minimum.at(low, of, starts - first[of])
-                        np.maximum.at(high, of, starts - first[of])
-                none = base == 0
+                for i, k in zip(*np.unique(np.column_stack((of, t)), axis=0).T, strict=True):
+                    labels[i].add(index.known[k].label)
+                    if index.base[k]:
+                        base_labels[i].add(index.known[k].label)
+                none = count == 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(1).slice(row, n),
                         pa.array(np.diff(first).astype(np.int64)),
-                        pa.array(base),
+                        pa.array(count.astype(np.int64)),
                         pa.array(low, mask=none),
                         pa.array(high.astype(np.int64), mask=none),
                         pa.array([",".join(sorted(x)) for x in base_labels], pa.string()),

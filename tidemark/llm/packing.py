@@ -76,7 +76,7 @@ def pack(docs: DataFrame, size: F.Column, source: F.Column, cluster: F.Column, c
     Pieces are whole documents, or runs of `capacity` tokens of a longer one.  Pieces are dealt by hash to shards of
     about `shard_pieces`, each packed alone by `best_fit`, so no source or cluster meets in one task; (shard, bin) names
     a bin and offset is the piece's place in it.  No bin exceeds the capacity, holds two pieces of one cluster (a long
-    document's own pieces are one cluster), or takes more of a source once that fills `source_share` of it.  A document
+    document's own pieces never meet, as all but its last fill a bin), or takes more of a source once that fills `source_share` of it.  A document
     of null or no size has one piece of size 0; null sources and clusters conflict with nothing; repeated rows are
     packed apart; an empty table gives an empty result.  docs' columns should leave out the text.
     """

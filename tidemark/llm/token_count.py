@@ -1,8 +1,9 @@
 """Edit-aware token counts.
 
-A document is cut into segments of whole pre-tokens; a sum tree over the segments holds their token counts.  An edit
-re-encodes only the segments that it touches and the neighbours whose border it makes unsafe, then updates the sums on
-their paths to the root.
+A document is cut into segments of whole pre-tokens; a sum tree over the segments holds their token counts.  The trees'
+leaves are a column of a table (`keep_trees`), which an edit job reads and gives back (`edit_trees`).  An edit re-encodes
+only the segments that it touches and the neighbours whose border it makes unsafe, then updates the sums on their paths
+to the root.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.durable import small_batches
+from tidemark.llm.durable import saved, small_batches
 from tidemark.llm.rows import field, named, row_of, with_row
 
 SEGMENT = 512
@@ -53,15 +55,19 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
 class SegmentTree:
     """Segments of one document with sums of their lengths and token counts in a complete binary tree."""
 
-    def __init__(self, text: str, count: Callable[[str], int], size: int = SEGMENT) -> None:
-        self.count, self.encoded = count, 0
-        self.texts = segments(text, size)
+    def __init__(self, text: str, count: Callable[[str], int], size: int = SEGMENT, leaves: list[tuple[int, int]] | None = None) -> None:
+        """With `leaves` (lengths and token counts of the segments, as kept) nothing is encoded."""
+        self.count, self.size, self.encoded = count, size, 0
+        if leaves is None:
+            leaves = [(len(t), count(t)) for t in segments(text, size)]
+        ends = list(accumulate((n for n, _ in leaves), initial=0))
+        self.texts = [text[a:b] for a, b in pairwise(ends)] or [""]
         self.width = 1
         while self.width < len(self.texts):
             self.width *= 2
         self.length, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, t in enumerate(self.texts):
-            self.length[self.width + i], self.tokens[self.width + i] = len(t), count(t)
+        for i, (n, tokens) in enumerate(leaves):
+            self.length[self.width + i], self.tokens[self.width + i] = n, tokens
         for i in range(self.width - 1, 0, -1):
             self._sum(i)
 
@@ -119,23 +125,56 @@ class SegmentTree:
     def total(self) -> int:
         return self.tokens[1]
 
+    def leaves(self) -> list[tuple[int, int]]:
+        """Lengths and token counts of the segments to keep; one that edits have made long is cut again."""
+        out: list[tuple[int, int]] = []
+        for i, t in enumerate(self.texts):
+            if len(t) > 4 * self.size:
+                parts = segments(t, self.size)
+                self.encoded += len(t) if len(parts) > 1 else 0
+                out += [(len(p), self.count(p)) for p in parts] if len(parts) > 1 else [(len(t), self.tokens[self.width + i])]
+            elif t:
+                out.append((len(t), self.tokens[self.width + i]))
+        return out
+
+
+LEAF = pa.struct([("length", pa.int32()), ("tokens", pa.int32())])
+TREE = "array<struct<length:int,tokens:int>>"
+
+
+def _leaf_lists(trees: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"length": n, "tokens": t} for n, t in leaves] for leaves in trees], pa.list_(LEAF))
+
+
+def _keep_task(path: str, pattern: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path, pattern)
+        for batch in batches:
+            trees = [SegmentTree(t.as_py() or "", count, size).leaves() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), _leaf_lists(trees)], names=["row", "tree"])
+
+    return run
+
 
-def _count_task(path: str, pattern: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _edit_task(path: str, pattern: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, pattern)
         for batch in batches:
-            rows = []
-            for text, edits in zip(batch.column(0), batch.column(1), strict=True):
-                tree = SegmentTree(text.as_py() or "", count, size)
-                before = tree.total
-                done = 0
+            rows, texts, trees = [], [], []
+            for text, leaves, edits in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                kept = leaves.as_py()
+                tree = SegmentTree(text.as_py() or "", count, size, None if kept is None else [(x["length"], x["tokens"]) for x in kept])
+                before, done = tree.total, 0
                 for e in edits.as_py() or []:
                     if e is not None:
                         at = e["start"] or 0
                         tree.edit(at, at if e["stop"] is None else e["stop"], e["text"] or "")
                         done += 1
-                rows.append((before, tree.total, done, tree.encoded, tree.length[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))], names=["row", *RESULT])
+                after = tree.leaves()
+                texts.append("".join(tree.texts))
+                trees.append(after)
+                rows.append((before, tree.total, done, tree.encoded, len(texts[-1])))
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(texts, pa.string()), _leaf_lists(trees), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))], names=["row", "text", "tree", *RESULT])
 
     return run
 
@@ -143,16 +182,36 @@ def _count_task(path: str, pattern: str, size: int) -> Callable[[Iterator[pa.Rec
 RESULT = ("tokens_before", "tokens_after", "n_edits", "chars_encoded_again", "n_chars_after")
 
 
-def count_edited(docs: DataFrame, path: str, pattern: str, text: str = "text", edits: str = "edits", size: int = SEGMENT) -> DataFrame:
-    """docs without `edits`, with tokens_before, tokens_after, n_edits, chars_encoded_again and n_chars_after.
+def keep_trees(docs: DataFrame, path: str, pattern: str, text: str = "text", size: int = SEGMENT) -> DataFrame:
+    """docs with a column tree: lengths (in characters) and token counts of each text's segments, to be written and kept.
+
+    A null or empty text has an empty tree; a text without a safe border is one segment, however long.  Repeated rows
+    get equal trees; an empty table stays empty; a column of docs named tree is replaced.
+    """
+    small_batches(docs.sparkSession)
+    keep = [c for c in docs.columns if c != "tree"]
+    rows = docs.select(named(text).cast("string").alias("text"), row_of(docs, keep))
+    out = rows.mapInArrow(_keep_task(path, pattern, size), with_row(rows.schema["row"].dataType, f"tree {TREE}"))
+    return out.select(*[field(c) for c in keep], "tree")
+
+
+def edit_trees(table: DataFrame, path: str, pattern: str, text: str = "text", edits: str = "edits", size: int = SEGMENT) -> DataFrame:
+    """The table of `keep_trees` after its edits: text and tree brought up to date, without `edits`, with RESULT.
 
     `edits` is a list of (start, stop, text) in characters, applied in order, each to the text as it then is.  A null
     text is empty; a null list or entry edits nothing; a null start is 0, a null stop inserts, a null replacement
-    deletes; places beyond the end are clipped.  Counts are those of encoding the whole text anew.  Repeated rows count
-    alike; an empty table stays empty; columns of docs named like a result column are replaced.
+    deletes; places beyond the end are clipped; a null tree is made anew.  Counts are those of encoding the whole text.
+    Repeated rows count alike; an empty table stays empty; columns named like a result column are replaced.
     """
-    small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in RESULT and c != edits]
-    rows = docs.select(named(text).cast("string").alias("text"), named(edits).cast(EDITS).alias("edits"), row_of(docs, keep))
-    out = rows.mapInArrow(_count_task(path, pattern, size), with_row(rows.schema["row"].dataType, ", ".join(f"{c} long" for c in RESULT)))
-    return out.select(*[field(c) for c in keep], *RESULT)
+    small_batches(table.sparkSession)
+    keep = [c for c in table.columns if c not in RESULT and c not in (edits, text, "tree")]
+    rows = table.select(named(text).cast("string").alias("text"), F.col("tree").cast(TREE).alias("tree"), named(edits).cast(EDITS).alias("edits"), row_of(table, keep) if keep else F.lit(None).cast("struct<none:int>").alias("row"))
+    kinds = f"text string, tree {TREE}, " + ", ".join(f"{c} long" for c in RESULT)
+    out = rows.mapInArrow(_edit_task(path, pattern, size), with_row(rows.schema["row"].dataType, kinds))
+    return out.select(*[field(c) for c in keep], F.col("text").alias(text), "tree", *RESULT)
+
+
+def count_edited(docs: DataFrame, path: str, pattern: str, text: str = "text", edits: str = "edits", size: int = SEGMENT) -> DataFrame:
+    """docs without `edits`, with its text as edited and RESULT: trees are kept as a table in the shared folder, then edited."""
+    table = saved(keep_trees(docs, path, pattern, text, size), "trees")
+    return edit_trees(table, path, pattern, text, edits, size).drop("tree")
