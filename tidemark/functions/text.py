@@ -6,18 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-# Elements whose content is never visible, named entities, and phrases that give orders to a model.
+# Elements whose content is never visible, and named entities.
 HIDDEN = ("script", "style", "svg", "head")
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-INJECTION = (
-    r"(?i)ignore (all )?previous instructions",
-    r"(?i)disregard the (system|above)",
-    r"(?i)you are now",
-    r"(?i)system prompt",
-    r"(?i)reveal your",
-    r"(?i)act as an?\b",
-    r"(?i)do not tell",
-)
 
 
 def collapse(c: F.Column) -> F.Column:
@@ -51,16 +42,6 @@ def term_hits(c: F.Column, terms: Sequence[str]) -> F.Column:
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms]))
 
 
-def keyword_window(c: F.Column, term: str, width: int) -> F.Column:
-    """At most `width` characters around the first hit, cut to whole words; null without a hit."""
-    at = F.locate(term, F.lower(c))
-    start = F.greatest(F.lit(1), at - width // 2)
-    raw = F.substr(c, start, F.lit(width))
-    left = F.when(start > 1, F.regexp_replace(raw, r"^[^ ]* ", "")).otherwise(raw)
-    whole = F.when(start + width <= F.length(c), F.regexp_replace(left, r" [^ ]*$", "")).otherwise(left)
-    return F.when(at > 0, collapse(whole))
-
-
 def without_quotes(c: F.Column, quotes: F.Column) -> F.Column:
     return F.aggregate(quotes, c, lambda t, q: F.replace(t, q, F.lit(" ")))
 
@@ -73,12 +54,6 @@ def name_key(c: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def injection_hits(c: F.Column) -> F.Column:
-    """How many of the phrases occur."""
-    hits = [c.rlike(p).cast("int") for p in INJECTION]
-    return sum(hits[1:], hits[0])
-
-
 def amount(c: F.Column) -> F.Column:
     """First number of a text with its thousands separators and unit, as a decimal value; null without one."""
     number = F.regexp_extract(c, r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1)

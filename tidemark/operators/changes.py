@@ -33,16 +33,6 @@ def manifest(sections: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sections.groupBy(*keys).agg(F.count("*").alias("n_sections"), F.sha2(joined, 256).alias("manifest"))
 
 
-def novelty(events: DataFrame, horizon_days: int) -> DataFrame:
-    """Each event against the one before it of its issuer and category: duplicate, update, recap or new."""
-    w = Window.partitionBy("issuer", "category").orderBy("seen_at", "event_id")
-    prior_seen, prior_print, prior_amount = (F.lag(c).over(w) for c in ("seen_at", "fingerprint", "amount"))
-    e = events.withColumns({"p_seen": prior_seen, "p_print": prior_print, "p_amount": prior_amount})
-    old = F.datediff(F.to_date("seen_at"), F.to_date("p_seen")) > horizon_days
-    state = F.when(F.col("p_seen").isNull(), "new").when(F.col("p_print") == F.col("fingerprint"), "duplicate").when(old, "new").when(F.col("amount") > F.col("p_amount"), "update").otherwise("recap")
-    return e.select("event_id", state.alias("novelty"))
-
-
 def recent(events: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """The last `limit` events of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc("seen_at"), F.desc("event_id"))

@@ -122,12 +122,6 @@ def x04(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(tx.term_hits(F.col("text"), _TERMS), ",").alias("hits"))
 
 
-@register("X05_keyword_window", "SELECT doc_id, true AS hit, true AS short FROM documents WHERE instr(lower(text), 'license') > 0")
-def x05(spark: SparkSession, sf: str) -> DataFrame:
-    w = tx.keyword_window(F.col("text"), "license", 120)
-    return table(spark, sf, "documents").select("doc_id", w.alias("w")).where("w is not null").select("doc_id", F.contains(F.lower("w"), F.lit("license")).alias("hit"), (F.length("w") <= 120).alias("short"))
-
-
 @register("X06_without_quotes", "SELECT doc_id, length(replace(replace(text, 'the', ' '), 'and', ' ')) AS n FROM documents")
 def x06(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.length(tx.without_quotes(F.col("text"), F.array(F.lit("the"), F.lit("and")))).cast("bigint").alias("n"))
@@ -161,21 +155,6 @@ def x15(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", tx.name_key(F.col("c_name")).alias("name_key"))
 
 
-@register("X16_injection_scan", "SELECT conv_id, turn, " + " + ".join(f"regexp_matches(text, '{p}')::INTEGER" for p in tx.INJECTION) + " AS hits FROM conversations")
-def x16(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", tx.injection_hits(F.col("text")).alias("hits"))
-
-
-_WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: len(w) > 0))"
-
-
-@register("X17_lexical_overlap", f"SELECT a.conv_id, a.turn, len(list_intersect({_WORDS.format('a.text')}, {_WORDS.format('b.text')}))::INTEGER AS shared, contains(b.text, left(a.text, 20)) AS verbatim FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
-def x17(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", tx.overlap(F.col("text"), F.col("answer")).alias("shared"), F.contains("answer", F.substring("text", 1, 20)).alias("verbatim"))
-
-
 @register("X19_tag_extraction", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<a href='))::INTEGER AS links FROM pages")
 def x19(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a href="), 0)).alias("links"))
@@ -208,13 +187,6 @@ def d01(spark: SparkSession, sf: str) -> DataFrame:
     return ch.section_changes(s.where("version = 0"), s.where("version = 1"), ["conv_id", "section"]).select("conv_id", "section", "change")
 
 
-@register("D02_first_difference", "SELECT a.doc_id, (SELECT count(*) FROM (SELECT unnest(range(1, 61)) AS k) WHERE left(a.text, k) = left(b.text, k) AND k <= length(a.text) AND k <= length(b.text)) AS common FROM (SELECT doc_id, left(text, 60) AS text FROM documents) a JOIN (SELECT doc_id, left(text, 60) AS text FROM documents) b ON b.doc_id = a.doc_id + 20")
-def d02(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("a"))
-    b = a.select((F.col("doc_id") - 20).alias("doc_id"), F.col("a").alias("b"))
-    return a.join(b, "doc_id").select("doc_id", ch.first_difference(F.col("a"), F.col("b")).alias("common"))
-
-
 _EVENTS = "e AS (SELECT event_id, user_id AS issuer, event_type AS category, ts AS seen_at, md5(event_type || (event_id % 7)) AS fingerprint, value AS amount FROM events)"
 
 
@@ -222,11 +194,6 @@ def _disclosures(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.col("user_id").alias("issuer"), F.col("event_type").alias("category"), F.col("ts").alias("seen_at"), F.md5(F.concat("event_type", (F.col("event_id") % 7).cast("string"))).alias("fingerprint"), F.col("value").alias("amount"))
 
 
-@register("D05_event_novelty", f"WITH {_EVENTS} SELECT event_id, CASE WHEN s IS NULL THEN 'new' WHEN f = fingerprint THEN 'duplicate' WHEN date_diff('day', s::DATE, seen_at::DATE) > 2 THEN 'new' WHEN amount > a THEN 'update' ELSE 'recap' END AS novelty FROM (SELECT *, lag(seen_at) OVER w AS s, lag(fingerprint) OVER w AS f, lag(amount) OVER w AS a FROM e WINDOW w AS (PARTITION BY issuer, category ORDER BY seen_at, event_id))")
-def d05(spark: SparkSession, sf: str) -> DataFrame:
-    return ch.novelty(_disclosures(spark, sf), 2)
-
-
 @register("D06_prior_events", f"WITH {_EVENTS} SELECT issuer, count(*) AS n, min(seen_at) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY issuer ORDER BY seen_at DESC, event_id DESC) AS r FROM e) WHERE r <= 64 GROUP BY 1")
 def d06(spark: SparkSession, sf: str) -> DataFrame:
     return ch.recent(_disclosures(spark, sf), ["issuer"], 64).groupBy("issuer").agg(F.count("*").alias("n"), F.min("seen_at").alias("oldest"))

@@ -39,35 +39,6 @@ def s21(spark: SparkSession, sf: str) -> DataFrame:
     return r.where("instrument_id = 7 and currency = 'CAD'").select("instrument_id", F.to_date("day").alias("session_date"), "close")
 
 
-@register("R02_risk_points", "SELECT user_id, CASE WHEN v >= 0.6 THEN 25 WHEN v >= 0.4 THEN 15 WHEN v >= 0.2 THEN 8 ELSE 0 END AS points FROM (SELECT user_id, count(*) FILTER (event_type = 'error') / 40.0 AS v FROM events GROUP BY 1)")
-def r02(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.count_if(F.col("event_type") == "error") / 40.0
-    return _events(spark, sf).groupBy("user_id").agg(v.alias("v")).select("user_id", sc.step_points(F.col("v"), sc.STEPS["volatility"]).alias("points"))
-
-
-@register("R03_opportunity_findings", "SELECT user_id, count(*) * 5 AS points, 1 AS first FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE event_type = 'purchase') WHERE r <= 2 GROUP BY 1")
-def r03(spark: SparkSession, sf: str) -> DataFrame:
-    return ro.ranked_traces(_events(spark, sf).where("event_type = 'purchase'"), "user_id", [F.desc("value"), F.col("event_id")], 2, 5)
-
-
-@register("R04_risk_findings", "SELECT user_id, count(*) * 10 AS points, 1 AS first FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE event_type = 'error') WHERE r <= 3 GROUP BY 1")
-def r04(spark: SparkSession, sf: str) -> DataFrame:
-    return ro.ranked_traces(_events(spark, sf).where("event_type = 'error'"), "user_id", [F.desc("value"), F.col("event_id")], 3, 10)
-
-
-@register("R05_confidence", "SELECT user_id, greatest(0, least(100, count(DISTINCT event_type) * 10 + count(DISTINCT event_type) FILTER (value > 50) * 5 + least(20, count(*) FILTER (event_type = 'view')) + least(30, count(DISTINCT ts::DATE) // 10 * 10) - CASE WHEN bool_or(event_type = 'error' AND value > 150) THEN 15 ELSE 0 END))::BIGINT AS confidence FROM events GROUP BY 1")
-def r05(spark: SparkSession, sf: str) -> DataFrame:
-    kind, value = F.col("event_type"), F.col("value")
-    by = _events(spark, sf).groupBy("user_id").agg(F.countDistinct(kind).alias("a"), F.countDistinct(F.when(value > 50, kind)).alias("b"), F.count_if(kind == "view").alias("c"), F.countDistinct(F.to_date("ts")).alias("d"), F.bool_or((kind == "error") & (value > 150)).alias("e"))
-    return by.select("user_id", ro.confidence(F.col("a"), F.col("b"), F.col("c"), F.floor(F.col("d") / 10), F.col("e")).cast("long").alias("confidence"))
-
-
-@register("R08_radar_points", "SELECT doc_id, least(100, length(text) // 100)::BIGINT AS attention, CASE WHEN contains(lower(text), 'token') THEN 30 ELSE 0 END AS risk, CASE WHEN length(text) > 5000 THEN 'watch' WHEN contains(lower(text), 'token') THEN 'review' ELSE 'archive' END AS class FROM documents")
-def r08(spark: SparkSession, sf: str) -> DataFrame:
-    n, hit = F.length("text"), F.contains(F.lower("text"), F.lit("token"))
-    return table(spark, sf, "documents").select("doc_id", F.least(F.lit(100), F.floor(n / 100)).alias("attention"), F.when(hit, 30).otherwise(0).alias("risk"), sc.first_true([("watch", n > 5000), ("review", hit)], "archive").alias("class"))
-
-
 @register("R10_routing_contexts", "SELECT o_custkey, string_agg(DISTINCT CASE o_orderstatus WHEN 'F' THEN 'ownership' WHEN 'O' THEN 'financing' ELSE 'accounting' END, ',' ORDER BY CASE o_orderstatus WHEN 'F' THEN 'ownership' WHEN 'O' THEN 'financing' ELSE 'accounting' END) AS contexts FROM orders GROUP BY 1")
 def r10(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("o_orderstatus")
@@ -75,12 +46,6 @@ def r10(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(context)), ",").alias("contexts"))
 
 
-@register("R12_adaptive_route", "SELECT conv_id, CASE WHEN count(*) > 6 THEN 'split' WHEN max(length(text)) > 3000 THEN 'two_pass' WHEN count(*) < 3 THEN 'skip' ELSE 'one_pass' END AS route FROM conversations GROUP BY 1")
-def r12(spark: SparkSession, sf: str) -> DataFrame:
-    by = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
-    return by.select("conv_id", sc.first_true([("split", F.col("n") > 6), ("two_pass", F.col("longest") > 3000), ("skip", F.col("n") < 3)], "one_pass").alias("route"))
-
-
 @register("R16_fact_adapters", "SELECT s_suppkey, 'balance' AS kind, round(s_acctbal * 100)::BIGINT AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey FROM supplier")
 def r16(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").selectExpr("s_suppkey", "stack(2, 'balance', cast(round(s_acctbal * 100) as bigint), 'nation', cast(s_nationkey as bigint)) as (kind, value)")
@@ -105,18 +70,6 @@ def x09(spark: SparkSession, sf: str) -> DataFrame:
     return ro.signal_windows(table(spark, sf, "documents"), "doc_id", "text", _PHRASES, 100).drop("window")
 
 
-@register("X13_event_comparison", "SELECT conv_id, turn, CASE WHEN b IS NULL THEN 'new' WHEN b = n THEN 'repeated' ELSE 'changed' END AS state FROM (SELECT *, lag(n) OVER (PARTITION BY conv_id, role ORDER BY turn) AS b FROM (SELECT conv_id, turn, role, len(regexp_extract_all(text, '[.?!]')) AS n FROM conversations))")
-def x13(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.size(F.regexp_extract_all("text", F.lit("[.?!]"), 0))
-    before = F.lag("n").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", n.alias("n")).withColumn("b", before).select("conv_id", "turn", sc.first_true([("new", F.col("b").isNull()), ("repeated", F.col("b") == F.col("n"))], "changed").alias("state"))
-
-
-@register("X14_only_candidate", r"SELECT doc_id, CASE WHEN len(c) = 1 THEN c[1] END AS mail FROM (SELECT doc_id, regexp_extract_all(text, '[a-z0-9]+@[a-z0-9]+\.[a-z]+') AS c FROM documents)")
-def x14(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", ro.only_candidate(F.regexp_extract_all("text", F.lit(r"[a-z0-9]+@[a-z0-9]+\.[a-z]+"), 0)).alias("mail"))
-
-
 @register("X27_link_binding", "SELECT page_id, contains(html, 'href=\"/') AS indexed, sha256(html) = sha256(html || '') AS reconciles FROM pages")
 def x27(spark: SparkSession, sf: str) -> DataFrame:
     stored = table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("stored"))

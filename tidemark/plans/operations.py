@@ -181,18 +181,6 @@ def r22(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "user_id", "full_outer").select("user_id", sc.first_true([("full", F.col("a").isNull()), ("withdrawn", F.col("b").isNull()), ("reuse", F.col("a") == F.col("b"))], "delta").alias("decision"))
 
 
-@register("R26_failure_class", "SELECT event_type, CASE event_type WHEN 'error' THEN 'terminal' WHEN 'view' THEN 'retryable' ELSE 'none' END AS class, count(*) AS n FROM events GROUP BY 1")
-def r26(spark: SparkSession, sf: str) -> DataFrame:
-    classes = F.create_map(F.lit("error"), F.lit("terminal"), F.lit("view"), F.lit("retryable"))
-    return _events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n")).withColumn("class", F.coalesce(F.try_element_at(classes, F.col("event_type")), F.lit("none")))
-
-
-@register("R27_evidence_admission", "SELECT conv_id, CASE WHEN count(*) > 8 THEN 'too_many' WHEN sum(length(text)) > 20000 THEN 'too_long' WHEN count(DISTINCT turn) < count(*) THEN 'repeated_id' ELSE 'admitted' END AS admission FROM conversations GROUP BY 1")
-def r27(spark: SparkSession, sf: str) -> DataFrame:
-    by = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"), F.countDistinct("turn").alias("ids"))
-    return by.select("conv_id", sc.first_true([("too_many", F.col("n") > 8), ("too_long", F.col("size") > 20000), ("repeated_id", F.col("ids") < F.col("n"))], "admitted").alias("admission"))
-
-
 @register("R30_package_projection", "SELECT o_orderkey, o_orderstatus || ':' || o_custkey AS head, least(length(o_orderpriority), 5)::INTEGER AS width FROM orders")
 def r30(spark: SparkSession, sf: str) -> DataFrame:
     package = F.struct(F.concat_ws(":", "o_orderstatus", F.col("o_custkey").cast("string")).alias("head"), F.least(F.length("o_orderpriority"), F.lit(5)).alias("width"))

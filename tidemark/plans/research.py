@@ -200,33 +200,6 @@ def r24(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n")).select("l_linenumber", oc.retry_delay(F.col("l_linenumber")).alias("delay"), "n")
 
 
-@register("R01_step_points", "SELECT event_id, CASE WHEN value >= 20 THEN 20 WHEN value >= 5 THEN 12 WHEN value >= 0 THEN 6 ELSE 0 END AS points FROM events")
-def r01(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", sc.step_points(F.col("value") / 100, sc.STEPS["return"]).alias("points"))
-
-
-_SCORES = """m AS (SELECT user_id AS subject, CASE WHEN count(*) > 55 THEN (round(sum(round(value * 100)::BIGINT) / count(*)) - 1500) / 10000.0 END AS ret, CASE WHEN user_id % 9 <> 0 THEN max(value) / 1000 - 0.1 END AS rel,
-  CASE WHEN user_id % 7 <> 0 THEN count(*) FILTER (event_type = 'error') / 40.0 END AS vol, -(count(*) FILTER (event_type = 'view') / 40.0) AS dd FROM events GROUP BY 1),
-p AS (SELECT subject, CASE WHEN ret >= 0.2 THEN 20 WHEN ret >= 0.05 THEN 12 WHEN ret >= 0 THEN 6 WHEN ret IS NOT NULL THEN 0 END AS a, CASE WHEN rel >= 0.1 THEN 15 WHEN rel >= 0.02 THEN 9 WHEN rel >= 0 THEN 4 WHEN rel IS NOT NULL THEN 0 END AS b,
-  CASE WHEN vol >= 0.6 THEN 25 WHEN vol >= 0.4 THEN 15 WHEN vol >= 0.2 THEN 8 WHEN vol IS NOT NULL THEN 0 END AS c, CASE WHEN abs(dd) >= 0.5 THEN 25 WHEN abs(dd) >= 0.3 THEN 15 WHEN abs(dd) >= 0.15 THEN 8 ELSE 0 END AS d,
-  (SELECT count(*) FROM (SELECT 1 FROM events WHERE user_id = subject AND event_type = 'purchase' AND value > 40 LIMIT 2)) * 5 AS f FROM m),
-s AS (SELECT subject, greatest(0, least(100, coalesce(a, 0) + coalesce(b, 0) + f))::INTEGER AS opportunity, greatest(0, least(100, coalesce(c, 0) + d))::INTEGER AS risk, (a IS NULL)::BIGINT + (b IS NULL)::BIGINT + (c IS NULL)::BIGINT AS missing FROM p)"""
-
-
-@register("R06_scores", f"WITH {_SCORES} SELECT *, CASE WHEN missing >= 3 THEN 'insufficient' WHEN opportunity >= 30 AND risk < 30 THEN 'strong' WHEN opportunity >= 30 THEN 'speculative' ELSE 'weak' END AS label, CASE WHEN risk >= 40 THEN 'elevated_risk' WHEN risk >= 20 THEN 'moderate' ELSE 'conservative' END AS profile FROM s")
-def r06(spark: SparkSession, sf: str) -> DataFrame:
-    """Traces of four metric rules (R01, R02) and of two findings (R03), summed and labelled."""
-    e = table(spark, sf, "events")
-    kind = lambda x: F.count_if(F.col("event_type") == x)
-    mean = F.round(F.sum(F.round(F.col("value") * 100).cast("long")) / F.count("*"))
-    m = e.groupBy(F.col("user_id").alias("subject")).agg(F.when(F.count("*") > 55, (mean - 1500) / 10000.0).alias("return"), (F.max("value") / 1000 - 0.1).alias("relative"), (kind("error") / 40.0).alias("volatility"), (-(kind("view") / 40.0)).alias("drawdown"))
-    m = m.withColumns({"relative": F.when(F.col("subject") % 9 != 0, F.col("relative")), "volatility": F.when(F.col("subject") % 7 != 0, F.col("volatility"))})
-    rules = {"return": ("opportunity", "return"), "relative": ("opportunity", "relative"), "volatility": ("risk", "volatility"), "drawdown": ("risk", "drawdown")}
-    found = e.where("event_type = 'purchase' and value > 40").select(F.col("user_id").alias("subject"), "ts", "event_id")
-    traces = sc.metric_traces(m, rules).unionByName(sc.finding_traces(found, ["ts", "event_id"], 2, 5, "opportunity"))
-    return sc.scores(traces)
-
-
 @register("R09_compute_tier", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 'skip' WHEN length(text) > 8000 THEN 'large' WHEN lang <> 'en' THEN 'translate' WHEN length(text) > 1000 THEN 'standard' ELSE 'small' END AS tier FROM documents")
 def r09(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("text")
@@ -242,20 +215,6 @@ def r11(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", now, b.alias("b")).select("o_orderkey", F.when(F.col("b").isNull(), "initial").when(F.col("b") == now, "unchanged").otherwise(F.concat("b", F.lit("_to_"), now)).alias("transition"))
 
 
-@register("R14_detectors", f"WITH {_WIDE} SELECT issuer, period_end, CASE WHEN assets IS NULL OR liabilities IS NULL THEN 'unknown' WHEN liabilities > 2 * assets THEN 'triggered' WHEN liabilities > assets THEN 'watch' ELSE 'clear' END AS liquidity FROM wide")
-def r14(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = F.col("assets"), F.col("liabilities")
-    rule = sc.first_true([("unknown", a.isNull() | b.isNull()), ("triggered", b > 2 * a), ("watch", b > a)], "clear")
-    return fa.pivoted(facts(spark, sf), CUT).select("issuer", "period_end", rule.alias("liquidity"))
-
-
-@register("R15_contradictions", f"WITH {_WIDE} SELECT issuer, period_end, CASE WHEN income IS NULL OR revenue IS NULL THEN 'not_assessed' WHEN income > revenue THEN 'contradicted' WHEN income * 10 > revenue * 9 THEN 'tension' ELSE 'consistent' END AS disposition FROM wide")
-def r15(spark: SparkSession, sf: str) -> DataFrame:
-    i, r = F.col("income"), F.col("revenue")
-    rule = sc.first_true([("not_assessed", i.isNull() | r.isNull()), ("contradicted", i > r), ("tension", i * 10 > r * 9)], "consistent")
-    return fa.pivoted(facts(spark, sf), CUT).select("issuer", "period_end", rule.alias("disposition"))
-
-
 @register("R25_quality_grade", "SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'A' WHEN source IN ('src2', 'src3', 'src4') THEN 'B' ELSE 'C' END AS grade FROM documents")
 def r25(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("source")
