@@ -27,7 +27,7 @@ def _window_task(shape: wd.Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def _count_windows(texts: DataFrame, shape: wd.Shape) -> DataFrame:
     """Live windows whose two hashes occur more than once."""
-    every = texts.mapInArrow(_window_task(shape), "k1 long, k2 long, rid long, rid2 int, lo int, live boolean")
+    every = texts.mapInArrow(_window_task(shape), "k1 long, k2 int, rid long, rid2 int, lo int, live boolean")
     again = every.groupBy(F.col("k1").bitwiseXOR(F.lit(1)).alias("k"), F.col("k2").alias("l")).agg(F.count("*").alias("m")).where("m > 1")
     again = again.select(F.col("k").bitwiseXOR(F.lit(1)).alias("k1"), F.expr("l + 1 - 1").alias("k2"))
     return every.where("live").join(again, ["k1", "k2"], "left_semi")

@@ -9,7 +9,8 @@ same offset.  So Spark first counts anchors (about two for each window length),
 * the rest is undecided.  It is cut to blocks of a few windows and asked again, with the tokens that all windows of a
   block share as the anchor (`blocks`), or its windows are looked at one by one.
 
-Equality of contexts and windows is that of two independent 64-bit hashes; an anchor's single hash only proposes.
+Equality of contexts and windows is that of two independent hashes of 64 and 32 bits; an anchor's single hash only
+proposes.
 Every shuffle is keyed by a hash and pre-aggregated, or is a join whose frequent keys (fewer than HEAVY, whatever
 the data) are dealt to several parts, so a passage that a third of all texts share puts no unbounded group into one task.
 """
@@ -29,7 +30,7 @@ from tidemark.llm.durable import saved, small_batches
 from tidemark.llm.rows import named, row_of
 
 #: rid, rid2: the row; g: anchor; c, d: context; lo, n: first window and number of windows; at: anchor's place after lo.
-RUNS = "rid long, rid2 int, g long, c long, d long, lo int, n int, at int, live boolean"
+RUNS = "rid long, rid2 int, g long, c long, d int, lo int, n int, at int, live boolean"
 ID = ("rid", "rid2")
 HEAVY, LIGHT, SALTS = 1_024, 1_000, 64
 _U = np.uint64
@@ -57,7 +58,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray
 def _contexts(codes: np.ndarray, lo: np.ndarray, n: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the tokens of n windows from lo on, and of the anchor's place among them."""
     shape = (n.astype(np.uint64) << _U(32)) ^ at.astype(np.uint64)
-    return tuple(bh.mix(bh.mix(bh.Rolling(codes, lane).spans(lo, lo + n - 1 + window)) ^ shape) for lane in (1, 0))
+    c, d = (bh.mix(bh.mix(bh.Rolling(codes, lane).spans(lo, lo + n - 1 + window)) ^ shape) for lane in (1, 0))
+    return c.view(np.int64), (d >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def anchors(codes: np.ndarray, first: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
@@ -66,7 +68,7 @@ def anchors(codes: np.ndarray, first: np.ndarray, shape: Shape) -> dict[str, np.
     length = np.diff(first)
     if len(codes) < w or not (length >= w).any():
         none = np.zeros(0, np.int64)
-        return {f: none for f in ("text", "lo", "n", "at")} | {f: none.view(np.uint64) for f in ("g", "c", "d")}
+        return {f: none for f in ("text", "lo", "n", "at", "c")} | {"g": none.view(np.uint64), "d": none.astype(np.int32)}
     gram = bh.mix(bh.Rolling(codes, 0).every(k))
     key = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
     chosen = bh.sliding_min(key, w - k + 1)
@@ -108,7 +110,7 @@ def _run_batch(rid: np.ndarray, rid2: np.ndarray, row: int, found: dict[str, np.
     live = found.get("live", np.ones(len(of), dtype=bool))
     small = [pa.array(found[f].astype(np.int32)) for f in ("lo", "n", "at")]
     return pa.RecordBatch.from_arrays(
-        [pa.array(rid[of]), pa.array(rid2[of]), *(pa.array(found[f].view(np.int64)) for f in ("g", "c", "d")), *small, pa.array(live.astype(bool))],
+        [pa.array(rid[of]), pa.array(rid2[of]), pa.array(found["g"].view(np.int64)), pa.array(found["c"]), pa.array(found["d"]), *small, pa.array(live.astype(bool))],
         names=["rid", "rid2", "g", "c", "d", "lo", "n", "at", "live"],
     )
 
@@ -163,7 +165,8 @@ def window_batches(batch: pa.RecordBatch, shape: Shape, step: int = 1 << 17) ->
             at = np.repeat(runs["lo"][part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             of = np.repeat(runs["text"][part], n)
             place = first[of] + at
-            k1, k2 = (bh.mix(r.spans(place, place + shape.window)).view(np.int64) for r in rolling)
+            k1, k2 = (bh.mix(r.spans(place, place + shape.window)) for r in rolling)
+            k1, k2 = k1.view(np.int64), (k2 >> _U(32)).astype(np.uint32).view(np.int32)
             yield {"rid": rid[row + of], "rid2": rid2[row + of], "lo": at.astype(np.int32), "live": np.repeat(runs["live"][part], n), "k1": k1, "k2": k2, "data": data, "place": place}
 
 
@@ -216,13 +219,13 @@ def repeated_runs(base: DataFrame, shape: Shape, repeated_windows: Callable[[Dat
     texts = base.select(*ID, "text")
 
     def beside(lists: DataFrame) -> DataFrame:
-        """Texts of the runs, one of each set of equal rows."""
-        return texts.join(lists, list(ID)).dropDuplicates(list(ID))
+        return texts.join(lists, list(ID)).dropDuplicates(list(ID))  # one of each set of equal rows
 
     found, left = _settle(texts.mapInArrow(_anchor_task(shape), RUNS), "anchor")
     if by_blocks:
-        more, left = _settle(saved(beside(left).mapInArrow(_block_task(shape), RUNS), "blocks"), "block")
-        found = found.unionByName(more)
+        open_texts = saved(beside(left), "open-texts")  # later steps read only these
+        more, left = _settle(open_texts.mapInArrow(_block_task(shape), RUNS), "block")
+        found, texts = found.unionByName(more), open_texts.select(*ID, "text")
     return found.unionByName(repeated_windows(beside(left), shape).select(*ID, "lo", F.lit(1).alias("n")))
 
 
