@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements whose content is never visible, and named entities.
@@ -106,3 +107,13 @@ def excerpt(c: F.Column, terms: Sequence[str], width: int) -> tuple[F.Column, F.
 def holds_number(c: F.Column, number: str) -> F.Column:
     """Whether a number stands in a text as a whole, thousands separators aside."""
     return F.regexp_replace(c, r"(?<=[0-9]),(?=[0-9]{3})", "").rlike(rf"(?<![0-9.]){number}(?![0-9]|\.[0-9])")
+
+
+def submissions(df: DataFrame, value: str, allowed: Sequence[str]) -> DataFrame:
+    """df with status and dedupe_key of JSON submissions (ticker, cik, hypothesis, urls); only allowed fields may stand in one."""
+    unknown = F.size(F.array_except(F.json_object_keys(value), F.array(*[F.lit(a) for a in allowed]))) > 0
+    x = F.from_json(value, "ticker string, cik string, hypothesis string, urls array<string>")
+    idea = fold(x["hypothesis"])
+    status = F.when(unknown, "unknown_field").when(idea == "", "empty_hypothesis").otherwise("accepted")
+    key = F.sha2(F.concat_ws("\n", F.upper(x["ticker"]), F.lpad(x["cik"], 10, "0"), idea, F.array_join(F.array_sort(F.array_distinct(x["urls"])), "\n")), 256)
+    return df.withColumn("status", status).withColumn("dedupe_key", F.when(F.col("status") == "accepted", key))

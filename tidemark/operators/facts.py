@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ledger import latest_before
+
 
 def pivoted(facts: DataFrame, cutoff: str) -> DataFrame:
     """One row an issuer and period with a column a concept, of facts known by the cutoff."""
@@ -46,11 +48,16 @@ def return_on_equity(wide: DataFrame) -> DataFrame:
 
 
 def valuation(prices: DataFrame, facts: DataFrame, concept: str) -> DataFrame:
-    """Price over the latest fact of a concept known by the price's day."""
-    f = facts.where(F.col("concept") == concept).select("issuer", "period_end", "available_at", F.col("cents").alias("fact"))
-    j = prices.join(f, "issuer").where((F.col("period_end") <= F.col("day")) & (F.col("available_at") <= F.col("day")))
-    out = j.groupBy("issuer", "day").agg(F.max_by(F.struct("price", "fact"), "period_end").alias("x"))
-    return out.select("issuer", "day", F.when(F.col("x.fact") > 0, F.col("x.price") / F.col("x.fact")).alias("value"))
+    """Price over the latest fact of a concept known by the price's day: an as-of join, no product of an issuer's rows."""
+    f = facts.where((F.col("concept") == concept) & (F.col("available_at") >= F.col("period_end"))).select("issuer", "period_end", "available_at", F.col("cents").alias("fact"))
+    asked = prices.withColumn("known_before", F.date_add("day", 1))
+    j = latest_before(asked, f.withColumn("tie", F.datediff("period_end", F.lit("1970-01-01").cast("date"))), ["issuer"], "known_before", "available_at", ["fact"], "tie")
+    return j.where("prior_fact is not null").select("issuer", "day", F.when(F.col("prior_fact") > 0, F.col("price") / F.col("prior_fact")).alias("value"))
+
+
+def literals(text: F.Column, limit: int = 24) -> F.Column:
+    """The first numbers that a text states."""
+    return F.slice(F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), 1, limit)
 
 
 def claim_verdict(claimed: F.Column, actual: F.Column, tolerance: float) -> F.Column:

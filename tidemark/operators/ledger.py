@@ -46,19 +46,19 @@ def latest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], at: st
 
 
 def first_session_from(events: DataFrame, calendar: DataFrame, at: str) -> DataFrame:
-    """session_idx of the first session whose close is at or after each event: an as-of join from above."""
-    e = events.select(F.col(at).alias("at__"), F.lit(0).alias("side__"), F.struct(*events.columns).alias("row__"), F.lit(None).cast("long").alias("idx__"))
-    c = calendar.select(F.col("close_at").alias("at__"), F.lit(1).alias("side__"), F.lit(None).cast(e.schema["row__"].dataType).alias("row__"), F.col("session_idx").cast("long").alias("idx__"))
-    bucket = F.to_date("at__")
-    after = Window.partitionBy("bucket__").orderBy("at__", "side__").rowsBetween(0, Window.unboundedFollowing)
-    both = e.unionByName(c).withColumn("bucket__", bucket).withColumn("same_day__", F.first("idx__", ignorenulls=True).over(after)).where("side__ = 0")
-    # an event after its day's close takes the next session: the calendar by day is small and has one row a day
-    days = calendar.select(F.to_date("close_at").alias("day"), F.col("session_idx").cast("long").alias("idx")).groupBy("day").agg(F.min("idx").alias("idx"))
-    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence(F.date_sub("a", 30), "b")).alias("bucket__"))
-    ahead = Window.orderBy("bucket__").rowsBetween(1, Window.unboundedFollowing)
-    following = span.join(days, span["bucket__"] == days["day"], "left").withColumn("next__", F.min("idx").over(ahead)).select("bucket__", "next__")
-    out = both.join(F.broadcast(following), "bucket__", "left")  # a row a calendar day
-    return out.select("row__.*", F.coalesce("same_day__", "next__").alias("session_idx"))
+    """session_idx of the first session whose close is at or after each event, null after the last one.
+
+    The calendar (a few hundred closes a year) is laid out by day and broadcast: each day with its own closes and the
+    first session of a later day.  Events before the calendar look up its first day; no event is shuffled.
+    """
+    own = calendar.groupBy(F.to_date("close_at").alias("day__")).agg(F.array_sort(F.collect_list(F.struct("close_at", F.col("session_idx").cast("long").alias("idx")))).alias("closes__"))
+    days = own.agg(F.min("day__").alias("a"), F.max("day__").alias("b")).select("a", F.explode(F.sequence("a", "b")).alias("day__"))
+    later = Window.orderBy("day__").rowsBetween(1, Window.unboundedFollowing)
+    laid = days.join(own, "day__", "left").withColumn("next__", F.min(F.col("closes__")[0]["idx"]).over(later))
+    first = F.broadcast(days.select("a").distinct())
+    e = events.crossJoin(first).withColumn("day__", F.greatest(F.to_date(at), F.col("a"))).join(F.broadcast(laid.drop("a")), "day__", "left")
+    today = F.filter("closes__", lambda c: c["close_at"] >= F.col(at))
+    return e.select(*events.columns, F.coalesce(F.get(today, 0)["idx"], F.col("next__")).alias("session_idx"))
 
 
 def one_to_one(parts: Sequence[DataFrame], key: str) -> DataFrame:

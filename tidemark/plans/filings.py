@@ -53,10 +53,13 @@ def s13(spark: SparkSession, sf: str) -> DataFrame:
     return src.latest_submission(src.submissions(_submissions(spark, sf))[0], ("F", "P"))
 
 
-@register("S14_only_accession", "SELECT k::VARCHAR AS accession, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS status FROM (SELECT unnest(range(0, 3000)) AS k) LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = k")
+@register("S14_only_accession", "SELECT k::VARCHAR AS accession, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS status FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderstatus = 'P') LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = k")
 def s14(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order's key is asked for, and some keys that no filing has."""
     f = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("accession"))
-    return src.only_accession(f, spark.range(3000).select(F.col("id").cast("string").alias("accession")))
+    o = table(spark, sf, "orders")
+    asked = o.select("o_orderkey").unionByName(o.where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey")))
+    return src.only_accession(f, asked.select(F.col("o_orderkey").cast("string").alias("accession")))
 
 
 @register("S12_company_facts", "SELECT o_custkey % 100 AS cik, 'core' AS taxonomy, o_orderstatus AS tag, 'USD' AS unit, o_orderdate::DATE AS period_end, round(o_totalprice)::BIGINT AS val, o_orderkey::VARCHAR AS accn FROM orders WHERE o_orderkey % 13 <> 0")
@@ -176,9 +179,16 @@ def x23(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.holds_number(F.col("text"), "3").alias("holds_three"))
 
 
-@register("X25_dedupe_key", "SELECT conv_id, turn, sha256(concat_ws(chr(10), role, conv_id::VARCHAR, lower(left(text, 100)))) AS dedupe_key FROM conversations")
+_ALLOWED = ("cik", "hypothesis", "ticker", "urls")
+
+
+@register("X25_submissions", r"WITH c AS (SELECT *, upper(role) AS ticker, lpad(conv_id::VARCHAR, 10, '0') AS cik, lower(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS idea, list_sort(list_distinct(['https://a.b/' || (turn % 3), 'https://a.b/' || (conv_id % 3)])) AS urls FROM conversations) SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN 'unknown_field' WHEN idea = '' THEN 'empty_hypothesis' ELSE 'accepted' END AS status, CASE WHEN conv_id % 7 <> 0 AND idea <> '' THEN sha256(concat_ws(chr(10), ticker, cik, idea, array_to_string(urls, chr(10)))) END AS dedupe_key FROM c")
 def x25(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws("\n", "role", F.col("conv_id").cast("string"), F.lower(F.substring("text", 1, 100))), 256).alias("dedupe_key"))
+    """Submissions as JSON: a field that is not allowed rejects one; the key covers the whole hypothesis and the set of links."""
+    link = lambda c: F.concat(F.lit("https://a.b/"), (F.col(c) % 3).cast("string"))
+    fields = [F.upper("role").alias("ticker"), F.col("conv_id").cast("string").alias("cik"), F.col("text").alias("hypothesis"), F.array(link("turn"), link("conv_id")).alias("urls")]
+    extra = F.when(F.col("conv_id") % 7 == 0, F.to_json(F.struct(*fields, F.lit("x").alias("note")))).otherwise(F.to_json(F.struct(*fields)))
+    return tx.submissions(table(spark, sf, "conversations").select("conv_id", "turn", extra.alias("value")), "value", _ALLOWED).select("conv_id", "turn", "status", "dedupe_key")
 
 
 @register("D01_section_diff", r"WITH s AS (SELECT conv_id, turn // 2 AS section, turn % 2 AS version, lower(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS x FROM conversations WHERE role <> 'system') SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.section, b.section) AS section, CASE WHEN a.x IS NULL THEN 'added' WHEN b.x IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT * FROM s WHERE version = 0) a FULL JOIN (SELECT * FROM s WHERE version = 1) b ON a.conv_id = b.conv_id AND a.section = b.section WHERE a.x IS DISTINCT FROM b.x")

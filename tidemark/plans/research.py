@@ -60,9 +60,9 @@ def f07(spark: SparkSession, sf: str) -> DataFrame:
     return _round(fa.compound_growth(facts(spark, sf), "revenue", 2), "value")
 
 
-@register("F08_valuation", f"WITH {FACTS}, p AS (SELECT o_custkey % 100 AS issuer, o_orderdate::DATE AS day, max(round(o_totalprice * 100)::BIGINT) AS price FROM orders WHERE o_orderkey % 20 = 0 GROUP BY 1, 2), j AS (SELECT p.*, cents, row_number() OVER (PARTITION BY p.issuer, day ORDER BY period_end DESC) AS r FROM p JOIN facts f ON f.issuer = p.issuer AND concept = 'income' AND period_end <= day AND available_at <= day) SELECT issuer, day, CASE WHEN cents > 0 THEN round(price / cents::DOUBLE, 6) END AS value FROM j WHERE r = 1")
+@register("F08_valuation", f"WITH {FACTS}, p AS (SELECT o_custkey % 100 AS issuer, o_orderdate::DATE AS day, max(round(o_totalprice * 100)::BIGINT) AS price FROM orders GROUP BY 1, 2), j AS (SELECT p.*, cents, row_number() OVER (PARTITION BY p.issuer, day ORDER BY period_end DESC) AS r FROM p JOIN facts f ON f.issuer = p.issuer AND concept = 'income' AND period_end <= day AND available_at <= day) SELECT issuer, day, CASE WHEN cents > 0 THEN round(price / cents::DOUBLE, 6) END AS value FROM j WHERE r = 1")
 def f08(spark: SparkSession, sf: str) -> DataFrame:
-    prices = table(spark, sf, "orders").where("o_orderkey % 20 = 0").groupBy((F.col("o_custkey") % 100).alias("issuer"), F.to_date("o_orderdate").alias("day")).agg(F.max(F.round(F.col("o_totalprice") * 100).cast("long")).alias("price"))
+    prices = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 100).alias("issuer"), F.to_date("o_orderdate").alias("day")).agg(F.max(F.round(F.col("o_totalprice") * 100).cast("long")).alias("price"))
     return _round(fa.valuation(prices, facts(spark, sf), "income"), "value")
 
 
@@ -80,10 +80,13 @@ def f10(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey").join(v, "o_orderkey", "left").select("o_orderkey", fa.claim_against_values((F.col("o_orderkey") % 50).cast("double"), F.coalesce("v", empty), 1.0).alias("verdict"))
 
 
-@register("F11_numeric_literals", r"SELECT doc_id, count(*) AS literals, count(*) FILTER (contains(left(text, 500), x)) AS supported FROM (SELECT doc_id, text, unnest(list_slice(regexp_extract_all(text, '[0-9]+(\.[0-9]+)?'), 1, 24)) AS x FROM documents) GROUP BY 1")
+@register("F11_numeric_literals", r"WITH t AS (SELECT conv_id, turn, text || ' ' || (conv_id * 7) || ' of ' || (turn * 1.5) AS said FROM conversations), f AS (SELECT a.conv_id, a.turn, b.said AS quote, unnest(list_slice(regexp_extract_all(a.said, '[0-9]+(\.[0-9]+)?'), 1, 24)) AS x FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1) SELECT conv_id, turn, count(*) AS literals, count(*) FILTER (contains(quote, x)) AS supported FROM f GROUP BY 1, 2")
 def f11(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.slice(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), 0), 1, 24)).alias("x"))
-    return d.groupBy("doc_id").agg(F.count("*").alias("literals"), F.count_if(F.contains(F.substring("text", 1, 500), F.col("x"))).alias("supported"))
+    """Literals of a turn (24 at most, as the rule has it) against the whole turn that it answers."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", (F.col("conv_id") * 7).cast("string"), F.lit("of"), (F.col("turn") * F.lit(1.5).cast("decimal(2,1)")).cast("string")).alias("said"))
+    quotes = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("said").alias("quote"))
+    f = t.join(quotes, ["conv_id", "turn"]).select("conv_id", "turn", "quote", F.explode(fa.literals(F.col("said"))).alias("x"))
+    return f.groupBy("conv_id", "turn").agg(F.count("*").alias("literals"), F.count_if(F.contains("quote", F.col("x"))).alias("supported"))
 
 
 @register("F12_liquidity_pair", f"WITH {FACTS}, b AS (SELECT issuer, period_end, max(n_sources) FILTER (concept = 'assets') AS na, max(cents) FILTER (concept = 'assets') AS va, max(n_sources) FILTER (concept = 'liabilities') AS nl, max(cents) FILTER (concept = 'liabilities') AS vl FROM facts WHERE available_at <= DATE '{CUT}' AND concept IN ('assets', 'liabilities') GROUP BY 1, 2) SELECT issuer, period_end, CASE WHEN na IS NULL OR nl IS NULL THEN 'incomplete' WHEN na > 1 OR nl > 1 THEN 'ambiguous' ELSE 'ok' END AS status, CASE WHEN na = 1 AND nl = 1 THEN (va - vl)::BIGINT END AS margin_cents FROM (SELECT *, row_number() OVER (PARTITION BY issuer ORDER BY period_end DESC) AS r FROM b) WHERE r = 1")

@@ -36,12 +36,21 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("A04_funnel_snapshot", f"WITH {_WINDOWS} SELECT hours, count(*) AS n, count(DISTINCT user_id) AS users, " + ", ".join(f"count(*) FILTER (event_type = '{x}') AS n_{x}" for x in TYPES) + ", sum(round(value * 100)::BIGINT)::BIGINT AS cents, round(quantile_cont(value, 0.5) FILTER (event_type = 'error'), 6) AS error_p50, round(quantile_cont(value, 0.95) FILTER (event_type = 'error'), 6) AS error_p95, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS buyers FROM e GROUP BY 1")
 def a04(spark: SparkSession, sf: str) -> DataFrame:
-    kind = lambda x: F.col("event_type") == x
-    measures = {"n": lambda c: F.count_if(c), "users": lambda c: F.countDistinct(F.when(c, F.col("user_id")))}
-    measures |= {f"n_{x}": (lambda x: lambda c: F.count_if(c & kind(x)))(x) for x in TYPES}
-    measures |= {"cents": lambda c: F.sum(F.when(c, F.round(F.col("value") * 100).cast("long"))), "buyers": lambda c: F.countDistinct(F.when(c & kind("purchase"), F.col("user_id")))}
-    measures |= {f"error_p{p}": (lambda p: lambda c: F.round(F.percentile(F.when(c & kind("error"), F.col("value")), p / 100), 6))(p) for p in (50, 95)}
-    return t.look_back(_events(spark, sf), "ts", NOW, t.HOURS, measures)
+    """By user first, so that distinct users are rows and no row is expanded; percentiles in an aggregation of their own."""
+    e = _events(spark, sf).where(F.col("ts") <= t.at(NOW))
+    inside = {h: F.col("ts") >= t.since(NOW, h) for h in t.HOURS}
+    kinds = {f"n_{x}": F.col("event_type") == x for x in TYPES}
+    by = e.groupBy("user_id").agg(
+        *[F.count_if(c).alias(f"n_{h}") for h, c in inside.items()],
+        *[F.count_if(c & k).alias(f"{name}_{h}") for h, c in inside.items() for name, k in kinds.items()],
+        *[F.sum(F.when(c, F.round(F.col("value") * 100).cast("long"))).alias(f"cents_{h}") for h, c in inside.items()],
+    )
+    names = ("n", *kinds, "cents")
+    flat = by.agg(*[F.sum(f"{n}_{h}").alias(f"{n}_{h}") for h in t.HOURS for n in names], *[F.count_if(F.col(f"n_{h}") > 0).alias(f"users_{h}") for h in t.HOURS], *[F.count_if(F.col(f"n_purchase_{h}") > 0).alias(f"buyers_{h}") for h in t.HOURS])
+    rows = flat.select(F.inline(F.array(*[F.struct(F.lit(h).alias("hours"), *[F.col(f"{n}_{h}").alias(n) for n in (*names, "users", "buyers")]) for h in t.HOURS])))
+    held = F.array_compact(F.array(*[F.when(c, F.lit(h)) for h, c in inside.items()]))
+    errors = e.where("event_type = 'error'").select("value", F.explode(held).alias("hours")).groupBy("hours").agg(*[F.round(F.percentile("value", p / 100), 6).alias(f"error_p{p}") for p in (50, 95)])
+    return rows.join(F.broadcast(errors), "hours", "left")  # a row a window
 
 
 @register("A05_queue_operations", "SELECT o_orderpriority AS queue, count(*) FILTER (o_orderstatus = 'O') AS waiting, count(*) FILTER (o_orderstatus = 'P') AS processing, count(*) FILTER (o_orderstatus = 'F') AS done, date_diff('day', min(o_orderdate) FILTER (o_orderstatus IN ('O', 'P'))::DATE, DATE '2001-08-02') AS oldest_days, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS backlog FROM orders GROUP BY 1")
