@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import collapse, fold
+from tidemark.functions.text import collapse, fold, let
 from tidemark.operators.changes import first_difference
 from tidemark.operators.scoring import first_true
 
@@ -137,25 +137,26 @@ def keyword_windows(c: F.Column, up: Sequence[str], down: Sequence[str]) -> F.Co
     The first hit of each polarity has the first choice, then all hits in text order; a window is half of WINDOW to
     either side, cut to whole words.  Character 0 is the first of the text with its white space collapsed.
     """
-    t = collapse(c)
-    low = F.lower(t)
-    at = lambda terms: F.filter(F.array(*[F.locate(x, low) - 1 for x in terms]), lambda p: p >= 0)
-    first = lambda terms: F.filter(F.array(F.array_min(at(terms))), lambda p: p.isNotNull())
-    order = F.array_distinct(F.concat(first(up), first(down), F.array_sort(F.concat(at(up), at(down)))))
+    return let(collapse(c), lambda t: _keyword_windows(t, up, down))
+
+
+def _keyword_windows(t: F.Column, up: Sequence[str], down: Sequence[str]) -> F.Column:
+    at = lambda low, terms: F.filter(F.array(*[F.locate(x, low) - 1 for x in terms]), lambda p: p >= 0)
+    first = lambda p: F.filter(F.array(F.array_min(p)), lambda x: x.isNotNull())
+    order = let(F.lower(t), lambda low: let(F.array(at(low, up), at(low, down)), lambda p: F.array_distinct(F.concat(first(p[0]), first(p[1]), F.array_sort(F.flatten(p))))))
 
     def window(p: F.Column) -> F.Column:
         n = F.length(t)
         a, b = F.greatest(F.lit(0), p - WINDOW // 2), F.least(n, p + WINDOW // 2)
         space = F.locate(" ", F.substr(t, a + 1, p - a))
-        start = F.when((a > 0) & (space > 0), a + space).otherwise(a)
         tail = F.locate(" ", F.reverse(F.substr(t, p + 1, b - p)))
+        start = F.when((a > 0) & (space > 0), a + space).otherwise(a)
         stop = F.when((b < n) & (tail > 0) & (b - tail > p), b - tail).otherwise(b)
         return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"))
 
-    windows = F.transform(order, window)
     none = F.array().cast("array<struct<start:int,stop:int>>")
     free = lambda acc, w: ~F.exists(acc, lambda o: (w["start"] <= o["stop"]) & (w["stop"] >= o["start"]))
-    chosen = F.aggregate(windows, none, lambda acc, w: F.when((F.size(acc) < MAX_WINDOWS) & free(acc, w) & (w["stop"] > w["start"]), F.array_append(acc, w)).otherwise(acc))
+    chosen = F.aggregate(F.transform(order, window), none, lambda acc, w: F.when((F.size(acc) < MAX_WINDOWS) & free(acc, w) & (w["stop"] > w["start"]), F.array_append(acc, w)).otherwise(acc))
     return F.transform(F.array_sort(chosen), lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), F.trim(F.substr(t, w["start"] + 1, w["stop"] - w["start"])).alias("text")))
 
 

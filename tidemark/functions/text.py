@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ HIDDEN = ("script", "style", "svg", "head")
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
+def let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def collapse(c: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " "))
 

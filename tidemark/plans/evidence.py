@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import register
+from tidemark.functions import financing as fin
 from tidemark.functions import reports as rp
 from tidemark.operators import forensics as fo
 from tidemark.operators import scoring as sc
@@ -409,3 +410,71 @@ def x14(spark: SparkSession, sf: str) -> DataFrame:
     """A deal's sentence behind each text, whose own sentence marks are taken out; only one candidate a text is believed."""
     t = F.concat(F.regexp_replace("text", "[.!?]", ","), F.lit(". "), _nth(_DEALS, F.col("doc_id") % 5))
     return rp.partnerships(table(spark, sf, "documents").select("doc_id", t.alias("text")), "doc_id")
+
+
+# sentences that stand behind a text, chosen by doc_id
+_FINANCING = (
+    "The proposed resale or other disposition by holders of up to 1,250,000 shares; we will not receive any proceeds.",
+    "Under our ATM facility we reduce the maximum aggregate offering price from $50,000,000 to $12,500,000. To date we have sold 40,500 ADSs having an aggregate offering price of approximately $81,000.50.",
+    "The issuer is offering on a best-efforts basis up to 3,000,000 Class A Ordinary Shares at a public offering price of $4.25 per Class A Ordinary Share.",
+    "It agreed to sell to investors in a private placement to be closed soon an aggregate of 900,000 shares of stock at an offering price of $2.10 per Share. The gross proceeds of the Private Placement are expected to be approximately $1.89 million.",
+    "The company issued to a lender a senior secured convertible promissory note in the original principal amount of $5,000,000. The Convertible Note bears interest at an annual rate of 8.5%. The Convertible Note matures on March 31, 2027.",
+    "It agreed to sell (i) 10,000 shares of Series A 10% Convertible Preferred Stock for aggregate gross proceeds of $10,000,000.",
+    "And in a concurrent private placement we are issuing unregistered warrants to purchase up to 500,000 Common Shares at an exercise price of $1.15 per share.",
+    "It was previously amended to establish a reduced exercise price period and the exercise price was amended to $3.00 per Warrant share. We now amend the exercise price to $1.50 per Warrant share.",
+    "Holders agreed to exercise the Existing Warrants for cash at a reduced exercise price of $0.75 per share for new Class B warrants to purchase up to 2,000,000 shares; the exercise price thereof is $0.90 per share. If all of the Existing Warrants are exercised in full we will receive aggregate gross proceeds of approximately $1.5 million.",
+    "The Equity Purchase Agreement provided the Company the right, but not the obligation, to direct the Investor to purchase up to $20,000,000. The Equity Purchase Agreement terminated effective as of June 1.",
+    "It closed its previously announced notes offering of $1.25 billion aggregate principal amount of its 6.125% senior notes due 2031. The Notes will mature on May 15, 2031.",
+    "It closed its previously announced notes offering of $300 million aggregate principal amount of its 5% senior notes due 2030. The Notes will mature on May 15, 2031.",
+    "The issuer is offering up to 3,500,000 Common Shares at a public offering price of $4.25 per Common Share.",
+    "Nothing was financed.",
+)
+
+
+def _excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    behind = lambda n: F.concat_ws(" ", F.regexp_replace("text", r"\\s+", " "), _nth(_FINANCING, n))
+    return d.select("doc_id", F.explode(F.array(behind(F.col("doc_id") % 14), behind(F.col("doc_id") * 5 % 14))).alias("text"))
+
+
+def _terms_sql() -> str:
+    """Each pattern's distinct statements by document, then one branch a term."""
+    x = "x AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') || ' ' || " + str([s for s in _FINANCING]) + "[n + 1] AS t FROM documents, (SELECT unnest([0, 1]) AS k) , LATERAL (SELECT CASE k WHEN 0 THEN doc_id % 14 ELSE doc_id * 5 % 14 END AS n))"
+    groups = ", ".join(f"list(DISTINCT [{', '.join(f"regexp_extract(t, '(?i){p}', {i})" for i in range(1, fin.GROUPS[n] + 1))}]) FILTER (regexp_matches(t, '(?i){p}')) AS {n}" for n, p in fin.PATTERNS.items())
+    has = ", ".join(f"bool_or({' OR '.join(f"contains(lower(t), '{p}')" for p in phrases)}) AS has_{s}" for s, phrases in fin.SIGNALS.items() if s in ("atm_program", "public_offering", "offering_price", "private_placement"))
+    has += f", bool_or(contains(lower(t), '{fin.NO_PROCEEDS}')) AS has_no_proceeds, bool_or(contains(lower(t), '{fin.LINE_ENDED}')) AS has_line_ended"
+    g = lambda n, i: f"{n}[1][{i}]"
+    num = lambda n, i: f"replace({g(n, i)}, ',', '')::DECIMAL(24,4)"
+    big = lambda n, i, j: f"({num(n, i)}::DECIMAL(18,4) * CASE WHEN lower({g(n, j)}) = 'billion' THEN 1000000000 ELSE 1000000 END)::DECIMAL(24,4)"
+    day = lambda n: f"try_strptime({g(n, 1)}, '%B %d, %Y')::DATE"
+    rows = (
+        ("resale IS NOT NULL AND has_no_proceeds", "resale_registration", "registered", {"shares": num("resale", 1)}),
+        ("capacity IS NOT NULL AND has_atm_program", "atm_program", "amended", {"amount": num("capacity", 2), "shares": num("sales", 1)}),
+        ("offering IS NOT NULL AND has_public_offering AND has_offering_price", "public_offering", "priced", {"shares": num("offering", 1), "price": num("offering", 2)}),
+        ("placement IS NOT NULL AND has_private_placement", "pipe", "priced", {"shares": num("placement", 1), "price": num("placement", 2), "amount": big("placement_gross", 1, 2)}),
+        ("note IS NOT NULL", "convertible_debt", "closed", {"amount": num("note", 1), "rate": num("note_interest", 1), "maturity": day("note_maturity")}),
+        ("preferred IS NOT NULL", "preferred_equity", "proposed", {"shares": num("preferred", 1), "amount": num("preferred", 2)}),
+        ("warrant IS NOT NULL", "warrant", "priced", {"shares": num("warrant", 1), "exercise_price": num("warrant", 2)}),
+        ("repricing IS NOT NULL", "warrant_repricing", "amended", {"price": num("repricing", 1), "exercise_price": num("repricing", 2)}),
+        ("inducement IS NOT NULL AND inducement_shares IS NOT NULL AND inducement_price IS NOT NULL", "warrant_exercise_inducement", "proposed", {"shares": num("inducement_shares", 1), "price": num("inducement", 1), "exercise_price": num("inducement_price", 1), "amount": big("inducement_gross", 1, 2)}),
+        ("equity_line IS NOT NULL AND has_line_ended", "equity_line", "terminated", {"amount": num("equity_line", 1)}),
+        ("debt IS NOT NULL AND debt_maturity IS NOT NULL", "debt", "closed", {"amount": big("debt", 1, 2), "rate": num("debt", 3), "maturity": day("debt_maturity")}),
+    )
+    clash = " OR ".join([f"coalesce(len({n}), 0) > 1" for n in fin.PATTERNS] + [f"coalesce(NOT ends_with({g('debt_maturity', 1)}, {g('debt', 4)}), false)"])
+    fields = lambda v: ", ".join(f"({v.get(f, 'NULL')})::{'DATE' if f == 'maturity' else 'DECIMAL(24,4)'} AS {f}" for f in ("amount", "shares", "price", "exercise_price", "rate", "maturity"))
+    parts = [f"SELECT doc_id, '{i}' AS instrument, '{s}' AS status, {fields(v)} FROM z WHERE NOT clash AND {w}" for w, i, s, v in rows]
+    return f"WITH {x}, y AS (SELECT doc_id, {groups}, {has} FROM x GROUP BY 1), z AS (SELECT *, {clash} AS clash FROM y) " + " UNION ALL ".join([f"SELECT doc_id, 'conflict' AS instrument, 'conflict' AS status, {fields({})} FROM z WHERE clash", *parts])
+
+
+@register("X10_financing_terms", _terms_sql())
+def x10(spark: SparkSession, sf: str) -> DataFrame:
+    """Two excerpts a document, each its whole text and a sentence behind it; eleven kinds of terms, and conflicts."""
+    return fin.terms(_excerpts(spark, sf), "doc_id")
+
+
+@register("X09_financing_windows")
+def x09(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows around the signal phrases of a whole text with two such sentences.  A fold, which tests compare with a plain version."""
+    t = F.concat_ws(" ", _nth(_FINANCING, F.col("doc_id") % 14), "text", _nth(_FINANCING, F.col("doc_id") * 3 % 14))
+    w = table(spark, sf, "documents").select("doc_id", fin.evidence_windows(t).alias("windows"))
+    return w.select("doc_id", F.posexplode("windows").alias("pos", "w")).select("doc_id", "pos", "w.start", "w.stop", F.array_join("w.signals", ",").alias("signals"))

@@ -135,13 +135,6 @@ def x07(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("lang").agg(F.sum(tx.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@register("X10_amount_parser", r"SELECT doc_id, CASE WHEN m <> '' THEN replace(m, ',', '')::DOUBLE * CASE WHEN contains(lower(head), 'million') THEN 1e6 WHEN contains(lower(head), 'billion') THEN 1e9 ELSE 1.0 END END AS amount FROM (SELECT doc_id, left(text, 2000) AS head, regexp_extract(left(text, 2000), '([0-9][0-9,]{0,12}(?:\.[0-9]+)?)', 1) AS m FROM documents) WHERE length(m) < 12 OR m = ''")
-def x10(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.substring("text", 1, 2000)
-    m = F.regexp_extract(head, r"([0-9][0-9,]{0,12}(?:\.[0-9]+)?)", 1)
-    return table(spark, sf, "documents").where(F.length(m) < 12).select("doc_id", tx.amount(F.concat_ws(" ", F.when(m != "", m), F.lower(F.regexp_extract(head, "(?i)(million|billion)", 1)))).alias("amount"))
-
-
 @register("X11_only_match", "SELECT doc_id, CASE WHEN len(list_distinct(regexp_extract_all(text, '[0-9]{4,6}'))) = 1 THEN regexp_extract(text, '[0-9]{4,6}') END AS only FROM documents")
 def x11(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.only_match(F.regexp_extract_all("text", F.lit("[0-9]{4,6}"), 0)).alias("only"))

@@ -46,11 +46,6 @@ def r10(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(context)), ",").alias("contexts"))
 
 
-@register("R16_fact_adapters", "SELECT s_suppkey, 'balance' AS kind, round(s_acctbal * 100)::BIGINT AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey FROM supplier")
-def r16(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").selectExpr("s_suppkey", "stack(2, 'balance', cast(round(s_acctbal * 100) as bigint), 'nation', cast(s_nationkey as bigint)) as (kind, value)")
-
-
 @register("R17_persistence_gate", "SELECT user_id, count(DISTINCT event_type) >= 4 AND max(value) > 60 AND count(*) >= 30 AS persist FROM events GROUP BY 1")
 def r17(spark: SparkSession, sf: str) -> DataFrame:
     by = _events(spark, sf).groupBy("user_id").agg(F.countDistinct("event_type").alias("channels"), F.max("value").alias("top"), F.count("*").alias("n"))
@@ -62,20 +57,6 @@ def x08(spark: SparkSession, sf: str) -> DataFrame:
     return ro.sections_by_heading(table(spark, sf, "pages"), "page_id", "html", "(?i)<h[1-3][^>]*>", 40).select("page_id", "pos", F.length("section").cast("long").alias("n"))
 
 
-_PHRASES = ("license", "password", "token", "phone", "copyright")
-
-
-@register("X09_signal_windows", " UNION ALL ".join(f"SELECT doc_id, {i} AS priority, '{p}' AS phrase, instr(lower(text), '{p}')::INTEGER AS place FROM documents WHERE contains(lower(text), '{p}')" for i, p in enumerate(_PHRASES)))
-def x09(spark: SparkSession, sf: str) -> DataFrame:
-    return ro.signal_windows(table(spark, sf, "documents"), "doc_id", "text", _PHRASES, 100).drop("window")
-
-
-@register("X27_link_binding", "SELECT page_id, contains(html, 'href=\"/') AS indexed, sha256(html) = sha256(html || '') AS reconciles FROM pages")
-def x27(spark: SparkSession, sf: str) -> DataFrame:
-    stored = table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("stored"))
-    return table(spark, sf, "pages").join(stored, "page_id").select("page_id", F.contains("html", F.lit('href="/')).alias("indexed"), (F.sha2("html", 256) == F.col("stored")).alias("reconciles"))
-
-
 _PRIOR = "(SELECT *, lag(o_orderpriority) OVER w AS bk, lag(o_orderdate) OVER w AS bt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 
 
@@ -86,13 +67,6 @@ def d03(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", ro.relationship(F.col("bk"), F.col("o_orderpriority"), F.col("bt"), F.col("o_orderdate")).alias("relationship"))
 
 
-@register("D04_lifecycle", f"SELECT CASE WHEN bk IS NULL THEN 'snapshot_only' WHEN bk = o_orderpriority THEN 'no_change' ELSE 'recorded' END AS disposition, count(*) AS n FROM {_PRIOR} GROUP BY 1")
-def d04(spark: SparkSession, sf: str) -> DataFrame:
-    before = F.lag("o_orderpriority").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    o = table(spark, sf, "orders").withColumn("bk", before)
-    return o.groupBy(sc.first_true([("snapshot_only", F.col("bk").isNull()), ("no_change", F.col("bk") == F.col("o_orderpriority"))], "recorded").alias("disposition")).agg(F.count("*").alias("n"))
-
-
 @register("K03_retroactive_rows", "SELECT day, count(*) AS recorded, count(*) FILTER (ts - to_hours((event_id % 72)::BIGINT) <= day) AS effective_before FROM (SELECT *, ts::DATE AS day FROM events) GROUP BY 1")
 def k03(spark: SparkSession, sf: str) -> DataFrame:
     effective = F.col("ts") - F.expr("make_dt_interval(0, cast(event_id % 72 as int))")
@@ -100,17 +74,6 @@ def k03(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("day").agg(F.count("*").alias("recorded"), F.count_if(F.col("effective") <= F.col("day").cast("timestamp_ntz")).alias("effective_before"))
 
 
-@register("K04_partial_coverage", "SELECT user_id, greatest(min(ts), TIMESTAMP '2024-01-10') AS coverage_start, min(ts) <= TIMESTAMP '2024-01-10' AS complete FROM events GROUP BY 1")
-def k04(spark: SparkSession, sf: str) -> DataFrame:
-    start = F.lit("2024-01-10").cast("timestamp_ntz")
-    return _events(spark, sf).groupBy("user_id").agg(F.greatest(F.min("ts"), start).alias("coverage_start"), (F.min("ts") <= start).alias("complete"))
-
-
-@register("K11_interrupted_attempts", "SELECT l_orderkey, max(l_linenumber) AS last_attempt, bool_or(l_linestatus = 'O') AS requeue FROM lineitem GROUP BY 1")
-def k11(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last_attempt"), F.bool_or(F.col("l_linestatus") == "O").alias("requeue"))
-
-
 @register("V03_recomputed_returns", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE abs(round(l_extendedprice * 100)::BIGINT - round(round(l_extendedprice / l_quantity, 2) * l_quantity * 100)::BIGINT) > 20")
 def v03(spark: SparkSession, sf: str) -> DataFrame:
     unit = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
@@ -118,30 +81,3 @@ def v03(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").where(F.abs(F.round(F.col("l_extendedprice") * 100).cast("long") - again) > 20).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-def _rules(id_: str, name: str, key: str, rules: dict[str, str]) -> None:
-    """A named-rule report: the same conditions for both engines."""
-    sql = " UNION ALL ".join(f"SELECT {key}, '{v}' AS violation FROM {name} WHERE NOT coalesce({c}, false)" for v, c in rules.items())
-
-    @register(id_, sql)
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return ro.violations(table(spark, sf, name), key, {v: F.expr(c) for v, c in rules.items()})
-
-
-_rules("V07_temporal_guards", "events", "event_id", {"positive_value": "value > 1", "known_type": "event_type <> 'error'", "user": "user_id < 140"})
-_rules("V09_signal_integrity", "part", "p_partkey", {"size": "p_size between 1 and 49", "price": "p_retailprice < 2500", "words": "p_name not like '%red%'"})
-_rules("V12_batch_invariants", "orders", "o_orderkey", {"total": "o_totalprice between 1000 and 450000", "status": "o_orderstatus in ('F', 'O')"})
-_rules("V13_receipt_invariants", "customer", "c_custkey", {"balance": "c_acctbal >= 0", "segment": "c_mktsegment <> 'FURNITURE'"})
-_rules("V14_routing_invariants", "supplier", "s_suppkey", {"balance": "s_acctbal > 1000", "nation": "s_nationkey between 1 and 23"})
-_rules("V16_series_invariants", "documents", "doc_id", {"length": "n_chars > 100", "language": "lang = 'en'"})
-
-
-@register("V15_report_totals", "SELECT o_orderstatus, count(*) AS n, count(*) = sum(CASE WHEN o_totalprice >= 0 THEN 1 ELSE 0 END) AS reconciles FROM orders GROUP BY 1")
-def v15(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), (F.count("*") == F.count_if(F.col("o_totalprice") >= 0)).alias("reconciles"))
-
-
-@register("H08_receipt_pairs", "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 6 <> 0")
-def h08(spark: SparkSession, sf: str) -> DataFrame:
-    """Receipts that came without their routing row: both halves or neither are appended."""
-    o = table(spark, sf, "orders").select("o_orderkey")
-    return led.append_new(o.where("o_orderkey % 6 = 0"), o.where("o_orderkey % 4 = 0"), "o_orderkey")

@@ -142,13 +142,6 @@ def o02(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").where("o_orderstatus = 'O'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(1).select("o_orderkey")
 
 
-@register("V01_append_only", "SELECT count(*) AS changed FROM orders WHERE o_orderkey < 0")
-def v01(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of an earlier snapshot that a later one lacks or holds otherwise: none in an append-only table."""
-    o = table(spark, sf, "orders")
-    return o.where("o_orderkey % 2 = 0").exceptAll(o).agg(F.count("*").alias("changed"))
-
-
 @register("V02_column_record_mismatch", "SELECT event_id FROM events WHERE (props ->> '$.k')::BIGINT <> event_id % 100")
 def v02(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).where(~F.get_json_object("props", "$.k").cast("long").eqNullSafe(F.col("event_id") % 100)).select("event_id")
@@ -160,33 +153,6 @@ def v06(spark: SparkSession, sf: str) -> DataFrame:
     return j.where("l_shipdate < o_orderdate").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@register("V08_metric_integrity", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice <= 0 OR o_orderdate IS NULL OR o_custkey % 10 = 3 GROUP BY 1")
-def v08(spark: SparkSession, sf: str) -> DataFrame:
-    broken = (F.col("o_totalprice") <= 0) | F.col("o_orderdate").isNull() | (F.col("o_custkey") % 10 == 3)
-    return table(spark, sf, "orders").where(broken).groupBy("o_custkey").agg(F.count("*").alias("n"))
-
-
-@register("V17_context_rules", "SELECT CASE WHEN event_type = 'error' AND value > 100 THEN 'error_value' WHEN event_type = 'signup' AND user_id % 50 = 0 THEN 'signup_user' ELSE 'ok' END AS rule, count(*) AS n FROM events GROUP BY 1")
-def v17(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.col("event_type")
-    rule = sc.first_true([("error_value", (kind == "error") & (F.col("value") > 100)), ("signup_user", (kind == "signup") & (F.col("user_id") % 50 == 0))], "ok")
-    return _events(spark, sf).groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
-
-
-@register("R22_amendment_delta", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.n IS NULL THEN 'full' WHEN b.n IS NULL THEN 'withdrawn' WHEN a.n = b.n THEN 'reuse' ELSE 'delta' END AS decision FROM (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1) b ON a.user_id = b.user_id")
-def r22(spark: SparkSession, sf: str) -> DataFrame:
-    mid = F.lit("2024-01-15").cast("timestamp_ntz")
-    a = _events(spark, sf).where(F.col("ts") < mid).groupBy("user_id").agg(F.count("*").alias("a"))
-    b = _events(spark, sf).where(F.col("ts") >= mid).groupBy("user_id").agg(F.count("*").alias("b"))
-    return a.join(b, "user_id", "full_outer").select("user_id", sc.first_true([("full", F.col("a").isNull()), ("withdrawn", F.col("b").isNull()), ("reuse", F.col("a") == F.col("b"))], "delta").alias("decision"))
-
-
-@register("R30_package_projection", "SELECT o_orderkey, o_orderstatus || ':' || o_custkey AS head, least(length(o_orderpriority), 5)::INTEGER AS width FROM orders")
-def r30(spark: SparkSession, sf: str) -> DataFrame:
-    package = F.struct(F.concat_ws(":", "o_orderstatus", F.col("o_custkey").cast("string")).alias("head"), F.least(F.length("o_orderpriority"), F.lit(5)).alias("width"))
-    return table(spark, sf, "orders").select("o_orderkey", package.alias("p")).select("o_orderkey", "p.*")
-
-
 @register("R31_sensor_text", "SELECT event_id, (event_id % 512) * CASE event_id % 3 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 ELSE 1 END AS bytes FROM events")
 def r31(spark: SparkSession, sf: str) -> DataFrame:
     unit = F.element_at(F.array(F.lit("KiB"), F.lit("MiB"), F.lit("B")), (F.col("event_id") % 3).cast("int") + 1)
@@ -207,14 +173,6 @@ def r13(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").where(~fits).select("o_orderkey")
 
 
-@register("R23_arbitration", "SELECT a.conv_id, a.turn, len(list_intersect(regexp_extract_all(a.text, '[0-9]+'), regexp_extract_all(b.text, '[0-9]+')))::INTEGER AS refuted FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
-def r23(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    n = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), 0)
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.size(F.array_intersect(n("text"), n("next"))).alias("refuted"))
-
-
 @register("X21_ticker_extraction", "SELECT doc_id, nullif(regexp_extract(text, '(?:^| )([A-Z]{2,5})(?: |$)', 1), '') AS ticker FROM documents")
 def x21(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.nullif(F.regexp_extract("text", "(?:^| )([A-Z]{2,5})(?: |$)", 1), F.lit("")).alias("ticker"))

@@ -224,7 +224,7 @@ def r25(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", sc.first_true([("A", s.isin("src0", "src1")), ("B", s.isin("src2", "src3", "src4"))], "C").alias("grade"))
 
 
-@register("V10_totals_reconcile", f"WITH {_CASES} SELECT (SELECT count(*) FROM ev) AS total, (SELECT sum(n)::BIGINT FROM (SELECT count(*) AS n FROM ev GROUP BY label, origin, split)) AS strata_total, true AS reconciles")
+@register("V10_totals_reconcile", f"WITH {_CASES} SELECT *, total = strata_total AS reconciles FROM (SELECT (SELECT count(*) FROM ev) AS total, (SELECT sum(n)::BIGINT FROM (SELECT count(*) AS n FROM ev GROUP BY label, origin, split)) AS strata_total)")
 def v10(spark: SparkSession, sf: str) -> DataFrame:
     s = oc.strata(oc.evaluate(_cases(spark, sf), 0.002), ["label", "origin", "split"]).withColumn("n", F.col("completed") + F.col("unavailable"))
     whole = F.col("label").isNull()
