@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import changes, indicators, ledger, outcomes, scoring
+from tidemark.operators import changes, indicators, ledger, outcomes
 from tidemark.sources import filings
 from tidemark.streaming import stateful
 
@@ -67,12 +67,6 @@ def test_wilson_and_samples(spark):
     assert [r.d for r in spark.range(1, 8).select(outcomes.retry_delay(F.col("id")).alias("d")).collect()] == [300, 600, 1200, 2400, 4800, None, None]
 
 
-def test_scores_clamp_and_keep_missing(spark):
-    traces = spark.createDataFrame([("a", "opportunity", "x", 90), ("a", "opportunity", "y", 40), ("a", "risk", "z", None), ("b", "risk", "z", -5)], "subject string, dimension string, rule string, points int")
-    got = {r.subject: (r.opportunity, r.risk, r.missing, r.label) for r in scoring.scores(traces).collect()}
-    assert got == {"a": (100, 0, 1, "strong"), "b": (0, 0, 0, "weak")}
-
-
 def test_uuid5_and_chain(spark):
     r = spark.createDataFrame([("filing",), ("",), ("é",)], "name string").select("name", ledger.uuid5("6ba7b8119dad11d180b400c04fd430c8", F.col("name")).alias("id")).collect()
     assert all(x.id == str(uuid.uuid5(uuid.NAMESPACE_URL, x.name)) for x in r)
@@ -148,6 +142,24 @@ def test_limiter_forgets_refusals():
     assert stateful.admissions([0, 1, 2, 10.5, 11], 10, 2, []) == [(True, 0.0), (True, 0.0), (False, 8), (True, 0.0), (True, 0.0)]
 
 
+def test_caps_against_a_plain_count(spark):
+    import random
+
+    rnd = random.Random(1)
+    caps, times = [(60.0, 3), (600.0, 8), (5.0, 1)], sorted(rnd.uniform(0, 3000) for _ in range(400))
+    held, want = [], []
+    for now in times:
+        want.append(all(sum(t > now - w for t in held) < n for w, n in caps))
+        held += [now] if want[-1] else []
+    assert stateful.capped(times, caps) == want
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(u, i, base + dt.timedelta(microseconds=round(t * 1e6))) for u in (1, 2) for i, t in enumerate(times)], "user_id long, event_id long, ts timestamp_ntz")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    got = {(r.user_id, r.event_id): r.admitted for r in stateful.capped_batch(df, caps).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(u, i): x for u in (1, 2) for i, x in enumerate(want)}
+
+
 def test_all_caps_hold_at_once():
     assert stateful.capped([0, 5, 12, 24, 36, 101], ((10.0, 1), (100.0, 3))) == [True, False, True, True, False, True]
 

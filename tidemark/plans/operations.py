@@ -126,7 +126,7 @@ def k07(spark: SparkSession, sf: str) -> DataFrame:
     return st.illegal_transitions(log, {"signup": ("view", "error"), "view": ("click", "view"), "click": ("purchase",)}, "signup").select("event_id", "before", "status")
 
 
-@register("W07_governor")
+@register("W07_governor", "WITH r AS (SELECT user_id, event_id, value, row_number() OVER w AS i, ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), a AS (SELECT *, max(i) FILTER (NOT value <= 20) OVER w AS loud, max(i) FILTER (value >= 60) OVER w AS hot FROM r WINDOW w AS (PARTITION BY user_id ORDER BY i)), b AS (SELECT *, max(i) FILTER (i - coalesce(loud, 0) >= 3) OVER (PARTITION BY user_id ORDER BY i) AS calmed FROM a) SELECT user_id, event_id, CASE WHEN hot IS NOT NULL AND coalesce(calmed, 0) < hot THEN 'paused' ELSE 'running' END AS state FROM b")
 def w07(spark: SparkSession, sf: str) -> DataFrame:
     return st.governor(_events(spark, sf), ["user_id"], 60.0, 20.0, 3)
 

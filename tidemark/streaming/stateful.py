@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,15 +29,33 @@ def admissions(seconds: Iterable[float], window_s: float, limit: int, held: list
     return out
 
 
+def _seconds(ts: pd.Series) -> pd.Series:
+    return ts.astype("int64") / (1e9 if str(ts.dtype).endswith("[ns]") else 1e6)
+
+
 def _decided(pdf: pd.DataFrame, window_s: float, limit: int, held: list[float]) -> pd.DataFrame:
     pdf = pdf.sort_values(["ts", "event_id"])
-    verdicts = admissions(pdf["ts"].astype("int64") / (1e9 if str(pdf["ts"].dtype).endswith("[ns]") else 1e6), window_s, limit, held)
+    verdicts = admissions(_seconds(pdf["ts"]), window_s, limit, held)
     return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "admitted": [a for a, _ in verdicts], "retry_after_s": [round(s, 3) for _, s in verdicts]})
 
 
+def ordered_fold(df: DataFrame, key: str, order: Sequence[str], decide: Callable[[pd.DataFrame, list[float]], pd.DataFrame], schema: str) -> DataFrame:
+    """decide over each key's rows in order, batch by batch: a task holds a batch and the one list that a key carries on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            for k, part in batch.groupby(key, sort=False):
+                if k != now:
+                    now, held = k, []
+                yield decide(part, held)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def limit_batch(events: DataFrame, window_s: float, limit: int) -> DataFrame:
-    """Decisions of the limiter over a whole table (a refusal depends on all admissions before it, so a key is one fold)."""
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(lambda pdf: _decided(pdf, window_s, limit, []), DECISIONS)
+    """Decisions of the limiter over a whole table; a key carries at most `limit` times from row to row."""
+    return ordered_fold(events.select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], lambda part, held: _decided(part, window_s, limit, held), DECISIONS)
 
 
 def limit_stream(events: DataFrame, window_s: float, limit: int) -> DataFrame:
@@ -56,26 +74,29 @@ def limit_stream(events: DataFrame, window_s: float, limit: int) -> DataFrame:
     return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, DECISIONS, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def capped(seconds: Iterable[float], caps: Sequence[tuple[float, int]]) -> list[bool]:
-    """Whether each call, in order, stays within all caps (window in seconds, calls admitted in it)."""
-    longest, held, out = max(w for w, _ in caps), [], []
+def capped(seconds: Iterable[float], caps: Sequence[tuple[float, int]], held: list[float] | None = None) -> list[bool]:
+    """Whether each call, in order, stays within all caps (window in seconds, calls admitted in it).
+
+    held are the admitted times in order, of which the last ones still count; it is brought up to date.
+    """
+    held, out, most = [] if held is None else held, [], max(n for _, n in caps)
     for now in seconds:
-        held = [t for t in held if t > now - longest]
-        out.append(all(sum(t > now - w for t in held) < n for w, n in caps))
+        # a cap is full when its n-th last admitted call is still in its window
+        out.append(all(len(held) < n or held[-n] <= now - w for w, n in caps))
         if out[-1]:
             held.append(now)
+            del held[:-most]
     return out
 
 
 def capped_batch(events: DataFrame, caps: Sequence[tuple[float, int]]) -> DataFrame:
-    """user_id, event_id, admitted under several caps at once; each user's calls are one fold."""
+    """user_id, event_id, admitted under several caps at once; a key carries as many times as the largest cap."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "event_id"])
-        return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "admitted": capped(pdf["s"], caps)})
+    def decide(part: pd.DataFrame, held: list[float]) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": part["user_id"], "event_id": part["event_id"], "admitted": capped(part["s"], caps, held)})
 
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return events.select("user_id", "event_id", seconds.alias("s")).groupBy("user_id").applyInPandas(run, "user_id long, event_id long, admitted boolean")
+    return ordered_fold(events.select("user_id", "event_id", seconds.alias("s")), "user_id", ["s", "event_id"], decide, "user_id long, event_id long, admitted boolean")
 
 
 def terminal_status(attempts: DataFrame, job: str, attempt: str, ok: F.Column, most: int) -> DataFrame:
@@ -109,17 +130,17 @@ def append_once(path: str, key: str):
 def governor(readings: DataFrame, keys: list[str], high: float, low: float, calm: int) -> DataFrame:
     """Hysteresis: a reading of `high` or more pauses; `calm` readings in a row of `low` or less resume.
 
-    One ordered fold a key; returns each reading's place, value and state after it.
+    keys, event_id, state after each reading.  It is paused while the last high reading is later than the last one that
+    ended `calm` quiet ones, so two ordered windows tell it and no key is gathered.
     """
-    entries = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    start = F.struct(F.lit("running").alias("state"), F.lit(0).alias("quiet"), F.array().cast("array<struct<event_id:bigint,state:string>>").alias("out"))
-
-    def fold(acc: F.Column, r: F.Column) -> F.Column:
-        quiet = F.when(r["value"] <= low, acc["quiet"] + 1).otherwise(0)
-        state = F.when(r["value"] >= high, "paused").when((acc["state"] == "paused") & (quiet < calm), "paused").otherwise("running")
-        return F.struct(state.alias("state"), quiet.alias("quiet"), F.array_append(acc["out"], F.struct(r["event_id"].alias("event_id"), state.alias("state"))).alias("out"))
-
-    return readings.groupBy(*keys).agg(entries.alias("entries")).select(*keys, F.aggregate("entries", start, fold)["out"].alias("out")).select(*keys, F.inline("out"))
+    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    r = readings.select(*keys, "ts", "event_id", "value", F.row_number().over(w).alias("i"))
+    last = lambda when: F.max(F.when(when, F.col("i"))).over(so_far)
+    r = r.withColumns({"loud": last(~(F.col("value") <= low)), "hot": last(F.col("value") >= high)})
+    r = r.withColumn("calmed", last(F.col("i") - F.coalesce("loud", F.lit(0)) >= calm))
+    paused = F.col("hot").isNotNull() & (F.coalesce("calmed", F.lit(0)) < F.col("hot"))
+    return r.select(*keys, "event_id", F.when(paused, "paused").otherwise("running").alias("state"))
 
 
 def lease_recovery(jobs: DataFrame, now: str, lease: str, most: int) -> DataFrame:
@@ -130,8 +151,6 @@ def lease_recovery(jobs: DataFrame, now: str, lease: str, most: int) -> DataFram
 
 def illegal_transitions(log: DataFrame, allowed: dict[str, tuple[str, ...]], first: str) -> DataFrame:
     """Log rows whose status may not follow the one before it."""
-    from pyspark.sql import Window
-
     before = F.coalesce(F.lag("status").over(Window.partitionBy("job").orderBy("ts", "event_id")), F.lit(first))
     legal = F.lit(False)
     for a, b in allowed.items():
