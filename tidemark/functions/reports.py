@@ -189,7 +189,8 @@ def changed_excerpts(before: DataFrame, after: DataFrame, key: str, section: str
 
 def partnerships(texts: DataFrame, key: str) -> DataFrame:
     """key, entities, comparator, amount, scale of texts with exactly one sentence that names a partnership of two or more."""
-    sentences = texts.select(key, F.explode(_tokens(F.regexp_replace("text", r"\s+", " "), r"(?i)[^.!?]*partnership[^.!?]*")).alias("q")).withColumn("q", F.trim("q"))
+    every = F.split(F.regexp_replace("text", r"\s+", " "), "[.!?]")
+    sentences = texts.select(key, F.explode(F.filter(every, lambda q: F.contains(F.lower(q), F.lit("partnership")))).alias("q")).withColumn("q", F.trim("q"))
     said = F.regexp_extract("q", r"(?i)\bwith\s+(.{3,500}?)\s+to\s+(?:mobilize|raise|deploy|establish|create|build|finance)\b", 1)
     bare = F.regexp_replace(F.trim(said), r"(?i)^(the\s+)?(strategic\s+)?(partnerships?\s+)?", "")
     names = F.filter(F.transform(F.split(bare, r"\s*,\s*|\s+and\s+"), lambda n: F.btrim(n, F.lit(" ,"))), lambda n: n != "")
@@ -203,3 +204,54 @@ def partnerships(texts: DataFrame, key: str) -> DataFrame:
         none(F.regexp_extract("q", r"(?i)\$\s*[0-9][0-9,.]*\s*(million|billion|trillion)", 1)).alias("scale"),
     )
     return c.groupBy(key).agg(F.count("*").alias("n"), *[F.min(x).alias(x) for x in ("entities", "comparator", "amount", "scale")]).where("n = 1").drop("n")
+
+
+# Selectors of a filing's sections with their headings, and the items that must stand before one in a periodic form.
+HEADINGS = {
+    "controls.internal-control": ("Internal Control over Financial Reporting|INTERNAL CONTROL OVER FINANCIAL REPORTING", ""),
+    "controls.procedures": ("Controls and Procedures|CONTROLS AND PROCEDURES", "4|9A"),
+    "debt.borrowings": ("Borrowings|BORROWINGS", ""),
+    "debt.credit-facilities": ("Credit Facilities|CREDIT FACILITIES", ""),
+    "debt.debt": ("Debt(?: Financing)?|DEBT(?: FINANCING)?", ""),
+    "going-concern": ("Going Concern(?: Assessment)?|GOING CONCERN(?: ASSESSMENT)?", ""),
+    "issuance.dilution": ("Dilution|DILUTION", ""),
+    "issuance.securities": ("Description of (?:Capital Stock|Securities)|DESCRIPTION OF (?:CAPITAL STOCK|SECURITIES)", ""),
+    "issuance.unregistered-sales": ("Recent Sales of Unregistered (?:Equity )?Securities|RECENT SALES OF UNREGISTERED (?:EQUITY )?SECURITIES", ""),
+    "issuance.use-of-proceeds": ("Use of Proceeds|USE OF PROCEEDS", ""),
+    "liquidity": ("Liquidity and Capital Resources|LIQUIDITY AND CAPITAL RESOURCES", ""),
+    "litigation": ("Legal Proceedings|LEGAL PROCEEDINGS", "1|3"),
+    "outlook": ("Outlook|OUTLOOK|Business Outlook|BUSINESS OUTLOOK|Known Trends and Uncertainties|KNOWN TRENDS AND UNCERTAINTIES", ""),
+    "risks": ("Risk Factors|RISK FACTORS", "1A"),
+}
+BORDERS = (r"\b((?:ITEM|Item)\s+[0-9]{1,2}[A-C]?\.?\s+[A-Z])", r"\b(SIGNATURES)\b")
+LEAST_SECTION, MOST_SECTION, CONTENTS_SAMPLE = 80, 20_000, 600
+_MARK, _END = "\x01", "\x02"
+
+
+def marked_sections(text: F.Column, periodic: F.Column) -> F.Column:
+    """The text with a mark before every border and heading, the latter followed by its selector."""
+    out = text
+    for border in BORDERS:
+        out = F.regexp_replace(out, border, f"{_MARK}{_END}$1")
+    free = bound = out
+    for selector, (heading, items) in HEADINGS.items():
+        here = rf"\b({heading})\b"
+        free = F.regexp_replace(free, here, f"{_MARK}{selector}{_END}$1")
+        bound = F.regexp_replace(bound, rf"((?:ITEM|Item)\s+(?:{items})\.?\s*)({heading})\b", f"$1{_MARK}{selector}{_END}$2") if items else F.regexp_replace(bound, here, f"{_MARK}{selector}{_END}$1")
+    return F.when(periodic, bound).otherwise(free)
+
+
+def sections(df: DataFrame, key: str, text: str, periodic: str) -> DataFrame:
+    """key, selector, section: the first substantial section of each heading, tables of contents aside.
+
+    A section ends at the next heading or border.  Forms that are not periodic prefer a heading in capitals.
+    """
+    parts = F.split(marked_sections(collapse(F.col(text)), F.col(periodic)), _MARK)
+    p = df.select(key, periodic, F.posexplode(parts).alias("pos", "part")).where(F.col("pos") > 0)
+    p = p.select(key, periodic, "pos", F.substring_index("part", _END, 1).alias("selector"), F.substring(F.trim(F.substring_index("part", _END, -1)), 1, MOST_SECTION).alias("section"))
+    sample = F.substring("section", 1, CONTENTS_SAMPLE)
+    n = lambda pattern: F.regexp_count(sample, F.lit(pattern))
+    contents = (n(r"\b(?:ITEM|Item)\s+[0-9]") >= 3) | (n(r"\b[0-9]{1,3}\s+(?:ITEM|Item|PART|Part)\b") >= 2) | ((n(r"\b(?:S-|F-)?[0-9]{1,3}\b") >= 3) & (n(r"\b[A-Z][A-Z &'/-]{4,}\b") >= 2))
+    good = p.where((F.col("selector") != "") & (F.length("section") >= LEAST_SECTION) & ~contents)
+    plain = ~F.col(periodic) & ~F.col("section").rlike("^[A-Z]{2}")
+    return good.groupBy(key, "selector").agg(F.min_by("section", F.struct(plain.alias("plain"), "pos")).alias("section"))

@@ -14,12 +14,6 @@ def relationship(base_kind: F.Column, kind: F.Column, base_at: F.Column, at: F.C
     return first_true([("no_base", base_kind.isNull()), ("base_is_later", base_at >= at), ("amends", (base_kind == kind)), ("other_kind", base_kind != kind)], "unknown")
 
 
-def sections_by_heading(pages: DataFrame, key: str, html: str, pattern: str, least: int) -> DataFrame:
-    """Text from each heading to the next; short ones (tables of contents) are left out."""
-    parts = F.split(F.col(html), pattern)
-    return pages.select(key, F.posexplode(parts).alias("pos", "section")).where((F.col("pos") > 0) & (F.length("section") >= least))
-
-
 def violations(df: DataFrame, key: str, rules: dict[str, F.Column]) -> DataFrame:
     """key, violation: one row for each named rule that a row breaks; a rule that cannot be told is broken."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

@@ -272,7 +272,7 @@ def r27(spark: SparkSession, sf: str) -> DataFrame:
 _KINDS = ("reported_fact", "analyst_inference")
 _REPORTS = f"""{_TURNS},
 b AS (SELECT a.conv_id, a.turn, b.said AS record, CASE WHEN a.turn % 5 = 4 THEN 'not in it' ELSE regexp_extract(b.said, '^[^.]*') END AS quote, a.said AS answer, {list(_KINDS)}[(a.conv_id + a.turn) % 2 + 1] AS kind FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1),
-s AS (SELECT *, CASE conv_id % 3 WHEN 0 THEN '  ' || upper(quote) WHEN 1 THEN answer ELSE quote || ' 12,5% of -3 at https://x.y/z' END AS statement, CASE WHEN conv_id % 11 = 5 THEN NULL ELSE record END AS known FROM b),
+s AS (SELECT *, CASE conv_id % 3 WHEN 0 THEN '  ' || replace(quote, 'e', 'E') WHEN 1 THEN answer ELSE quote || ' 12,5% of -3 at https://x.y/z' END AS statement, CASE WHEN conv_id % 11 = 5 THEN NULL ELSE record END AS known FROM b),
 v AS (SELECT *, known IS NULL AS unknown_id, known IS NOT NULL AND NOT contains(known, quote) AS not_verbatim, CASE WHEN known IS NOT NULL AND contains(known, quote) THEN quote ELSE '' END AS support FROM s),
 w AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(statement, '[A-Za-z][A-Za-z''-]{{2,}}'), lambda x: lower(x)), lambda x: NOT list_contains({list(rp.STOP_WORDS)}, x))) AS mine, list_distinct(list_transform(regexp_extract_all(support, '[A-Za-z][A-Za-z''-]{{2,}}'), lambda x: lower(x))) AS theirs FROM v)"""
 
@@ -283,7 +283,7 @@ def _statements(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     quote = F.when((F.col("turn") + 1) % 5 == 4, "not in it").otherwise(F.regexp_extract("said", "^[^.]*", 0))
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), quote.alias("quote"))
     b = c.select("conv_id", "turn", F.col("said").alias("answer")).join(before, ["conv_id", "turn"])
-    statement = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), F.upper("quote"))).when(F.col("conv_id") % 3 == 1, F.col("answer")).otherwise(F.concat("quote", F.lit(" 12,5% of -3 at https://x.y/z")))
+    statement = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), F.replace("quote", F.lit("e"), F.lit("E")))).when(F.col("conv_id") % 3 == 1, F.col("answer")).otherwise(F.concat("quote", F.lit(" 12,5% of -3 at https://x.y/z")))
     cite = F.array(F.struct(F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("evidence_id"), F.col("quote").alias("quote")))
     found = b.select("conv_id", "turn", statement.alias("statement"), _nth(_KINDS, (F.col("conv_id") + F.col("turn")) % 2).alias("kind"), cite.alias("citations"))
     records = c.where("conv_id % 11 <> 5").select(F.concat_ws("-", "conv_id", "turn").alias("evidence_id"), F.col("said").alias("text"))
@@ -400,7 +400,7 @@ _DEAL_SQL = f"x AS (SELECT doc_id, regexp_replace(text, '[.!?]', ',', 'g') || '.
 
 @register(
     "X14_partnerships",
-    rf"""WITH {_DEAL_SQL}, s AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '\s+', ' ', 'g'), '(?i)[^.!?]*partnership[^.!?]*')) AS q FROM x),
+    rf"""WITH {_DEAL_SQL}, s AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(t, '\s+', ' ', 'g'), '[.!?]'), lambda q: contains(lower(q), 'partnership'))) AS q FROM x),
 c AS (SELECT doc_id, trim(q) AS q, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(regexp_extract(q, '(?i)\bwith\s+(.{{3,500}}?)\s+to\s+(?:mobilize|raise|deploy|establish|create|build|finance)\b', 1)), '(?i)^(the\s+)?(strategic\s+)?(partnerships?\s+)?', ''), '\s*,\s*|\s+and\s+'), lambda n: trim(n, ' ,')), lambda n: n <> '') AS names FROM s),
 k AS (SELECT * FROM c WHERE len(names) >= 2)
 SELECT doc_id, array_to_string(list_sort(list_transform(any_value(names), lambda n: lower(n))), '|') AS entities, nullif(lower(any_value(regexp_extract(q, '(?i)(over|more than|at least|up to|approximately)\s*\$', 1))), '') AS comparator,
@@ -478,3 +478,39 @@ def x09(spark: SparkSession, sf: str) -> DataFrame:
     t = F.concat_ws(" ", _nth(_FINANCING, F.col("doc_id") % 14), "text", _nth(_FINANCING, F.col("doc_id") * 3 % 14))
     w = table(spark, sf, "documents").select("doc_id", fin.evidence_windows(t).alias("windows"))
     return w.select("doc_id", F.posexplode("windows").alias("pos", "w")).select("doc_id", "pos", "w.start", "w.stop", F.array_join("w.signals", ",").alias("signals"))
+
+
+# headings that stand before and between the halves of a page's text
+_HEADS = ("Item 1A. Risk Factors ", "RISK FACTORS ", "Item 3. Legal Proceedings ", "Use of Proceeds 12 13 14 SIGNATURES AND MORE ", "Debt Financing ", "Business Outlook ", "Item 4. Controls and Procedures ", "Item 1 Item 2 Item 3 Dilution ", "Risk Factors ")
+
+
+def _marked_sql() -> str:
+    """The same marks by regular expressions without look-around."""
+    out = "v"
+    for border in rp.BORDERS:
+        out = f"regexp_replace({out}, '{border}', chr(1) || chr(2) || '\\1', 'g')"
+    free, bound = out, out
+    for selector, (heading, items) in rp.HEADINGS.items():
+        free = f"regexp_replace({free}, '\\b({heading})\\b', chr(1) || '{selector}' || chr(2) || '\\1', 'g')"
+        bound = f"regexp_replace({bound}, '((?:ITEM|Item)\\s+(?:{items})\\.?\\s*)({heading})\\b', '\\1' || chr(1) || '{selector}' || chr(2) || '\\2', 'g')" if items else f"regexp_replace({bound}, '\\b({heading})\\b', chr(1) || '{selector}' || chr(2) || '\\1', 'g')"
+    return f"CASE WHEN periodic THEN {bound} ELSE {free} END"
+
+
+@register(
+    "X08_item_sections",
+    rf"""WITH t AS (SELECT doc_id, doc_id % 2 = 0 AS periodic, trim(regexp_replace({list(_HEADS)}[doc_id % 9 + 1] || text || ' ' || {list(_HEADS)}[doc_id * 4 % 9 + 1] || text || ' Item 9. End ' || text, '[ 	
+
+]+', ' ', 'g')) AS v FROM documents),
+m AS (SELECT doc_id, periodic, string_split({_marked_sql()}, chr(1)) AS ps FROM t), p AS (SELECT doc_id, periodic, generate_subscripts(ps, 1) AS pos, unnest(ps) AS part FROM m),
+s AS (SELECT doc_id, periodic, pos, string_split(part, chr(2))[1] AS selector, left(trim(string_split(part, chr(2))[2]), 20000) AS section FROM p WHERE pos > 1),
+g AS (SELECT *, left(section, 600) AS x FROM s WHERE selector <> '' AND length(section) >= 80),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, selector ORDER BY NOT periodic AND NOT regexp_matches(section, '^[A-Z]{{2}}'), pos) AS nth FROM g
+  WHERE NOT (len(regexp_extract_all(x, '(?:ITEM|Item)\s+[0-9]')) >= 3 OR len(regexp_extract_all(x, '[0-9]{{1,3}}\s+(?:ITEM|Item|PART|Part)')) >= 2 OR (len(regexp_extract_all(x, '(?:S-|F-)?[0-9]{{1,3}}')) >= 3 AND len(regexp_extract_all(x, '[A-Z][A-Z &''/-]{{4,}}')) >= 2)))
+SELECT doc_id, selector, length(section)::INTEGER AS n, sha256(section) AS section_sha256 FROM r WHERE nth = 1""",
+)
+def x08(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text twice, with a heading before either; even documents are periodic forms, which need the item before some."""
+    k = F.col("doc_id")
+    t = F.concat(_nth(_HEADS, k % 9), F.col("text"), F.lit(" "), _nth(_HEADS, k * 4 % 9), F.col("text"), F.lit(" Item 9. End "), F.col("text"))
+    d = table(spark, sf, "documents").select("doc_id", t.alias("text"), (k % 2 == 0).alias("periodic"))
+    return rp.sections(d, "doc_id", "text", "periodic").select("doc_id", "selector", F.length("section").alias("n"), F.sha2("section", 256).alias("section_sha256"))

@@ -52,11 +52,6 @@ def r17(spark: SparkSession, sf: str) -> DataFrame:
     return by.select("user_id", ((F.col("channels") >= 4) & (F.col("top") > 60) & (F.col("n") >= 30)).alias("persist"))
 
 
-@register("X08_heading_sections", "SELECT page_id, (i - 2)::INTEGER + 1 AS pos, length(section) AS n FROM (SELECT page_id, generate_subscripts(s, 1) AS i, unnest(s) AS section FROM (SELECT page_id, regexp_split_to_array(html, '(?i)<h[1-3][^>]*>') AS s FROM pages)) WHERE i > 1 AND length(section) >= 40")
-def x08(spark: SparkSession, sf: str) -> DataFrame:
-    return ro.sections_by_heading(table(spark, sf, "pages"), "page_id", "html", "(?i)<h[1-3][^>]*>", 40).select("page_id", "pos", F.length("section").cast("long").alias("n"))
-
-
 _PRIOR = "(SELECT *, lag(o_orderpriority) OVER w AS bk, lag(o_orderdate) OVER w AS bt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 
 
