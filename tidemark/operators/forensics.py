@@ -119,3 +119,17 @@ def compared_with_prior(events: DataFrame, prior_events: int = PRIOR_EVENTS) ->
     e = e.select("*", F.array_max(F.filter(known, lambda x: x["fingerprint"] == F.col("fingerprint"))).alias("exact"), F.array_max(known).alias("last"))
     comparison = first_true([("repeated_disclosure", F.col("exact").isNotNull()), ("changed_disclosure", F.col("last").isNotNull()), ("new_disclosure", F.col("search_complete"))], "prior_comparison_unavailable")
     return e.select("accession", "event_type", comparison.alias("comparison"), F.coalesce(F.col("exact.accession"), F.col("last.accession")).alias("prior"))
+
+
+def convergence(facts: DataFrame, key: str) -> DataFrame:
+    """key, decision, disposition, persisted: filings whose dilution facts (issuable, instruments, registered) make a claim.
+
+    Only positive facts count; a filing without any produces nothing, and a claim is kept if its facts settle it.
+    """
+    fact = lambda c: F.when(F.col(c) > 0, F.struct(F.col(c).cast("decimal(24,4)").alias("value"), F.lit(None).cast("date").alias("as_of")))
+    none = F.lit(None).cast("struct<value:decimal(24,4),as_of:date>")
+    absent = ("cash", "current_liabilities", "shares_prior", "shares_current", "insider_acquired", "insider_disposed", "planned_sale")
+    claims = facts.select(key, fact("issuable").alias("issuable_shares"), fact("instruments").alias("dilutive_instruments"), fact("registered").alias("registered_shares"), *[none.alias(c) for c in absent], F.lit("dilution_exposure_present").alias("predicate"), F.lit(True).alias("asserted"))
+    some = F.col("issuable_shares").isNotNull() | F.col("dilutive_instruments").isNotNull() | F.col("registered_shares").isNotNull()
+    out = contradictions(claims)
+    return out.select(key, F.when(some, "eligible_complete_facts").otherwise("no_relevant_validated_facts").alias("decision"), F.when(some, F.col("disposition")).alias("disposition"), (some & F.col("disposition").isin("supported", "conflicted")).alias("persisted"))

@@ -10,7 +10,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import changes as ch
 from tidemark.operators.ledger import lei_valid
 from tidemark.sources import filings as src
-from tidemark.tables import table
+from tidemark.tables import BARS, bars, table
 
 
 @register("S07_index_lines", "SELECT c_custkey AS cik, c_name AS company, 'F' AS form, DATE '1995-01-01' + (c_custkey % 300)::INTEGER AS filed, n_name AS ticker FROM customer JOIN nation ON n_nationkey = c_custkey WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0")
@@ -215,3 +215,32 @@ def j15(spark: SparkSession, sf: str) -> DataFrame:
     every = Window.partitionBy("issuer", "category").orderBy("seen_at", "event_id")
     out = e.select("event_id", F.coalesce(F.lag("event_id").over(exact), F.lag("event_id").over(every)).alias("prior"))
     return out.where("prior is not null")
+
+
+@register("S01_csv_bars", f"WITH {BARS} SELECT instrument_id, session_date, close, volume FROM bars WHERE instrument_id % 7 <> 3 AND NOT (volume % 50 = 0)")
+def s01(spark: SparkSession, sf: str) -> DataFrame:
+    """One CSV file an instrument: some with another header, some with their columns in another order, some lines broken."""
+    from pyspark.sql import Window
+
+    names = ["instrument_id", "session_date", "open", "high", "low", "close", "volume"]
+    b = bars(spark, sf)
+    line = F.row_number().over(Window.partitionBy("instrument_id").orderBy("session_date"))
+    cell = lambda n: F.when((F.col("volume") % 50 == 0) & F.lit(n == "high"), "n/a").otherwise(F.col(n).cast("string"))
+    said = F.when(F.col("instrument_id") % 2 == 0, F.concat_ws(",", *[cell(n) for n in names])).otherwise(F.concat_ws(",", *[cell(n) for n in names[::-1]]))
+    rows = b.select(F.col("instrument_id").alias("file"), line.alias("line"), said.alias("value"))
+    head = F.when(F.col("file") % 7 == 3, ",".join([*names, "note"])).when(F.col("file") % 2 == 0, ",".join(names)).otherwise(",".join(names[::-1]))
+    heads = b.select(F.col("instrument_id").alias("file")).distinct().select("file", F.lit(0).alias("line"), head.alias("value"))
+    return src.csv_bars(rows.unionByName(heads)).select("instrument_id", "session_date", "close", "volume")
+
+
+@register("S18_historical_dataset", "SELECT o_custkey::VARCHAR AS dataset, o_orderkey::VARCHAR AS case_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS label, CASE WHEN o_orderkey % 7 <> 0 THEN ((o_orderkey % 200 - 100) / 1000.0)::DECIMAL(18,4) END AS asset_return, CASE WHEN o_orderkey % 5 = 0 THEN 'no_prediction' WHEN o_orderkey % 7 = 0 THEN 'no_outcome' ELSE 'complete' END AS status FROM orders WHERE o_custkey % 10 <> 0")
+def s18(spark: SparkSession, sf: str) -> DataFrame:
+    """A dataset a customer, its orders as cases; every tenth states another number of cases and is refused."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    case = k.cast("string").alias("case_id")
+    predicted = F.when(k % 5 != 0, F.struct(case, F.col("o_orderpriority").alias("label"), F.lit(30).alias("horizon_days")))
+    outcome = F.when(k % 7 != 0, F.struct(case, ((k % 200 - 100) / 1000).cast("decimal(18,4)").alias("asset_return")))
+    d = o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.collect_list(F.struct(case)).alias("universe"), F.collect_list(predicted).alias("predictions"), F.collect_list(outcome).alias("outcomes"))
+    stated = F.when(F.col("o_custkey") % 10 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("expected_universe_count")
+    docs = d.select(F.to_json(F.struct(F.col("o_custkey").cast("string").alias("dataset_name"), stated, "universe", "predictions", "outcomes")).alias("value"))
+    return src.historical_cases(docs).select("dataset", "case_id", "label", "asset_return", "status")

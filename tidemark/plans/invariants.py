@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import register
+from tidemark.operators import forensics as fo
 from tidemark.operators import invariants as inv
 from tidemark.operators import routing as ro
 from tidemark.operators import scoring as sc
@@ -270,3 +271,17 @@ def r16(spark: SparkSession, sf: str) -> DataFrame:
     mine = F.col("instrument").isin(*_DILUTIVE)
     b = t.groupBy("doc_id").agg(F.sum(F.when(mine, F.col("shares"))).cast("long").alias("issuable_shares"), F.count_if(mine).alias("dilutive_instrument_count"), F.sum(F.when(F.col("instrument") == "resale_registration", F.col("shares"))).cast("long").alias("registered_shares"))
     return b.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("issuable_shares", "dilutive_instrument_count", "registered_shares")]))).where("value > 0")
+
+
+@register(
+    "R17_convergence_producers",
+    f"""WITH t AS ({ev._terms_sql()}), b AS (SELECT doc_id, coalesce(sum(shares) FILTER (instrument IN {_DILUTIVE}), 0) AS issuable, count(*) FILTER (instrument IN {_DILUTIVE}) AS instruments, coalesce(sum(shares) FILTER (instrument = 'resale_registration'), 0) AS registered FROM t GROUP BY 1)
+SELECT doc_id, CASE WHEN issuable > 0 OR instruments > 0 OR registered > 0 THEN 'eligible_complete_facts' ELSE 'no_relevant_validated_facts' END AS decision, CASE WHEN issuable > 0 OR instruments > 0 THEN 'supported' WHEN registered > 0 THEN 'insufficient' END AS disposition, issuable > 0 OR instruments > 0 AS persisted FROM b""",
+)
+def r17(spark: SparkSession, sf: str) -> DataFrame:
+    """Filings with financing terms as producers of a dilution claim: eligible with facts, kept if the claim can be told."""
+    from tidemark.functions import financing as fin
+
+    mine = F.col("instrument").isin(*_DILUTIVE)
+    t = fin.terms(ev._excerpts(spark, sf), "doc_id").groupBy("doc_id").agg(F.sum(F.when(mine, F.col("shares"))).alias("issuable"), F.count_if(mine).alias("instruments"), F.sum(F.when(F.col("instrument") == "resale_registration", F.col("shares"))).alias("registered"))
+    return fo.convergence(t, "doc_id")

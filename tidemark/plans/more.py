@@ -46,12 +46,6 @@ def r10(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(context)), ",").alias("contexts"))
 
 
-@register("R17_persistence_gate", "SELECT user_id, count(DISTINCT event_type) >= 4 AND max(value) > 60 AND count(*) >= 30 AS persist FROM events GROUP BY 1")
-def r17(spark: SparkSession, sf: str) -> DataFrame:
-    by = _events(spark, sf).groupBy("user_id").agg(F.countDistinct("event_type").alias("channels"), F.max("value").alias("top"), F.count("*").alias("n"))
-    return by.select("user_id", ((F.col("channels") >= 4) & (F.col("top") > 60) & (F.col("n") >= 30)).alias("persist"))
-
-
 _PRIOR = "(SELECT *, lag(o_orderpriority) OVER w AS bk, lag(o_orderdate) OVER w AS bt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 
 

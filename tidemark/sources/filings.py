@@ -15,6 +15,26 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BAR_SCHEMA).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
+def csv_bars(lines: DataFrame) -> DataFrame:
+    """Bars of CSV lines (file, line, value): files whose header is not the expected one, and lines with bad values, give none."""
+    names = [f.split()[0] for f in BAR_SCHEMA.split(", ")]
+    good = lines.where("line = 0").where(F.array_sort(F.split("value", ",")) == F.array_sort(F.array(*[F.lit(n) for n in names])))
+    order = good.select("file", F.split("value", ",").alias("names"))
+    cells = lines.where("line > 0").join(order, "file").select("file", "names", F.split("value", ",").alias("cells")).where(F.size("cells") == len(names))
+    at = lambda n: F.get("cells", F.array_position("names", F.lit(n)).cast("int") - 1)
+    rows = cells.select(*[at(f.split()[0]).try_cast(f.split()[1]).alias(f.split()[0]) for f in BAR_SCHEMA.split(", ")])
+    return rows.na.drop()
+
+
+def historical_cases(documents: DataFrame) -> DataFrame:
+    """dataset, case_id, label, horizon_days, asset_return, status of JSON datasets (universe, predictions, outcomes)."""
+    d = F.from_json("value", "dataset_name string, expected_universe_count bigint, universe array<struct<case_id:string>>, predictions array<struct<case_id:string,label:string,horizon_days:int>>, outcomes array<struct<case_id:string,asset_return:decimal(18,4)>>")
+    x = documents.select(d.alias("d")).where(F.col("d.expected_universe_count") == F.size("d.universe"))
+    part = lambda c: x.select(F.col("d.dataset_name").alias("dataset"), F.explode(f"d.{c}").alias("x")).select("dataset", "x.*")
+    j = part("universe").join(part("predictions"), ["dataset", "case_id"], "left").join(part("outcomes"), ["dataset", "case_id"], "left")
+    return j.withColumn("status", F.when(F.col("label").isNull(), "no_prediction").when(F.col("asset_return").isNull(), "no_outcome").otherwise("complete"))
+
+
 def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document over many lines."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
