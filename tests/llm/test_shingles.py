@@ -62,7 +62,9 @@ def test_near_copies_go(spark, monkeypatch, blocks):
     assert len(got) - len(want) <= 0.03 * (len(texts) - len(want))
 
 
-def test_one_family_and_nothing(spark):
+def test_one_family_and_nothing(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 4)
+    monkeypatch.setattr(simhash, "LONG", 20)
     rnd = random.Random(5)
     body = [f"w{rnd.randrange(900)}" for _ in range(120)]
     texts = []

@@ -63,20 +63,27 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Dat
     return met.where(9 * F.size(F.array_intersect("ga", "gb")) >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b")
 
 
-def similar_edges(met: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (a, b) between classes that join what checked pairs join; met: tok, cls, n, head, head_n.
+def similar_edges(met: DataFrame, check: Callable[[DataFrame], DataFrame], lane_distance: int) -> DataFrame:
+    """Edges (a, b) between classes that join what checked pairs join; met: tok, cls, n, lane, head, head_n.
 
-    head is one of the classes that share tok.  `check` takes pairs (a, b) and returns those that are near.
+    head is a class of tok that may be near.  `check` takes pairs (a, b) and returns those that are near.  First each
+    class meets the least of its heads, then its other heads, as far as they are in other components, and last all of a
+    tok whose classes still are in several.
     """
-    stars = met.where("cls <> head").where(similar_sizes("n", "head_n")).select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    edges = saved(check(stars.distinct()), "stars")
-    item = F.struct("cls", "n", F.coalesce("root", "cls").alias("root"))
+    heads = met.where("cls <> head").where(similar_sizes("n", "head_n"))
+    least = heads.groupBy(F.col("cls").alias("a")).agg(F.min("head").alias("b"))
+    edges = saved(check(least), "stars")
+    root = components(edges).select(F.col("node").alias("c"), "root")
+    other = heads.select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct().join(root.select(F.col("c").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("c").alias("b"), F.col("root").alias("rb")), "b", "left")
+    edges = edges.unionByName(saved(check(other.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")), "more-stars"))
+    item = F.struct("cls", "n", "lane", F.coalesce("root", "cls").alias("root"))
     rows = saved(met.join(components(edges), F.col("cls") == F.col("node"), "left").select("tok", item.alias("x")), "rooted")
     parts = rows.groupBy("tok", F.col("x.root").alias("root")).agg(F.count("*").alias("m"))
     mixed = parts.groupBy(F.col("tok").bitwiseXOR(F.lit(13)).alias("k")).agg(F.max(F.struct("m", "root")).getField("root").alias("main"), F.count("*").alias("roots")).where("roots > 1")
     every = saved(rows.withColumn("k", F.col("tok").bitwiseXOR(F.lit(13))).join(mixed.select(F.expr("k + 1 - 1").alias("k"), "main"), "k").select("k", "x", "main"), "mixed")
-    other = every.where("x.root <> main")
+    apart = every.where("x.root <> main")
+    near = similar_sizes("x.n", "y.n") & (F.bit_count(F.col("x.lane").bitwiseXOR(F.col("y.lane"))) <= lane_distance)
     # a pair with one end in the main component is made once, from its other end
-    pairs = other.select("k", "x").join(every.select("k", F.col("x").alias("y"), "main"), "k").where("x.root <> y.root and (y.root = main or x.cls < y.cls)").where(similar_sizes("x.n", "y.n"))
+    pairs = apart.select("k", "x").join(every.select("k", F.col("x").alias("y"), "main"), "k").where("x.root <> y.root and (y.root = main or x.cls < y.cls)").where(near)
     last = check(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
     return edges.unionByName(saved(last, "similar"))

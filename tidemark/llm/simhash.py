@@ -158,6 +158,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 LANES, NIBBLES, LEAST_BLOCKS, RECALL, SIMILARITY = 4, 64, 5, 0.995, 0.8
+FEW, LONG = 16, 1 << 16
 
 
 def _agreement(similarity: float) -> float:
@@ -165,9 +166,9 @@ def _agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _distance(similarity: float) -> int:
+def _distance(similarity: float, lanes: int = LANES) -> int:
     """Bits in which sets of this similarity differ at most, but for one pair in a thousand."""
-    n, p = LANES * 64, 1 - _agreement(similarity)
+    n, p = lanes * 64, 1 - _agreement(similarity)
     return math.ceil(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
@@ -218,54 +219,71 @@ def _sets(docs: DataFrame, columns: list[str], whole: bool) -> DataFrame:
 
 
 def _key_task(choices: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """tok, cls, n for each class and key."""
+    """tok, cls, n and the first lane of the fingerprint for each class and key."""
     keys, wide = choices.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                prints = part.column(2).flatten().to_numpy().reshape(-1, LANES).view(np.uint8)
+                lanes = part.column(2).flatten().to_numpy().reshape(-1, LANES)
+                prints = lanes.view(np.uint8)
                 nibble = np.stack((prints & 15, prints >> 4), axis=2).reshape(len(prints), NIBBLES).astype(np.int64)
                 tok = np.broadcast_to(np.arange(keys, dtype=np.int64), (len(prints), keys)).copy()
                 for i in range(wide):
                     tok = tok << 4 | nibble[:, choices[:, i]]
                 of = np.repeat(np.arange(len(prints)), keys)
-                yield pa.RecordBatch.from_arrays([pa.array(tok.reshape(-1)), pa.array(part.column(0).to_numpy()[of]), pa.array(part.column(1).to_numpy()[of])], names=["tok", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(tok.reshape(-1)), pa.array(part.column(0).to_numpy()[of]), pa.array(part.column(1).to_numpy()[of]), pa.array(lanes[of, 0])], names=["tok", "cls", "n", "lane"])
 
     return run
 
 
-def _meet_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tok, cls: those of toks that several classes have, each with the first class of its tok."""
-    tok, cls, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+def _meet_task(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by tok, cls: those that may have a near class in their tok, each with one such class before it (or itself).
 
-    def met(first: tuple | None, last: bool) -> pa.RecordBatch:
+    In a tok of few classes every pair's lanes are compared; in a larger one a row is compared with the first.
+    """
+
+    def met(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, lane: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(tok), dtype=bool)
         new[1:] = tok[1:] != tok[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(tok)), 0))
-        several = ~new
-        several[:-1] |= ~new[1:]
-        names, sizes = cls[head], n[head]
-        if first is not None and len(tok) and tok[0] == first[0]:
-            mine = tok == first[0]
-            names, sizes, several = np.where(mine, first[1], names), np.where(mine, first[2], sizes), several | mine
-        keep = np.flatnonzero(several if last else several[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, cls, n, names, sizes)], names=["tok", "cls", "n", "head", "head_n"])
-
-    first: tuple | None = None
-    for batch in batches:
-        tok, cls, n = (np.concatenate((old, batch.column(i).to_numpy())) for i, old in enumerate((tok, cls, n)))
-        if len(tok) < 2:
-            continue
-        yield met(first, False)
-        # the last row waits for its successor; its tok's first class goes with it
-        begin = int(np.searchsorted(tok, tok[-1]))
-        if not (first is not None and first[0] == tok[-1]):
-            first = (tok[-1], cls[begin], n[begin]) if begin < len(tok) - 1 else None
-        tok, cls, n = tok[-1:], cls[-1:], n[-1:]
-    if len(tok):
-        yield met(first, True)
+        begin = np.flatnonzero(new)
+        size = np.diff(np.concatenate((begin, [len(tok)])))
+        small = np.repeat(size <= FEW, size)
+        head, mate = np.arange(len(tok)), ~small
+        for step in range(1, FEW):
+            at = np.flatnonzero(small[step:] & (tok[step:] == tok[:-step]))
+            if not len(at):
+                break
+            at = at[np.bitwise_count(lane[at] ^ lane[at + step]) <= distance]
+            mate[at] = mate[at + step] = True
+            head[at + step] = at  # larger steps come later, so the first near class stays
+        large = np.flatnonzero(~small)
+        first = np.repeat(begin, size)[large]
+        near = np.bitwise_count(lane[large] ^ lane[first]) <= distance
+        head[large[near]] = first[near]
+        keep = np.flatnonzero(mate)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (tok[keep], cls[keep], n[keep], lane[keep].view(np.int64), cls[head[keep]], n[head[keep]])], names=["tok", "cls", "n", "lane", "head", "head_n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(4)]
+            rows[3] = rows[3].view(np.uint64)
+            rows = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+            # a tok that may go on waits; of a long one only its first class does
+            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            if len(rows[0]) - cut > LONG:
+                yield met(*rows)
+                kept = [x[cut : cut + 1] for x in rows]
+                continue
+            if cut:
+                yield met(*(x[:cut] for x in rows))
+            kept = [x[cut:] for x in rows]
+        if kept is not None and len(kept[0]):
+            yield met(*kept)
+
+    return run
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,9 +303,9 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     who = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.body_hash").alias("body_hash"))
     grouped = _sets(marked, ["id", "body_hash"], False).groupBy("cls")
     classes = saved(grouped.agg(F.min(who).alias("x"), (F.count("*") > 1).alias("many"), F.first("n").alias("n"), F.first("grams").alias("fp")), "classes")
-    toks = classes.where("n > 0").select("cls", "n", "fp").mapInArrow(_key_task(block_choices(classes.count())), "tok long, cls long, n int")
+    toks = classes.where("n > 0").select("cls", "n", "fp").mapInArrow(_key_task(block_choices(classes.count())), "tok long, cls long, n int, lane long")
     sorted_toks = toks.repartition("tok").sortWithinPartitions("tok", "cls")
-    met = saved(sorted_toks.mapInArrow(_meet_task, "tok long, cls long, n int, head long, head_n int"), "met")
+    met = saved(sorted_toks.mapInArrow(_meet_task(_distance(SIMILARITY, 1)), "tok long, cls long, n int, lane long, head long, head_n int"), "met")
 
     def rows_of(source: DataFrame, keys: DataFrame) -> DataFrame:
         """Rows of source (with row_key) of the keys (wanted, many); only rows that may be repeated are dealt anew to keep one."""
@@ -307,7 +325,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         near = pairs.join(one, "a").join(two, "b").where(apart <= _distance(SIMILARITY)).select("a", "b")
         return shingles.verified(saved(near, "pairs"), sets_of)
 
-    roots = components(shingles.similar_edges(met, check))
+    roots = components(shingles.similar_edges(met, check, _distance(SIMILARITY, 1)))
     linked = classes.select("cls", "x", "many").join(roots, F.col("cls") == F.col("node"), "left").select("x", "many", F.coalesce("root", "cls").alias("root"))
     first = linked.groupBy("root").agg(F.min(F.struct("x", "many")).alias("y"))
     chosen = saved(first.select(F.xxhash64("y.x.id", "y.x.body_hash").alias("wanted"), "y.many"), "chosen")
