@@ -64,17 +64,17 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Dat
 
 
 def similar_edges(met: DataFrame, check: Callable[[DataFrame], DataFrame], lane_distance: int) -> DataFrame:
-    """Edges (a, b) between classes that join what checked pairs join; met: tok, cls, n, lane, head, head_n.
+    """Edges (a, b) between classes that join what checked pairs join; met: tok, cls, n, lane, head, head_n, gap.
 
-    head is a class of tok that may be near.  `check` takes pairs (a, b) and returns those that are near.  First each
-    class meets the least of its heads, then its other heads, as far as they are in other components, and last all of a
+    head is a class of tok that may be near, gap its distance.  `check` takes pairs (a, b) and returns those that are
+    near.  First each class meets the nearest of its heads, then its other heads, as far as they are in other components, and last all of a
     tok whose classes still are in several.
     """
     heads = met.where("cls <> head").where(similar_sizes("n", "head_n"))
-    least = heads.groupBy(F.col("cls").alias("a")).agg(F.min("head").alias("b"))
-    edges = saved(check(least), "stars")
+    nearest = heads.groupBy("cls").agg(F.min(F.struct("gap", "head")).getField("head").alias("head"))
+    edges = saved(check(nearest.select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b")).distinct()), "stars")
     root = components(edges).select(F.col("node").alias("c"), "root")
-    other = heads.select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct().join(root.select(F.col("c").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("c").alias("b"), F.col("root").alias("rb")), "b", "left")
+    other = heads.select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b")).distinct().join(root.select(F.col("c").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("c").alias("b"), F.col("root").alias("rb")), "b", "left")
     edges = edges.unionByName(saved(check(other.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")), "more-stars"))
     item = F.struct("cls", "n", "lane", F.coalesce("root", "cls").alias("root"))
     rows = saved(met.join(components(edges), F.col("cls") == F.col("node"), "left").select("tok", item.alias("x")), "rooted")

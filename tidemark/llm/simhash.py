@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(*columns, "fp", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-LANES, NIBBLES, LEAST_BLOCKS, RECALL, SIMILARITY = 4, 64, 5, 0.995, 0.8
+LANES, KEY_LANES, LEAST_BLOCKS, RECALL, SIMILARITY = 16, 4, 5, 0.995, 0.8
+NIBBLES = 16 * KEY_LANES
 FEW, LONG = 16, 1 << 16
 
 
@@ -186,10 +187,10 @@ def block_choices(n: int, similarity: float = SIMILARITY, recall: float = RECALL
 
 def wide_prints(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """LANES x 64 fingerprint bits (as signed 64-bit numbers) of each set of shingles."""
-    counts = np.zeros((len(bounds) - 1, LANES * 64), np.int64)
+    counts = np.zeros((len(bounds) - 1, LANES * 64), np.int32)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    for a in range(0, len(value), 1 << 14):
-        part, of = value[a : a + (1 << 14)], text[a : a + (1 << 14)]
+    for a in range(0, len(value), 1 << 12):
+        part, of = value[a : a + (1 << 12)], text[a : a + (1 << 12)]
         lanes = np.column_stack([bh.mix(part ^ np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)) for i in range(1, LANES + 1)])
         bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1, bitorder="little")
         starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
@@ -227,7 +228,7 @@ def _key_task(choices: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Itera
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 lanes = part.column(2).flatten().to_numpy().reshape(-1, LANES)
-                prints = lanes.view(np.uint8)
+                prints = np.ascontiguousarray(lanes[:, :KEY_LANES]).view(np.uint8)
                 nibble = np.stack((prints & 15, prints >> 4), axis=2).reshape(len(prints), NIBBLES).astype(np.int64)
                 tok = np.broadcast_to(np.arange(keys, dtype=np.int64), (len(prints), keys)).copy()
                 for i in range(wide):
@@ -239,9 +240,10 @@ def _key_task(choices: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _meet_task(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by tok, cls: those that may have a near class in their tok, each with one such class before it (or itself).
+    """Rows sorted by tok, cls: those that may have a near class in their tok, each with one such class (or itself) and its distance.
 
-    In a tok of few classes every pair's lanes are compared; in a larger one a row is compared with the first.
+    In a tok of few classes every pair's lanes are compared and the nearest is taken; in a larger one each row is
+    compared with the row nearest to the lane that most bits vote for, which is near the text that all were copied from.
     """
 
     def met(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, lane: np.ndarray) -> pa.RecordBatch:
@@ -250,20 +252,31 @@ def _meet_task(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         begin = np.flatnonzero(new)
         size = np.diff(np.concatenate((begin, [len(tok)])))
         small = np.repeat(size <= FEW, size)
-        head, mate = np.arange(len(tok)), ~small
+        head, gap, mate = np.arange(len(tok)), np.full(len(tok), 65), ~small
         for step in range(1, FEW):
             at = np.flatnonzero(small[step:] & (tok[step:] == tok[:-step]))
             if not len(at):
                 break
-            at = at[np.bitwise_count(lane[at] ^ lane[at + step]) <= distance]
+            apart = np.bitwise_count(lane[at] ^ lane[at + step]).astype(np.int64)
+            at, apart = at[apart <= distance], apart[apart <= distance]
             mate[at] = mate[at + step] = True
-            head[at + step] = at  # larger steps come later, so the first near class stays
+            for one, two in ((at, at + step), (at + step, at)):
+                nearer = apart < gap[one]
+                head[one[nearer]], gap[one[nearer]] = two[nearer], apart[nearer]
         large = np.flatnonzero(~small)
-        first = np.repeat(begin, size)[large]
-        near = np.bitwise_count(lane[large] ^ lane[first]) <= distance
-        head[large[near]] = first[near]
+        if len(large):
+            group = np.flatnonzero(tok[large] != np.concatenate((tok[large][:1] - 1, tok[large][:-1])))
+            bits = np.unpackbits(lane[large].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            n_rows = np.diff(np.concatenate((group, [len(large)])))
+            middle = np.packbits(2 * np.add.reduceat(bits, group, axis=0, dtype=np.int64) > n_rows[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+            off = np.bitwise_count(lane[large] ^ np.repeat(middle, n_rows)).astype(np.int64)
+            order = np.lexsort((np.arange(len(large)), off, np.repeat(np.arange(len(group)), n_rows)))
+            center = np.repeat(large[order[group]], n_rows)
+            apart = np.bitwise_count(lane[large] ^ lane[center]).astype(np.int64)
+            near = apart <= distance
+            head[large[near]], gap[large[near]] = center[near], apart[near]
         keep = np.flatnonzero(mate)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (tok[keep], cls[keep], n[keep], lane[keep].view(np.int64), cls[head[keep]], n[head[keep]])], names=["tok", "cls", "n", "lane", "head", "head_n"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (tok[keep], cls[keep], n[keep], lane[keep].view(np.int64), cls[head[keep]], n[head[keep]], gap[keep].astype(np.int32))], names=["tok", "cls", "n", "lane", "head", "head_n", "gap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -290,7 +303,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """The rows of docs that stay when one document of each component of similar texts does: the one of least doc_id.
 
     Texts are similar whose sets of 5-word shingles have a Jaccard similarity of 4/5 or more.  Pairs are proposed by
-    256-bit fingerprints of the sets that agree on the blocks of some bucket key and differ in no more bits than such
+    1,024-bit fingerprints of the sets that agree on the blocks of some bucket key and differ in no more bits than such
     sets do; then the sets themselves are compared, so no pair below 4/5 links.  A pair of just 4/5 is proposed with
     probability RECALL, closer ones nearly always, equal sets always.  Texts without words (null ones too) are alike.
     Null ids come last, then the least text hash decides; of repeated rows one stays.  Columns are those of docs; an
@@ -305,7 +318,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = saved(grouped.agg(F.min(who).alias("x"), (F.count("*") > 1).alias("many"), F.first("n").alias("n"), F.first("grams").alias("fp")), "classes")
     toks = classes.where("n > 0").select("cls", "n", "fp").mapInArrow(_key_task(block_choices(classes.count())), "tok long, cls long, n int, lane long")
     sorted_toks = toks.repartition("tok").sortWithinPartitions("tok", "cls")
-    met = saved(sorted_toks.mapInArrow(_meet_task(_distance(SIMILARITY, 1)), "tok long, cls long, n int, lane long, head long, head_n int"), "met")
+    met = saved(sorted_toks.mapInArrow(_meet_task(_distance(SIMILARITY, 1)), "tok long, cls long, n int, lane long, head long, head_n int, gap int"), "met")
 
     def rows_of(source: DataFrame, keys: DataFrame) -> DataFrame:
         """Rows of source (with row_key) of the keys (wanted, many); only rows that may be repeated are dealt anew to keep one."""
