@@ -375,17 +375,6 @@ def test_bpe_words_by_either_way():
     assert coder.decode_words(ids, starts) == words
 
 
-def test_remembered_words(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 60)
-    coder, rnd = bpe.Coder(RANKS, PATTERN), random.Random(9)
-    for _ in range(12):
-        words = sorted({"".join(rnd.choices("abé", k=rnd.choice([1, 3, 4, 60]))).encode() for _ in range(25)})
-        ids, starts, back = coder.code(words)
-        want, at = coder.encode_words(words)
-        assert ids.tolist() == want.tolist() and starts.tolist() == at.tolist() and back == words
-    assert coder.code([])[2] == []
-
-
 def test_kept_trees(spark, docs, tmp_path):
     """An edit job reads the kept trees, encodes little, and gives back trees that the next job can use."""
     count = token_count.counter(RANKS, PATTERN)
