@@ -99,6 +99,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, carry_text=False).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=30, top=50)
+
+
 def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -120,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_packing": op9_packing,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_divergence": op11_divergence,
         "op12_bpe_transducer": op12_bpe_transducer,
     }
 
@@ -146,7 +153,27 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a,
 SELECT r.a AS vec_id, (SELECT count(*) FROM links WHERE links.a = r.a) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reach r GROUP BY 1
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+numbered AS (SELECT *, row_number() OVER () AS i FROM d),
+words AS (SELECT i, lang, source, unnest(ws) AS term FROM numbered),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM words GROUP BY 1, 2 HAVING count(DISTINCT i) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+lng AS (SELECT lang, sum(n_lang)::HUGEINT + 5 * count(*) AS total, count(*) AS v FROM kept GROUP BY 1),
+tot AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT + 5 * any_value(v) AS total FROM grp g JOIN lng USING (lang) LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+share AS (SELECT t.lang, t.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // t.total AS p, 1 + (1000000000::HUGEINT * (n_lang + 5)) // lng.total AS q
+          FROM tot t JOIN kept k USING (lang) JOIN lng USING (lang) LEFT JOIN cnt c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+found AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM share WHERE n > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank FROM (FROM pairs UNION ALL FROM found))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The rest is beyond SQL (profiles, XXH64, merges, searches, packing) or too slow in it (400-byte strings): see tests/llm."""
-    return {"op2_substring_dedup": _OP2, "op7_cover_tree": _OP7}
+    return {"op2_substring_dedup": _OP2, "op7_cover_tree": _OP7, "op11_divergence": _OP11}
