@@ -114,6 +114,19 @@ def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.conversations import damaged, digests, repair
+
+    rows = _table(spark, sf_dir, "conversations")
+    summaries, turns = repair(damaged(rows), times_given="times")
+    out = rows.select("conv_id").distinct()
+    for found in (summaries, digests(turns)):
+        found = found.withColumnRenamed("conv_id", "conv")
+        out = out.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
@@ -128,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_divergence": op11_divergence,
         "op12_bpe_transducer": op12_bpe_transducer,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
