@@ -104,7 +104,6 @@ def test_strings(docs, rows, length, gram, block):
 
 def test_frequent_anchors_are_dealt(docs, rows, monkeypatch):
     monkeypatch.setattr(windows, "LIGHT", 1)
-    monkeypatch.setattr(windows, "SALTS", 3)
     got = remove_repeated_strings(docs, length=60, gram=20)
     found = Counter((r.doc_id, r.n_bytes, r.n_removed, tuple(bytes(r.kept_bytes))) for r in got.collect())
     assert found == removed(rows, lambda t: (t or "").encode(), 60)
@@ -482,3 +481,24 @@ def test_packing(spark):
     assert packing.best_fit([6, 4, 3], ["a", "b", "c"], [None] * 3, 10) == [0, 0, 1]
     assert packing.best_fit([6, 5, 4], ["a", "b", "c"], ["k", "m", "k"], 10) == [0, 1, 1]
     assert hashlib.sha256(str(sorted((r.doc_id or -1, r.start, r.shard, r.bin) for r in got)).encode()).hexdigest() == hashlib.sha256(str(sorted((r.doc_id or -1, r.start, r.shard, r.bin) for r in packing.pack(docs.withColumnRenamed("bin", "kind").repartition(5), F.col("n"), F.col("source"), F.col("kind"), capacity=1000, shard_pieces=100).collect())).encode()).hexdigest()
+
+
+def test_rows_that_differ_in_which_column_is_null(spark):
+    """A text in one row is the title of another: rows are told apart by their nulls, nothing is lost or taken from the wrong one."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    table = spark.createDataFrame([(passage, None), (None, passage), (passage, "x"), ("short", None), (None, "short")], "text string, title string")
+    for out, removed in ((remove_repeated_passages(table), 120), (remove_repeated_strings(table), len(passage))):
+        got = sorted((r.title or "", r.n_removed) for r in out.collect())
+        assert got == sorted([("", removed), (passage, 0), ("x", removed), ("", 0), ("short", 0)])
+
+
+def test_a_window_that_most_texts_share(spark, monkeypatch):
+    """Keys above the heavy bound and below it together, in every context."""
+    monkeypatch.setattr(windows, "LIGHT", 3)
+    rnd = random.Random(5)
+    notice = [f"n{i}" for i in range(35)]
+    texts = [" ".join([*(rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) for _ in range(rnd.randint(0, 30))), *notice, *(f"t{rnd.random()}" for _ in range(20))]) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for screen in (True, False):
+        got = remove_repeated_passages(docs, screen=screen).collect()
+        assert len(got) == 60 and all(r.n_removed >= 35 for r in got) and all("n34" not in r.kept_text.split() for r in got)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import windows as wd
+from tidemark.llm.durable import saved
 from tidemark.llm.rows import field, with_row
 
 REMOVED = "n_words long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string"
@@ -25,12 +26,12 @@ def _window_task(shape: wd.Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _count_windows(texts: DataFrame, shape: wd.Shape) -> DataFrame:
+def _count_windows(texts: DataFrame, shape: wd.Shape, total: int) -> DataFrame:
     """Live windows whose two hashes occur more than once."""
     every = texts.mapInArrow(_window_task(shape), "k1 long, k2 int, rid long, rid2 int, lo int, live boolean")
     again = every.groupBy(F.col("k1").bitwiseXOR(F.lit(1)).alias("k"), F.col("k2").alias("l")).agg(F.count("*").alias("m")).where("m > 1")
-    again = again.select(F.col("k").bitwiseXOR(F.lit(1)).alias("k1"), F.expr("l + 1 - 1").alias("k2"))
-    return every.where("live").join(again, ["k1", "k2"], "left_semi")
+    again = again.select(F.col("k").bitwiseXOR(F.lit(1)).alias("k1"), F.expr("l + 1 - 1").alias("k2"), "m")
+    return wd.meet(every.where("live"), saved(again, "window-counts"), ["k1", "k2"], total)
 
 
 def _remove_task(shape: wd.Shape, as_is: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

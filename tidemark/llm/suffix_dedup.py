@@ -19,7 +19,7 @@ from tidemark.llm import windows as wd
 from tidemark.llm.durable import saved
 from tidemark.llm.rows import field, with_row
 
-SMALL, STEP = 32, 1 << 13
+SMALL, STEP, BUCKET = 32, 1 << 13, 1 << 17
 _SUFFIX = "suffix binary, rid long, rid2 int, lo int, live boolean"
 _FOUND = "rid long, rid2 int, lo int, live boolean, suffix binary, m long"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -93,10 +93,11 @@ def _bucket_task(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def _compare_neighbours(texts: DataFrame, shape: wd.Shape) -> DataFrame:
-    """Live suffixes that agree with another one on the whole length."""
+def _compare_neighbours(texts: DataFrame, shape: wd.Shape, total: int) -> DataFrame:
+    """Live suffixes that agree with another one on the whole length; a bucket holds about BUCKET of the `total`."""
     every = texts.mapInArrow(_suffix_task(shape), _SUFFIX)
-    buckets = every.repartitionByRange("suffix", F.xxhash64(*wd.ID, "lo"))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    buckets = every.repartitionByRange(parts, "suffix", F.xxhash64(*wd.ID, "lo"))
     # written, so that both readers see the same buckets
     found = saved(buckets.mapInArrow(_bucket_task(shape.window), _FOUND), "buckets")
     outer = found.where("m is not null")

@@ -32,7 +32,7 @@ from tidemark.llm.rows import named, row_of
 #: rid, rid2: the row; g: anchor; c, d: context; lo, n: first window and number of windows; at: anchor's place after lo.
 RUNS = "rid long, rid2 int, g long, c long, d int, lo int, n int, at int, live boolean"
 ID = ("rid", "rid2")
-HEAVY, LIGHT, SALTS = 1_024, 1_000, 64
+HEAVY, LIGHT = 1_024, 1_000
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 
@@ -171,25 +171,29 @@ def window_batches(batch: pa.RecordBatch, shape: Shape, step: int = 1 << 17) ->
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
-    """rid, rid2, text and row (all other columns): 96 bits of hash of the whole row name it, so that equal rows share them."""
+    """rid, rid2, text and row (all other columns): 96 bits of hash of the whole row name it, so that equal rows share them.
+
+    Hashes pass over nulls, so which columns are null is hashed too.
+    """
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text]
     body = named(text).cast("string")
     whole = [body, *[named(c).cast("string") for c in others]]
+    whole += [c.isNull() for c in whole]
     return docs.select(F.xxhash64(*whole).alias("rid"), F.hash(*whole).alias("rid2"), body.alias("text"), row_of(docs, others) if others else F.lit(None).cast("struct<none:int>").alias("row"))
 
 
-def _meet(rows: DataFrame, keys: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
-    """rows joined with keys (on, m): m counts the rows of a key, total all rows of all keys.
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """The rows (with ID and lo) whose key is among keys (on, m): m counts the rows of a key, total all rows of all keys.
 
-    Keys of more than total / HEAVY rows (fewer than HEAVY keys, so they are broadcast) are dealt to SALTS parts.
+    Keys of more than total / HEAVY rows are fewer than HEAVY, so they are broadcast; their rows need no partner and are
+    dealt by their own hash.  Other keys are joined.
     """
     frequent = F.col("m") > max(LIGHT, total // HEAVY)
     heavy = F.broadcast(keys.where(frequent).select(*on, F.lit(True).alias("hot")))
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64(*ID, "lo"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    parts = F.explode(F.when(frequent, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
-    dealt = rows.join(heavy, on, "left").withColumn("part", part).drop("hot")
-    return dealt.join(keys.withColumn("part", parts).drop("m"), [*on, "part"], how).drop("part")
+    light = keys.where(~frequent).select(*on, F.lit(0).cast("long").alias("part"), F.lit(True).alias("met"))
+    dealt = rows.join(heavy, on, "left").withColumn("part", F.when(F.col("hot"), 1 + F.pmod(F.xxhash64(*ID, "lo"), F.lit(1 << 40))).otherwise(F.lit(0).cast("long")))
+    return dealt.join(light, [*on, "part"], "left").where("hot OR met").select(*rows.columns)
 
 
 def _settle(runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -199,22 +203,22 @@ def _settle(runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """
     again = saved(runs.groupBy(F.col("g").bitwiseXOR(F.lit(0x5DEECE66D)).alias("k")).agg(F.count("*").alias("m")).where("m > 1"), f"{name}-anchors")
     repeated = again.select(F.col("k").bitwiseXOR(F.lit(0x5DEECE66D)).alias("g"), "m")
-    dup = saved(_meet(runs, repeated, ["g"], again.agg(F.sum("m")).first()[0] or 0, "left_semi"), f"{name}-runs")
+    dup = saved(meet(runs, repeated, ["g"], again.agg(F.sum("m")).first()[0] or 0), f"{name}-runs")
     classes = saved(dup.groupBy("g", "c", "d").agg(F.count("*").alias("m"), F.max("live").alias("live"), *[F.first(f).alias(f) for f in (*ID, "lo", "n", "at")]), f"{name}-contexts")
     whole = classes.where("m > 1").select("g", "c", "d", "m")
-    all_repeat = _meet(dup.where("live"), whole, ["g", "c", "d"], dup.count()).select(*ID, "lo", "n")
+    all_repeat = meet(dup.where("live"), whole, ["g", "c", "d"], dup.count()).select(*ID, "lo", "n")
     alone = (F.col("m") == 1) & F.col("live")
     groups = classes.groupBy(F.col("g").bitwiseXOR(F.lit(0x2545F491)).alias("k")).agg(F.count("*").alias("m"), F.max(alone).alias("open")).where("open")
     groups = groups.select(F.col("k").bitwiseXOR(F.lit(0x2545F491)).alias("g"), "m")
-    left = _meet(classes.withColumn("live", alone).drop("m"), groups, ["g"], classes.count())
+    left = meet(classes.withColumn("live", alone).drop("m"), groups, ["g"], classes.count())
     return all_repeat, left.groupBy(*ID).agg(F.collect_list(F.struct("lo", "n", "at", "live")).alias("runs"))
 
 
-def repeated_runs(base: DataFrame, shape: Shape, repeated_windows: Callable[[DataFrame, Shape], DataFrame], by_blocks: bool = False) -> DataFrame:
+def repeated_runs(base: DataFrame, shape: Shape, repeated_windows: Callable[[DataFrame, Shape, int], DataFrame], by_blocks: bool = False) -> DataFrame:
     """rid, rid2, lo, n: the runs of windows of `base` (columns rid, rid2, text, row) that start more than once in the corpus.
 
-    `repeated_windows` takes texts with their undecided runs and returns rid, rid2, lo of the live windows that repeat;
-    with by_blocks, undecided runs are first asked again block by block.
+    `repeated_windows` takes texts with their undecided runs, and how many windows these have, and returns rid, rid2, lo
+    of the live windows that repeat; with by_blocks, undecided runs are first asked again block by block.
     """
     texts = base.select(*ID, "text")
 
@@ -226,15 +230,18 @@ def repeated_runs(base: DataFrame, shape: Shape, repeated_windows: Callable[[Dat
         open_texts = saved(beside(left), "open-texts")  # later steps read only these
         more, left = _settle(open_texts.mapInArrow(_block_task(shape), RUNS), "block")
         found, texts = found.unionByName(more), open_texts.select(*ID, "text")
-    return found.unionByName(repeated_windows(beside(left), shape).select(*ID, "lo", F.lit(1).alias("n")))
+    left = saved(left, "undecided")
+    total = left.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["n"]))).first()[0] or 0
+    return found.unionByName(repeated_windows(beside(left), shape, total).select(*ID, "lo", F.lit(1).alias("n")))
 
 
-def every_window(base: DataFrame, shape: Shape, repeated_windows: Callable[[DataFrame, Shape], DataFrame]) -> DataFrame:
+def every_window(base: DataFrame, shape: Shape, repeated_windows: Callable[[DataFrame, Shape, int], DataFrame]) -> DataFrame:
     """The same result without anchors: each window of each text is looked at."""
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) if shape.unit == "word" else F.octet_length("text")
     n = F.greatest(words - shape.window + 1, F.lit(0))
     runs = base.select(*ID, "text", F.array(F.struct(F.lit(0).alias("lo"), n.alias("n"), F.lit(0).alias("at"), F.lit(True).alias("live"))).alias("runs")).where(words >= shape.window)
-    return repeated_windows(runs, shape).select(*ID, "lo", F.lit(1).alias("n")).distinct()
+    total = runs.agg(F.sum(n.cast("long"))).first()[0] or 0
+    return repeated_windows(runs, shape, total).select(*ID, "lo", F.lit(1).alias("n")).distinct()
 
 
 def with_runs(base: DataFrame, runs: DataFrame) -> DataFrame:
