@@ -105,3 +105,23 @@ def test_neighbours_of_uneven_norms_and_ties(spark, monkeypatch):
         assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine) and len(mine) == 5
         hit += sum(r.score >= score[order[-1]] * (1 - 1e-12) if score[order[-1]] > 0 else True for r in mine)
     assert hit >= 45
+
+
+def test_vectors_whose_squares_overflow_or_vanish(spark):
+    rows = [(1, [1e-200, 0.0], 0), (2, [3e-310, 0.0], 0), (3, [1e200, 0.0], 0), (4, [2e200, 0.0], 0), (5, [0.0, 1e-170], 0), (6, [1e200, 1e200], 1), (7, [1.0, 1.0], 1)]
+    got = cover_tree.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
+@pytest.mark.parametrize("huge", [1e160, 1e300, 1e-300])
+def test_neighbours_beside_an_extreme_vector(spark, huge):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 4)) * (1.0 if huge > 1 else 1e-302)
+    x[0] = [huge, 0, 0, 0]
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, table["vec_id"] % 20 == 0, k=5).collect()
+    for q in (20, 40):
+        score = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(60), -score)) if i != q][:5]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in mine] == order and [r.score for r in mine] == [pytest.approx(score[i], rel=1e-12) for i in order]

@@ -58,25 +58,32 @@ class KdTree:
 
 
 class Shard:
-    """Rows of one shard in the order of the kd-tree over their projections."""
+    """Rows of one shard in the order of the kd-tree over their projections.
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, norm: float) -> None:
+    Projections and distances are those of vectors divided by `scale`, a power of two as large as the largest component
+    of all, so that no square overflows; scores are of the vectors as they are.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, norm: float, scale: float = 1.0) -> None:
         d = x.shape[1]
         directions = np.random.Generator(np.random.PCG64(SEED)).standard_normal((d + 1, DIMS))
-        extra = np.sqrt(np.maximum(0, norm * norm - (x * x).sum(axis=1)))
-        low = np.column_stack((x, extra)) @ directions
+        small = x / scale
+        extra = np.sqrt(np.maximum(0, norm * norm - (small * small).sum(axis=1)))
+        low = np.column_stack((small, extra)) @ directions
+        self.scale = scale
         self.tree = KdTree(low)
         order = self.tree.order
         self.ids, self.x, self.low, self.norm, self.directions = ids[order], x[order], low[order], norm, directions[:d]
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, stop: float) -> tuple[list[int], list[int], list[float]]:
         """Nearest k found for each query."""
-        tree, low_q = self.tree, q @ self.directions
+        small = q / self.scale
+        tree, low_q = self.tree, small @ self.directions
         out: tuple[list[int], list[int], list[float]] = ([], [], [])
         for row in range(len(q)):
             box = tree.box_distances(low_q[row])
             leaves = np.argsort(box, kind="stable")
-            square = float(q[row] @ q[row]) + self.norm * self.norm
+            square = float(small[row] @ small[row]) + self.norm * self.norm
             best_score, best_id, limit, at, step = np.zeros(0), np.zeros(0, np.int64), np.inf, 0, 4
             while at < len(leaves) and box[leaves[at]] < stop * limit:
                 near = leaves[at : at + step]
@@ -86,12 +93,13 @@ class Shard:
                     gap = self.low[rows] - low_q[row]
                     rows = rows[(gap * gap).sum(axis=1) < stop * limit]
                 rows = rows[self.ids[rows] != query_ids[row]]
-                score = np.concatenate((best_score, (self.x[rows] * q[row]).sum(axis=1)))
+                with np.errstate(over="ignore", invalid="ignore"):  # products beyond all numbers: infinite, or none
+                    score = np.concatenate((best_score, np.nan_to_num((self.x[rows] * q[row]).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)))
                 name = np.concatenate((best_id, self.ids[rows]))
                 top = np.lexsort((name, -score))[:k]
                 best_score, best_id = score[top], name[top]
                 if len(top) == k:
-                    limit = max(0.0, square - 2 * best_score[-1])
+                    limit = max(0.0, square - 2 * best_score[-1] / self.scale / self.scale)
                 at, step = at + step, 2 * step
             out[0].extend([int(query_ids[row])] * len(best_id))
             out[1].extend(best_id.tolist())
@@ -99,7 +107,7 @@ class Shard:
         return out
 
 
-def _search_task(k: int, norm: float, stop: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search_task(k: int, norm: float, scale: float, stop: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by shard, length and side: a shard's rows are gathered and indexed once, then its queries stream past."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +125,7 @@ def _search_task(k: int, norm: float, stop: float) -> Callable[[Iterator[pa.Reco
                     parts.append((ids, v))
                     continue
                 if index is None and parts:
-                    index = Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), norm)
+                    index = Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), norm, scale)
                 if index is not None:
                     found = index.search(ids, v, k, stop)
                     yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
@@ -136,14 +144,16 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, vec_id: str = "
     """
     rows = usable(vectors, vector).where(F.col(f"`{vec_id}`").isNotNull())
     rows = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.transform(f"`{vector}`", lambda x: x.cast("double")).alias("v"), is_query.alias("q")).withColumn("dim", F.size("v"))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    size = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("norm")).first()
+    size = rows.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("largest")).first()
+    scale = 2.0 ** math.floor(math.log2(size.largest)) if size.n else 1.0
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / scale) * (x / scale))
+    norm = rows.agg(F.sqrt(F.max(square))).first()[0] or 0.0
     shards = max(1, round(size.n / SHARD_ROWS))
     stop = chi_square_quantile(confidence, DIMS)
     queries = rows.where("q").groupBy("id", "dim").agg(F.min("v").alias("v"))
     left = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards).cast("long")).alias("shard"), "dim", F.lit(0).alias("side"), "id", "v")
     right = queries.select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), "dim", F.lit(1).alias("side"), "id", "v")
     dealt = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "side")
-    found = dealt.mapInArrow(_search_task(k, float(size.norm or 0), stop), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(_search_task(k, norm, scale, stop), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

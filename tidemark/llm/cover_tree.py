@@ -149,17 +149,22 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id:
     """
     every = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("e"), F.col(f"`{label}`").alias("label"))
     part = usable(every.where(F.col("label").isNotNull()), "e")
-    part = part.withColumn("grp", F.xxhash64("label", F.size("e"))).withColumn("cid", F.xxhash64("label", "e"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = F.transform("e", lambda x: x.cast("double") / norm(F.col("e")))
+    # two lanes name equal vectors of a label; a number given out once names them from there on
+    part = part.withColumn("grp", F.xxhash64("label", F.size("e"))).withColumn("k1", F.xxhash64("label", "e")).withColumn("k2", F.xxhash64(F.lit(1), F.reverse("e"), "label"))
+    # a power of two, so that no digit changes: squares of the rest neither overflow nor vanish
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("e", lambda x: F.abs(x.cast("double")))))))
+    sound = F.transform("e", lambda x: x.cast("double") / F.col("scale"))
+    norm = F.sqrt(F.aggregate("sound", F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform("sound", lambda x: x / F.col("norm"))
     # max of equal vectors: any of them
-    classes = part.groupBy("cid", "grp").agg(F.max("e").alias("e"), F.count("*").alias("m"), F.min("id").alias("id"))
-    classes = saved(classes.select("cid", "grp", unit.alias("v"), "m", "id"), "vectors")
+    classes = part.groupBy("k1", "k2", "grp").agg(F.max("e").alias("e"), F.count("*").alias("m"), F.min("id").alias("id")).withColumn("cid", F.monotonically_increasing_id())
+    classes = classes.withColumn("scale", scale).withColumn("sound", sound).withColumn("norm", norm)
+    classes = saved(classes.select("cid", "k1", "k2", "grp", unit.alias("v"), "m", "id"), "vectors")
     largest = classes.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     n_pivots = min(MAX_PIVOTS, max(1, -(-largest // CELL_ROWS)))
     dims = F.size("v")
     common = classes.groupBy(dims.alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    chosen = classes.where(dims == (common.d if common else 0)).orderBy(F.xxhash64("cid")).select("v").limit(n_pivots).collect()
+    chosen = classes.where(dims == (common.d if common else 0)).orderBy("k1", "k2").select("v").limit(n_pivots).collect()
     pivots = np.array([r.v for r in chosen], dtype=np.float64).reshape(len(chosen), common.d if common else 0)
     celled = classes.select("cid", "grp", "v", "m").mapInArrow(_pivot_task(pivots), "cid long, grp long, v array<double>, m long, cell int, far double")
     cells = celled.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).withColumn("parts", F.ceil(F.col("n") / CHUNK_ROWS).cast("int"))
@@ -178,10 +183,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, vec_id:
     found = saved(sent.groupBy("tile").applyInArrow(_tile_task(threshold), "cid long, root long, links long"), "links")
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    named = classes.select("cid", "m", "id").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    named = classes.select("cid", "k1", "k2", "m", "id").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id")).select(F.expr("root + 1 - 1").alias("root"), "component_id")
-    of = named.join(least, "root").join(links, "cid", "left").select(F.col("cid").alias("c"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    linked = part.select("id", "cid").join(of, F.col("cid") == F.col("c")).select("id", "n_links", "component_id")
+    of = named.join(least, "root").join(links, "cid", "left").select("k1", "k2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    linked = part.select("id", "k1", "k2").join(of, ["k1", "k2"]).select("id", "n_links", "component_id")
     v, n = F.col("e"), F.col("label")
     good = v.isNotNull() & n.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     lone = every.where(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
