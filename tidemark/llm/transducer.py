@@ -10,6 +10,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -24,14 +25,16 @@ from tokenizers import Tokenizer
 from tidemark.llm.durable import small_batches
 from tidemark.llm.rows import field, named, row_of, with_row
 
-SLICE, MEMO, SHORT = 1 << 16, 1 << 17, 48
+SLICE, MEMO, SHORT = 1 << 16, 1 << 19, 48
 END = "</w>"
 LETTERS, REST = 1, 2
 #: The vocabulary's own splitting pattern (a fixed value), and what goes on with an open word of each kind.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 FURTHER = {LETTERS: regex.compile(r"\p{L}+"), REST: regex.compile(r"[^\s\p{L}\p{N}]+")}
 #: Characters that Python's Unicode tables may know less of than the library's: it is asked itself where one occurs.
-UNSURE = regex.compile("[" + "".join(regex.escape(chr(c)) for c in range(0x370, 0x10000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c)) == "Cn" or 0xA7C0 <= c < 0xA800)) + "\U00010000-\U0001efff\U0001fb00-\U0010ffff]")
+UNSURE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x370, 0x10000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c)) == "Cn" or 0xA7C0 <= c < 0xA800)) + "\U00010000-\U0001efff\U0001fb00-\U0010ffff]")
+#: Only texts with such characters can hold any of those.
+FAR = re.compile("[^\0-\u036f]")
 NEVER = 1 << 62
 
 
@@ -92,15 +95,21 @@ class Merges:
         if len(ids) > SHORT:
             return self._by_queue(ids)
         get = self.pairs.get
-        while len(ids) > 1:
-            ranks = [get(p, NEVER) for p in pairwise(ids)]
-            least = min(ranks)
-            if least == NEVER:
-                break
+        ranks = [get(p, NEVER) for p in pairwise(ids)]
+        while ranks and (least := min(ranks)) != NEVER:
             i = ranks.index(least)
-            ids[i : i + 2] = (least & 0xFFFFF,)
+            ids[i : i + 2] = (new := least & 0xFFFFF,)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], new), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((new, ids[i + 1]), NEVER)
         return ids
 
+    def whole(self, data: bytes) -> list[int]:
+        """Tokens of a word's bytes, the last of which ends it."""
+        return self.contract([*map(self.plain.__getitem__, data[:-1]), self.final[data[-1]]])
+
     def _by_queue(self, ids: list[int]) -> list[int]:
         """The same for a long list: a heap of (rank, place) over the places still standing."""
         n, get = len(ids), self.pairs.get
@@ -126,13 +135,13 @@ class Merges:
         """NFC, then lower case letter by letter."""
         if text.isascii():
             return text.lower()
-        if UNSURE.search(text):
+        if FAR.search(text) and UNSURE.search(text):
             return self.normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def shape(self, text: str) -> str:
         """The text with a stand-in of its class for each character that the library may class otherwise."""
-        return text if text.isascii() else UNSURE.sub(lambda c: self._stand_in(c.group()), text)
+        return UNSURE.sub(lambda c: self._stand_in(c.group()), text) if FAR.search(text) else text
 
     def _stand_in(self, char: str) -> str:
         if char not in self.classes:
@@ -190,12 +199,12 @@ class Words(dict):
         self.model = model
 
     def __missing__(self, word: str) -> bytes:
-        one = OpenWord(self.model)
-        out = packed([*one.push(word), *one.end()])
-        if len(word) <= SHORT:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = out
+        if len(word) > SHORT:
+            one = OpenWord(self.model)
+            return packed([*one.push(word), *one.end()])
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = out = packed(self.model.whole(word.encode()))
         return out
 
 
@@ -209,7 +218,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.model, self.known = merges(path), memo(path)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.model.special)) + ")") if self.model.special else None
+        self.special = re.compile("(" + "|".join(map(re.escape, self.model.special)) + ")") if self.model.special else None
         self.kind, self.word, self.start = 0, OpenWord(self.model), ""
 
     def feed(self, text: str) -> bytes:
