@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import simhash
+from tidemark.llm import shingles, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,3 +78,27 @@ def test_one_family_and_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == kept(texts)[0]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").collect() == []
+
+
+def test_the_rest_of_a_long_key_stays(monkeypatch):
+    """A key above LONG rows, then a short tail of it in the next batch: the tail counts as part of a large key."""
+    monkeypatch.setattr(simhash, "LONG", 40)
+    rng = np.random.default_rng(2)
+    lane = rng.integers(-(1 << 62), 1 << 62, 47)
+    lane[45] = lane[7] ^ 1
+    tok = np.array([5] * 46 + [6])
+    rows = [pa.array(tok), pa.array(np.arange(47)), pa.array(np.full(47, 100, np.int32)), pa.array(lane)]
+    whole = pa.RecordBatch.from_arrays(rows, names=["tok", "cls", "n", "lane"])
+    out = list(simhash._meet_task(16)(iter([whole.slice(0, 44), whole.slice(44, 0), whole.slice(44, 2), whole.slice(46)])))
+    found = [c for b in out for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t == 5]
+    assert set(found) == set(range(46))
+
+
+def test_shared_counts_bound_every_pair(spark):
+    rnd = random.Random(8)
+    sets = [sorted({rnd.randrange(60) for _ in range(30)} | {1000 + 100 * i + j for j in range(i)}) for i in range(12)]
+    got = {r.cls: r.s for r in shingles.shared_counts(spark.createDataFrame(list(enumerate(sets)), "cls long, grams array<long>")).collect()}
+    for i, a in enumerate(sets):
+        assert got[i] <= len(a) - i
+        for j, b in enumerate(sets):
+            assert i == j or len(set(a) & set(b)) <= min(got[i], got[j])

@@ -42,9 +42,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     return value, np.searchsorted(text, np.arange(len(length) + 1))
 
 
-def class_of(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One hash a set; zero for the empty set."""
-    total = np.concatenate((np.zeros(1, _U), np.cumsum(bh.mix(value ^ _U(0x9E3779B97F4A7C15)))))
+def class_of(value: np.ndarray, bounds: np.ndarray, lane: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """One hash a set, another for each lane; zero for the empty set."""
+    total = np.concatenate((np.zeros(1, _U), np.cumsum(bh.mix(value ^ _U(lane)))))
     size = np.diff(bounds).astype(np.uint64)
     return np.where(size > 0, bh.mix(total[bounds[1:]] - total[bounds[:-1]] + bh.mix(size)), _U(0)).view(np.int64)
 
@@ -63,12 +63,20 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Dat
     return met.where(9 * F.size(F.array_intersect("ga", "gb")) >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b")
 
 
-def similar_edges(met: DataFrame, check: Callable[[DataFrame], DataFrame], lane_distance: int) -> DataFrame:
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """cls and s: how many of a set's shingles stand in another of the sets too.  Two of them have min(s) in common at most."""
+    gram = sets.select("cls", F.explode("grams").alias("gram"))
+    alone = gram.groupBy(F.col("gram").bitwiseXOR(F.lit(7)).alias("k")).agg(F.count("*").alias("m"), F.min("cls").alias("cls")).where("m = 1").groupBy("cls").agg(F.count("*").alias("alone"))
+    return sets.select("cls", F.size("grams").alias("n")).join(alone, "cls", "left").select("cls", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int").alias("s"))
+
+
+def similar_edges(met: DataFrame, check: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], lane_distance: int, few: int) -> DataFrame:
     """Edges (a, b) between classes that join what checked pairs join; met: tok, cls, n, lane, head, head_n, gap.
 
     head is a class of tok that may be near, gap its distance.  `check` takes pairs (a, b) and returns those that are
-    near.  First each class meets the nearest of its heads, then its other heads, as far as they are in other components, and last all of a
-    tok whose classes still are in several.
+    near.  First each class meets the nearest of its heads, then its other heads, as far as they are in other
+    components, and last all of a tok whose classes still are in several.  Of a tok of more than `few` classes the
+    sets are counted first: what a set has alone leaves it only so many to share, so most of its pairs need no look.
     """
     heads = met.where("cls <> head").where(similar_sizes("n", "head_n"))
     nearest = heads.groupBy("cls").agg(F.min(F.struct("gap", "head")).getField("head").alias("head"))
@@ -81,9 +89,14 @@ def similar_edges(met: DataFrame, check: Callable[[DataFrame], DataFrame], lane_
     parts = rows.groupBy("tok", F.col("x.root").alias("root")).agg(F.count("*").alias("m"))
     mixed = parts.groupBy(F.col("tok").bitwiseXOR(F.lit(13)).alias("k")).agg(F.max(F.struct("m", "root")).getField("root").alias("main"), F.count("*").alias("roots")).where("roots > 1")
     every = saved(rows.withColumn("k", F.col("tok").bitwiseXOR(F.lit(13))).join(mixed.select(F.expr("k + 1 - 1").alias("k"), "main"), "k").select("k", "x", "main"), "mixed")
+    crowded = every.groupBy(F.col("k").bitwiseXOR(F.lit(5)).alias("t")).agg(F.count("*").alias("m")).where(F.col("m") > few).select(F.col("t").bitwiseXOR(F.lit(5)).alias("k"))
+    named = saved(every.join(crowded, "k", "left_semi").select(F.col("x.cls").alias("c")).distinct(), "crowded")
+    shared = saved(shared_counts(sets_of(named)), "shared").withColumnRenamed("cls", "of")
+    every = saved(every.join(shared, F.col("x.cls") == F.col("of"), "left").where("s IS NULL OR 5 * s >= 4 * x.n").select("k", "x", "main", "s"), "counted")
     apart = every.where("x.root <> main")
     near = similar_sizes("x.n", "y.n") & (F.bit_count(F.col("x.lane").bitwiseXOR(F.col("y.lane"))) <= lane_distance)
+    near &= F.expr("s IS NULL OR t IS NULL OR 9 * least(s, t) >= 4 * (x.n + y.n)")
     # a pair with one end in the main component is made once, from its other end
-    pairs = apart.select("k", "x").join(every.select("k", F.col("x").alias("y"), "main"), "k").where("x.root <> y.root and (y.root = main or x.cls < y.cls)").where(near)
+    pairs = apart.select("k", "x", "s").join(every.select("k", F.col("x").alias("y"), "main", F.col("s").alias("t")), "k").where("x.root <> y.root and (y.root = main or x.cls < y.cls)").where(near)
     last = check(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
     return edges.unionByName(saved(last, "similar"))

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytehash as bh
@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 LANES, KEY_LANES, LEAST_BLOCKS, RECALL, SIMILARITY = 16, 4, 5, 0.995, 0.8
 NIBBLES = 16 * KEY_LANES
 FEW, LONG = 16, 1 << 16
+SET_LANES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
 def _agreement(similarity: float) -> float:
@@ -199,7 +200,7 @@ def wide_prints(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _set_task(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """row, cls, n and the fingerprint (or the whole set) of each text."""
+    """row, two hashes of the set, its size n and the fingerprint (or the whole set) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,14 +210,14 @@ def _set_task(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))
                 else:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1, dtype=np.int32) * LANES), pa.array(wide_prints(value, bounds).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), pa.array(shingles.class_of(value, bounds)), pa.array(np.diff(bounds).astype(np.int32)), lists], names=["row", "cls", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), *(pa.array(shingles.class_of(value, bounds, lane)) for lane in SET_LANES), pa.array(np.diff(bounds).astype(np.int32)), lists], names=["row", "h1", "h2", "n", "grams"])
 
     return run
 
 
 def _sets(docs: DataFrame, columns: list[str], whole: bool) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("text"), row_of(docs, columns))
-    return rows.mapInArrow(_set_task(whole), with_row(rows.schema["row"].dataType, "cls long, n int, grams array<long>"))
+    return rows.mapInArrow(_set_task(whole), with_row(rows.schema["row"].dataType, "h1 long, h2 long, n int, grams array<long>"))
 
 
 def _key_task(choices: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -246,12 +247,14 @@ def _meet_task(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     compared with the row nearest to the lane that most bits vote for, which is near the text that all were copied from.
     """
 
-    def met(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, lane: np.ndarray) -> pa.RecordBatch:
+    def met(goes_on: bool, tok: np.ndarray, cls: np.ndarray, n: np.ndarray, lane: np.ndarray) -> pa.RecordBatch:
+        """`goes_on`: the first tok is the rest of one that was large already, however few rows are left of it."""
         new = np.ones(len(tok), dtype=bool)
         new[1:] = tok[1:] != tok[:-1]
         begin = np.flatnonzero(new)
         size = np.diff(np.concatenate((begin, [len(tok)])))
         small = np.repeat(size <= FEW, size)
+        small[: size[0]] &= not goes_on
         head, gap, mate = np.arange(len(tok)), np.full(len(tok), 65), ~small
         for step in range(1, FEW):
             at = np.flatnonzero(small[step:] & (tok[step:] == tok[:-step]))
@@ -280,21 +283,25 @@ def _meet_task(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
+        goes_on = False
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = [batch.column(i).to_numpy() for i in range(4)]
             rows[3] = rows[3].view(np.uint64)
             rows = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
-            # a tok that may go on waits; of a long one only its first class does
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            # a tok that may go on waits; of a long one only its first class does, and that it was long
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if len(rows[0]) - cut > LONG:
-                yield met(*rows)
-                kept = [x[cut : cut + 1] for x in rows]
+                yield met(goes_on, *rows)
+                kept, goes_on = [x[cut : cut + 1] for x in rows], True
                 continue
             if cut:
-                yield met(*(x[:cut] for x in rows))
+                yield met(goes_on, *(x[:cut] for x in rows))
+                goes_on = False
             kept = [x[cut:] for x in rows]
-        if kept is not None and len(kept[0]):
-            yield met(*kept)
+        if kept is not None:
+            yield met(goes_on, *kept)
 
     return run
 
@@ -310,26 +317,31 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     empty table stays empty.
     """
     small_batches(docs.sparkSession)
-    body = F.xxhash64(F.coalesce(named(text).cast("string"), F.lit("")))
-    key = F.xxhash64(named(doc_id), body)
-    marked = docs.select(named(doc_id).alias("id"), body.alias("body_hash"), named(text).alias("text"))
-    who = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.body_hash").alias("body_hash"))
-    grouped = _sets(marked, ["id", "body_hash"], False).groupBy("cls")
-    classes = saved(grouped.agg(F.min(who).alias("x"), (F.count("*") > 1).alias("many"), F.first("n").alias("n"), F.first("grams").alias("fp")), "classes")
+    whole_text = F.coalesce(named(text).cast("string"), F.lit(""))
+    bodies = [F.xxhash64(whole_text), F.xxhash64(F.lit(1), whole_text)]
+    keys = ["key1", "key2"]  # name a row by its id and text, in two lanes
+
+    def with_keys(source: DataFrame, *columns: Column) -> DataFrame:
+        return source.select(*columns, *(F.xxhash64(named(doc_id), b).alias(k) for b, k in zip(bodies, keys, strict=True)))
+
+    marked = with_keys(docs, named(doc_id).alias("id"), bodies[0].alias("body_hash"), named(text).alias("text"))
+    who = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.body_hash").alias("body_hash"), *(F.col("row")[k].alias(k) for k in keys))
+    grouped = _sets(marked, ["id", "body_hash", *keys], False).groupBy("h1", "h2")
+    classes = grouped.agg(F.min(who).alias("x"), (F.count("*") > 1).alias("many"), F.first("n").alias("n"), F.first("grams").alias("fp"))
+    classes = saved(classes.drop("h1", "h2").withColumn("cls", F.monotonically_increasing_id()), "classes")
     toks = classes.where("n > 0").select("cls", "n", "fp").mapInArrow(_key_task(block_choices(classes.count())), "tok long, cls long, n int, lane long")
     sorted_toks = toks.repartition("tok").sortWithinPartitions("tok", "cls")
     met = saved(sorted_toks.mapInArrow(_meet_task(_distance(SIMILARITY, 1)), "tok long, cls long, n int, lane long, head long, head_n int, gap int"), "met")
 
-    def rows_of(source: DataFrame, keys: DataFrame) -> DataFrame:
-        """Rows of source (with row_key) of the keys (wanted, many); only rows that may be repeated are dealt anew to keep one."""
-        here = source.join(keys, F.col("row_key") == F.col("wanted"))
-        one = Window.partitionBy("row_key").orderBy("wanted")
-        return here.where("not many").drop("wanted", "many").unionByName(here.where("many").withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("wanted", "many", "nth"))
+    def rows_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Rows of source that are wanted (keys, many), one of each; only rows that may be repeated are dealt anew to keep one."""
+        here = source.join(wanted, keys)
+        one = Window.partitionBy(*keys).orderBy(F.lit(1))
+        return here.where("not many").unionByName(here.where("many").withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth"))
 
     def sets_of(compared: DataFrame) -> DataFrame:
-        keys = classes.join(compared, F.col("cls") == F.col("c"), "left_semi").select(F.xxhash64("x.id", "x.body_hash").alias("wanted"), "many")
-        texts = rows_of(docs.select(key.alias("row_key"), named(text).alias("text")), keys)
-        return saved(_sets(texts, ["row_key"], True).select("cls", "grams"), "sets")
+        wanted = classes.join(compared, F.col("cls") == F.col("c"), "left_semi").select(*(F.col("x")[k].alias(k) for k in keys), "many", "cls")
+        return saved(_sets(rows_of(with_keys(docs, named(text).alias("text")), wanted), ["cls"], True).select(field("cls"), "grams"), "sets")
 
     def check(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("cls").alias("a"), F.col("fp").alias("fa"))
@@ -338,9 +350,9 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         near = pairs.join(one, "a").join(two, "b").where(apart <= _distance(SIMILARITY)).select("a", "b")
         return shingles.verified(saved(near, "pairs"), sets_of)
 
-    roots = components(shingles.similar_edges(met, check, _distance(SIMILARITY, 1)))
+    roots = components(shingles.similar_edges(met, check, sets_of, _distance(SIMILARITY, 1), FEW))
     linked = classes.select("cls", "x", "many").join(roots, F.col("cls") == F.col("node"), "left").select("x", "many", F.coalesce("root", "cls").alias("root"))
     first = linked.groupBy("root").agg(F.min(F.struct("x", "many")).alias("y"))
-    chosen = saved(first.select(F.xxhash64("y.x.id", "y.x.body_hash").alias("wanted"), "y.many"), "chosen")
-    whole = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), key.alias("row_key"))
+    chosen = saved(first.select(*(F.col("y.x")[k].alias(k) for k in keys), "y.many"), "chosen")
+    whole = with_keys(docs, F.struct(*[named(c) for c in docs.columns]).alias("row"))
     return rows_of(whole, chosen).select(*[field(c) for c in docs.columns])
