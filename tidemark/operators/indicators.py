@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ledger import ordered_digest
+
 KEY, DAY = "instrument_id", "session_date"
 
 
@@ -39,65 +39,74 @@ def sma(bars: DataFrame, period: int) -> DataFrame:
     return bars.select(KEY, DAY, mean.alias("value"), F.row_number().over(w).alias("i")).where(F.col("i") >= period).drop("i")
 
 
-def seeded_mean(x: np.ndarray, period: int, alpha: float) -> np.ndarray:
-    """Mean of the first `period` values, then alpha * value + (1 - alpha) * previous; starts at index period - 1."""
-    if len(x) < period:
-        return np.zeros(0)
-    start = np.concatenate(([x[:period].mean()], x[period:]))
-    return pd.Series(start).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-
-
-def rsi_of(close: np.ndarray, period: int) -> np.ndarray:
-    move = np.diff(close)
-    up, down = (seeded_mean(np.maximum(s * move, 0), period, 1 / period) for s in (1, -1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        value = 100 - 100 / (1 + up / down)
-    return np.where((up == 0) & (down == 0), 50.0, np.where(down == 0, 100.0, value))
-
-
-def macd_of(close: np.ndarray, fast: int, slow: int, signal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    quick, late = seeded_mean(close, fast, 2 / (fast + 1)), seeded_mean(close, slow, 2 / (slow + 1))
-    line = quick[slow - fast :][: len(late)] - late
-    mark = seeded_mean(line, signal, 2 / (signal + 1))
-    line = line[len(line) - len(mark) :]
-    return line, mark, line - mark
-
-
-def true_range_of(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
-    before = np.concatenate(([np.nan], close[:-1]))
-    return np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
-
-
-def atr_of(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int) -> np.ndarray:
-    return seeded_mean(true_range_of(high, low, close)[1:], period, 1 / period)
-
-
-def _grouped(bars: DataFrame, columns: dict[str, str], compute) -> DataFrame:
-    """Recurrences of one instrument's ordered bars; values line up with its last bars."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DAY)
-        values = compute(pdf)
-        n = len(next(iter(values.values())))
-        return pd.DataFrame({KEY: pdf[KEY].to_numpy()[:n], DAY: pdf[DAY].to_numpy()[len(pdf) - n :], **values})
-
-    schema = f"{KEY} int, {DAY} date, " + ", ".join(f"{c} {t}" for c, t in columns.items())
-    return bars.select(KEY, DAY, "high", "low", "close").groupBy(KEY).applyInPandas(run, schema)
+#: Days in a chunk of an instrument when its bars are numbered, and bars in one, for each of the period, when they are smoothed.
+CHUNK_DAYS, CHUNK_PERIODS, CARRIED = 512, 64, 12
+
+
+def numbered(bars: DataFrame, *columns: str) -> DataFrame:
+    """KEY, DAY, columns, i (from 1 by day) and before (the close of the bar before).
+
+    An instrument's days are cut to chunks, which are numbered on their own and then set behind one another by a window
+    over one row a chunk, so its bars need not meet in a task.
+    """
+    part = F.floor(F.datediff(DAY, F.lit("1970-01-01").cast("date")) / CHUNK_DAYS)
+    rows = bars.select(KEY, DAY, *columns, part.alias("part"), *(["close"] if "close" not in columns else []))
+    w, chunks = Window.partitionBy(KEY, "part").orderBy(DAY), Window.partitionBy(KEY).orderBy("part")
+    ends = rows.groupBy(KEY, "part").agg(F.count("*").alias("n"), F.max_by("close", DAY).alias("end"))
+    ends = ends.select(KEY, "part", F.coalesce(F.sum("n").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.lag("end").over(chunks).alias("end"))
+    here = rows.withColumns({"place": F.row_number().over(w), "prior": F.lag("close").over(w)}).join(ends, [KEY, "part"])
+    return here.select(KEY, DAY, *columns, (F.col("ahead") + F.col("place")).alias("i"), F.coalesce("prior", "end").alias("before"))
+
+
+def smoothed(rows: DataFrame, value: str, first: int, period: int, alpha: float, name: str) -> DataFrame:
+    """rows (KEY, i) with a column `name`: the mean of the first `period` values, then alpha * value + (1 - alpha) * previous.
+
+    Values begin at i = first, the result `period` - 1 bars later; before, it is null.  Each step is the affine map
+    y -> d * y + alpha * x with d = 1 - alpha, so a chunk of n bars is y -> d^n * y + c.  Chunks of CHUNK_PERIODS periods
+    are summed apart (chunk -1 gives the mean), and what enters one is put together from the CARRIED chunks before it by
+    a window over one row a chunk; what is older is below the least double.
+    """
+    if period == 1:
+        return rows.withColumn(name, F.when(F.col("i") >= first, F.col(value)))
+    d, length, seed = 1 - alpha, CHUNK_PERIODS * period, first + period - 1
+    power = lambda e: F.pow(F.lit(d), e)
+    after = F.col("i") - (seed + 1)
+    rows = rows.withColumns({"chunk": F.when(after >= 0, F.floor(after / length)).otherwise(F.lit(-1).cast("long")), "place": after % length + 1})
+    early = F.col("chunk") < 0
+    w = Window.partitionBy(KEY, "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    term = F.when(~early, alpha * F.col(value) * power(-F.col("place"))).when(F.col("i") >= first, F.col(value) / period)
+    rows = rows.withColumn("own", F.sum(term).over(w) * F.when(early, 1.0).otherwise(power(F.col("place"))))
+    ends = rows.where((F.col("i") == seed) | (~early & (F.col("place") == length))).select(KEY, "chunk", F.col("own").alias("end"))
+    by = Window.partitionBy(KEY).orderBy("chunk")
+    enters = sum((F.coalesce(F.lag("end", m).over(by), F.lit(0.0)) * d ** (length * m) for m in range(1, CARRIED)), F.col("end"))
+    carried = ends.select(KEY, (F.col("chunk") + 1).alias("chunk"), enters.alias("enters"))
+    smooth = F.when(F.col("i") == seed, F.col("own")).when(~early, F.col("own") + power(F.col("place")) * F.col("enters"))
+    return rows.join(carried, [KEY, "chunk"], "left").withColumn(name, smooth).drop("chunk", "place", "own", "enters")
 
 
 def ema(bars: DataFrame, period: int) -> DataFrame:
     """Exponential mean, seeded with the simple mean of the first `period` closes."""
-    return _grouped(bars, {"value": "double"}, lambda p: {"value": seeded_mean(p["close"].to_numpy(), period, 2 / (period + 1))})
+    return smoothed(numbered(bars, "close"), "close", 1, period, 2 / (period + 1), "value").where("value IS NOT NULL").select(KEY, DAY, "value")
 
 
 def rsi(bars: DataFrame, period: int) -> DataFrame:
     """Relative strength with smoothed gains and losses: 50 if flat, 100 without losses."""
-    return _grouped(bars, {"value": "double"}, lambda p: {"value": rsi_of(p["close"].to_numpy(), period)})
+    move = F.col("close") - F.col("before")
+    rows = numbered(bars, "close").withColumns({"gain": F.greatest(move, F.lit(0.0)), "loss": F.greatest(-move, F.lit(0.0))})
+    for value, name in (("gain", "up"), ("loss", "down")):
+        rows = smoothed(rows, value, 2, period, 1 / period, name)
+    up, down = F.col("up"), F.col("down")
+    value = F.when((up == 0) & (down == 0), 50.0).when(down == 0, 100.0).otherwise(100 - 100 / (1 + up / F.nullif(down, F.lit(0.0))))
+    return rows.where("up IS NOT NULL").select(KEY, DAY, value.alias("value"))
 
 
 def macd(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
     """line, signal and histogram, from bar slow + signal - 2 on."""
-    return _grouped(bars, {"line": "double", "signal": "double", "histogram": "double"}, lambda p: dict(zip(("line", "signal", "histogram"), macd_of(p["close"].to_numpy(), fast, slow, signal), strict=True)))
+    rows = numbered(bars, "close")
+    for period, name in ((fast, "quick"), (slow, "late")):
+        rows = smoothed(rows, "close", 1, period, 2 / (period + 1), name)
+    rows = smoothed(rows.withColumn("line", F.col("quick") - F.col("late")), "line", slow, signal, 2 / (signal + 1), "signal")
+    return rows.where("signal IS NOT NULL").select(KEY, DAY, "line", "signal", (F.col("line") - F.col("signal")).alias("histogram"))
 
 
 def true_range(bars: DataFrame) -> DataFrame:
@@ -109,7 +118,9 @@ def true_range(bars: DataFrame) -> DataFrame:
 
 def atr(bars: DataFrame, period: int) -> DataFrame:
     """Smoothed true range, seeded with the mean of the first `period` after the first bar."""
-    return _grouped(bars, {"value": "double"}, lambda p: {"value": atr_of(p["high"].to_numpy(), p["low"].to_numpy(), p["close"].to_numpy(), period)})
+    wide = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("before")), F.abs(F.col("low") - F.col("before")))
+    rows = numbered(bars, "high", "low").withColumn("wide", wide)
+    return smoothed(rows, "wide", 2, period, 1 / period, "value").where("value IS NOT NULL").select(KEY, DAY, "value")
 
 
 def volatility(bars: DataFrame, periods_per_year: int) -> DataFrame:
@@ -169,7 +180,7 @@ def eligibility(bars: DataFrame, as_of: str, minimum: int, limit_days: int) -> D
 
 
 def lineage(bars: DataFrame) -> DataFrame:
-    """Every input of a series' metric, in order, with a hash of the list."""
-    inputs = F.array_sort(F.collect_list(F.struct(DAY, "close")))
-    text = F.concat_ws(";", F.transform("inputs", lambda x: F.concat_ws(",", x[DAY].cast("string"), F.floor(x["close"] * 100 + 0.5).cast("string"))))
-    return bars.groupBy(KEY).agg(inputs.alias("inputs")).select(KEY, "inputs", F.size("inputs").cast("long").alias("n_inputs"), F.sha2(text, 256).alias("inputs_sha256"))
+    """How many inputs each series' metric has, and a hash over all of them in order, which streams past."""
+    line = F.concat_ws(",", F.col(DAY).cast("string"), F.floor(F.col("close") * 100 + 0.5).cast("string"))
+    out = ordered_digest(bars.select(KEY, DAY, line.alias("line")), [KEY], [DAY, "line"], "line", ";")
+    return out.select(KEY, F.col("n").alias("n_inputs"), F.col("digest").alias("inputs_sha256"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def page(df: DataFrame, order: Sequence[F.Column], limit: int, offset: int = 0) -> DataFrame:
@@ -146,11 +149,73 @@ def banded_queue(candidates: DataFrame, now: str, band: F.Column, at: str, key:
     return out.withColumn("place", F.col("nth__") + F.col("ahead__")).drop("day__", "nth__", "n__", "ahead__")
 
 
-def hash_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: str) -> DataFrame:
-    """Head of each key's chain of SHA-256: every link covers the one before it."""
-    entries = F.array_sort(F.collect_list(F.struct(*order, F.col(payload).alias("payload"))))
-    link = F.aggregate("entries", F.lit("0" * 64), lambda h, r: F.sha2(F.concat(h, F.lit("\n"), r["payload"].cast("string")), 256))
-    return df.groupBy(*keys).agg(entries.alias("entries")).select(*keys, F.size("entries").cast("long").alias("n"), link.alias("head"))
+FIRST_LINK = "0" * 64
+
+
+def _chain_task(n_keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (keys, n, payload) in order: a chain's last head and length, of which only the present one is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, where, head, n = None, None, FIRST_LINK, 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*where.columns[:n_keys], pa.array([n], pa.int64()), pa.array([head])], names=[*where.schema.names[:n_keys], "n", "head"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True))
+            for i, (key, ahead, payload) in enumerate(zip(keys, batch.column(n_keys).to_pylist(), batch.column(n_keys + 1).to_pylist(), strict=True)):
+                if key != now:
+                    if where is not None:
+                        yield done()
+                    now, where, head, n = key, batch.slice(i, 1), FIRST_LINK, 0
+                if ahead is None:
+                    head, n = hashlib.sha256(f"{head}\n{payload}".encode()).hexdigest(), n + 1
+                else:  # a chain that goes on: its saved length and head come before its new entries
+                    head, n = payload, ahead
+        if where is not None:
+            yield done()
+
+    return run
+
+
+def hash_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: str, heads: DataFrame | None = None) -> DataFrame:
+    """keys, n, head: the head of each key's chain of SHA-256, in which every link covers the one before it.
+
+    Entries pass through a task in order and only the head is carried, so a chain may be of any length.  `heads` is an
+    earlier result: its chains go on with the entries of df, which come after all that they cover, and those without
+    new entries stay.  Null payloads are no entries.
+    """
+    entry = df.where(F.col(payload).isNotNull()).select(*keys, F.lit(None).cast("long").alias("n"), F.col(payload).cast("string").alias("payload"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    if heads is not None:
+        entry = entry.unionByName(heads.select(*keys, "n", F.col("head").alias("payload")), allowMissingColumns=True)
+    placed = entry.repartition(*keys).sortWithinPartitions(*keys, F.col("n").desc_nulls_last(), *[f"_{i}" for i in range(len(order))]).select(*keys, "n", "payload")
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("n", T.LongType()), T.StructField("head", T.StringType())])
+    return placed.mapInArrow(_chain_task(len(keys)), schema)
+
+
+def ordered_digest(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, between: str) -> DataFrame:
+    """keys, n, digest: the SHA-256 of each key's texts in order, with `between` between them; only a digest is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, where, n, digest = None, None, 0, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*where.columns[:-1], pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=[*where.schema.names[:-1], "n", "digest"])
+
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for i, (*key, line) in enumerate(rows):
+                if where is None or key != now:
+                    if where is not None:
+                        yield done()
+                    now, where, n, digest = key, batch.slice(i, 1), 0, hashlib.sha256()
+                digest.update(((between if n else "") + (line or "")).encode())
+                n += 1
+        if where is not None:
+            yield done()
+
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("n", T.LongType()), T.StructField("digest", T.StringType())])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
 
 
 def uuid5(namespace_hex: str, name: F.Column) -> F.Column:

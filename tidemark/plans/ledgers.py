@@ -170,8 +170,10 @@ def o07(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("O09_bounded_list", "SELECT user_id, list_slice(list(event_id ORDER BY ts, event_id), 1, 24)::VARCHAR AS ids FROM events GROUP BY 1")
 def o09(spark: SparkSession, sf: str) -> DataFrame:
-    ids = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), 1, 24), lambda x: x["event_id"].cast("string"))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("ids"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    first = table(spark, sf, "events").select("user_id", "ts", "event_id", nth.alias("nth")).where("nth <= 24")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("nth", "event_id"))), lambda x: x["event_id"].cast("string"))
+    return first.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("ids"))
 
 
 @register("O10_last_n_ascending", "SELECT event_id, ts FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) ORDER BY ts, event_id")
@@ -283,6 +285,15 @@ def w08(spark: SparkSession, sf: str) -> DataFrame:
     return led.hash_chain(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "props")
 
 
+@register("W08_chain_appended")
+def w08_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """The same chains in two runs: events before a day, then those from it on, appended to the first run's heads."""
+    e = table(spark, sf, "events")
+    late = F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    heads = led.hash_chain(e.where(~late), ["user_id"], ["ts", "event_id"], "props")
+    return led.hash_chain(e.where(late), ["user_id"], ["ts", "event_id"], "props", heads)
+
+
 @register("W09_split_chronology", "SELECT split, min(d) AS first, max(d) AS last, count(*) AS n FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'tuning' WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 'validation' ELSE 'held_out' END AS split, o_orderdate AS d FROM orders) GROUP BY 1")
 def w09(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("o_orderdate")

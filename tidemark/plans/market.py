@@ -145,4 +145,4 @@ def t15(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("T16_lineage", f"WITH {BARS} SELECT instrument_id, count(*) AS n_inputs, sha256(string_agg(session_date::VARCHAR || ',' || floor(close * 100 + 0.5)::BIGINT::VARCHAR, ';' ORDER BY session_date)) AS inputs_sha256 FROM bars GROUP BY 1")
 def t16(spark: SparkSession, sf: str) -> DataFrame:
-    return ind.lineage(bars(spark, sf)).drop("inputs")
+    return ind.lineage(bars(spark, sf))

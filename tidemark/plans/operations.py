@@ -9,7 +9,7 @@ from tidemark.catalog import register
 from tidemark.operators import scoring as sc
 from tidemark.operators.pit import known_by
 from tidemark.streaming import stateful as st
-from tidemark.tables import BARS, bars, table
+from tidemark.tables import BARS, bars, table, table_stream
 
 NOW = "2024-01-30 00:00:00"
 
@@ -126,11 +126,21 @@ def k07(spark: SparkSession, sf: str) -> DataFrame:
     return st.illegal_transitions(log, {"signup": ("view", "error"), "view": ("click", "view"), "click": ("purchase",)}, "signup").select("event_id", "before", "status")
 
 
-@register("W07_governor", "WITH r AS (SELECT user_id, event_id, value, row_number() OVER w AS i, ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), a AS (SELECT *, max(i) FILTER (NOT value <= 20) OVER w AS loud, max(i) FILTER (value >= 60) OVER w AS hot FROM r WINDOW w AS (PARTITION BY user_id ORDER BY i)), b AS (SELECT *, max(i) FILTER (i - coalesce(loud, 0) >= 3) OVER (PARTITION BY user_id ORDER BY i) AS calmed FROM a) SELECT user_id, event_id, CASE WHEN hot IS NOT NULL AND coalesce(calmed, 0) < hot THEN 'paused' ELSE 'running' END AS state FROM b")
+_GOVERNED = "WITH r AS (SELECT user_id, event_id, value, row_number() OVER w AS i, ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), a AS (SELECT *, max(i) FILTER (NOT value <= 20) OVER w AS loud, max(i) FILTER (value >= 60) OVER w AS hot FROM r WINDOW w AS (PARTITION BY user_id ORDER BY i)), b AS (SELECT *, max(i) FILTER (i - coalesce(loud, 0) >= 3) OVER (PARTITION BY user_id ORDER BY i) AS calmed FROM a) SELECT user_id, event_id, CASE WHEN hot IS NOT NULL AND coalesce(calmed, 0) < hot THEN 'paused' ELSE 'running' END AS state FROM b"
+
+
+@register("W07_governor", _GOVERNED)
 def w07(spark: SparkSession, sf: str) -> DataFrame:
     return st.governor(_events(spark, sf), ["user_id"], 60.0, 20.0, 3)
 
 
+@register("K08_governor_stream", f"{_GOVERNED} WHERE epoch_us(ts) < (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)")
+def k08(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream that is drained: all readings but those as new as the newest, which its watermark has not passed."""
+    stream = table_stream(st.timer_session(spark), sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return st.drained(st.governor_stream(stream, "user_id", 60.0, 20.0, 3, "0 seconds"), spark, "governed")
+
+
 @register("W05_claim_bands", "SELECT band, min(event_id) AS first, count(*) AS n FROM (SELECT event_id, CASE WHEN ts <= TIMESTAMP '2024-01-29 00:00:00' THEN 0 WHEN event_type = 'purchase' THEN 1 ELSE 2 END AS band FROM events) GROUP BY 1")
 def w05(spark: SparkSession, sf: str) -> DataFrame:
     band = F.when(F.col("ts") <= F.lit("2024-01-29").cast("timestamp_ntz"), 0).when(F.col("event_type") == "purchase", 1).otherwise(2)

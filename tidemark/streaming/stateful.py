@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.shared import new_path
+
 DECISIONS = "user_id long, event_id long, admitted boolean, retry_after_s double"
 
 
@@ -143,6 +146,85 @@ def governor(readings: DataFrame, keys: list[str], high: float, low: float, calm
     return r.select(*keys, "event_id", F.when(paused, "paused").otherwise("running").alias("state"))
 
 
+class Governor(StatefulProcessor):
+    """The same rule over a stream: readings wait until the watermark has passed them, then count in order of time."""
+
+    def __init__(self, high: float, low: float, calm: int) -> None:
+        self.high, self.low, self.calm = high, low, calm
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, value double")
+        self.now = handle.getValueState("now", "paused boolean, quiet int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for us, event_id, value in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["value"].tolist(), strict=True):
+                self.waiting.appendValue((us, event_id, value))
+                self.handle.registerTimer(us // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        ready = [r for r in rows if r[0] < passed]
+        if not ready:
+            return
+        paused, quiet = self.now.get() if self.now.exists() else (False, 0)
+        states = []
+        for _, _, value in ready:
+            paused, quiet = governed(paused, quiet, value, self.high, self.low, self.calm)
+            states.append("paused" if paused else "running")
+        self.now.update((paused, quiet))
+        self.waiting.clear()
+        if left := rows[len(ready) :]:
+            self.waiting.put(left)
+        yield pd.DataFrame({"key": [key[0]] * len(ready), "event_id": [r[1] for r in ready], "state": states})
+
+    def close(self) -> None:
+        pass
+
+
+def governed(paused: bool, quiet: int, value: float | None, high: float, low: float, calm: int) -> tuple[bool, int]:
+    """State and run of quiet readings after one more; a missing value counts as quiet, NaN as high."""
+    if value is None:
+        hot, loud = False, False
+    else:
+        hot, loud = value >= high or value != value, not value <= low
+    quiet = 0 if loud else quiet + 1
+    return (True if hot else paused) and quiet < calm, quiet
+
+
+def governor_stream(readings: DataFrame, key: str, high: float, low: float, calm: int, late: str) -> DataFrame:
+    """key, event_id, state of a stream (key, ts, event_id, value): the rows of `governor`, whatever order readings come in.
+
+    A reading counts once the watermark, `late` behind the newest one, has passed it; readings later than that are
+    dropped.  State is a flag, a count and what still waits.  It needs a state store that keeps timers
+    (spark.sql.streaming.stateStore.providerClass: the RocksDB one).
+    """
+    rows = readings.withWatermark("ts", late).select(F.col(key).alias("key"), "ts", "event_id", F.col("value").cast("double").alias("value"), F.unix_micros("ts").alias("us"))
+    kind = rows.schema["key"].dataType.simpleString()
+    out = rows.groupBy("key").transformWithStateInPandas(Governor(high, low, calm), f"key {kind}, event_id long, state string", "append", "eventTime")
+    return out.withColumnRenamed("key", key)
+
+
+def timer_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep timers and have a state store a core; the given one stays as it is."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own
+
+
+def drained(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """All that a stream gives for what its source holds now, as a table in the shared folder."""
+    path = new_path(spark, name)
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def lease_recovery(jobs: DataFrame, now: str, lease: str, most: int) -> DataFrame:
     """Jobs whose lease ran out wait for a retry, or fail once their attempts are used up."""
     expired = (F.col("status") == "processing") & (F.col("claimed_at") <= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {lease}"))

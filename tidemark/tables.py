@@ -65,3 +65,12 @@ FACTS = """facts AS (
                (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end,
                sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents, count(*) AS n_sources, max(o_orderkey) AS source_key
         FROM orders GROUP BY 1, 2, 3))"""
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a stream: a folder of part files, or one file, which a stream finds by its name in the folder."""
+    whole = table(spark, sf_dir, name)
+    reader = spark.readStream.schema(whole.schema)
+    if whole.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
