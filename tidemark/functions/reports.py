@@ -223,35 +223,51 @@ HEADINGS = {
     "outlook": ("Outlook|OUTLOOK|Business Outlook|BUSINESS OUTLOOK|Known Trends and Uncertainties|KNOWN TRENDS AND UNCERTAINTIES", ""),
     "risks": ("Risk Factors|RISK FACTORS", "1A"),
 }
-BORDERS = (r"\b((?:ITEM|Item)\s+[0-9]{1,2}[A-C]?\.?\s+[A-Z])", r"\b(SIGNATURES)\b")
-LEAST_SECTION, MOST_SECTION, CONTENTS_SAMPLE = 80, 20_000, 600
-_MARK, _END = "\x01", "\x02"
+# Fixed value: borders that are no heading.  _NUMBER stands before a number with a dot that no letter, digit or dot precedes.
+_NUMBER = "\x03"
+BORDER = rf"\b(?:ITEM|Item)\s+{_NUMBER}?[0-9]{{1,2}}[A-C]?\.?\s+[A-Z]|\bSIGNATURES\b|{_NUMBER}[0-9]{{1,2}}\.\s+[A-Z][A-Za-z][A-Za-z &’'\-/]{{2,80}}"
+NUMBERED = (r"(^|[^\w.])([0-9]{1,2}\.)", rf"$1{_NUMBER}$2")
+LEAST_SECTION, MOST_SECTION, CONTENTS_SAMPLE, CONTEXT = 80, 20_000, 600, 48
 
 
-def marked_sections(text: F.Column, periodic: F.Column) -> F.Column:
-    """The text with a mark before every border and heading, the latter followed by its selector."""
-    out = text
-    for border in BORDERS:
-        out = F.regexp_replace(out, border, f"{_MARK}{_END}$1")
-    free = bound = out
-    for selector, (heading, items) in HEADINGS.items():
-        here = rf"\b({heading})\b"
-        free = F.regexp_replace(free, here, f"{_MARK}{selector}{_END}$1")
-        bound = F.regexp_replace(bound, rf"((?:ITEM|Item)\s+(?:{items})\.?\s*)({heading})\b", f"$1{_MARK}{selector}{_END}$2") if items else F.regexp_replace(bound, here, f"{_MARK}{selector}{_END}$1")
-    return F.when(periodic, bound).otherwise(free)
+def _places(texts: DataFrame, key: str, source: F.Column, pattern: str, *columns: F.Column) -> DataFrame:
+    """key, columns, start, stop of all matches of a pattern; starts are summed up from what lies between them."""
+    bare = lambda c: F.length(F.replace(c, F.lit(_NUMBER)))
+    found = F.arrays_zip(F.transform(F.split(source, pattern), bare).alias("gap"), F.transform(F.regexp_extract_all(source, F.lit(pattern), 0), bare).alias("n"))
+    rows = texts.select(key, *columns, F.posexplode(found).alias("pos", "x")).where("x.n IS NOT NULL")
+    w = Window.partitionBy(key, *[c for c in rows.columns if c == "selector"]).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("stop", F.sum(F.col("x.gap") + F.col("x.n")).over(w))
+    return rows.select(*[c for c in rows.columns if c not in ("pos", "x", "stop")], (F.col("stop") - F.col("x.n")).alias("start"), "stop")
 
 
 def sections(df: DataFrame, key: str, text: str, periodic: str) -> DataFrame:
-    """key, selector, section: the first substantial section of each heading, tables of contents aside.
+    """key, selector, start, section: the first substantial section of each heading, tables of contents aside.
 
-    A section ends at the next heading or border.  Forms that are not periodic prefer a heading in capitals.
+    Borders of all kinds (headings, items, numbered headings, signatures) are places in the text with its white space
+    collapsed; in order of place, a section ends at the first one after its heading.  In a periodic form some headings
+    count only behind their item.  Other forms prefer a heading in capitals.
     """
-    parts = F.split(marked_sections(collapse(F.col(text)), F.col(periodic)), _MARK)
-    p = df.select(key, periodic, F.posexplode(parts).alias("pos", "part")).where(F.col("pos") > 0)
-    p = p.select(key, periodic, "pos", F.substring_index("part", _END, 1).alias("selector"), F.substring(F.trim(F.substring_index("part", _END, -1)), 1, MOST_SECTION).alias("section"))
+    t = df.select(key, F.col(periodic).alias("periodic"), collapse(F.col(text)).alias("visible")).where("visible <> ''")
+    headings = None
+    for selector, (heading, items) in HEADINGS.items():
+        found = _places(t, key, F.col("visible"), rf"\b(?:{heading})\b", "periodic", F.lit(selector).alias("selector"), "visible")
+        if items:
+            before = F.substr("visible", F.greatest(F.lit(0), F.col("start") - CONTEXT) + 1, F.least(F.col("start"), F.lit(CONTEXT)))
+            found = found.where(~F.col("periodic") | before.rlike(rf"(?:ITEM|Item)\s+(?:{items})\.?\s*$"))
+        found = found.select(key, "periodic", "selector", "start", "stop", F.expr(f"substring(visible, start + 1, {MOST_SECTION})").alias("body"))
+        headings = found if headings is None else headings.unionByName(found)
+    numbered = F.regexp_replace("visible", *NUMBERED)
+    borders = _places(t, key, numbered, BORDER).select(key, "start").unionByName(headings.select(key, "start")).unionByName(t.select(key, F.length("visible").cast("long").alias("start")))
+    none = {c: F.lit(None) for c in ("periodic", "selector", "begin", "body")}
+    marks = borders.select(key, F.col("start").alias("place"), F.lit(0).alias("kind"), *[v.alias(k) for k, v in none.items()])
+    asked = headings.select(key, F.col("stop").alias("place"), F.lit(1).alias("kind"), "periodic", "selector", F.col("start").alias("begin"), "body")
+    after = Window.partitionBy(key).orderBy("place", "kind").rowsBetween(1, Window.unboundedFollowing)
+    p = marks.unionByName(asked).withColumn("end", F.min(F.when(F.col("kind") == 0, F.col("place"))).over(after)).where("kind = 1")
+    p = p.withColumn("section", F.trim(F.expr("substring(body, 1, coalesce(end - begin, length(body)))")))
     sample = F.substring("section", 1, CONTENTS_SAMPLE)
     n = lambda pattern: F.regexp_count(sample, F.lit(pattern))
-    contents = (n(r"\b(?:ITEM|Item)\s+[0-9]") >= 3) | (n(r"\b[0-9]{1,3}\s+(?:ITEM|Item|PART|Part)\b") >= 2) | ((n(r"\b(?:S-|F-)?[0-9]{1,3}\b") >= 3) & (n(r"\b[A-Z][A-Z &'/-]{4,}\b") >= 2))
-    good = p.where((F.col("selector") != "") & (F.length("section") >= LEAST_SECTION) & ~contents)
-    plain = ~F.col(periodic) & ~F.col("section").rlike("^[A-Z]{2}")
-    return good.groupBy(key, "selector").agg(F.min_by("section", F.struct(plain.alias("plain"), "pos")).alias("section"))
+    contents = (n(r"\b(?:ITEM|Item)\s+[0-9]") >= 3) | (n(r"\b[0-9]{1,3}\s+(?:ITEM|Item|PART|Part)\b") >= 2) | ((n(r"\b(?:S-|F-)?[0-9]{1,3}\b") >= 3) & (n(r"\b[A-Z][A-Z &’'\-/]{4,}\b") >= 2))
+    good = p.where((F.length("section") >= LEAST_SECTION) & ~contents)
+    plain = ~F.col("periodic") & ~F.col("section").rlike("^[A-Z]{2}")
+    first = F.min(F.struct(plain.alias("plain"), F.col("begin").alias("start"), "section")).alias("x")
+    return good.groupBy(key, "selector").agg(first).select(key, "selector", "x.start", "x.section")

@@ -481,36 +481,48 @@ def x09(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # headings that stand before and between the halves of a page's text
-_HEADS = ("Item 1A. Risk Factors ", "RISK FACTORS ", "Item 3. Legal Proceedings ", "Use of Proceeds 12 13 14 SIGNATURES AND MORE ", "Debt Financing ", "Business Outlook ", "Item 4. Controls and Procedures ", "Item 1 Item 2 Item 3 Dilution ", "Risk Factors ")
+_HEADS = ("Item 1A. Risk Factors ", "RISK FACTORS ", "Item 3. Legal Proceedings ", "Use of Proceeds 12 13 14 SIGNATURES AND MORE ", "Debt Financing ", "Business Outlook ", "Item 4. Controls and Procedures ", "Item 1 Item 2 Item 3 Dilution ", "Risk Factors ", "1. General 2. Debt Financing ")
+# what stands behind them
+_BORDERED = ("Item 9. End ", "7. Other Information ", "SIGNATURES ", "note 2.7. Not a border 8. ab ")
 
 
-def _marked_sql() -> str:
-    """The same marks by regular expressions without look-around."""
-    out = "v"
-    for border in rp.BORDERS:
-        out = f"regexp_replace({out}, '{border}', chr(1) || chr(2) || '\\1', 'g')"
-    free, bound = out, out
-    for selector, (heading, items) in rp.HEADINGS.items():
-        free = f"regexp_replace({free}, '\\b({heading})\\b', chr(1) || '{selector}' || chr(2) || '\\1', 'g')"
-        bound = f"regexp_replace({bound}, '((?:ITEM|Item)\\s+(?:{items})\\.?\\s*)({heading})\\b', '\\1' || chr(1) || '{selector}' || chr(2) || '\\2', 'g')" if items else f"regexp_replace({bound}, '\\b({heading})\\b', chr(1) || '{selector}' || chr(2) || '\\1', 'g')"
-    return f"CASE WHEN periodic THEN {bound} ELSE {free} END"
+def _sections_sql() -> str:
+    """The same places by regular expressions without look-around."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    bare = lambda x: f"list_transform({x}, lambda s: length(replace(s, chr(3), '')))"
+
+    def places(name: str, source: str, pattern: str) -> str:
+        found = f"SELECT doc_id, periodic, visible, {bare(f'string_split_regex({source}, {q(pattern)})')} AS gaps, {bare(f'regexp_extract_all({source}, {q(pattern)})')} AS ns FROM t"
+        rows = f"SELECT doc_id, periodic, visible, generate_subscripts(ns, 1) AS pos, unnest(ns) AS n, gaps FROM ({found})"
+        return f"{name} AS (SELECT doc_id, periodic, visible, stop - n AS start, stop FROM (SELECT *, sum(gaps[pos] + n) OVER (PARTITION BY doc_id ORDER BY pos) AS stop FROM ({rows})))"
+
+    ctes, heads = [], []
+    for i, (selector, (heading, items)) in enumerate(rp.HEADINGS.items()):
+        ctes.append(places(f"h{i}", "visible", rf"\b(?:{heading})\b"))
+        context = rf" WHERE NOT periodic OR regexp_matches(visible[greatest(0, start - 48)::BIGINT + 1 : start::BIGINT], '(?:ITEM|Item)\s+(?:{items})\.?\s*$')" if items else ""
+        heads.append(f"SELECT doc_id, periodic, '{selector}' AS selector, start, stop, visible[start::BIGINT + 1 : start::BIGINT + 20000] AS body FROM h{i}{context}")
+    border = rp.BORDER.replace("\x03", "\\x03")
+    ctes.append(places("b", "numbered", border))
+    return ", ".join([*ctes, "heads AS (" + " UNION ALL ".join(heads) + ")"])
 
 
 @register(
     "X08_item_sections",
-    rf"""WITH t AS (SELECT doc_id, doc_id % 2 = 0 AS periodic, trim(regexp_replace({list(_HEADS)}[doc_id % 9 + 1] || text || ' ' || {list(_HEADS)}[doc_id * 4 % 9 + 1] || text || ' Item 9. End ' || text, '[ 	
-
-]+', ' ', 'g')) AS v FROM documents),
-m AS (SELECT doc_id, periodic, string_split({_marked_sql()}, chr(1)) AS ps FROM t), p AS (SELECT doc_id, periodic, generate_subscripts(ps, 1) AS pos, unnest(ps) AS part FROM m),
-s AS (SELECT doc_id, periodic, pos, string_split(part, chr(2))[1] AS selector, left(trim(string_split(part, chr(2))[2]), 20000) AS section FROM p WHERE pos > 1),
-g AS (SELECT *, left(section, 600) AS x FROM s WHERE selector <> '' AND length(section) >= 80),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, selector ORDER BY NOT periodic AND NOT regexp_matches(section, '^[A-Z]{{2}}'), pos) AS nth FROM g
-  WHERE NOT (len(regexp_extract_all(x, '(?:ITEM|Item)\s+[0-9]')) >= 3 OR len(regexp_extract_all(x, '[0-9]{{1,3}}\s+(?:ITEM|Item|PART|Part)')) >= 2 OR (len(regexp_extract_all(x, '(?:S-|F-)?[0-9]{{1,3}}')) >= 3 AND len(regexp_extract_all(x, '[A-Z][A-Z &''/-]{{4,}}')) >= 2)))
-SELECT doc_id, selector, length(section)::INTEGER AS n, sha256(section) AS section_sha256 FROM r WHERE nth = 1""",
+    rf"""WITH t AS (SELECT *, regexp_replace(visible, '(^|[^\w.])([0-9]{{1,2}}\.)', '\1' || chr(3) || '\2', 'g') AS numbered FROM (SELECT doc_id, doc_id % 2 = 0 AS periodic,
+  trim(regexp_replace({list(_HEADS)}[doc_id % 10 + 1] || text || ' ' || {list(_HEADS)}[doc_id * 4 % 10 + 1] || text || ' ' || {list(_BORDERED)}[doc_id % 4 + 1] || text, '[ \t\n\r\f]+', ' ', 'g')) AS visible FROM documents)),
+{_sections_sql()},
+marks AS (SELECT doc_id, start AS place, 0 AS kind, NULL AS periodic, NULL AS selector, NULL AS begin, NULL AS body FROM (SELECT doc_id, start FROM b UNION ALL SELECT doc_id, start FROM heads UNION ALL SELECT doc_id, length(visible) FROM t)
+  UNION ALL SELECT doc_id, stop, 1, periodic, selector, start, body FROM heads),
+p AS (SELECT *, min(place) FILTER (kind = 0) OVER (PARTITION BY doc_id ORDER BY place, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM marks),
+s AS (SELECT doc_id, periodic, selector, begin, trim(body[1 : coalesce(stop - begin, length(body))::BIGINT]) AS section FROM p WHERE kind = 1),
+g AS (SELECT *, left(section, 600) AS x FROM s WHERE length(section) >= 80),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, selector ORDER BY NOT periodic AND NOT regexp_matches(section, '^[A-Z]{{2}}'), begin) AS nth FROM g
+  WHERE NOT (len(regexp_extract_all(x, '\b(?:ITEM|Item)\s+[0-9]')) >= 3 OR len(regexp_extract_all(x, '\b[0-9]{{1,3}}\s+(?:ITEM|Item|PART|Part)\b')) >= 2 OR (len(regexp_extract_all(x, '\b(?:S-|F-)?[0-9]{{1,3}}\b')) >= 3 AND len(regexp_extract_all(x, '\b[A-Z][A-Z &’''\-/]{{4,}}\b')) >= 2)))
+SELECT doc_id, selector, begin::BIGINT AS start, length(section)::INTEGER AS n, sha256(section) AS section_sha256 FROM r WHERE nth = 1""",
 )
 def x08(spark: SparkSession, sf: str) -> DataFrame:
-    """Each text twice, with a heading before either; even documents are periodic forms, which need the item before some."""
+    """Each text twice, with a heading before either and a border behind; even documents are periodic forms, which need the item before some."""
     k = F.col("doc_id")
-    t = F.concat(_nth(_HEADS, k % 9), F.col("text"), F.lit(" "), _nth(_HEADS, k * 4 % 9), F.col("text"), F.lit(" Item 9. End "), F.col("text"))
+    t = F.concat(_nth(_HEADS, k % 10), F.col("text"), F.lit(" "), _nth(_HEADS, k * 4 % 10), F.col("text"), F.lit(" "), _nth(_BORDERED, k % 4), F.col("text"))
     d = table(spark, sf, "documents").select("doc_id", t.alias("text"), (k % 2 == 0).alias("periodic"))
-    return rp.sections(d, "doc_id", "text", "periodic").select("doc_id", "selector", F.length("section").alias("n"), F.sha2("section", 256).alias("section_sha256"))
+    return rp.sections(d, "doc_id", "text", "periodic").select("doc_id", "selector", "start", F.length("section").alias("n"), F.sha2("section", 256).alias("section_sha256"))
