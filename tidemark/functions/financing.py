@@ -54,6 +54,8 @@ PATTERNS = {
 }
 GROUPS = {name: p.replace("(?:", "").replace(r"\(", "").count("(") for name, p in PATTERNS.items()}
 NO_PROCEEDS, LINE_ENDED = "will not receive any proceeds", "equity purchase agreement terminated effective as of"
+# What the amount of each instrument is.
+BASES = {"atm_program": "maximum_aggregate_offering", "pipe": "gross_proceeds", "convertible_debt": "principal", "preferred_equity": "gross_proceeds", "warrant_exercise_inducement": "gross_proceeds", "equity_line": "commitment", "debt": "principal"}
 WINDOW, MAX_EXCERPTS, MAX_TOTAL = 720, 16, 8_000
 
 
@@ -124,11 +126,12 @@ def _scaled(number: F.Column, scale: F.Column) -> F.Column:
 
 
 def terms(excerpts: DataFrame, key: str) -> DataFrame:
-    """key, instrument, status, amount, shares, price, exercise_price, rate, maturity: what a filing's excerpts state.
+    """key, instrument, status, amount and its basis, sale_amount, shares, price, exercise_price, rate, maturity, covenants.
 
-    excerpts: key, text.  A statement that two excerpts make with different values is a conflict: the filing then has one
+    excerpts: key, text, whose white space is collapsed first.  A statement that two excerpts make with different values is a conflict: the filing then has one
     row of instrument `conflict` and no terms.
     """
+    excerpts = excerpts.select(key, collapse(F.col("text")).alias("text"))
     text = F.col("text")
     found = []
     for name, p in PATTERNS.items():
@@ -141,19 +144,21 @@ def terms(excerpts: DataFrame, key: str) -> DataFrame:
     got = lambda *names: sum((F.size(n) for n in names), F.lit(0)) == len(names)
     g = lambda name, i: F.get(F.col(name), 0)[f"g{i}"]
     day = lambda c: F.try_to_timestamp(c, F.lit("MMMM d, yyyy")).cast("date")
-    kinds = {"amount": "decimal(24,4)", "shares": "decimal(24,4)", "price": "decimal(24,4)", "exercise_price": "decimal(24,4)", "rate": "decimal(24,4)", "maturity": "date"}
+    kinds = {"amount": "decimal(24,4)", "shares": "decimal(24,4)", "price": "decimal(24,4)", "exercise_price": "decimal(24,4)", "rate": "decimal(24,4)", "maturity": "date", "sale_amount": "decimal(24,4)", "basis": "string", "covenants": "string"}
 
     def term(when: F.Column, instrument: str, status: str, **values: F.Column) -> F.Column:
+        if "amount" in values:
+            values["basis"] = F.when(values["amount"].isNotNull(), F.lit(BASES[instrument]))
         fields = [values.get(f, F.lit(None)).cast(k).alias(f) for f, k in kinds.items()]
         return F.when(when, F.struct(F.lit(instrument).alias("instrument"), F.lit(status).alias("status"), *fields))
 
     debt_ends = F.endswith(g("debt_maturity", 1), g("debt", 4))
     parts = [
         term(got("resale") & F.col("has_no_proceeds"), "resale_registration", "registered", shares=_number(g("resale", 1))),
-        term(got("capacity") & F.col("has_atm_program"), "atm_program", "amended", amount=_number(g("capacity", 2)), shares=_number(g("sales", 1))),
+        term(got("capacity") & F.col("has_atm_program"), "atm_program", "amended", amount=_number(g("capacity", 2)), shares=_number(g("sales", 1)), sale_amount=_number(g("sales", 2))),
         term(got("offering") & F.col("has_public_offering") & F.col("has_offering_price"), "public_offering", "priced", shares=_number(g("offering", 1)), price=_number(g("offering", 2))),
         term(got("placement") & F.col("has_private_placement"), "pipe", "priced", shares=_number(g("placement", 1)), price=_number(g("placement", 2)), amount=_scaled(g("placement_gross", 1), g("placement_gross", 2))),
-        term(got("note"), "convertible_debt", "closed", amount=_number(g("note", 1)), rate=_number(g("note_interest", 1)), maturity=day(g("note_maturity", 1))),
+        term(got("note"), "convertible_debt", "closed", amount=_number(g("note", 1)), rate=_number(g("note_interest", 1)), maturity=day(g("note_maturity", 1)), covenants=g("note_covenant", 1)),
         term(got("preferred"), "preferred_equity", "proposed", shares=_number(g("preferred", 1)), amount=_number(g("preferred", 2))),
         term(got("warrant"), "warrant", "priced", shares=_number(g("warrant", 1)), exercise_price=_number(g("warrant", 2))),
         term(got("repricing"), "warrant_repricing", "amended", price=_number(g("repricing", 1)), exercise_price=_number(g("repricing", 2))),

@@ -121,15 +121,69 @@ def compared_with_prior(events: DataFrame, prior_events: int = PRIOR_EVENTS) ->
     return e.select("accession", "event_type", comparison.alias("comparison"), F.coalesce(F.col("exact.accession"), F.col("last.accession")).alias("prior"))
 
 
-def convergence(facts: DataFrame, key: str) -> DataFrame:
-    """key, decision, disposition, persisted: filings whose dilution facts (issuable, instruments, registered) make a claim.
+# Instruments that may bring shares, tags of cash and of current liabilities, forms of either owners' source.
+DILUTIVE = ("convertible_debt", "preferred_equity", "warrant", "warrant_repricing", "warrant_exercise_inducement", "equity_line")
+CASH_TAGS, LIABILITIES_TAG = ("CashAndCashEquivalentsAtCarryingValue", "CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents"), "LiabilitiesCurrent"
+PLANNED_FORMS, SCHEDULES = ("144", "144/A"), ("SC 13D", "SC 13D/A", "SC 13G", "SC 13G/A")
+FACTS = ("cash", "current_liabilities", "shares_prior", "shares_current", "issuable_shares", "dilutive_instruments", "registered_shares", "insider_acquired", "insider_disposed", "planned_sale")
 
-    Only positive facts count; a filing without any produces nothing, and a claim is kept if its facts settle it.
-    """
-    fact = lambda c: F.when(F.col(c) > 0, F.struct(F.col(c).cast("decimal(24,4)").alias("value"), F.lit(None).cast("date").alias("as_of")))
+
+def _claimed(rows: DataFrame, keys: list[str], predicate: str, asserted: F.Column, as_of: F.Column, when: F.Column, **facts: F.Column) -> DataFrame:
+    """keys and disposition of a claim of each row on these facts; null where `when` does not hold."""
     none = F.lit(None).cast("struct<value:decimal(24,4),as_of:date>")
-    absent = ("cash", "current_liabilities", "shares_prior", "shares_current", "insider_acquired", "insider_disposed", "planned_sale")
-    claims = facts.select(key, fact("issuable").alias("issuable_shares"), fact("instruments").alias("dilutive_instruments"), fact("registered").alias("registered_shares"), *[none.alias(c) for c in absent], F.lit("dilution_exposure_present").alias("predicate"), F.lit(True).alias("asserted"))
-    some = F.col("issuable_shares").isNotNull() | F.col("dilutive_instruments").isNotNull() | F.col("registered_shares").isNotNull()
-    out = contradictions(claims)
-    return out.select(key, F.when(some, "eligible_complete_facts").otherwise("no_relevant_validated_facts").alias("decision"), F.when(some, F.col("disposition")).alias("disposition"), (some & F.col("disposition").isin("supported", "conflicted")).alias("persisted"))
+    fact = lambda v: F.when(v.isNotNull(), F.struct(v.cast("decimal(24,4)").alias("value"), as_of.cast("date").alias("as_of")))
+    claims = rows.select(*keys, when.alias("told"), F.lit(predicate).alias("predicate"), asserted.alias("asserted"), *[(fact(facts[n]) if n in facts else none).alias(n) for n in FACTS])
+    return contradictions(claims).select(*keys, F.when(F.col("told"), F.col("disposition")).alias("disposition"))
+
+
+def dilution_facts(terms: DataFrame, key: str) -> DataFrame:
+    """key, value: instruments in force that may bring a stated number of shares; what only registers a resale is none."""
+    counts = F.col("instrument").isin(*DILUTIVE) & ~F.col("status").isin("terminated", "unknown") & (F.col("shares") > 0)
+    return terms.groupBy(key).agg(F.count_if(counts).alias("value"))
+
+
+def financing_claims(terms: DataFrame, key: str) -> DataFrame:
+    """key, decision, disposition, persisted: filings whose financing terms claim dilution; without such facts nothing is claimed."""
+    facts = dilution_facts(terms, key)
+    some = F.col("value") > 0
+    told = _claimed(facts.select(key, "value"), [key, "value"], "dilution_exposure_present", F.lit(True), F.lit(None), some, dilutive_instruments=F.when(some, F.col("value")))
+    return told.select(key, F.when(some, "eligible_complete_facts").otherwise("no_relevant_validated_facts").alias("decision"), "disposition", F.coalesce(F.col("disposition").isin("supported", "conflicted"), F.lit(False)).alias("persisted"))
+
+
+def ownership_claims(filings: DataFrame, deals: DataFrame, key: str) -> DataFrame:
+    """key, source, decision, as_of, derivative, disposition: claims of net acquisition by insiders.
+
+    filings: key, form, event_date, planned; deals: key, day, derivative, acquired, shares.  Each day and class of
+    securities of a filing is a claim of its own, on its own totals; a planned sale makes a claim that nothing executed
+    can settle; schedules of large owners make none.
+    """
+    planned, schedule = F.col("form").isin(*PLANNED_FORMS), F.col("form").isin(*SCHEDULES)
+    side = lambda when: F.coalesce(F.sum(F.when(when, F.col("shares"))), F.lit(0))
+    scopes = deals.groupBy(key, "day", "derivative").agg(side(F.col("acquired")).alias("bought"), side(~F.col("acquired")).alias("sold"))
+    executed = filings.where(~planned & ~schedule).join(scopes, key, "left").select(key, "form", F.col("day").alias("as_of"), "derivative", "bought", "sold", F.lit(None).cast("decimal(24,4)").alias("planned"))
+    others = filings.where(planned | schedule).select(key, "form", F.when(planned, F.col("event_date")).alias("as_of"), F.lit(None).cast("boolean").alias("derivative"), F.lit(None).alias("bought"), F.lit(None).alias("sold"), F.when(planned, F.col("planned")).cast("decimal(24,4)").alias("planned"))
+    rows = executed.unionByName(others)
+    decision = F.when(schedule, "unsupported_source_context").when(planned, "eligible_not_applicable_context").when(F.col("as_of").isNull(), "no_relevant_validated_facts").otherwise("eligible_complete_facts")
+    rows = rows.withColumns({"decision": decision, "source": F.when(planned, "ownership_form_144").otherwise("ownership_section_16")})
+    keys = [key, "source", "decision", "as_of", "derivative"]
+    return _claimed(rows, keys, "net_insider_acquisition", F.col("planned").isNull(), F.col("as_of"), F.startswith("decision", F.lit("eligible")), insider_acquired=F.col("bought"), insider_disposed=F.col("sold"), planned_sale=F.col("planned"))
+
+
+def liquidity_claims(facts: DataFrame, key: str, cutoff: str) -> DataFrame:
+    """key, decision, as_of, disposition: claims that cash covers current liabilities, from one filing's tagged facts.
+
+    facts: key, tag, value, unit, period_start, period_end, available_at, retrieved_at.  Only instants in USD known by
+    the cutoff count.  Facts are lined up by period; a period with one of each makes a pair, and only the pair of the
+    latest period is claimed.  More than one of either, or a later period without a pair, leaves it ambiguous.
+    """
+    day = F.lit(cutoff).cast("date")
+    cash, owed = F.col("tag").isin(*CASH_TAGS), F.col("tag") == LIABILITIES_TAG
+    known = (F.col("unit") == "USD") & F.col("period_start").isNull() & (F.col("available_at") <= day) & (F.col("retrieved_at") <= day)
+    p = facts.where(known & (cash | owed)).groupBy(key, "period_end").agg(F.count_if(cash).alias("nc"), F.count_if(owed).alias("no"), F.max(F.when(cash, F.col("value"))).alias("cash"), F.max(F.when(owed, F.col("value"))).alias("owed"))
+    pair, both = (F.col("nc") == 1) & (F.col("no") == 1), (F.col("nc") > 0) & (F.col("no") > 0)
+    last = F.max(F.struct("period_end", pair.alias("pair"), "cash", "owed")).alias("last")
+    b = p.groupBy(key).agg(F.bool_or(both).alias("some"), last)
+    rows = facts.select(key).distinct().join(b, key, "left").select(key, "some", F.col("last.period_end").alias("period_end"), F.coalesce("last.pair", F.lit(False)).alias("ready"), "last.cash", "last.owed")
+    decision = F.when(F.col("ready"), "eligible_complete_facts").when(F.col("some"), "ambiguous_xbrl_context").otherwise("no_relevant_validated_facts")
+    rows = rows.withColumns({"decision": decision, "as_of": F.when(F.col("ready"), F.col("period_end"))})
+    return _claimed(rows, [key, "decision", "as_of"], "cash_at_least_current_liabilities", F.lit(True), F.col("period_end"), F.col("ready"), cash=F.col("cash"), current_liabilities=F.col("owed"))

@@ -433,13 +433,15 @@ _FINANCING = (
 
 def _excerpts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    behind = lambda n: F.concat_ws(" ", F.regexp_replace("text", r"\\s+", " "), _nth(_FINANCING, n))
+    broken = [s.replace(" shares of ", " shares\n\tof ") for s in _FINANCING]  # phrases over a line break
+    behind = lambda n: F.concat_ws(" ", "text", _nth(broken, n))
     return d.select("doc_id", F.explode(F.array(behind(F.col("doc_id") % 14), behind(F.col("doc_id") * 5 % 14))).alias("text"))
 
 
 def _terms_sql() -> str:
     """Each pattern's distinct statements by document, then one branch a term."""
-    x = "x AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') || ' ' || " + str([s for s in _FINANCING]) + "[n + 1] AS t FROM documents, (SELECT unnest([0, 1]) AS k) , LATERAL (SELECT CASE k WHEN 0 THEN doc_id % 14 ELSE doc_id * 5 % 14 END AS n))"
+    broken = [s.replace(" shares of ", " shares\n\tof ") for s in _FINANCING]
+    x = "x AS (SELECT doc_id, trim(regexp_replace(text || ' ' || " + str(broken).replace("\\n\\t", "  ") + "[n + 1], '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents, (SELECT unnest([0, 1]) AS k) , LATERAL (SELECT CASE k WHEN 0 THEN doc_id % 14 ELSE doc_id * 5 % 14 END AS n))"
     groups = ", ".join(f"list(DISTINCT [{', '.join(f"regexp_extract(t, '(?i){p}', {i})" for i in range(1, fin.GROUPS[n] + 1))}]) FILTER (regexp_matches(t, '(?i){p}')) AS {n}" for n, p in fin.PATTERNS.items())
     has = ", ".join(f"bool_or({' OR '.join(f"contains(lower(t), '{p}')" for p in phrases)}) AS has_{s}" for s, phrases in fin.SIGNALS.items() if s in ("atm_program", "public_offering", "offering_price", "private_placement"))
     has += f", bool_or(contains(lower(t), '{fin.NO_PROCEEDS}')) AS has_no_proceeds, bool_or(contains(lower(t), '{fin.LINE_ENDED}')) AS has_line_ended"
@@ -449,10 +451,10 @@ def _terms_sql() -> str:
     day = lambda n: f"try_strptime({g(n, 1)}, '%B %d, %Y')::DATE"
     rows = (
         ("resale IS NOT NULL AND has_no_proceeds", "resale_registration", "registered", {"shares": num("resale", 1)}),
-        ("capacity IS NOT NULL AND has_atm_program", "atm_program", "amended", {"amount": num("capacity", 2), "shares": num("sales", 1)}),
+        ("capacity IS NOT NULL AND has_atm_program", "atm_program", "amended", {"amount": num("capacity", 2), "shares": num("sales", 1), "sale_amount": num("sales", 2)}),
         ("offering IS NOT NULL AND has_public_offering AND has_offering_price", "public_offering", "priced", {"shares": num("offering", 1), "price": num("offering", 2)}),
         ("placement IS NOT NULL AND has_private_placement", "pipe", "priced", {"shares": num("placement", 1), "price": num("placement", 2), "amount": big("placement_gross", 1, 2)}),
-        ("note IS NOT NULL", "convertible_debt", "closed", {"amount": num("note", 1), "rate": num("note_interest", 1), "maturity": day("note_maturity")}),
+        ("note IS NOT NULL", "convertible_debt", "closed", {"amount": num("note", 1), "rate": num("note_interest", 1), "maturity": day("note_maturity"), "covenants": g("note_covenant", 1)}),
         ("preferred IS NOT NULL", "preferred_equity", "proposed", {"shares": num("preferred", 1), "amount": num("preferred", 2)}),
         ("warrant IS NOT NULL", "warrant", "priced", {"shares": num("warrant", 1), "exercise_price": num("warrant", 2)}),
         ("repricing IS NOT NULL", "warrant_repricing", "amended", {"price": num("repricing", 1), "exercise_price": num("repricing", 2)}),
@@ -461,8 +463,10 @@ def _terms_sql() -> str:
         ("debt IS NOT NULL AND debt_maturity IS NOT NULL", "debt", "closed", {"amount": big("debt", 1, 2), "rate": num("debt", 3), "maturity": day("debt_maturity")}),
     )
     clash = " OR ".join([f"coalesce(len({n}), 0) > 1" for n in fin.PATTERNS] + [f"coalesce(NOT ends_with({g('debt_maturity', 1)}, {g('debt', 4)}), false)"])
-    fields = lambda v: ", ".join(f"({v.get(f, 'NULL')})::{'DATE' if f == 'maturity' else 'DECIMAL(24,4)'} AS {f}" for f in ("amount", "shares", "price", "exercise_price", "rate", "maturity"))
-    parts = [f"SELECT doc_id, '{i}' AS instrument, '{s}' AS status, {fields(v)} FROM z WHERE NOT clash AND {w}" for w, i, s, v in rows]
+    kinds = {"maturity": "DATE", "basis": "VARCHAR", "covenants": "VARCHAR"}
+    fields = lambda v: ", ".join(f"({v.get(f, 'NULL')})::{kinds.get(f, 'DECIMAL(24,4)')} AS {f}" for f in ("amount", "shares", "price", "exercise_price", "rate", "maturity", "sale_amount", "basis", "covenants"))
+    based = lambda i, v: v | ({"basis": f"CASE WHEN {v['amount']} IS NOT NULL THEN '{fin.BASES[i]}' END"} if "amount" in v else {})
+    parts = [f"SELECT doc_id, '{i}' AS instrument, '{s}' AS status, {fields(based(i, v))} FROM z WHERE NOT clash AND {w}" for w, i, s, v in rows]
     return f"WITH {x}, y AS (SELECT doc_id, {groups}, {has} FROM x GROUP BY 1), z AS (SELECT *, {clash} AS clash FROM y) " + " UNION ALL ".join([f"SELECT doc_id, 'conflict' AS instrument, 'conflict' AS status, {fields({})} FROM z WHERE clash", *parts])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import register
+from tidemark.functions import financing as fin
 from tidemark.operators import forensics as fo
 from tidemark.operators import invariants as inv
 from tidemark.operators import routing as ro
@@ -258,30 +259,66 @@ def r30(spark: SparkSession, sf: str) -> DataFrame:
 _DILUTIVE = ("convertible_debt", "preferred_equity", "warrant", "warrant_repricing", "warrant_exercise_inducement", "equity_line")
 
 
-@register(
-    "R16_fact_adapters",
-    f"""WITH t AS ({ev._terms_sql()}), b AS (SELECT doc_id, sum(shares) FILTER (instrument IN {_DILUTIVE}) AS issuable, count(*) FILTER (instrument IN {_DILUTIVE}) AS instruments, sum(shares) FILTER (instrument = 'resale_registration') AS registered FROM t GROUP BY 1)
-SELECT doc_id, 'issuable_shares' AS kind, issuable::BIGINT AS value FROM b WHERE issuable > 0 UNION ALL SELECT doc_id, 'dilutive_instrument_count', instruments FROM b WHERE instruments > 0 UNION ALL SELECT doc_id, 'registered_shares', registered::BIGINT FROM b WHERE registered > 0""",
-)
-def r16(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts that a filing's financing terms state: only explicit positive exposure."""
-    from tidemark.functions import financing as fin
+_QUALIFYING = f"count(*) FILTER (instrument IN {_DILUTIVE} AND status <> 'terminated' AND shares > 0)"
 
-    t = fin.terms(ev._excerpts(spark, sf), "doc_id")
-    mine = F.col("instrument").isin(*_DILUTIVE)
-    b = t.groupBy("doc_id").agg(F.sum(F.when(mine, F.col("shares"))).cast("long").alias("issuable_shares"), F.count_if(mine).alias("dilutive_instrument_count"), F.sum(F.when(F.col("instrument") == "resale_registration", F.col("shares"))).cast("long").alias("registered_shares"))
-    return b.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("issuable_shares", "dilutive_instrument_count", "registered_shares")]))).where("value > 0")
+
+@register("R16_fact_adapters", f"WITH t AS ({ev._terms_sql()}), b AS (SELECT doc_id, {_QUALIFYING} AS value FROM t GROUP BY 1) SELECT doc_id, 'dilutive_instrument_count' AS kind, value FROM b WHERE value > 0")
+def r16(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts that a filing's financing terms state: how many instruments in force say how many shares they may bring."""
+    return fo.dilution_facts(fin.terms(ev._excerpts(spark, sf), "doc_id"), "doc_id").where("value > 0").select("doc_id", F.lit("dilutive_instrument_count").alias("kind"), "value")
 
 
 @register(
     "R17_convergence_producers",
-    f"""WITH t AS ({ev._terms_sql()}), b AS (SELECT doc_id, coalesce(sum(shares) FILTER (instrument IN {_DILUTIVE}), 0) AS issuable, count(*) FILTER (instrument IN {_DILUTIVE}) AS instruments, coalesce(sum(shares) FILTER (instrument = 'resale_registration'), 0) AS registered FROM t GROUP BY 1)
-SELECT doc_id, CASE WHEN issuable > 0 OR instruments > 0 OR registered > 0 THEN 'eligible_complete_facts' ELSE 'no_relevant_validated_facts' END AS decision, CASE WHEN issuable > 0 OR instruments > 0 THEN 'supported' WHEN registered > 0 THEN 'insufficient' END AS disposition, issuable > 0 OR instruments > 0 AS persisted FROM b""",
+    f"""WITH t AS ({ev._terms_sql()}), b AS (SELECT doc_id, {_QUALIFYING} AS n FROM t GROUP BY 1)
+SELECT doc_id, CASE WHEN n > 0 THEN 'eligible_complete_facts' ELSE 'no_relevant_validated_facts' END AS decision, CASE WHEN n > 0 THEN 'supported' END AS disposition, n > 0 AS persisted FROM b""",
 )
 def r17(spark: SparkSession, sf: str) -> DataFrame:
-    """Filings with financing terms as producers of a dilution claim: eligible with facts, kept if the claim can be told."""
-    from tidemark.functions import financing as fin
+    """Filings with financing terms as producers of a dilution claim."""
+    return fo.financing_claims(fin.terms(ev._excerpts(spark, sf), "doc_id"), "doc_id")
 
-    mine = F.col("instrument").isin(*_DILUTIVE)
-    t = fin.terms(ev._excerpts(spark, sf), "doc_id").groupBy("doc_id").agg(F.sum(F.when(mine, F.col("shares"))).alias("issuable"), F.count_if(mine).alias("instruments"), F.sum(F.when(F.col("instrument") == "resale_registration", F.col("shares"))).alias("registered"))
-    return fo.convergence(t, "doc_id")
+
+_OWNERSHIP_FORMS = ("4", "4/A", "5", "144", "SC 13D", "3")
+
+
+@register(
+    "R17_ownership_producer",
+    f"""WITH f AS (SELECT o_orderkey AS filing, {list(_OWNERSHIP_FORMS)}[o_orderkey % 6 + 1] AS form, o_orderdate::DATE AS event_date, o_totalprice AS planned FROM orders),
+t AS (SELECT l_orderkey AS filing, date_trunc('month', l_shipdate)::DATE AS day, l_linenumber % 2 = 0 AS derivative, coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0) AS a, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS d FROM lineitem GROUP BY 1, 2, 3)
+SELECT filing, CASE WHEN form = '144' THEN 'ownership_form_144' ELSE 'ownership_section_16' END AS source,
+  CASE WHEN form = 'SC 13D' THEN 'unsupported_source_context' WHEN form = '144' THEN 'eligible_not_applicable_context' WHEN day IS NULL THEN 'no_relevant_validated_facts' ELSE 'eligible_complete_facts' END AS decision,
+  CASE WHEN form = '144' THEN event_date WHEN form <> 'SC 13D' THEN day END AS as_of, CASE WHEN form NOT IN ('144', 'SC 13D') THEN derivative END AS derivative,
+  CASE WHEN form = '144' THEN 'not_applicable' WHEN form <> 'SC 13D' AND day IS NOT NULL THEN CASE WHEN a > d THEN 'supported' ELSE 'conflicted' END END AS disposition
+FROM f LEFT JOIN t USING (filing) WHERE form NOT IN ('144', 'SC 13D')
+UNION ALL SELECT filing, CASE WHEN form = '144' THEN 'ownership_form_144' ELSE 'ownership_section_16' END, CASE WHEN form = '144' THEN 'eligible_not_applicable_context' ELSE 'unsupported_source_context' END, CASE WHEN form = '144' THEN event_date END, NULL, CASE WHEN form = '144' THEN 'not_applicable' END FROM f WHERE form IN ('144', 'SC 13D')""",
+)
+def r17_ownership(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as filings of six forms, their lines as transactions of a month, derivative or not."""
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    form = F.element_at(F.array(*[F.lit(x) for x in _OWNERSHIP_FORMS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    filings = o.select(F.col("o_orderkey").alias("filing"), form.alias("form"), F.to_date("o_orderdate").alias("event_date"), F.col("o_totalprice").alias("planned"))
+    deals = li.select(F.col("l_orderkey").alias("filing"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("day"), (F.col("l_linenumber") % 2 == 0).alias("derivative"), (F.col("l_returnflag") != "R").alias("acquired"), F.col("l_quantity").alias("shares"))
+    return fo.ownership_claims(filings, deals, "filing")
+
+
+_TAGS = ("CashAndCashEquivalentsAtCarryingValue", "CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents", "LiabilitiesCurrent", "LiabilitiesCurrent", "Assets")
+
+
+@register(
+    "R17_liquidity_producer",
+    f"""WITH f AS (SELECT o_custkey AS filing, {list(_TAGS)}[left(o_orderpriority, 1)::INTEGER] AS tag, round(o_totalprice * 100)::BIGINT AS cents, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end, o_orderkey % 7 > 0 AS usd, o_orderkey % 11 > 0 AS instant FROM orders),
+g AS (SELECT *, tag LIKE 'Cash%' AS cash FROM f WHERE usd AND instant AND tag <> 'Assets' AND period_end < DATE '2001-06-01'),
+p AS (SELECT filing, period_end, count(*) FILTER (cash) AS nc, count(*) FILTER (NOT cash) AS nl, max(cents) FILTER (cash) AS c, max(cents) FILTER (NOT cash) AS l, max(period_end) OVER (PARTITION BY filing) AS latest FROM g GROUP BY 1, 2),
+b AS (SELECT filing, bool_or(nc = 1 AND nl = 1) AS complete, bool_or(nc > 0 AND nl > 0 AND NOT (nc = 1 AND nl = 1)) AS ambiguous, bool_or(period_end = latest AND nc = 1 AND nl = 1) AS ready, max(period_end) AS latest, max(c) FILTER (period_end = latest) AS c, max(l) FILTER (period_end = latest) AS l FROM p GROUP BY 1)
+SELECT filing, CASE WHEN ready THEN 'eligible_complete_facts' WHEN complete OR ambiguous THEN 'ambiguous_xbrl_context' ELSE 'no_relevant_validated_facts' END AS decision, CASE WHEN ready THEN latest END AS as_of, CASE WHEN ready THEN CASE WHEN c >= l THEN 'supported' ELSE 'conflicted' END END AS disposition
+FROM (SELECT DISTINCT filing FROM f) LEFT JOIN b USING (filing)""",
+)
+def r17_liquidity(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer's orders as tagged facts of one filing: some of another unit, some over a duration, some known too late."""
+    o = table(spark, sf, "orders")
+    tag = F.element_at(F.array(*[F.lit(x) for x in _TAGS]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    end = F.date_sub(F.add_months(F.to_date(F.date_trunc("quarter", F.col("o_orderdate"))), 3), 1)
+    k = F.col("o_orderkey")
+    f = o.select(F.col("o_custkey").alias("filing"), tag.alias("tag"), F.round(F.col("o_totalprice") * 100).cast("long").alias("value"), end.alias("period_end"), F.when(k % 7 > 0, "USD").otherwise("EUR").alias("unit"), F.when(k % 11 == 0, F.date_sub(end, 90)).alias("period_start"), F.col("o_orderdate").alias("x"))
+    f = f.withColumn("available_at", F.date_add("period_end", 1)).withColumn("retrieved_at", F.date_add("period_end", 1))
+    return fo.liquidity_claims(f, "filing", "2001-06-01")
