@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import register
 from tidemark.functions import accounting as ac
+from tidemark.functions import reports as rp
+from tidemark.operators import consolidated as co
 from tidemark.operators import forensics as fo
 from tidemark.tables import table
 
@@ -96,3 +98,82 @@ def x13_events(spark: SparkSession, sf: str) -> DataFrame:
     day = F.timestamp_seconds(F.col("doc_id") * 3600)
     e = told.select("*", F.col("doc_id").alias("accession"), (F.col("doc_id") % 50).alias("issuer"), day.alias("accepted_at"), day.alias("retrieved_at"), (F.col("doc_id") % 3 > 0).alias("search_complete"))
     return told.join(fo.compared_with_prior(e).withColumnRenamed("accession", "doc_id"), ["doc_id", "event_type"])
+
+
+_SECTIONS = (*co.ROLES, "contradictions")
+_CITED = """c AS (SELECT conv_id, turn, ['material_facts', 'catalysts', 'positive_factors', 'negative_factors', 'risks', 'contradictions'][(conv_id + turn) % 6 + 1] AS section,
+  CASE WHEN turn % 2 = 0 THEN 'reported_fact' ELSE 'analyst_inference' END AS kind, ['document_fact', 'catalyst', 'bull_case', 'bear_case', 'risk'][(conv_id * 2 + turn) % 5 + 1] AS category, ['neutral', 'neutral', 'bullish'][(conv_id + turn * 2) % 3 + 1] AS polarity,
+  text || CASE WHEN turn % 4 = 1 THEN ' Later corrected to 12.' ELSE '' END AS record, text || CASE WHEN turn % 5 = 4 THEN ' altered' ELSE '' END AS quote,
+  CASE WHEN turn % 7 = 6 THEN -1 ELSE turn END AS evidence_id, ['confirmed', 'resolved_by_later_correction', 'unresolved'][conv_id % 3 + 1] AS status, text || CASE WHEN turn % 3 = 1 THEN ' 77 http://a.b/c' ELSE '' END AS statement, turn % 3 AS available_at FROM conversations),
+d AS (SELECT a.*, b.record AS before, b.available_at AS before_at FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1)"""
+
+
+def _reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A conversation as a report: each turn a finding or a contradiction of some section that cites the turn, or also the one before."""
+    k, t = F.col("conv_id"), F.col("turn")
+    of = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    c = table(spark, sf, "conversations").select(
+        "conv_id",
+        "turn",
+        of(_SECTIONS, k + t).alias("section"),
+        F.when(t % 2 == 0, "reported_fact").otherwise("analyst_inference").alias("kind"),
+        of(("document_fact", "catalyst", "bull_case", "bear_case", "risk"), k * 2 + t).alias("category"),
+        of(("neutral", "neutral", "bullish"), k + t * 2).alias("polarity"),
+        F.concat("text", F.when(t % 4 == 1, " Later corrected to 12.").otherwise("")).alias("record"),
+        F.concat("text", F.when(t % 5 == 4, " altered").otherwise("")).alias("quote"),
+        F.when(t % 7 == 6, -1).otherwise(t).alias("evidence_id"),
+        of(("confirmed", co.RESOLVED, "unresolved"), k).alias("status"),
+        F.concat("text", F.when(t % 3 == 1, " 77 http://a.b/c").otherwise("")).alias("statement"),
+        (t % 3).alias("available_at"),
+    )
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("record").alias("before"))
+    d = c.join(before, ["conv_id", "turn"], "left")
+    quote = lambda i, q: F.struct(i.cast("long").alias("evidence_id"), q.alias("quote"))
+    finding = F.struct("turn", F.struct("statement", "kind", "category", "polarity", F.array(quote(F.col("evidence_id"), F.col("quote"))).alias("citations")).alias("f"))
+    both = F.array_compact(F.array(quote(t, F.col("record")), F.when(F.col("before").isNotNull(), quote(t - 1, F.col("before")))))
+    contradiction = F.struct("turn", F.struct(F.concat(F.lit("topic "), F.col("turn").cast("string")).alias("topic"), "status", both.alias("citations")).alias("f"))
+    in_order = lambda s, x: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, x))), lambda y: y["f"]).alias(s)
+    reports = d.groupBy("conv_id").agg(*[in_order(s, finding) for s in co.ROLES], in_order("contradictions", contradiction))
+    reports = reports.select("*", F.when(k % 5 == 0, "old").otherwise(co.PROMPT).alias("prompt_version"), F.when(k % 4 == 0, co.CONFLICTING).otherwise("evidence_sufficient").alias("assessment"))
+    return reports, c.select("conv_id", F.col("turn").cast("long").alias("evidence_id"), F.col("record").alias("text"), "available_at")
+
+
+_LATE = "(before IS NOT NULL AND before_at <> available_at AND regexp_matches(CASE WHEN available_at > before_at THEN record ELSE before END, '(?i)\\b(?:correct|corrected|correction|revised|supersed)[A-Za-z0-9_]*\\b'))"
+
+
+@register(
+    "R28_consolidated_sections",
+    rf"""WITH {_CITED}, s AS (SELECT *, evidence_id = -1 AS unknown, evidence_id <> -1 AND NOT contains(record, quote) AS altered, CASE WHEN evidence_id <> -1 AND contains(record, quote) THEN quote ELSE '' END AS support FROM d),
+w AS (SELECT *, list_filter(list_distinct(list_transform(regexp_extract_all(statement, '[A-Za-z][A-Za-z''-]{{2,}}'), lambda x: lower(x))), lambda x: x NOT IN {rp.STOP_WORDS}) AS mine, list_distinct(list_transform(regexp_extract_all(support, '[A-Za-z][A-Za-z''-]{{2,}}'), lambda x: lower(x))) AS theirs FROM s WHERE section <> 'contradictions'),
+e AS (SELECT conv_id, unnest([
+    CASE WHEN kind = 'analyst_inference' AND len(list_intersect(mine, theirs)) < greatest(2, (len(mine) + 3) // 4) THEN 'inference_lexically_ungrounded' END,
+    CASE WHEN altered THEN 'quote_not_verbatim' END, CASE WHEN unknown THEN 'unknown_evidence_id' END,
+    CASE WHEN kind = 'reported_fact' AND (support = '' OR lower(trim(regexp_replace(statement, '\s+', ' ', 'g'))) <> lower(trim(regexp_replace(support, '\s+', ' ', 'g')))) THEN 'reported_fact_not_verbatim' END,
+    CASE WHEN len(list_filter(regexp_extract_all(statement, '(?:^|[^A-Za-z0-9_])([-+]?[0-9][0-9,]*(?:\.[0-9]+)?%?)', 1), lambda x: NOT contains(support, x))) > 0 THEN 'unsupported_numeric_token' END,
+    CASE WHEN len(list_filter(regexp_extract_all(statement, 'https?://[^\s)\]}}>"'']+'), lambda x: NOT contains(support, x))) > 0 THEN 'unsupported_url' END,
+    CASE WHEN NOT CASE section WHEN 'material_facts' THEN category = 'document_fact' WHEN 'catalysts' THEN category = 'catalyst' ELSE category IN ('bull_case', 'bear_case', 'risk') END THEN 'category_not_allowed_for_role' END,
+    CASE WHEN kind = 'reported_fact' AND polarity <> 'neutral' THEN 'reported_fact_must_be_neutral' END,
+    CASE WHEN section = 'material_facts' AND NOT (kind = 'reported_fact' AND polarity = 'neutral') THEN 'document_interpreter_must_report_neutral_facts' END]) AS code FROM w
+  UNION ALL SELECT conv_id, unnest([CASE WHEN len(list_filter(regexp_extract_all('topic ' || turn, '[0-9]+'), lambda x: NOT contains(concat_ws(' ', record, before), x))) > 0 THEN 'unsupported_numeric_token' END,
+    CASE WHEN status = 'resolved_by_later_correction' AND NOT {_LATE} THEN 'correction_not_explicit_or_later' WHEN status <> 'resolved_by_later_correction' AND {_LATE} THEN 'explicit_correction_not_resolved' END]) FROM d WHERE section = 'contradictions'
+  UNION ALL SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'prompt_version_mismatch' END FROM d)
+SELECT conv_id, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS errors FROM e GROUP BY 1""",
+)
+def r28_sections(spark: SparkSession, sf: str) -> DataFrame:
+    reports, records = _reports(spark, sf)
+    return co.validated(reports, records, "conv_id").select("conv_id", F.array_join("errors", ",").alias("errors"))
+
+
+@register(
+    "X18_report_normalization",
+    f"""WITH {_CITED}, e AS (SELECT conv_id, unnest([CASE WHEN section = 'contradictions' AND conv_id % 4 <> 0 THEN 'contradiction_assessment' END, CASE WHEN section = 'contradictions' AND status <> 'resolved_by_later_correction' AND {_LATE} THEN 'explicit_later_correction_status' END,
+  CASE WHEN section <> 'contradictions' AND kind = 'reported_fact' AND polarity <> 'neutral' THEN 'reported_fact_neutral_polarity' END]) AS change, section, kind, polarity, status, {_LATE} AS late FROM d)
+SELECT conv_id, coalesce(string_agg(DISTINCT change, ',' ORDER BY change), '') AS changes, CASE WHEN conv_id % 4 = 0 OR bool_or(section = 'contradictions') THEN 'conflicting_evidence' ELSE 'evidence_sufficient' END AS assessment,
+  count(*) FILTER (section <> 'contradictions' AND (kind = 'reported_fact' OR polarity = 'neutral')) // 3 AS neutral, count(*) FILTER (section = 'contradictions' AND (late OR status = 'resolved_by_later_correction')) // 3 AS resolved FROM e GROUP BY 1""",
+)
+def x18_reports(spark: SparkSession, sf: str) -> DataFrame:
+    reports, records = _reports(spark, sf)
+    n = co.normalized(reports, records, "conv_id")
+    neutral = sum((F.size(F.filter(s, lambda f: f["polarity"] == "neutral")) for s in co.ROLES), F.lit(0))
+    resolved = F.size(F.filter("contradictions", lambda c: c["status"] == co.RESOLVED))
+    return n.select("conv_id", F.array_join("changes", ",").alias("changes"), "assessment", neutral.cast("long").alias("neutral"), resolved.cast("long").alias("resolved"))
