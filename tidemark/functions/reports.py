@@ -98,6 +98,39 @@ def failure(codes: F.Column) -> tuple[F.Column, F.Column]:
     return first_true([(r[0], r[2]) for r in rules], "other").alias("category"), first_true([(r[1], r[2]) for r in rules], "$").alias("path")
 
 
+# Terminal reason of a failed stage.
+STAGE_REASONS = {
+    "sec_retrieval": "SOURCE_RETRIEVAL_FAILURE",
+    "filing_parse": "FILING_PARSE_FAILURE",
+    "companyfacts_normalization": "COMPANYFACTS_NORMALIZATION_FAILURE",
+    "deterministic_processing": "DETERMINISTIC_PROCESSING_FAILURE",
+    "verifier": "VERIFIER_FAILURE",
+    "persistence": "PERSISTENCE_FAILURE",
+}
+
+
+def runtime_class(chain: F.Column) -> F.Column:
+    """Class of an error by the names and messages of its chain of causes."""
+    low = F.lower(chain)
+    return F.when(F.contains(low, F.lit("timeout")), "timeout").when(F.contains(low, F.lit("refusal")) | F.contains(low, F.lit("refused")), "refusal").otherwise("provider_error")
+
+
+def terminal_reason(kind: F.Column, codes: F.Column, chain: F.Column, stage: F.Column) -> F.Column:
+    """Why a candidate ends incomplete: by the codes of a rejected analysis, the verifier, the provider's error chain, or the stage."""
+    has = lambda *c: F.arrays_overlap(codes, F.array(*[F.lit(x) for x in c]))
+    rejected = F.when(has("numeric_conflict"), "NUMERIC_CONFLICT").when(has("provenance_failure"), "PROVENANCE_FAILURE").when(has("invalid_evidence_id", "unsupported_claim"), "EVIDENCE_VALIDATION_REJECTED").otherwise("ANALYST_CONTRACT_REJECTED")
+    staged = F.lit("OTHER_BOUNDED_FAILURE")
+    for name, reason in STAGE_REASONS.items():
+        staged = F.when(stage == name, reason).otherwise(staged)
+    provider = F.when(F.contains(chain, F.lit("TimeoutError")), "ANALYST_TIMEOUT").otherwise("ANALYST_PROVIDER_FAILURE")
+    return F.when(kind == "analysis_rejected", rejected).when(kind == "verifier_unavailable", "VERIFIER_UNAVAILABLE").when(kind == "verification_rejected", "VERIFIER_FAILURE").when(kind == "model_provider", provider).otherwise(staged)
+
+
+def most_attempts(kind: F.Column) -> F.Column:
+    """Six tries where the verifier may recover, else three."""
+    return F.when(kind.isin("verifier_unavailable", "verification_rejected"), 6).otherwise(3)
+
+
 def terms_found(c: F.Column, terms: Sequence[str]) -> F.Column:
     low = F.lower(c)
     return sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))

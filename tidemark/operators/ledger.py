@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,17 @@ def substring_filter(df: DataFrame, text: str | None, columns: Sequence[str]) ->
     return df.where(hit)
 
 
+def argument_verdict(limit: F.Column, offset: F.Column, query: F.Column) -> F.Column:
+    """The first bound that a page request breaks: 1 to 500 rows, an offset of 0 to 100,000, 64 printable characters at most."""
+    odd = query.rlike(r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}\x{00A0}\x{3000}]")
+    bounds = F.when(~F.coalesce(limit.between(1, 500), F.lit(False)), "limit_out_of_bounds").when(~F.coalesce(offset.between(0, 100_000), F.lit(False)), "offset_out_of_bounds")
+    return bounds.when(F.length(query) > 64, "query_too_long").when(odd, "query_not_printable").otherwise("accepted")
+
+
 def excluding(df: DataFrame, column: str, value: object | None) -> DataFrame:
-    """Rows whose column is another value; null excludes nothing."""
+    """Rows whose column is another value, which may itself be a column; null excludes nothing."""
+    if isinstance(value, Column):
+        return df.where(value.isNull() | (F.col(column) != value))
     return df if value is None else df.where(F.col(column) != value)
 
 

@@ -28,6 +28,22 @@ def sample_size(rate: float, margin: float, z: float = Z) -> int:
     return int(x) + (x > int(x))
 
 
+def trials_needed(rate: F.Column, margin: float, z: float = Z) -> F.Column:
+    """The same for a rate of each row; a rate of 0 or 1 tells nothing."""
+    return F.when((rate > 0) & (rate < 1), F.ceil(F.lit(z) * F.lit(z) * rate * (1 - rate) / (F.lit(margin) * F.lit(margin))))
+
+
+def unreconciled(totals: DataFrame, strata: DataFrame, key: str, most: int) -> DataFrame:
+    """key, total, strata_total, strata of reports whose total is not the sum of their strata, or that have more than `most`.
+
+    totals: key, total; strata: key, stratum, n.  A report without strata counts as one of sum 0, and strata without a
+    report have a null total.
+    """
+    sums = strata.groupBy(key).agg(F.sum("n").alias("strata_total"), F.count("*").alias("strata"))
+    both = totals.join(sums, key, "full_outer").select(key, "total", F.coalesce("strata_total", F.lit(0)).alias("strata_total"), F.coalesce("strata", F.lit(0)).alias("strata"))
+    return both.where(~F.col("total").eqNullSafe(F.col("strata_total")) | (F.col("strata") > most))
+
+
 def evaluate(cases: DataFrame, cost: float) -> DataFrame:
     """net_relative and error category of each case: forecast label against what happened.
 
