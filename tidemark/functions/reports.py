@@ -263,7 +263,7 @@ NUMBERED = (r"(^|[^\w.])([0-9]{1,2}\.)", rf"$1{_NUMBER}$2")
 LEAST_SECTION, MOST_SECTION, CONTENTS_SAMPLE, CONTEXT = 80, 20_000, 600, 48
 
 
-def _places(texts: DataFrame, key: str, source: F.Column, pattern: str, *columns: F.Column) -> DataFrame:
+def places(texts: DataFrame, key: str, source: F.Column, pattern: str, *columns: F.Column) -> DataFrame:
     """key, columns, start, stop of all matches of a pattern; starts are summed up from what lies between them."""
     bare = lambda c: F.length(F.replace(c, F.lit(_NUMBER)))
     found = F.arrays_zip(F.transform(F.split(source, pattern), bare).alias("gap"), F.transform(F.regexp_extract_all(source, F.lit(pattern), 0), bare).alias("n"))
@@ -283,14 +283,14 @@ def sections(df: DataFrame, key: str, text: str, periodic: str) -> DataFrame:
     t = df.select(key, F.col(periodic).alias("periodic"), collapse(F.col(text)).alias("visible")).where("visible <> ''")
     headings = None
     for selector, (heading, items) in HEADINGS.items():
-        found = _places(t, key, F.col("visible"), rf"\b(?:{heading})\b", "periodic", F.lit(selector).alias("selector"), "visible")
+        found = places(t, key, F.col("visible"), rf"\b(?:{heading})\b", "periodic", F.lit(selector).alias("selector"), "visible")
         if items:
             before = F.substr("visible", F.greatest(F.lit(0), F.col("start") - CONTEXT) + 1, F.least(F.col("start"), F.lit(CONTEXT)))
             found = found.where(~F.col("periodic") | before.rlike(rf"(?:ITEM|Item)\s+(?:{items})\.?\s*$"))
         found = found.select(key, "periodic", "selector", "start", "stop", F.expr(f"substring(visible, start + 1, {MOST_SECTION})").alias("body"))
         headings = found if headings is None else headings.unionByName(found)
     numbered = F.regexp_replace("visible", *NUMBERED)
-    borders = _places(t, key, numbered, BORDER).select(key, "start").unionByName(headings.select(key, "start")).unionByName(t.select(key, F.length("visible").cast("long").alias("start")))
+    borders = places(t, key, numbered, BORDER).select(key, "start").unionByName(headings.select(key, "start")).unionByName(t.select(key, F.length("visible").cast("long").alias("start")))
     none = {c: F.lit(None) for c in ("periodic", "selector", "begin", "body")}
     marks = borders.select(key, F.col("start").alias("place"), F.lit(0).alias("kind"), *[v.alias(k) for k, v in none.items()])
     asked = headings.select(key, F.col("stop").alias("place"), F.lit(1).alias("kind"), "periodic", "selector", F.col("start").alias("begin"), "body")

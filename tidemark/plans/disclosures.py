@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import register
 from tidemark.functions import accounting as ac
+from tidemark.functions import budget as bu
 from tidemark.functions import reports as rp
 from tidemark.operators import consolidated as co
 from tidemark.operators import forensics as fo
@@ -177,3 +178,30 @@ def x18_reports(spark: SparkSession, sf: str) -> DataFrame:
     neutral = sum((F.size(F.filter(s, lambda f: f["polarity"] == "neutral")) for s in co.ROLES), F.lit(0))
     resolved = F.size(F.filter("contradictions", lambda c: c["status"] == co.RESOLVED))
     return n.select("conv_id", F.array_join("changes", ",").alias("changes"), "assessment", neutral.cast("long").alias("neutral"), resolved.cast("long").alias("resolved"))
+
+
+# what a filing of each form holds around a document's text
+_FORMED = (
+    "Item 1.01 Entry into a Material Definitive Agreement. The company signed a supply contract with a new partner. It expects more.",
+    "Item 4.02 Non-Reliance. A restatement is needed after a material weakness was found by the auditor.",
+    "Item 9.01 Financial Statements and Exhibits. None",
+    "Item 1A. Risk Factors There is substantial doubt about our ability to continue; a default on debt may follow.",
+    "Item 2. Management's Discussion and Analysis Revenue grew and liquidity was adequate. Cash flows from operations rose.",
+    "Item 3. Legal Proceedings We received a subpoena in an investigation. Item 4. Controls and Procedures There were no changes in internal control.",
+    "Risk Factors 12 SIGNATURES This report contains forward-looking statements about the acquisition.",
+    "Ordinary words only.",
+)
+
+
+@register("X24_form_aware_evidence")
+def x24_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text twice with sections of its form around; every fifth says that its risk factors changed.  Folds, which tests compare with a plain version."""
+    k = F.col("doc_id")
+    said = F.array(*[F.lit(x) for x in _FORMED])
+    pick = lambda n: F.element_at(said, (n % len(_FORMED) + 1).cast("int"))
+    form = F.element_at(F.array(*[F.lit(x) for x in ("8-K", "10-Q", "10-K/A", "S-1")]), (k % 4 + 1).cast("int"))
+    changed = F.when(k % 5 == 0, F.array(F.lit("Risk  Factors"))).otherwise(F.array().cast("array<string>"))
+    d = table(spark, sf, "documents").select("doc_id", form.alias("form"), F.concat_ws(" ", pick(k), "text", pick(k * 3 + 1), pick(k * 5 + 2), "text").alias("text"), changed.alias("changed"))
+    e = bu.selected(d, "doc_id", "text", "form", "changed")
+    kinds = F.array_join(F.transform("windows", lambda w: F.concat_ws(":", w["first"].cast("string"), w["last"].cast("string"), w["kind"], w["reason"])), ",")
+    return e.select("doc_id", "family", F.array_join("kept_terms", ",").alias("kept_terms"), kinds.alias("windows"), F.sha2("text", 256).alias("text_sha256"))
