@@ -519,7 +519,7 @@ marks AS (SELECT doc_id, start AS place, 0 AS kind, NULL AS periodic, NULL AS se
   UNION ALL SELECT doc_id, stop, 1, periodic, selector, start, body FROM heads),
 p AS (SELECT *, min(place) FILTER (kind = 0) OVER (PARTITION BY doc_id ORDER BY place, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM marks),
 s AS (SELECT doc_id, periodic, selector, begin, trim(body[1 : coalesce(stop - begin, length(body))::BIGINT]) AS section FROM p WHERE kind = 1),
-g AS (SELECT *, left(section, 600) AS x FROM s WHERE length(section) >= 80),
+g AS (SELECT *, regexp_replace(left(section, 600), '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}]', 'x', 'g') AS x FROM s WHERE length(section) >= 80),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, selector ORDER BY NOT periodic AND NOT regexp_matches(section, '^[A-Z]{{2}}'), begin) AS nth FROM g
   WHERE NOT (len(regexp_extract_all(x, '\b(?:ITEM|Item)\s+[0-9]')) >= 3 OR len(regexp_extract_all(x, '\b[0-9]{{1,3}}\s+(?:ITEM|Item|PART|Part)\b')) >= 2 OR (len(regexp_extract_all(x, '\b(?:S-|F-)?[0-9]{{1,3}}\b')) >= 3 AND len(regexp_extract_all(x, '\b[A-Z][A-Z &’''\-/]{{4,}}\b')) >= 2)))
 SELECT doc_id, selector, begin::BIGINT AS start, length(section)::INTEGER AS n, sha256(section) AS section_sha256 FROM r WHERE nth = 1""",
