@@ -70,7 +70,7 @@ class Shard:
         small = x / scale
         extra = np.sqrt(np.maximum(0, norm * norm - (small * small).sum(axis=1)))
         low = np.column_stack((small, extra)) @ directions
-        self.scale = scale
+        self.scale, self.wild = scale, math.isinf(scale * scale * norm * norm)
         self.tree = KdTree(low)
         order = self.tree.order
         self.ids, self.x, self.low, self.norm, self.directions = ids[order], x[order], low[order], norm, directions[:d]
@@ -93,8 +93,10 @@ class Shard:
                     gap = self.low[rows] - low_q[row]
                     rows = rows[(gap * gap).sum(axis=1) < stop * limit]
                 rows = rows[self.ids[rows] != query_ids[row]]
-                with np.errstate(over="ignore", invalid="ignore"):  # products beyond all numbers: infinite, or none
-                    score = np.concatenate((best_score, np.nan_to_num((self.x[rows] * q[row]).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)))
+                found = (self.x[rows] * q[row]).sum(axis=1)
+                if self.wild:  # products beyond all numbers: infinite, or none
+                    found[np.isnan(found)] = -np.inf
+                score = np.concatenate((best_score, found))
                 name = np.concatenate((best_id, self.ids[rows]))
                 top = np.lexsort((name, -score))[:k]
                 best_score, best_id = score[top], name[top]
