@@ -66,6 +66,7 @@ def test_empty_vectors(spark):
 
 def test_nearest_neighbours(spark, table, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_ROWS", 70)
+    monkeypatch.setattr(ann, "LEAF", 8)
     got = ann.nearest(table, (table["vec_id"] % 10 == 0) & (table["vec_id"] < 260), k=10).collect()
     rows = [r for r in vectors() if r[0] < 260 or r[0] == 906]
     ids = np.array([r[0] for r in rows])
@@ -107,6 +108,30 @@ def test_neighbours_of_uneven_norms_and_ties(spark, monkeypatch):
     assert hit >= 45
 
 
+@pytest.mark.parametrize(("leaf", "block"), [(8, 3), (40, 1024)])
+def test_search_stops_by_the_chi_square_test(monkeypatch, leaf, block):
+    """Clusters far apart: leaves beyond the test stay unread, what was read is ranked exactly, repeats of an id included."""
+    monkeypatch.setattr(ann, "LEAF", leaf)
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((20, 12)), 30, axis=0) + 0.01 * rng.standard_normal((600, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[5:15] = x[5]
+    ids = np.arange(600)
+    ids[11] = 10
+    shard = ann.Shard(ids, x, 1.0)
+    read = []
+    monkeypatch.setattr(shard.tree, "bounds", type("Counted", (np.ndarray,), {"__getitem__": lambda self, i: read.append(i) or np.ndarray.__getitem__(self, i)})(shard.tree.bounds.shape, shard.tree.bounds.dtype, shard.tree.bounds.copy()))
+    query = ids % 50 == 0
+    found = shard.search(ids[query], x[query], 10, ann.chi_square_quantile(0.98, ann.DIMS))
+    assert len(read) / 2 < query.sum() * len(shard.tree.low) / 2
+    for q in ids[query]:
+        score = (x * x[ids == q][0]).sum(axis=1)
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:10]
+        mine = found[0] == q
+        assert found[1][mine].tolist() == ids[order].tolist() and found[2][mine].tolist() == score[order].tolist()
+
+
 def test_vectors_whose_squares_overflow_or_vanish(spark):
     rows = [(1, [1e-200, 0.0], 0), (2, [3e-310, 0.0], 0), (3, [1e200, 0.0], 0), (4, [2e200, 0.0], 0), (5, [0.0, 1e-170], 0), (6, [1e200, 1e200], 1), (7, [1.0, 1.0], 1)]
     got = cover_tree.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.vectors import matrix, usable
 
-DIMS, CONFIDENCE, LEAF, SEED = 8, 0.98, 64, 7
+DIMS, CONFIDENCE, LEAF, SEED = 8, 0.98, 1_024, 7
 SHARD_ROWS = 20_000
+BLOCK, WILD_BLOCK = 512, 16
+TINY = 2.0**-1070
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -35,7 +37,7 @@ def chi_square_quantile(p: float, dims: int) -> float:
 class KdTree:
     """Leaves of a kd-tree: row order, leaf bounds, and each leaf's box."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+    def __init__(self, points: np.ndarray, leaf: int) -> None:
         parts, done = [np.arange(len(points))], []
         while parts:
             rows = parts.pop()
@@ -68,45 +70,69 @@ class Shard:
         d = x.shape[1]
         directions = np.random.Generator(np.random.PCG64(SEED)).standard_normal((d + 1, DIMS))
         small = x / scale
-        extra = np.sqrt(np.maximum(0, norm * norm - (small * small).sum(axis=1)))
-        low = np.column_stack((small, extra)) @ directions
-        self.scale, self.wild = scale, math.isinf(scale * scale * norm * norm)
-        self.tree = KdTree(low)
+        square = (small * small).sum(axis=1)
+        self.tree = KdTree(np.column_stack((small, np.sqrt(np.maximum(0, norm * norm - square)))) @ directions, LEAF)
         order = self.tree.order
-        self.ids, self.x, self.low, self.norm, self.directions = ids[order], x[order], low[order], norm, directions[:d]
-
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, stop: float) -> tuple[list[int], list[int], list[float]]:
-        """Nearest k found for each query."""
+        self.ids, self.x, self.small = ids[order], x[order], small[order]
+        # What a product taken in another order of sums may be off, for a query of length 1.
+        self.slack = 2 * (d + 2) * np.finfo(float).eps * np.sqrt(square[order])
+        self.norm, self.scale, self.directions = norm, scale, directions[:d]
+        self.wild = math.isinf(scale * scale * norm * norm)
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and score of the nearest k found for each query, a block of queries at a time."""
+        step = WILD_BLOCK if self.wild else BLOCK
+        parts = [self._block(query_ids[i : i + step], q[i : i + step], k, stop) for i in range(0, len(q), step)]
+        return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+    def _block(self, query_ids: np.ndarray, q: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each round verifies every open query's next leaf by projected distance; queries at one leaf share a product.
+
+        A query is done once its next leaf fails the chi-square test.  Products steer the search with their rounding
+        allowed for; what may be among the k best is then computed anew, one row at a time.
+        """
+        tree, (n, d) = self.tree, q.shape
+        power = np.frexp(np.abs(q).max(axis=1))[1]
+        unit = np.ldexp(q, -power[:, None])
+        length = np.sqrt((unit * unit).sum(axis=1))
         small = q / self.scale
-        tree, low_q = self.tree, small @ self.directions
-        out: tuple[list[int], list[int], list[float]] = ([], [], [])
-        for row in range(len(q)):
-            box = tree.box_distances(low_q[row])
-            leaves = np.argsort(box, kind="stable")
-            square = float(small[row] @ small[row]) + self.norm * self.norm
-            best_score, best_id, limit, at, step = np.zeros(0), np.zeros(0, np.int64), np.inf, 0, 4
-            while at < len(leaves) and box[leaves[at]] < stop * limit:
-                near = leaves[at : at + step]
-                near = near[box[near] < stop * limit]
-                rows = np.concatenate([np.arange(tree.bounds[n], tree.bounds[n + 1]) for n in near])
-                if limit < np.inf:
-                    gap = self.low[rows] - low_q[row]
-                    rows = rows[(gap * gap).sum(axis=1) < stop * limit]
-                rows = rows[self.ids[rows] != query_ids[row]]
-                found = (self.x[rows] * q[row]).sum(axis=1)
-                if self.wild:  # products beyond all numbers: infinite, or none
-                    found[np.isnan(found)] = -np.inf
-                score = np.concatenate((best_score, found))
-                name = np.concatenate((best_id, self.ids[rows]))
-                top = np.lexsort((name, -score))[:k]
-                best_score, best_id = score[top], name[top]
-                if len(top) == k:
-                    limit = max(0.0, square - 2 * best_score[-1] / self.scale / self.scale)
-                at, step = at + step, 2 * step
-            out[0].extend([int(query_ids[row])] * len(best_id))
-            out[1].extend(best_id.tolist())
-            out[2].extend(best_score.tolist())
-        return out
+        exponent = math.frexp(self.scale)[1] - 1
+        square, ratio = (small * small).sum(axis=1) + self.norm * self.norm, np.ldexp(1.0, power - exponent)
+        tiny = d * (TINY + np.ldexp(TINY, -power - exponent))  # what vanishes below the least double, here and in the vectors' own products
+        box = np.array([tree.box_distances(p) for p in small @ self.directions])
+        leaves = np.argsort(box, axis=1, kind="stable")
+        box = np.take_along_axis(box, leaves, axis=1)
+        best, limit, going, kept = np.full((n, k), -np.inf), np.full(n, np.inf), np.arange(n), []
+        for at in range(leaves.shape[1]):
+            going = going[box[going, at] < stop * limit[going]]
+            if not len(going):
+                break
+            going = going[np.argsort(leaves[going, at], kind="stable")]
+            for here in np.split(going, np.flatnonzero(np.diff(leaves[going, at])) + 1):
+                a, b = tree.bounds[leaves[here[0], at]], tree.bounds[leaves[here[0], at] + 1]
+                product = unit[here] @ self.small[a:b].T
+                product[query_ids[here, None] == self.ids[a:b]] = np.nan
+                slack = length[here, None] * self.slack[a:b] + tiny[here, None]
+                least = np.where(np.isnan(product), -np.inf, product - slack)
+                best[here] = np.partition(np.concatenate((best[here], least), axis=1), -k, axis=1)[:, -k:]
+                floor = np.full(len(here), -np.inf) if self.wild else best[here].min(axis=1)
+                who, row = np.nonzero(product + slack >= floor[:, None])
+                kept.append((here[who], row + a, (product + slack)[who, row]))
+            worst = best[going].min(axis=1)
+            limit[going] = np.where(worst > -np.inf, np.maximum(0, square[going] - 2 * worst * ratio[going]), np.inf)
+        if not kept:
+            return query_ids[:0], query_ids[:0], np.zeros(0)
+        who, row, most = (np.concatenate(column) for column in zip(*kept, strict=True))
+        if not self.wild:
+            may = most >= best.min(axis=1)[who]
+            who, row = who[may], row[may]
+        score = np.concatenate([(self.x[row[i : i + 65_536]] * q[who[i : i + 65_536]]).sum(axis=1) for i in range(0, max(1, len(row)), 65_536)])
+        if self.wild:  # products beyond all numbers: infinite, or none
+            score[np.isnan(score)] = -np.inf
+        order = np.lexsort((self.ids[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        top = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return query_ids[who[top]], self.ids[row[top]], score[top]
 
 
 def _search_task(k: int, norm: float, scale: float, stop: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
