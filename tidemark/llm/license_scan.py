@@ -1,10 +1,11 @@
 """License scans with a positional index of rare words.
 
-Templates are word sequences.  Each is posted under the rarest word (by IDF over the corpus) of the phrase in it that
-must stand whole, with that word's place.  A file's licence words are looked up in this index: a posted word at file
-place p that stands at place d of a template proposes the start p - d.  The mandatory phrase is verified there, then the
-template's other words are compared at the same relative places.  As the phrase must stand whole, no match is missed,
-and the work follows the words found, not the number of templates.
+Templates are word sequences.  Each is posted under the POSTED rarest words (by IDF over the corpus) of the phrase in it
+that must stand whole, with their places.  A file's licence words are looked up in this index, those of the highest IDF
+first: a posted word at file place p that stands at place d of a template proposes the start p - d, and only starts that
+all posted words of a template propose are kept.  The mandatory phrase is verified there, then the template's other words
+are compared at the same relative places.  As the phrase must stand whole, all its posted words agree wherever it does,
+so no match is missed, and the work follows the words found, not the number of templates.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from tidemark.llm.rows import field, named, row_of, with_row
 
 # Phrases that stand for a licence wherever they occur.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Opening words of published licence notices, and the phrase in them that must stand whole.
+# Passages of published licences and notices, and the phrase in them that must stand whole.
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
     ("apache-2.0", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache license version 2 0"),
@@ -41,9 +42,23 @@ NOTICES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
     ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", "changing it is allowed as long as the name is changed"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "fitness for a particular purpose and noninfringement"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "software distributed under the license is distributed on an as is basis"),
+    ("gpl-notice", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "distributed in the hope that it will be useful"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "must not be misrepresented as being the original software"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without a written agreement is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 LEAST_SHARE = 0.6
+POSTED = 3
 
 
 def _license_word_byte() -> np.ndarray:
@@ -118,7 +133,7 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 class Index:
-    """Templates as rows of word numbers and weights, and postings (template, place) of the words they are posted under."""
+    """Templates as rows of word numbers and weights, and by rank of rarity the postings (template, place) of their words."""
 
     def __init__(self, known: list[Template], idf: np.ndarray) -> None:
         self.known = known
@@ -127,23 +142,49 @@ class Index:
         self.base = np.array([t.base for t in known])
         self.words = np.full((len(known), self.length.max()), -2)
         self.weight = np.zeros(self.words.shape)
-        posted = []
+        ranks: list[list[tuple[int, int, int]]] = [[] for _ in range(POSTED)]
         for i, t in enumerate(known):
             self.words[i, : len(t.words)] = t.words
             w = np.maximum(idf[t.words], 1e-6)
             self.weight[i, : len(w)] = w / w.sum()
-            place = t.key[0] + int(np.argmax(idf[t.words[slice(*t.key)]]))
-            posted.append((int(t.words[place]), i, place))
-        word, self.template, self.place = np.array(sorted(posted)).T
-        self.first = np.searchsorted(word, np.arange(len(idf) + 2))  # no postings under the last number, which is -1 from the end
+            places = np.arange(*t.key)
+            rarest = places[np.argsort(-idf[t.words[places]], kind="stable")]
+            for rank, place in enumerate(rarest[:POSTED]):
+                ranks[rank].append((int(t.words[place]), i, int(place)))
+        self.posted = np.minimum(self.key[:, 1] - self.key[:, 0], POSTED)
+        # Postings of each rank by word; none under the last number, which is -1 from the end.
+        self.ranks = [(np.searchsorted([p[0] for p in sorted(posted)], np.arange(len(idf) + 2)), *np.array(sorted(posted)).T[1:]) for posted in ranks]
+
+    def proposals(self, word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Template and start of each place where all posted words of a template agree.
+
+        A text's words of the highest IDF are looked up first; lists of lower ranks are read only for the texts left,
+        and each is intersected with what is left by template and relative place.
+        """
+        most = int(self.length.max())
+        wide = len(word) + 2 * most
+        live, of = None, np.ones(int(text.max(initial=-1)) + 1, dtype=bool)
+        for rank, (first, template, place) in enumerate(self.ranks):
+            n = np.where(of[text], (first[1:] - first[:-1])[word], 0)
+            at = np.flatnonzero(n)
+            n = n[at]
+            post = np.repeat(first[word[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found = template[post] * wide + np.repeat(at, n) - place[post] + most
+            if live is None:
+                live = np.sort(found)
+            else:
+                short = self.posted[live // wide] <= rank
+                live = np.sort(np.concatenate((live[short], np.intersect1d(live[~short], found, assume_unique=True))))
+            if not len(live):
+                break
+            of[:] = False
+            start = live % wide - most + self.key[live // wide, 0]
+            of[text[np.clip(start, 0, len(text) - 1)]] = True
+        return live // wide, live % wide - most
 
     def matches(self, word: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template, text and start of each match in a slice, and the share of the template's weight that stands there."""
-        n = (self.first[1:] - self.first[:-1])[word]
-        at = np.flatnonzero(n)
-        n = n[at]
-        post = np.repeat(self.first[word[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        t, start = self.template[post], np.repeat(at, n) - self.place[post]
+        t, start = self.proposals(word, text)
         a, b = self.key[t].T
         good = (start + a >= 0) & (start + b <= len(word))
         t, start, a, b = t[good], start[good], a[good], b[good]
