@@ -46,7 +46,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tidemark.plans import disclosures, evidence, filings, guards, invariants, ledgers, market, more, operations, remaining, research, telemetry  # noqa: F401
+    from tidemark.plans import disclosures, evidence, filings, guards, invariants, leads, ledgers, market, more, operations, remaining, research, telemetry  # noqa: F401
 
 
 _load()
