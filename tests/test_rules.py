@@ -121,6 +121,16 @@ def test_financing_windows(spark):
         assert got[i] == sorted((tuple(k) for k in kept), key=lambda k: (k[0], k[1]))
 
 
+def test_positions_of_many_hits(spark):
+    """Runs of hits below, at and above a run's length; overlapping places count once; an absent text has none to give."""
+    texts = [("ab " * n + "aba") if n % 2 else "aab" + "xé ab" * n for n in (0, 1, 2, 126, 127, 128, 129, 255, 256, 257, 1000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "aaaaa", None])], "i int, t string")
+    got = {r.i: (r.ab, r.aa) for r in df.select("i", fin.positions(F.col("t"), "ab").alias("ab"), fin.positions(F.col("t"), "aa").alias("aa")).collect()}
+    for i, t in enumerate([*texts, "aaaaa"]):
+        assert got[i] == tuple([m.start() for m in re.finditer(p, t)] for p in ("ab", "aa"))
+    assert got[len(texts) + 1] == (None, None)
+
+
 def test_entry_without_the_corpus_modules():
     """The driver's entry still gives the other queries when a module that only the corpus operators need is missing."""
     code = "import sys; sys.modules['xxhash'] = None; sys.modules['tidemark.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 250 and 'pipeline' not in q and not any(k.startswith('op') for k in q) and e.oracle_sql()"

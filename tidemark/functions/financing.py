@@ -57,14 +57,31 @@ NO_PROCEEDS, LINE_ENDED = "will not receive any proceeds", "equity purchase agre
 # What the amount of each instrument is.
 BASES = {"atm_program": "maximum_aggregate_offering", "pipe": "gross_proceeds", "convertible_debt": "principal", "preferred_equity": "gross_proceeds", "warrant_exercise_inducement": "gross_proceeds", "equity_line": "commitment", "debt": "principal"}
 WINDOW, MAX_EXCERPTS, MAX_TOTAL = 720, 16, 8_000
+RUN = 128
 
 
 def positions(low: F.Column, phrase: str) -> F.Column:
     """Starts (from 0) of all places of a phrase, none overlapping the one before."""
     parts = F.split(low, F.lit("\\Q" + phrase + "\\E"))
+    gaps = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.length(x))
+    return let(gaps, lambda g: let(_runs(g, len(phrase)), _joined))
+
+
+def _runs(gaps: F.Column, wide: int) -> F.Column:
+    """Starts within each run of RUN gaps, counted from the run's own begin, and the run's whole length.
+
+    Adding an item to a list copies it, so lists grow item by item only within a run, and run by run between them.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, x: F.struct((a["at"] + x + wide).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out"))
+    last = F.greatest(F.lit(0), F.ceil(F.size(gaps) / RUN).cast("int") - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda r: F.aggregate(F.slice(gaps, r * RUN + 1, F.lit(RUN)), start, step))
+
+
+def _joined(runs: F.Column) -> F.Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + F.length(x) + len(phrase)).alias("at"), F.array_append(a["out"], a["at"] + F.length(x)).alias("out"))
-    return F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda a: a["out"])
+    begins = F.aggregate(runs, start, lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+    return F.flatten(F.zip_with(runs, begins, lambda r, b: F.transform(r["out"], lambda x: x + b)))
 
 
 def evidence_windows(text: F.Column) -> F.Column:
@@ -79,7 +96,8 @@ def evidence_windows(text: F.Column) -> F.Column:
 
 def _ordered_hits(low: F.Column) -> F.Column:
     by_signal = [F.array_sort(F.concat(*[F.transform(positions(low, p), _hit(signal, p)) for p in phrases])) for signal, phrases in SIGNALS.items()]
-    return let(F.array(*by_signal), lambda s: F.array_distinct(F.concat(F.flatten(F.transform(s, lambda h: F.slice(h, 1, 1))), F.array_sort(F.flatten(s)))))
+    heads = lambda s: F.flatten(F.transform(s, lambda h: F.slice(h, 1, 1)))
+    return let(F.array(*by_signal), lambda s: let(heads(s), lambda first: F.concat(first, F.filter(F.array_sort(F.flatten(s)), lambda h: ~F.array_contains(first, h)))))
 
 
 def _chosen(t: F.Column, low: F.Column, hits: F.Column) -> F.Column:
