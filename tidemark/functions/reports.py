@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import collapse, fold, let
+from tidemark.functions.text import collapse, constant, fold, let, settled, spans
 from tidemark.operators.changes import first_difference
 from tidemark.operators.scoring import first_true
 
@@ -259,18 +261,34 @@ HEADINGS = {
 # Fixed value: borders that are no heading.  _NUMBER stands before a number with a dot that no letter, digit or dot precedes.
 _NUMBER = "\x03"
 BORDER = rf"\b(?:ITEM|Item)\s+{_NUMBER}?[0-9]{{1,2}}[A-C]?\.?\s+[A-Z]|\bSIGNATURES\b|{_NUMBER}[0-9]{{1,2}}\.\s+[A-Z][A-Za-z][A-Za-z &’'\-/]{{2,80}}"
-NUMBERED = (r"(^|[^\w.])([0-9]{1,2}\.)", rf"$1{_NUMBER}$2")
+NUMBERED = (r"(?=[0-9])(?<![\w.])([0-9]{1,2}\.)", rf"{_NUMBER}$1")
+# the same borders, with a look at what they begin with before their kinds are told apart
+_BORDER = rf"(?=[IS{_NUMBER}])(?:{BORDER})"
 LEAST_SECTION, MOST_SECTION, CONTENTS_SAMPLE, CONTEXT = 80, 20_000, 600, 48
 
 
-def places(texts: DataFrame, key: str, source: F.Column, pattern: str, *columns: F.Column) -> DataFrame:
-    """key, columns, start, stop of all matches of a pattern; starts are summed up from what lies between them."""
+def _heads(visible: F.Column, periodic: F.Column) -> F.Column:
+    """(selector, start, stop) of all headings; only texts that hold a heading's first words are searched for it."""
+    first = lambda heading: sorted({w for w in re.split(r"\||\(.*?\)\??", heading) if w.strip()})
+    begin = lambda heading: "".join(sorted({w[0] for w in first(heading)}))
+    every = [{"selector": s, "pattern": rf"(?=[{begin(h)}])\b(?:{h})\b", "item": items and rf"(?:ITEM|Item)\s+(?:{items})\.?\s*$", "words": first(h)} for s, (h, items) in HEADINGS.items()]
+    before = lambda x: F.substr(visible, F.greatest(F.lit(0), x["start"] - CONTEXT) + 1, F.least(x["start"], F.lit(CONTEXT)))
+
+    def found(h: F.Column) -> F.Column:
+        places = F.filter(spans(visible, h["pattern"]), lambda x: ~periodic | (h["item"] == "") | F.rlike(before(x), h["item"]))
+        return F.transform(places, lambda x: F.struct(h["selector"].alias("selector"), x["start"].alias("start"), x["stop"].alias("stop")))
+
+    asked = F.filter(constant(every, "array<struct<selector:string,pattern:string,item:string,words:array<string>>>"), lambda h: F.exists(h["words"], lambda w: F.contains(visible, w)))
+    return F.flatten(F.transform(asked, found))
+
+
+def _borders(visible: F.Column) -> F.Column:
+    """Starts of the borders that are no heading."""
+    numbered = F.when(visible.rlike(r"[0-9]\."), F.regexp_replace(visible, *NUMBERED)).otherwise(visible)
+    some = lambda t: reduce(lambda a, w: a | F.contains(t, F.lit(w)), ("ITEM", "Item", "SIGNATURES", _NUMBER), F.lit(False))
     bare = lambda c: F.length(F.replace(c, F.lit(_NUMBER)))
-    found = F.arrays_zip(F.transform(F.split(source, pattern), bare).alias("gap"), F.transform(F.regexp_extract_all(source, F.lit(pattern), 0), bare).alias("n"))
-    rows = texts.select(key, *columns, F.posexplode(found).alias("pos", "x")).where("x.n IS NOT NULL")
-    w = Window.partitionBy(key, *[c for c in rows.columns if c == "selector"]).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("stop", F.sum(F.col("x.gap") + F.col("x.n")).over(w))
-    return rows.select(*[c for c in rows.columns if c not in ("pos", "x", "stop")], (F.col("stop") - F.col("x.n")).alias("start"), "stop")
+    none = F.array().cast("array<int>")
+    return let(numbered, lambda t: F.when(some(t), F.transform(spans(t, _BORDER, bare), lambda x: x["start"])).otherwise(none))
 
 
 def sections(df: DataFrame, key: str, text: str, periodic: str) -> DataFrame:
@@ -278,24 +296,21 @@ def sections(df: DataFrame, key: str, text: str, periodic: str) -> DataFrame:
 
     Borders of all kinds (headings, items, numbered headings, signatures) are places in the text with its white space
     collapsed; in order of place, a section ends at the first one after its heading.  In a periodic form some headings
-    count only behind their item.  Other forms prefer a heading in capitals.
+    count only behind their item.  Other forms prefer a heading in capitals.  Places are found text by text, so no text
+    is moved, and of a heading only what its section can hold.
     """
-    t = df.select(key, F.col(periodic).alias("periodic"), collapse(F.col(text)).alias("visible")).where("visible <> ''")
-    headings = None
-    for selector, (heading, items) in HEADINGS.items():
-        found = places(t, key, F.col("visible"), rf"\b(?:{heading})\b", "periodic", F.lit(selector).alias("selector"), "visible")
-        if items:
-            before = F.substr("visible", F.greatest(F.lit(0), F.col("start") - CONTEXT) + 1, F.least(F.col("start"), F.lit(CONTEXT)))
-            found = found.where(~F.col("periodic") | before.rlike(rf"(?:ITEM|Item)\s+(?:{items})\.?\s*$"))
-        found = found.select(key, "periodic", "selector", "start", "stop", F.expr(f"substring(visible, start + 1, {MOST_SECTION})").alias("body"))
-        headings = found if headings is None else headings.unionByName(found)
-    numbered = F.regexp_replace("visible", *NUMBERED)
-    borders = places(t, key, numbered, BORDER).select(key, "start").unionByName(headings.select(key, "start")).unionByName(t.select(key, F.length("visible").cast("long").alias("start")))
-    none = {c: F.lit(None) for c in ("periodic", "selector", "begin", "body")}
-    marks = borders.select(key, F.col("start").alias("place"), F.lit(0).alias("kind"), *[v.alias(k) for k, v in none.items()])
-    asked = headings.select(key, F.col("stop").alias("place"), F.lit(1).alias("kind"), "periodic", "selector", F.col("start").alias("begin"), "body")
+    t = settled(df.select(key, F.col(periodic).alias("periodic"), collapse(F.col(text)).alias("visible"))).where("visible <> ''")
+    t = settled(t.select(key, "periodic", "visible", _heads(F.col("visible"), F.col("periodic")).alias("heads"), _borders(F.col("visible")).alias("borders")))
+    # a text without headings has no section
+    t = t.where(F.size("heads") > 0)
+    n = F.length("visible")
+    starts = F.concat("borders", F.transform("heads", lambda h: h["start"]), F.array(n))
+    border = F.transform(starts, lambda p: F.struct(p.cast("long").alias("place"), F.lit(0).alias("kind"), *[F.lit(None).cast(k).alias(c) for c, k in (("selector", "string"), ("begin", "long"), ("body", "string"))]))
+    body = lambda h: F.substr("visible", h["start"] + 1, F.lit(MOST_SECTION))
+    asked = F.transform("heads", lambda h: F.struct(h["stop"].cast("long").alias("place"), F.lit(1).alias("kind"), h["selector"].alias("selector"), h["start"].cast("long").alias("begin"), body(h).alias("body")))
+    marks = t.select(key, "periodic", F.explode(F.concat(border, asked)).alias("m")).select(key, "periodic", "m.*")
     after = Window.partitionBy(key).orderBy("place", "kind").rowsBetween(1, Window.unboundedFollowing)
-    p = marks.unionByName(asked).withColumn("end", F.min(F.when(F.col("kind") == 0, F.col("place"))).over(after)).where("kind = 1")
+    p = marks.withColumn("end", F.min(F.when(F.col("kind") == 0, F.col("place"))).over(after)).where("kind = 1")
     p = p.withColumn("section", F.trim(F.expr("substring(body, 1, coalesce(end - begin, length(body)))")))
     sample = F.substring("section", 1, CONTENTS_SAMPLE)
     n = lambda pattern: F.regexp_count(sample, F.lit(pattern))

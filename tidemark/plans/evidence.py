@@ -10,7 +10,7 @@ from tidemark.functions import financing as fin
 from tidemark.functions import reports as rp
 from tidemark.operators import forensics as fo
 from tidemark.operators import scoring as sc
-from tidemark.tables import FACTS, facts, table
+from tidemark.tables import FACTS, documents, facts, table
 
 # A metric's stand-in: (factor, modulus, shift, divisor) of a customer's total in cents; null where that leaves j modulo 11.
 _SPEC = {
@@ -432,7 +432,7 @@ _FINANCING = (
 
 
 def _excerpts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     broken = [s.replace(" shares of ", " shares\n\tof ") for s in _FINANCING]  # phrases over a line break
     behind = lambda n: F.concat_ws(" ", "text", _nth(broken, n))
     return d.select("doc_id", F.explode(F.array(behind(F.col("doc_id") % 14), behind(F.col("doc_id") * 5 % 14))).alias("text"))
@@ -480,7 +480,7 @@ def x10(spark: SparkSession, sf: str) -> DataFrame:
 def x09(spark: SparkSession, sf: str) -> DataFrame:
     """Windows around the signal phrases of a whole text with two such sentences.  A fold, which tests compare with a plain version."""
     t = F.concat_ws(" ", _nth(_FINANCING, F.col("doc_id") % 14), "text", _nth(_FINANCING, F.col("doc_id") * 3 % 14))
-    w = table(spark, sf, "documents").select("doc_id", fin.evidence_windows(t).alias("windows"))
+    w = documents(spark, sf).select("doc_id", fin.evidence_windows(t).alias("windows"))
     return w.select("doc_id", F.posexplode("windows").alias("pos", "w")).select("doc_id", "pos", "w.start", "w.stop", F.array_join("w.signals", ",").alias("signals"))
 
 
@@ -528,5 +528,5 @@ def x08(spark: SparkSession, sf: str) -> DataFrame:
     """Each text twice, with a heading before either and a border behind; even documents are periodic forms, which need the item before some."""
     k = F.col("doc_id")
     t = F.concat(_nth(_HEADS, k % 10), F.col("text"), F.lit(" "), _nth(_HEADS, k * 4 % 10), F.col("text"), F.lit(" "), _nth(_BORDERED, k % 4), F.col("text"))
-    d = table(spark, sf, "documents").select("doc_id", t.alias("text"), (k % 2 == 0).alias("periodic"))
+    d = documents(spark, sf).select("doc_id", t.alias("text"), (k % 2 == 0).alias("periodic"))
     return rp.sections(d, "doc_id", "text", "periodic").select("doc_id", "selector", "start", F.length("section").alias("n"), F.sha2("section", 256).alias("section_sha256"))
