@@ -55,3 +55,40 @@ def test_numbered_borders(spark):
     texts = ["".join(rnd.choice(["1", "22", "333", ".", " ", "a", "_", "é", "(", "1. "]) for _ in range(12)) for _ in range(400)]
     got = {r.i: r.n for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.regexp_replace("t", *rp.NUMBERED).alias("n")).collect()}
     assert got == {i: re.sub(r"(^|[^A-Za-z0-9_.])([0-9]{1,2}\.)", "\\1\x03\\2", t) for i, t in enumerate(texts)}
+
+
+def test_governor_sets_one_timer_a_batch():
+    """Timers and calls to the state follow keys and batches, not readings."""
+
+    class Held:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def appendList(self, rows):
+            self.rows, self.calls = self.rows + rows, self.calls + 1
+
+        def appendValue(self, row):
+            self.appendList([row])
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+    timers, value = [], []
+    g = stateful.Governor(60.0, 20.0, 3)
+    g.handle = SimpleNamespace(registerTimer=timers.append)
+    g.waiting = Held()
+    g.now = SimpleNamespace(exists=lambda: bool(value), get=lambda: value[-1], update=value.append)
+    batch = pd.DataFrame({"us": [n * 1_000_000 for n in range(500, 0, -1)], "event_id": range(500), "value": [70.0] * 500})
+    list(g.handleInputRows((1,), iter([batch]), None))
+    assert timers == [1001] and g.waiting.calls == 1
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 100_000)
+    out = pd.concat(list(g.handleExpiredTimer((1,), at, None)))
+    assert len(out) == 99 and timers == [1001, 100_001]
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 600_000)
+    assert len(pd.concat(list(g.handleExpiredTimer((1,), at, None)))) == 401 and len(timers) == 2

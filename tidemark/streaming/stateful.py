@@ -158,12 +158,19 @@ class Governor(StatefulProcessor):
         self.now = handle.getValueState("now", "paused boolean, quiet int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
-            for us, event_id, value in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["value"].tolist(), strict=True):
-                self.waiting.appendValue((us, event_id, value))
-                self.handle.registerTimer(us // 1000 + 1)
+            came = list(zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["value"].tolist(), strict=True))
+            self.waiting.appendList(came)
+            first = min(us for us, *_ in came) if first is None else min(first, min(us for us, *_ in came))
+        self._wake(first)
         return iter(())
 
+    def _wake(self, us: int | None) -> None:
+        """One timer for the earliest reading that waits; when it runs, what still waits sets the next."""
+        if us is not None:
+            self.handle.registerTimer(us // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(self.waiting.get())
@@ -179,6 +186,7 @@ class Governor(StatefulProcessor):
         self.waiting.clear()
         if left := rows[len(ready) :]:
             self.waiting.put(left)
+            self._wake(left[0][0])
         yield pd.DataFrame({"key": [key[0]] * len(ready), "event_id": [r[1] for r in ready], "state": states})
 
     def close(self) -> None:
