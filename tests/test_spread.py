@@ -31,6 +31,11 @@ def test_sections_read_the_texts_once(spark):
     assert plan(spark, "X08_item_sections").count("FileScan") == 1
 
 
+@tables
+def test_events_are_told_once(spark):
+    assert plan(spark, "X13_accounting_events").count("Join") == 0
+
+
 def test_spans_of_a_pattern(spark):
     """Runs of matches below, at and above a run's length, of several widths, at either end of a text."""
     rnd = random.Random(4)
