@@ -36,6 +36,13 @@ def test_events_are_told_once(spark):
     assert plan(spark, "X13_accounting_events").count("Join") == 0
 
 
+@tables
+def test_selected_evidence_reads_what_was_kept(spark):
+    """Sections and baselines come from tables, not from the documents again."""
+    p = plan(spark, "X24_form_aware_evidence")
+    assert "documents.parquet" not in p and "sections-" in p
+
+
 def test_spans_of_a_pattern(spark):
     """Runs of matches below, at and above a run's length, of several widths, at either end of a text."""
     rnd = random.Random(4)

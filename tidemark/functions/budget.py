@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import reports as rp
-from tidemark.functions.text import collapse
+from tidemark.functions.text import collapse, settled
+from tidemark.shared import kept
 
 # Words of a baseline, items of a current report, headings of a periodic one (pattern, kind, priority, label).
 UP = ("contract", "award", "partnership", "approval", "guidance", "record revenue", "acquisition", "strategic agreement", "commercial launch", "backlog")
@@ -75,11 +76,6 @@ _LABELS = "|".join(h[0] for h in HEADINGS)
 _MARK = "\x01"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows behind a generator: what is computed before it is computed once, not written out again where it is used."""
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
-
-
 def family(form: Column) -> Column:
     base = F.regexp_replace(F.upper(form), "/A$", "")
     return F.when(base == "8-K", "current_report").when(base.isin("10-K", "10-Q"), "periodic_report").otherwise("fallback")
@@ -185,8 +181,8 @@ def selected(filings: DataFrame, key: str, text: str, form: str, changed: str |
     names = F.coalesce(F.col(changed), F.array().cast("array<string>")) if changed else F.array().cast("array<string>")
     f = filings.select(F.col(name).alias(key), family(F.col(form)).alias("family"), F.coalesce(collapse(F.col(text)), F.lit("")).alias("visible"), F.transform(names, lambda c: F.lower(collapse(c))).alias("changed"))
     f = settled(f).withColumn("baseline", rp.excerpt_of(rp.keyword_windows(F.col("visible"), UP, DOWN)))
-    f = settled(f)
-    s = sections(f, key)
+    f = kept(f, "filings")
+    s = kept(sections(f, key), "sections")
     plain = s.where(F.col("item").isNotNull() | ~_contents(F.col("body")))
     hits = F.array(*[F.struct(F.lit(f"(?i){p}").alias("pattern"), F.lit(k if h == 0 else None).cast("string").alias("told"), F.lit(h).alias("hit"), F.lit(100 + i).alias("seq")) for i, (p, k, h) in enumerate(MATERIAL)])
     found = _places(plain.withColumn("one", F.explode(hits)), ["sid"], "body").withColumn("kind", F.coalesce("one.told", "kind")).withColumn("hit", F.col("one.hit"))
