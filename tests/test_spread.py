@@ -26,6 +26,12 @@ def plan(spark, name):
     return catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+@tables
+@pytest.mark.parametrize("name", ["X08_item_sections", "X13_accounting_events", "X09_financing_windows", "X10_financing_terms", "R16_fact_adapters", "R17_convergence_producers"])
+def test_texts_are_dealt_over_the_cores(spark, name):
+    assert "RoundRobinPartitioning" in plan(spark, name)
+
+
 @tables
 def test_sections_read_the_texts_once(spark):
     assert plan(spark, "X08_item_sections").count("FileScan") == 1
@@ -61,6 +67,15 @@ def test_collapsed_white_space(spark):
     assert got == {i: re.sub(r"[ \t\n\r\f]+", " ", t).strip(" ") for i, t in enumerate(texts)}
 
 
+def test_what_a_pattern_needs_stands_in_it():
+    """Every needed wording is a plain part of its pattern that no choice or option can leave out."""
+    for name, p in fin.PATTERNS.items():
+        must = re.sub(r"\(\?:[^()]*\)\?", "\0", p.replace(fin._N, "\0").replace(fin._DATE, "\0")).replace("\\", "").lower()
+        assert fin.NEEDS[name] in must.replace("includes (", "includes ").replace("covenants)", "covenants"), name
+    for name, (_, p) in ac.SIGNALS.items():
+        assert name in ac.NEEDS and all(w.split(" ")[-1] in p.lower() or w in p.lower() for w in ac.NEEDS[name])
+
+
 def test_numbered_borders(spark):
     """Marks before numbers with a dot that no letter, digit or dot precedes, at any place."""
     rnd = random.Random(6)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import collapse, let
+from tidemark.functions.text import collapse, constant, let, settled, spans
 
 # Phrases of each signal, in the order in which signals have the first choice of a window.
 SIGNALS = {
@@ -52,36 +52,41 @@ PATTERNS = {
     "debt": rf"closed its previously announced notes offering.{{0,80}}?of \${_N} (million|billion) aggregate principal amount of its {_N}% senior notes due ([0-9]{{4}})",
     "debt_maturity": rf"Notes will mature on {_DATE}",
 }
+# Fixed value: what each pattern cannot do without, in lower case; a text that lacks it is not searched.
+NEEDS = {
+    "resale": "proposed resale or other disposition",
+    "capacity": "reduce the maximum aggregate offering price",
+    "sales": " adss having an aggregate offering price of approximately $",
+    "offering": "at a public offering price of $",
+    "placement": "at an offering price of $",
+    "placement_gross": "gross proceeds of the private placement are expected to be approximately $",
+    "note": "a senior secured convertible promissory note in the original principal amount of $",
+    "note_interest": "bears interest at an annual rate of ",
+    "note_maturity": "convertible note matures on ",
+    "note_covenant": "convertible note includes customary affirmative and negative covenants",
+    "preferred": " shares of series a 10% convertible preferred stock for aggregate gross proceeds of $",
+    "warrant": "we are issuing unregistered warrants to purchase up to ",
+    "repricing": "previously amended to establish a reduced exercise price period",
+    "inducement": "agreed to exercise the existing warrants for cash at a reduced exercise price of $",
+    "inducement_shares": "warrants to purchase up to ",
+    "inducement_price": "exercise price thereof is $",
+    "inducement_gross": "if all of the existing warrants are exercised in full",
+    "equity_line": "equity purchase agreement provided the company the right, but not the obligation, to direct the investor to purchase up to $",
+    "debt": "closed its previously announced notes offering",
+    "debt_maturity": "notes will mature on ",
+}
 GROUPS = {name: p.replace("(?:", "").replace(r"\(", "").count("(") for name, p in PATTERNS.items()}
 NO_PROCEEDS, LINE_ENDED = "will not receive any proceeds", "equity purchase agreement terminated effective as of"
 # What the amount of each instrument is.
 BASES = {"atm_program": "maximum_aggregate_offering", "pipe": "gross_proceeds", "convertible_debt": "principal", "preferred_equity": "gross_proceeds", "warrant_exercise_inducement": "gross_proceeds", "equity_line": "commitment", "debt": "principal"}
 WINDOW, MAX_EXCERPTS, MAX_TOTAL = 720, 16, 8_000
-RUN = 128
-
-
-def positions(low: F.Column, phrase: str) -> F.Column:
-    """Starts (from 0) of all places of a phrase, none overlapping the one before."""
-    parts = F.split(low, F.lit("\\Q" + phrase + "\\E"))
-    gaps = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.length(x))
-    return let(gaps, lambda g: let(_runs(g, len(phrase)), _joined))
-
 
-def _runs(gaps: F.Column, wide: int) -> F.Column:
-    """Starts within each run of RUN gaps, counted from the run's own begin, and the run's whole length.
-
-    Adding an item to a list copies it, so lists grow item by item only within a run, and run by run between them.
-    """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + x + wide).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out"))
-    last = F.greatest(F.lit(0), F.ceil(F.size(gaps) / RUN).cast("int") - 1)
-    return F.transform(F.sequence(F.lit(0), last), lambda r: F.aggregate(F.slice(gaps, r * RUN + 1, F.lit(RUN)), start, step))
 
-
-def _joined(runs: F.Column) -> F.Column:
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    begins = F.aggregate(runs, start, lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
-    return F.flatten(F.zip_with(runs, begins, lambda r, b: F.transform(r["out"], lambda x: x + b)))
+def positions(low: F.Column, phrase: str | F.Column) -> F.Column:
+    """Starts (from 0) of all places of a phrase, none overlapping the one before; texts without it are not split."""
+    phrase = F.lit(phrase) if isinstance(phrase, str) else phrase
+    quoted = F.concat(F.lit("\\Q"), phrase, F.lit("\\E"))
+    return F.when(~F.contains(low, phrase), F.array().cast("array<int>")).otherwise(F.transform(spans(low, quoted), lambda x: x["start"]))
 
 
 def evidence_windows(text: F.Column) -> F.Column:
@@ -95,25 +100,39 @@ def evidence_windows(text: F.Column) -> F.Column:
 
 
 def _ordered_hits(low: F.Column) -> F.Column:
-    by_signal = [F.array_sort(F.concat(*[F.transform(positions(low, p), _hit(signal, p)) for p in phrases])) for signal, phrases in SIGNALS.items()]
+    every = [{"signal": s, "phrases": phrases} for s, phrases in SIGNALS.items()]
+    asked = F.filter(constant(every, "array<struct<signal:string,phrases:array<string>>>"), lambda s: F.exists(s["phrases"], lambda p: F.contains(low, p)))
+    hit = lambda s, p: lambda at: F.struct(at.alias("at"), s["signal"].alias("signal"), p.alias("phrase"))
+    by_signal = F.transform(asked, lambda s: F.array_sort(F.flatten(F.transform(s["phrases"], lambda p: F.transform(positions(low, p), hit(s, p))))))
     heads = lambda s: F.flatten(F.transform(s, lambda h: F.slice(h, 1, 1)))
-    return let(F.array(*by_signal), lambda s: let(heads(s), lambda first: F.concat(first, F.filter(F.array_sort(F.flatten(s)), lambda h: ~F.array_contains(first, h)))))
+    return let(by_signal, lambda s: let(heads(s), lambda first: F.concat(first, F.filter(F.array_sort(F.flatten(s)), lambda h: ~F.array_contains(first, h)))))
 
 
 def _chosen(t: F.Column, low: F.Column, hits: F.Column) -> F.Column:
-    n, kind = F.length(t), "array<struct<start:int,stop:int,signals:array<string>>>"
+    return let(F.length(t), lambda n: _within(t, low, hits, n))
 
-    def window(h: F.Column) -> F.Column:
+
+def _within(t: F.Column, low: F.Column, hits: F.Column, n: F.Column) -> F.Column:
+    kind = "array<struct<start:int,stop:int,signals:array<string>>>"
+
+    def cut(h: F.Column, a: F.Column, b: F.Column) -> F.Column:
         p = h["at"]
-        a, b = F.greatest(F.lit(0), p - WINDOW // 2), F.least(n, p + WINDOW // 2)
-        space = F.locate(" ", F.substr(t, a + 1, p - a))
-        tail = F.locate(" ", F.reverse(F.substr(t, p + 1, b - p)))
-        return F.struct(
-            F.when((a > 0) & (space > 0), a + space).otherwise(a).cast("int").alias("start"),
-            F.when((b < n) & (tail > 0) & (b - tail > p), b - tail).otherwise(b).cast("int").alias("stop"),
-            h["signal"].alias("signal"),
-            h["phrase"].alias("phrase"),
-        )
+
+        def at_words(w: F.Column) -> F.Column:
+            space = F.locate(" ", F.substr(w, F.lit(1), p - a))
+            tail = F.locate(" ", F.reverse(F.substr(w, p - a + 1, b - p)))
+            return F.struct(
+                F.when((a > 0) & (space > 0), a + space).otherwise(a).cast("int").alias("start"),
+                F.when((b < n) & (tail > 0) & (b - tail > p), b - tail).otherwise(b).cast("int").alias("stop"),
+                h["signal"].alias("signal"),
+                h["phrase"].alias("phrase"),
+            )
+
+        return let(F.substr(t, a + 1, b - a), at_words)
+
+    def window(h: F.Column) -> F.Column:
+        ends = F.struct(F.greatest(F.lit(0), h["at"] - WINDOW // 2).alias("a"), F.least(n, h["at"] + WINDOW // 2).alias("b"))
+        return let(ends, lambda e: cut(h, e["a"], e["b"]))
 
     def step(acc: F.Column, w: F.Column) -> F.Column:
         met = F.filter(F.transform(acc, lambda o, i: F.when((w["start"] < o["stop"]) & (w["stop"] > o["start"]), i)), lambda i: i.isNotNull())
@@ -131,10 +150,6 @@ def _chosen(t: F.Column, low: F.Column, hits: F.Column) -> F.Column:
     return F.array_sort(F.aggregate(F.transform(hits, window), F.array().cast(kind), step))
 
 
-def _hit(signal: str, phrase: str):
-    return lambda at: F.struct(at.alias("at"), F.lit(signal).alias("signal"), F.lit(phrase).alias("phrase"))
-
-
 def _number(c: F.Column) -> F.Column:
     return F.regexp_replace(c, ",", "").cast("decimal(24,4)")
 
@@ -149,16 +164,17 @@ def terms(excerpts: DataFrame, key: str) -> DataFrame:
     excerpts: key, text, whose white space is collapsed first.  A statement that two excerpts make with different values is a conflict: the filing then has one
     row of instrument `conflict` and no terms.
     """
-    excerpts = excerpts.select(key, collapse(F.col("text")).alias("text"))
-    text = F.col("text")
-    found = []
-    for name, p in PATTERNS.items():
-        groups = F.struct(*[F.regexp_extract(text, f"(?i){p}", i).alias(f"g{i}") for i in range(1, GROUPS[name] + 1)])
-        found.append(F.collect_set(F.when(text.rlike(f"(?i){p}"), groups)).alias(name))
-    low = F.lower("text")
-    holds = {s: F.bool_or(F.exists(F.array(*[F.lit(x) for x in phrases]), lambda x: F.contains(low, x))) for s, phrases in SIGNALS.items()}
-    holds |= {"no_proceeds": F.bool_or(F.contains(low, F.lit(NO_PROCEEDS))), "line_ended": F.bool_or(F.contains(low, F.lit(LINE_ENDED)))}
-    by = excerpts.groupBy(key).agg(*found, *[v.alias(f"has_{k}") for k, v in holds.items()])
+    low = F.col("low")
+    e = settled(excerpts.select(key, collapse(F.col("text")).alias("text")))
+    e = settled(e.select(key, "text", F.lower("text").alias("low")))
+    # each statement is found once; its values stand in itself
+    said = {n: F.when(F.contains(low, F.lit(NEEDS[n])), F.regexp_extract("text", f"(?i){p}", 0)) for n, p in PATTERNS.items()}
+    holds = {s: F.exists(F.array(*[F.lit(x) for x in SIGNALS[s]]), lambda x: F.contains(low, x)) for s in ("atm_program", "public_offering", "offering_price", "private_placement")}
+    holds |= {"no_proceeds": F.contains(low, F.lit(NO_PROCEEDS)), "line_ended": F.contains(low, F.lit(LINE_ENDED))}
+    e = settled(e.select(key, *[v.alias(k) for k, v in said.items()], *[v.alias(f"has_{k}") for k, v in holds.items()]))
+    values = lambda n: F.struct(*[F.regexp_extract(n, f"(?i){PATTERNS[n]}", i).alias(f"g{i}") for i in range(1, GROUPS[n] + 1)])
+    e = settled(e.select(key, *[F.when(F.col(n) != "", values(n)).alias(n) for n in PATTERNS], *[f"has_{k}" for k in holds]))
+    by = e.groupBy(key).agg(*[F.collect_set(n).alias(n) for n in PATTERNS], *[F.bool_or(f"has_{k}").alias(f"has_{k}") for k in holds])
     got = lambda *names: sum((F.size(n) for n in names), F.lit(0)) == len(names)
     g = lambda name, i: F.get(F.col(name), 0)[f"g{i}"]
     day = lambda c: F.try_to_timestamp(c, F.lit("MMMM d, yyyy")).cast("date")
