@@ -49,6 +49,12 @@ def test_selected_evidence_reads_what_was_kept(spark):
     assert "documents.parquet" not in p and "sections-" in p
 
 
+@tables
+def test_fact_adapters_state_all_kinds(spark):
+    kinds = {r.kind for r in catalog.queries()["R16_fact_adapters"](spark, SF).select("kind").distinct().collect()}
+    assert kinds == {"dilutive_instrument_count", "named_instrument_count", "issuable_shares", "registered_shares"}
+
+
 def test_spans_of_a_pattern(spark):
     """Runs of matches below, at and above a run's length, of several widths, at either end of a text."""
     rnd = random.Random(4)

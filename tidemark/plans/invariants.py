@@ -262,10 +262,18 @@ _DILUTIVE = ("convertible_debt", "preferred_equity", "warrant", "warrant_reprici
 _QUALIFYING = f"count(*) FILTER (instrument IN {_DILUTIVE} AND status <> 'terminated' AND shares > 0)"
 
 
-@register("R16_fact_adapters", f"WITH t AS ({ev._terms_sql()}), b AS (SELECT doc_id, {_QUALIFYING} AS value FROM t GROUP BY 1) SELECT doc_id, 'dilutive_instrument_count' AS kind, value FROM b WHERE value > 0")
+_ADAPTED = {"dilutive_instrument_count": "value", "named_instrument_count": "named", "issuable_shares": "issuable", "registered_shares": "registered"}
+
+
+@register(
+    "R16_fact_adapters",
+    f"""WITH t AS ({ev._terms_sql()}), b AS (SELECT doc_id, {_QUALIFYING} AS value, count(*) FILTER (instrument IN {_DILUTIVE}) AS named, (sum(shares) FILTER (instrument IN {_DILUTIVE}))::BIGINT AS issuable, (sum(shares) FILTER (instrument = 'resale_registration'))::BIGINT AS registered FROM t GROUP BY 1)
+{" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {c} AS value FROM b WHERE {c} > 0" for k, c in _ADAPTED.items())}""",
+)
 def r16(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts that a filing's financing terms state: how many instruments in force say how many shares they may bring."""
-    return fo.dilution_facts(fin.terms(ev._excerpts(spark, sf), "doc_id"), "doc_id").where("value > 0").select("doc_id", F.lit("dilutive_instrument_count").alias("kind"), "value")
+    """Facts that a filing's financing terms state: its instruments, those in force with stated shares, and the shares; only positive ones."""
+    b = fo.dilution_facts(fin.terms(ev._excerpts(spark, sf), "doc_id"), "doc_id")
+    return b.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in _ADAPTED.items()]))).where("value > 0")
 
 
 @register(
