@@ -102,3 +102,48 @@ def test_shared_counts_bound_every_pair(spark):
         assert got[i] <= len(a) - i
         for j, b in enumerate(sets):
             assert i == j or len(set(a) & set(b)) <= min(got[i], got[j])
+
+
+def crowd(seed=6):
+    """A body and copies of it that mostly differ from it and one another by a little more than similar texts may."""
+    rnd = random.Random(seed)
+    body = [f"w{rnd.randrange(900)}" for _ in range(150)]
+    common = [f"c{i}" for i in range(12)]
+    texts = [" ".join(body)]
+    for _ in range(240):
+        copy = list(body)
+        for _ in range(rnd.randint(2, 6)):
+            copy[rnd.randrange(150)] = rnd.choice(common)
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_parts_bound_every_pair(spark):
+    sets = [sorted(hash((7, g)) for g in grams(t)) for t in crowd()[:60]] + [[]]
+    got = {r.cls: r for r in shingles.shared_counts(spark.createDataFrame(list(enumerate(sets)), "cls long, grams array<long>")).collect()}
+    assert len(got) == len(sets) and all(sum(r.parts) == r.s and len(r.parts) == shingles.PARTS for r in got.values())
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            assert len(set(a) & set(b)) <= sum(map(min, got[i].parts, got[j].parts))
+
+
+def test_pairs_of_a_crowd(spark, monkeypatch):
+    """Members of a large group that are not similar are told apart before their pairs are made."""
+    monkeypatch.setattr(simhash, "FEW", 4)
+    texts = crowd()
+    want, links = kept(texts)
+    asked = []
+    edges = shingles.similar_edges
+
+    def counting(met, check, *rest):
+        def ask(pairs):
+            asked.append(pairs.count())
+            return check(pairs)
+
+        return edges(met, ask, *rest)
+
+    monkeypatch.setattr(shingles, "similar_edges", counting)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert len(want) > 100 and set(want) <= set(got) and len(got) <= len(want) + 2
+    assert asked[-1] <= len(texts)
