@@ -109,6 +109,27 @@ def test_frequent_anchors_are_dealt(docs, rows, monkeypatch):
     assert found == removed(rows, lambda t: (t or "").encode(), 60)
 
 
+def test_rows_of_a_frequent_key_leave_its_partition(spark, monkeypatch):
+    """A frequent key's rows meet in no partition of the shuffle; all rows of known keys come through once."""
+    monkeypatch.setattr(windows, "LIGHT", 100)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        hot = F.col("id") < 4_000
+        rows = spark.range(5_000).select(F.xxhash64("id").alias("rid"), F.lit(0).alias("rid2"), F.col("id").cast("int").alias("lo"), F.when(hot, F.lit(7)).otherwise(F.col("id") % 500).alias("g"))
+        rows = rows.withColumn("c", F.col("g") + 1)
+        keys = rows.groupBy("g", "c").agg(F.count("*").alias("m")).where("g < 250")
+        for on in (["g"], ["g", "c"]):
+            met = windows.meet(rows, keys, on, 5_000).withColumn("p", F.spark_partition_id()).collect()
+            assert sorted(r.lo for r in met) == [i for i in range(5_000) if i < 4_000 or i % 500 < 250]
+            assert max(Counter(r.p for r in met).values()) < 2_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_many_equal_rows(spark):
     """Equal rows cost their number, not its square: each run is listed once."""
     text = " ".join(f"w{i * 7 % 311}" for i in range(120))
