@@ -7,13 +7,14 @@ different sections come first, and a filing without such windows keeps the basel
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import reports as rp
-from tidemark.functions.text import collapse, settled
+from tidemark.functions.text import collapse, cut, holds_any, let, literals, one_of, settled, spans
 from tidemark.shared import kept
 
 # Words of a baseline, items of a current report, headings of a periodic one (pattern, kind, priority, label).
@@ -69,11 +70,29 @@ REPEATED = (
     r"\bexpected\b(?:.{0,1800}\bexpected\b){2}",
     r"\bloss per common share\b.*\bno dilution\b.*\bpotential dilution\b",
 )
+# How the matches of each piece of material language begin, and wordings of which each match of boilerplate holds one.
+WORDS = (
+    ("going concern", "substantial doubt"),
+    ("independent registered public accounting firm", "auditor", "accountant", "non-reliance", "restatement"),
+    ("material weakness", "disclosure controls", "internal control"),
+    ("disclosure controls", "internal control"),
+    ("delist", "listing deficiency", "noncompliance", "subpoena", "investigation", "regulatory"),
+    ("appointed", "resigned", "terminated", "chief executive officer", "chief financial officer", "director"),
+    ("agreement", "contract", "award", "partnership", "acquisition", "disposition", "merger"),
+    ("offering", "shelf", "at-the-market", "pipe", "convertible", "preferred", "warrant", "equity line", "credit facility", "debt", "covenant", "maturity", "default", "dilution"),
+    ("liquidity", "cash flow", "revenue", "net loss", "impairment", "restructuring", "bankruptcy"),
+)
+NEEDS = ("forward-looking statement", "incorporated", "exhibit index", "pursuant to the requirements")
+NEEDS_REPEATED = (*NEEDS, "i have disclosed", "whether ", "expected", "loss per common share")
 EMPTY = r"\b(?:there (?:were|have been)|we identified) no (?:material )?changes\b|\bno response is required\b|\bno material developments?\b"
 WINDOW, MAX_WINDOWS, SEPARATOR = 560, 6, "\n\n[…]\n\n"
 _ITEM, _BORDER = r"\bITEM\s+([0-9]\.[0-9]{2})\b", r"\bITEM\s+[0-9]{1,2}[A-C]?\.?\s+|\bSIGNATURES\b"
 _LABELS = "|".join(h[0] for h in HEADINGS)
-_MARK = "\x01"
+_WORDS = rf"(?i)\b{one_of(sorted({w for words in WORDS for w in words}))}"
+_TERMS = rf"(?i)(?<!\w){one_of((*UP, *DOWN))}(?!\w)"
+_WIDE = 2  # the material language that spans other words
+_PARTS = "array<struct<start:int,stop:int,k:struct<label:string,kind:string,priority:int,item:string>>>"
+BACK, AHEAD = 900, 1_200  # what is looked at around a place: more than a sentence of WINDOW and what fills it up
 
 
 def family(form: Column) -> Column:
@@ -81,33 +100,48 @@ def family(form: Column) -> Column:
     return F.when(base == "8-K", "current_report").when(base.isin("10-K", "10-Q"), "periodic_report").otherwise("fallback")
 
 
-def sections(filings: DataFrame, key: str) -> DataFrame:
-    """key, sid, start, body, label, kind, priority, item: sections of filings (key, family, visible) that their form knows.
+def parts(visible: Column, family: Column) -> Column:
+    """(start, stop, k: label, kind, priority, item) of the sections of a text that its form knows.
 
     A current report has its numbered items; a periodic one the items with a known heading, or without any such item the
     known headings wherever they stand.  A section ends at the next item, heading looked for, or the signatures.
     """
-    current, explicit = F.col("family") == "current_report", F.col("visible").rlike(rf"(?i)\bITEM\s+[0-9]{{1,2}}[A-C]?\.?\s+(?:{_LABELS})\b")
-    marked = F.when(current, F.regexp_replace("visible", f"(?i){_ITEM}", f"{_MARK}$0")).when(explicit, F.regexp_replace("visible", f"(?i){_BORDER}", f"{_MARK}$0")).otherwise(F.regexp_replace("visible", rf"(?i)\b(?:{_LABELS})\b|{_BORDER}", f"{_MARK}$0"))
-    p = filings.where(F.col("family") != "fallback").select(key, "family", explicit.alias("explicit"), F.posexplode(F.split(marked, _MARK)).alias("pos", "body"))
-    ahead = F.sum(F.length("body")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    p = p.withColumn("start", F.coalesce(ahead, F.lit(0)).cast("long")).where("pos > 0")
-    item = F.regexp_extract("body", f"(?i)^{_ITEM}", 1)
-    heading = F.lower(F.when(F.col("explicit"), F.regexp_extract("body", rf"(?i)^ITEM\s+[0-9]{{1,2}}[A-C]?\.?\s+({_LABELS})\b", 1)).otherwise(F.regexp_extract("body", rf"(?i)^({_LABELS})\b", 1)))
-    known = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("priority"), F.lit(None).cast("string").alias("item"))
-    kind_of = F.when(F.lit(False), known)
-    for number, (kind, priority) in ITEMS.items():
-        kind_of = kind_of.when(current & (item == number), F.struct(F.lit(f"8-K Item {number}").alias("label"), F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), F.lit(number).alias("item")))
-    for pattern, kind, priority, label in HEADINGS:
-        kind_of = kind_of.when(~current & heading.rlike(f"^(?:{pattern})$"), F.struct(F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), F.lit(None).cast("string").alias("item")))
-    p = settled(p.select(key, "pos", "start", "body", kind_of.alias("k"))).where("k IS NOT NULL")
-    return p.select(key, F.struct(key, "pos").alias("sid"), "start", "body", "k.label", "k.kind", "k.priority", "k.item")
+    known = lambda label, kind, priority, item: F.struct(F.lit(label).cast("string").alias("label"), F.lit(kind).cast("string").alias("kind"), F.lit(priority).cast("int").alias("priority"), F.lit(item).cast("string").alias("item"))
+
+    def item_of(name: Column) -> Column:
+        k = F.when(F.lit(False), known(None, None, None, None))
+        for number, (kind, priority) in ITEMS.items():
+            k = k.when(name == number, known(f"8-K Item {number}", kind, priority, number))
+        return k
+
+    def heading_of(name: Column) -> Column:
+        k = F.when(F.lit(False), known(None, None, None, None))
+        for pattern, kind, priority, label in HEADINGS:
+            k = k.when(name.rlike(f"^(?:{pattern})$"), known(label, kind, priority, None))
+        return k
+
+    def named(border: str, head: str, kind_of: Callable[[Column], Column]) -> Column:
+        name = lambda x: F.lower(F.regexp_extract(x["text"], f"(?i)^{head}", 1))
+        k = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), let(name(x), kind_of).alias("k"))
+        return F.filter(F.transform(cut(visible, f"(?i){border}"), k), lambda x: x["k"].isNotNull()).cast(_PARTS)
+
+    periodic, item = family == "periodic_report", r"ITEM\s+[0-9]{1,2}[A-C]?\.?\s+"
+    explicit = periodic & visible.rlike(rf"(?i)\b{item}(?:{_LABELS})\b")
+    everywhere = named(rf"\b(?:(?:{_LABELS})\b|{item}|SIGNATURES\b)", rf"({_LABELS})\b", heading_of)
+    return F.when(family == "current_report", named(_ITEM, _ITEM, item_of)).when(explicit, named(_BORDER, rf"{item}({_LABELS})\b", heading_of)).when(periodic, everywhere).otherwise(F.array().cast(_PARTS))
+
+
+def sections(filings: DataFrame, key: str) -> DataFrame:
+    """key, changed, start, body, label, kind, priority, item: a row for each of the parts of filings (key, visible, changed, parts)."""
+    p = filings.select(key, "changed", "visible", F.explode("parts").alias("p"))
+    return p.select(key, "changed", F.col("p.start").cast("long").alias("start"), F.substr("visible", F.col("p.start") + 1, F.col("p.stop") - F.col("p.start")).alias("body"), "p.k.*")
 
 
 def _contents(x: Column) -> Column:
     """Whether a text is only a line of a table of contents."""
     n = lambda p: F.regexp_count(x, F.lit(p))
-    table = ~F.contains(x, F.lit("$")) & (F.length(x) <= WINDOW) & (n(r"(?i)\b(?:report|statements?|notes?|balance sheets?|operations|cash flows?)\b") >= 5) & (n(r"(?<![.$])\b[0-9]{1,3}\b(?![.,%])") >= 5)
+    numbers = x.rlike(r"(?:[0-9]++[^0-9]++){4}[0-9]")  # five of them, before they are looked at
+    table = (F.length(x) <= WINDOW) & numbers & ~F.contains(x, F.lit("$")) & (n(r"(?i)\b(?:report|statements?|notes?|balance sheets?|operations|cash flows?)\b") >= 5) & (n(r"(?<![.$])\b[0-9]{1,3}\b(?![.,%])") >= 5)
     bare = F.btrim(F.lower(x), F.lit(" ."))
     labels = "|".join(h[3].lower() for h in HEADINGS)
     line = bare.rlike(rf"^(?:item\s+[0-9]{{1,2}}[a-c]?\.?\s+)?(?:{labels})(?: and use of proceeds)?(?:\s+[0-9]+)?$") | ~x.rlike(r"[.$%]")
@@ -118,54 +152,67 @@ def _says_nothing(x: Column) -> Column:
     low = F.lower(x)
     short = (F.length(x) <= 180) & low.rlike(r"\b(?:not applicable|none)\.?$")
     refers = (F.length(x) <= 400) & F.contains(low, F.lit("risk factors")) & F.contains(low, F.lit("form 10-k"))
-    return short | low.rlike(EMPTY) | refers
+    return short | (holds_any(low, ("no changes", "no material", "no response")) & low.rlike(EMPTY)) | refers
 
 
 def _any(x: Column, patterns: Sequence[str]) -> Column:
     return x.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
-def _around(rows: DataFrame, at: Column) -> DataFrame:
-    """rows with a, b: whole words within half a WINDOW to either side of a place of body."""
-    rows = rows.withColumns({"p": at, "n": F.length("body")})
-    rows = rows.withColumns({"a0": F.greatest(F.lit(0), F.col("p") - WINDOW // 2), "b0": F.least(F.col("n"), F.col("p") + WINDOW // 2)})
-    lead = F.locate(" ", F.substr("body", F.col("a0") + 1, F.col("p") - F.col("a0")))
-    tail = F.locate(" ", F.reverse(F.substr("body", F.col("p") + 1, F.col("b0") - F.col("p"))))
-    a = F.when((F.col("a0") > 0) & (lead > 0), F.col("a0") + lead).otherwise(F.col("a0"))
-    b = F.when((F.col("b0") < F.col("n")) & (tail > 0) & (F.col("b0") - tail > F.col("p")), F.col("b0") - tail).otherwise(F.col("b0"))
-    return settled(rows.withColumns({"a": a, "b": b}).drop("p", "n", "a0", "b0"))
-
-
-def _sentence(rows: DataFrame, at: str) -> DataFrame:
-    """rows with a, b: the whole sentence of a place of body, filled up to WINDOW with whole words; a longer one is cut around the place."""
-    p, n = F.col(at), F.length("body")
-    before = F.reverse(F.substr("body", F.lit(1), p))
-    back = [F.locate(m[::-1], before) for m in (". ", "? ", "! ")]
-    nearest = F.array_min(F.filter(F.array(*back), lambda x: x > 0))
-    behind = F.substr("body", p + 1, n)
-    ahead = F.array_min(F.filter(F.array(*[F.locate(m, behind) for m in (". ", "? ", "! ")]), lambda x: x > 0))
-    rows = _around(rows, p).withColumnsRenamed({"a": "wa", "b": "wb"})
-    rows = settled(rows.withColumns({"s": F.coalesce(p - nearest + 1, F.lit(0)), "e": F.coalesce(p + ahead, n), "n": n}))
+def _framed(rows: DataFrame, source: Column, at: Column, low: Column, high: Column) -> DataFrame:
+    """rows with what stands around a place of a text between two borders: near, its begin n0 in the text, and the place q in near."""
+    n0 = F.greatest(low, at - BACK)
+    near = F.substr(source, (n0 + 1).cast("int"), (F.least(high, at + AHEAD) - n0).cast("int"))
+    return rows.withColumns({"near": near, "n0": n0.cast("int"), "q": (at - n0).cast("int")})
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    """rows with a, b: whole words of near within half a WINDOW to either side of q."""
+    rows = settled(rows.withColumns({"n": F.length("near"), "a0": F.greatest(F.lit(0), F.col("q") - WINDOW // 2), "b0": F.least(F.length("near"), F.col("q") + WINDOW // 2)}))
+    lead = F.locate(" ", F.substr("near", F.col("a0") + 1, F.col("q") - F.col("a0")))
+    tail = F.locate(" ", F.reverse(F.substr("near", F.col("q") + 1, F.col("b0") - F.col("q"))))
+    rows = settled(rows.withColumns({"lead": lead, "tail": tail}))
+    a = F.when((F.col("a0") > 0) & (F.col("lead") > 0), F.col("a0") + F.col("lead")).otherwise(F.col("a0"))
+    b = F.when((F.col("b0") < F.col("n")) & (F.col("tail") > 0) & (F.col("b0") - F.col("tail") > F.col("q")), F.col("b0") - F.col("tail")).otherwise(F.col("b0"))
+    return rows.withColumns({"a": a, "b": b}).drop("a0", "b0", "lead", "tail")
+
+
+def _sentence(rows: DataFrame) -> DataFrame:
+    """rows with a, b: the whole sentence of q in near, filled up to WINDOW with whole words; a longer one is cut around the place, and so is what is no sentence (`whole`)."""
+    q, span = F.col("q"), BACK * 2 // 3  # a sentence that is not seen to end within a span is longer than WINDOW
+    last = F.substr("near", F.greatest(F.lit(0), q - span) + 1, F.least(q, F.lit(span)))
+    ahead = F.substr("near", q + 1, F.lit(span))
+    for m in (". ", "? ", "! "):
+        last = F.substring_index(last, m, -1)
+    rows = _around(rows).withColumnsRenamed({"a": "wa", "b": "wb"})
+    rows = settled(rows.withColumns({"s": q - F.length(last), "ahead": ahead}))
+    until = F.col("ahead")
+    for m in (". ", "? ", "! "):
+        until = F.substring_index(until, m, 1)
+    rows = settled(rows.withColumn("until", F.length(until)))
+    e = q + F.col("until") + F.when(F.col("until") < F.length("ahead"), 1).otherwise(0)
+    rows = settled(rows.withColumn("e", e).drop("ahead", "until"))
     spare = F.lit(WINDOW) - (F.col("e") - F.col("s"))
-    rows = settled(rows.withColumn("ra", F.greatest(F.lit(0), F.col("s") - F.floor(spare / 2))))
+    rows = rows.withColumn("ra", F.greatest(F.lit(0), F.col("s") - F.floor(spare / 2)).cast("int"))
     rows = settled(rows.withColumn("rb", F.least(F.col("n"), F.col("e") + spare - (F.col("s") - F.col("ra")))))
-    lead = F.locate(" ", F.substr("body", (F.col("ra") + 1).cast("int"), (F.col("s") - F.col("ra")).cast("int")))
-    tail = F.locate(" ", F.reverse(F.substr("body", (F.col("e") + 1).cast("int"), (F.col("rb") - F.col("e")).cast("int"))))
-    a = F.when((F.col("ra") > 0) & (lead > 0), F.col("ra") + lead).otherwise(F.col("ra"))
-    b = F.when((F.col("rb") < F.col("n")) & (tail > 0), F.col("rb") - tail).otherwise(F.col("rb"))
-    long = F.col("e") - F.col("s") > WINDOW
-    return settled(rows.withColumns({"a": F.when(long, F.col("wa")).otherwise(a), "b": F.when(long, F.col("wb")).otherwise(b)}).drop("wa", "wb", "s", "e", "n", "ra", "rb"))
-
-
-def _candidates(rows: DataFrame, key: str, reason: str, hit: Column, seq: Column, screened: bool = True) -> DataFrame:
-    """Windows (a, b) of section rows as candidates, with where their words begin and end; those that say nothing are left out."""
-    shown = F.substr("body", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int"))
-    rows = settled(rows.withColumn("shown", shown))
-    if screened:
-        rows = rows.where(~_contents(F.col("shown")) & ~_says_nothing(F.col("shown")))
-    start, bare = F.col("start") + F.col("a"), F.ltrim("shown")
-    first = start + F.length("shown") - F.length(bare)
-    return rows.select(key, "label", "kind", "priority", "item", F.lit(reason).alias("reason"), hit.cast("int").alias("hit"), seq.cast("int").alias("seq"), (_any(F.col("shown"), REPEATED) & F.lit(screened)).cast("int").alias("penalty"), start.cast("long").alias("start"), (start + F.length("shown")).cast("long").alias("stop"), first.cast("long").alias("first"), (first + F.length(F.trim("shown"))).cast("long").alias("last"))
+    lead = F.locate(" ", F.substr("near", F.col("ra") + 1, F.col("s") - F.col("ra")))
+    tail = F.locate(" ", F.reverse(F.substr("near", F.col("e") + 1, F.col("rb") - F.col("e"))))
+    rows = settled(rows.withColumns({"lead": lead, "tail": tail}))
+    a = F.when((F.col("ra") > 0) & (F.col("lead") > 0), F.col("ra") + F.col("lead")).otherwise(F.col("ra"))
+    b = F.when((F.col("rb") < F.col("n")) & (F.col("tail") > 0), F.col("rb") - F.col("tail")).otherwise(F.col("rb"))
+    cut_off = ~F.col("whole") | (F.col("e") - F.col("s") > WINDOW)
+    return rows.withColumns({"a": F.when(cut_off, F.col("wa")).otherwise(a), "b": F.when(cut_off, F.col("wb")).otherwise(b)})
+
+
+def _candidates(rows: DataFrame, key: str) -> DataFrame:
+    """Windows (a, b) of near as candidates, with where their words begin and end; those that say nothing are left out, unless their section changed."""
+    rows = settled(rows.withColumn("shown", F.substr("near", F.col("a") + 1, F.col("b") - F.col("a"))))
+    screened, shown = F.col("reason") != "changed_section", F.col("shown")
+    rows = rows.where(~screened | (~_contents(shown) & ~_says_nothing(shown)))
+    penalty = screened & holds_any(F.lower(shown), NEEDS_REPEATED) & _any(shown, REPEATED)
+    start = F.col("start") + F.col("n0") + F.col("a")
+    first = start + F.length("shown") - F.length(F.ltrim("shown"))
+    return rows.select(key, "label", "kind", "priority", "item", "reason", "hit", "seq", penalty.cast("int").alias("penalty"), start.cast("long").alias("start"), (start + F.length("shown")).cast("long").alias("stop"), first.cast("long").alias("first"), (first + F.length(F.trim("shown"))).cast("long").alias("last"))
 
 
 def selected(filings: DataFrame, key: str, text: str, form: str, changed: str | None = None) -> DataFrame:
@@ -176,53 +223,84 @@ def selected(filings: DataFrame, key: str, text: str, form: str, changed: str |
     and of the section, sections without any hit last, by place.  A window that overlaps a chosen one is passed over,
     and so is a second one for a baseline term outside of all sections.  Six windows stay under the budget of the
     excerpt by themselves.  A filing without windows is of family fallback and has its baseline as text.
+
+    A text is searched once for all material language of its sections and once for all terms of its baseline; from then
+    on only what stands near a place travels with it.
     """
     name, key = key, "_key"  # no name of a caller meets one used here
     names = F.coalesce(F.col(changed), F.array().cast("array<string>")) if changed else F.array().cast("array<string>")
     f = filings.select(F.col(name).alias(key), family(F.col(form)).alias("family"), F.coalesce(collapse(F.col(text)), F.lit("")).alias("visible"), F.transform(names, lambda c: F.lower(collapse(c))).alias("changed"))
-    f = settled(f).withColumn("baseline", rp.excerpt_of(rp.keyword_windows(F.col("visible"), UP, DOWN)))
+    f = settled(f).withColumns({"baseline": rp.excerpt_of(rp.keyword_windows(F.col("visible"), UP, DOWN, collapsed=True)), "parts": parts(F.col("visible"), F.col("family"))})
     f = kept(f, "filings")
     s = kept(sections(f, key), "sections")
-    plain = s.where(F.col("item").isNotNull() | ~_contents(F.col("body")))
-    hits = F.array(*[F.struct(F.lit(f"(?i){p}").alias("pattern"), F.lit(k if h == 0 else None).cast("string").alias("told"), F.lit(h).alias("hit"), F.lit(100 + i).alias("seq")) for i, (p, k, h) in enumerate(MATERIAL)])
-    found = _places(plain.withColumn("one", F.explode(hits)), ["sid"], "body").withColumn("kind", F.coalesce("one.told", "kind")).withColumn("hit", F.col("one.hit"))
-    every = _candidates(_sentence(found, "at"), key, "material_term", F.col("hit"), F.col("one.seq"))
-    none = ~_any(F.col("body"), [m[0] for m in MATERIAL]) & ~_any(F.col("body"), BOILERPLATE)
-    every = every.unionByName(_candidates(_around(plain.where(none), F.lit(0)), key, "relevant_section", F.lit(4), F.lit(201)))
-    if changed:
-        named = plain.join(f.select(key, "changed"), key).where(F.exists("changed", lambda c: F.contains(F.lower("label"), c)))
-        every = every.unionByName(_candidates(_around(named, F.lit(0)), key, "changed_section", F.lit(0), F.lit(200), screened=False))
-    every = every.unionByName(_candidates(_sentence(_terms(f, s, key), "at"), key, "fallback_keyword", F.lit(0), F.col("seq")))
+    every = _candidates(_sentence(_places(s, key).unionByName(_terms(f, key))), key)
     return _chosen(f, every, key).withColumnRenamed(key, name)
 
 
-def _places(rows: DataFrame, keys: list[str], source: str) -> DataFrame:
-    """rows, once for each match of one.pattern in source, with its place `at`: starts are summed up from what lies between them."""
-    pattern = F.col("one.pattern")
-    found = F.arrays_zip(F.transform(F.split(source, pattern), F.length).alias("gap"), F.transform(F.regexp_extract_all(source, pattern, F.lit(0)), F.length).alias("n"))
-    r = rows.select("*", F.posexplode(found).alias("_pos", "_x")).where("_x.n IS NOT NULL")
-    w = Window.partitionBy(*keys, "one.pattern").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    return r.withColumn("at", (F.sum(F.col("_x.gap") + F.col("_x.n")).over(w) - F.col("_x.n")).cast("int")).drop("_pos", "_x")
+_PLACE = ("label", "kind", "priority", "item", "start", "reason", "hit", "seq", "whole", "near", "n0", "q")
+
+
+def _places(s: DataFrame, key: str) -> DataFrame:
+    """Places of material language in sections, the begin of those without any and without boilerplate, and of those that changed."""
+    s = settled(s.where(F.col("item").isNotNull() | ~_contents(F.col("body"))).withColumn("low", F.lower("body")))
+    body, low, kind = F.col("body"), F.col("low"), "array<struct<at:int,seq:int>>"
+    wide = F.contains(low, F.lit("effective")) & holds_any(low, ("disclosure controls", "internal control"))
+
+    def of(at: Column, head: Column) -> Column:
+        begins = lambda i: reduce(lambda a, w: a | F.startswith(F.lower(head), F.lit(w)), WORDS[i], F.lit(False))
+        says = [begins(i) & head.rlike(f"(?i)^(?:{p})") & (~F.col("wide") if i == _WIDE else F.lit(True)) for i, (p, _, _) in enumerate(MATERIAL)]
+        return F.transform(F.array_compact(F.array(*[F.when(x, F.lit(100 + i)) for i, x in enumerate(says)])), lambda n: F.struct(at.alias("at"), n.alias("seq")))
+
+    words = F.flatten(F.transform(cut(body, _WORDS), lambda x: let(F.substr(body, x["start"] + 1, F.lit(64)), lambda head: of(x["start"], head)))).cast(kind)
+    over = F.transform(spans(body, f"(?i){MATERIAL[_WIDE][0]}"), lambda x: F.struct(x["start"].alias("at"), F.lit(100 + _WIDE).alias("seq"))).cast(kind)
+    s = settled(s.withColumn("wide", wide)).withColumn("hits", F.concat(words, F.when(F.col("wide"), over).otherwise(F.array().cast(kind))))
+    s = settled(s)
+    begin = lambda seq, when: F.when(when, F.array(F.struct(F.lit(0).alias("at"), F.lit(seq).alias("seq"))).cast(kind)).otherwise(F.array().cast(kind))
+    boilerplate = holds_any(low, NEEDS) & _any(body, BOILERPLATE)
+    named = F.exists("changed", lambda c: F.contains(F.lower("label"), c))
+    events = F.concat("hits", begin(201, (F.size("hits") == 0) & ~boilerplate), begin(200, named))
+    r = s.select(key, "label", "kind", "priority", "item", "start", "body", F.explode(events).alias("x")).select("*", "x.at", "x.seq")
+    r = r.withColumn("reason", F.when(F.col("seq") == 200, "changed_section").when(F.col("seq") == 201, "relevant_section").otherwise("material_term"))
+    of_seq = lambda values, t: F.get(F.array(*[F.lit(v).cast(t) for v in values]), F.col("seq") - 100)
+    hit = F.when(F.col("seq") == 200, 0).when(F.col("seq") == 201, 4).otherwise(of_seq([h for _, _, h in MATERIAL], "int"))
+    told = F.when(F.col("seq") < 200, of_seq([k if h == 0 else None for _, k, h in MATERIAL], "string"))
+    r = r.withColumns({"hit": hit, "kind": F.coalesce(told, "kind"), "whole": F.col("reason") == "material_term"})
+    return _framed(r, body, F.col("at"), F.lit(0), F.length("body")).select(key, *_PLACE)
 
 
-def _terms(f: DataFrame, s: DataFrame, key: str) -> DataFrame:
+def _terms(f: DataFrame, key: str) -> DataFrame:
     """Places of the baseline's terms in the texts of known forms, each with the section that holds it, or the whole text."""
-    kinds = [next((k for p, k, _ in MATERIAL if re.search(p, t, re.IGNORECASE)), None) for t in (*UP, *DOWN)]
-    terms = F.array(*[F.struct(F.lit(rf"(?i)(?<![\w])\Q{t}\E(?![\w])").alias("pattern"), F.lit(t).alias("term"), F.lit(k).cast("string").alias("kind"), F.lit(i).alias("seq")) for i, (t, k) in enumerate(zip((*UP, *DOWN), kinds, strict=True))])
-    mine = settled(f.where("family <> 'fallback'").select(F.col(key).alias("k"), "visible", "baseline", F.explode(terms).alias("one"))).where(F.contains(F.lower("baseline"), F.col("one.term")))
-    out = _places(mine, ["k"], "visible").select("k", F.col("at").alias("place"), "visible", "one.term", F.col("one.kind").alias("term_kind"), "one.seq")
-    inside = (F.col("k") == F.col(key)) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.length("body"))
-    h = out.join(s.select(key, "start", "body", "label", "kind", "priority", "item"), inside, "left")
+    terms, kind = (*UP, *DOWN), "array<struct<at:int,seq:int>>"
+    kinds = [next((k for p, k, _ in MATERIAL if re.search(p, t, re.IGNORECASE)), None) for t in terms]
+    numbered = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i).alias("seq")) for i, t in enumerate(terms)])
+    mine = settled(f.where("family <> 'fallback' AND baseline <> ''").select(key, "visible", "parts", F.lower("visible").alias("low"), F.filter(numbered, lambda x: F.contains(F.lower("baseline"), x["term"])).alias("terms")))
+    # where letters keep their places in lower case, a plain search finds them; else all words of the text are looked at
+    plain = F.flatten(F.transform("terms", lambda t: F.transform(literals(F.col("low"), t["term"]), lambda at: F.struct(at.alias("at"), t["seq"].alias("seq"))))).cast(kind)
+    each = F.flatten(F.transform("terms", lambda t: F.transform(cut(F.col("visible"), _TERMS), lambda x: F.struct(x["start"].alias("at"), t["seq"].alias("seq"))))).cast(kind)
+    places = F.explode(F.when(F.length("low") == F.length("visible"), plain).otherwise(each)).alias("x")
+    found = settled(mine.select(key, "visible", "parts", places).select(key, "visible", "parts", "x.at", "x.seq"))
+    word, before = F.substr("visible", F.col("at") + 1, F.lit(24)), F.substr("visible", F.greatest(F.col("at"), F.lit(1)), F.lit(1))
+    bare = (F.col("at") == 0) | ~before.rlike(r"\w")
+    says = reduce(lambda a, i: F.when(F.col("seq") == i, word.rlike(rf"(?i)^{terms[i]}(?!\w)")).otherwise(a), range(len(terms)), F.lit(False))
+    found = settled(found.where(bare & says))
+    of_seq = lambda values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.col("seq"))
+    p = F.get(F.filter("parts", lambda x: (x["start"] <= F.col("at")) & (F.col("at") < x["stop"])), F.lit(0))
+    found = found.withColumns({"term": of_seq(terms), "term_kind": of_seq(kinds), "p": p})
+    h = _framed(found, F.col("visible"), F.col("at"), F.coalesce("p.start", F.lit(0)), F.coalesce("p.stop", F.length("visible")))
     return h.select(
-        F.col("k").alias(key),
-        F.coalesce("start", F.lit(0)).cast("long").alias("start"),
-        F.coalesce("body", "visible").alias("body"),
-        F.coalesce("label", F.concat(F.lit("Retained baseline term: "), F.col("term"))).alias("label"),
-        F.coalesce("term_kind", "kind", F.lit("fallback_keyword")).alias("kind"),
-        F.coalesce("priority", F.lit(0)).alias("priority"),
-        "item",
+        key,
+        F.coalesce("p.k.label", F.concat(F.lit("Retained baseline term: "), F.col("term"))).alias("label"),
+        F.coalesce("term_kind", "p.k.kind", F.lit("fallback_keyword")).alias("kind"),
+        F.coalesce("p.k.priority", F.lit(0)).alias("priority"),
+        F.col("p.k.item").alias("item"),
+        F.lit(0).cast("long").alias("start"),
+        F.lit("fallback_keyword").alias("reason"),
+        F.lit(0).alias("hit"),
         "seq",
-        (F.col("place") - F.coalesce("start", F.lit(0))).cast("int").alias("at"),
+        F.lit(True).alias("whole"),
+        "near",
+        "n0",
+        "q",
     )
 
 
@@ -244,9 +322,9 @@ def _chosen(f: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
 
     w = c.groupBy(F.col(key).alias("k")).agg(F.aggregate(ordered, F.array().cast(kind), step).alias("w"))
     w = w.select("k", F.array_sort(F.transform("w", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["label"].alias("label"), x["kind"].alias("kind"), x["reason"].alias("reason")))).alias("windows"))
-    out = f.join(w, F.col(key) == F.col("k"), "left").drop("k")
+    out = f.join(w.hint("shuffle_hash"), F.col(key) == F.col("k"), "left").drop("k")
     some = F.coalesce(F.size("windows") > 0, F.lit(False))
-    parts = F.transform("windows", lambda x: F.substr("visible", (x["first"] + 1).cast("int"), (x["last"] - x["first"]).cast("int")))
-    out = out.withColumns({"family": F.when(some, F.col("family")).otherwise("fallback"), "text": F.when(some, F.array_join(parts, SEPARATOR)).otherwise(F.col("baseline")), "windows": F.coalesce("windows", F.array().cast("array<struct<first:bigint,last:bigint,label:string,kind:string,reason:string>>"))})
-    kept = F.filter(F.array(*[F.lit(t) for t in (*UP, *DOWN)]), lambda t: F.contains(F.lower("text"), t) & F.contains(F.lower("baseline"), t))
-    return out.select(key, "family", kept.alias("kept_terms"), "windows", "text")
+    shown = F.array_join(F.transform("windows", lambda x: F.substr("visible", (x["first"] + 1).cast("int"), (x["last"] - x["first"]).cast("int"))), SEPARATOR)
+    out = settled(out.select(key, F.when(some, F.col("family")).otherwise("fallback").alias("family"), F.coalesce("windows", F.array().cast("array<struct<first:bigint,last:bigint,label:string,kind:string,reason:string>>")).alias("windows"), F.when(some, shown).otherwise(F.col("baseline")).alias("text"), "baseline"))
+    held = let(F.struct(F.lower("text").alias("a"), F.lower("baseline").alias("b")), lambda x: F.filter(F.array(*[F.lit(t) for t in (*UP, *DOWN)]), lambda t: F.contains(x["a"], t) & F.contains(x["b"], t)))
+    return out.select(key, "family", held.alias("kept_terms"), "windows", "text")

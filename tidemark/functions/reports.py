@@ -166,32 +166,33 @@ def compute_route(requires_model: F.Column, complex_: F.Column, important: F.Col
     ]
 
 
-def keyword_windows(c: F.Column, up: Sequence[str], down: Sequence[str]) -> F.Column:
+def keyword_windows(c: F.Column, up: Sequence[str], down: Sequence[str], collapsed: bool = False) -> F.Column:
     """Up to six windows (start, stop, text) around term hits, in text order, none touching another.
 
     The first hit of each polarity has the first choice, then all hits in text order; a window is half of WINDOW to
-    either side, cut to whole words.  Character 0 is the first of the text with its white space collapsed.
+    either side, cut to whole words.  Character 0 is the first of the text with its white space collapsed, as
+    `collapsed` says that c has it already.
     """
-    return let(collapse(c), lambda t: _keyword_windows(t, up, down))
+    return _keyword_windows(c, up, down) if collapsed else let(collapse(c), lambda t: _keyword_windows(t, up, down))
 
 
 def _keyword_windows(t: F.Column, up: Sequence[str], down: Sequence[str]) -> F.Column:
-    at = lambda low, terms: F.filter(F.array(*[F.locate(x, low) - 1 for x in terms]), lambda p: p >= 0)
+    at = lambda low, terms: F.filter(F.array(*[F.when(F.contains(low, F.lit(x)), F.locate(x, low) - 1) for x in terms]), lambda p: p >= 0)
     first = lambda p: F.filter(F.array(F.array_min(p)), lambda x: x.isNotNull())
     order = let(F.lower(t), lambda low: let(F.array(at(low, up), at(low, down)), lambda p: F.array_distinct(F.concat(first(p[0]), first(p[1]), F.array_sort(F.flatten(p))))))
 
-    def window(p: F.Column) -> F.Column:
-        n = F.length(t)
-        a, b = F.greatest(F.lit(0), p - WINDOW // 2), F.least(n, p + WINDOW // 2)
-        space = F.locate(" ", F.substr(t, a + 1, p - a))
-        tail = F.locate(" ", F.reverse(F.substr(t, p + 1, b - p)))
+    def window(p: F.Column, n: F.Column) -> F.Column:
+        ends = F.struct(F.greatest(F.lit(0), p - WINDOW // 2).alias("a"), F.least(n, p + WINDOW // 2).alias("b"))
+        return let(ends, lambda x: let(F.struct(F.locate(" ", F.substr(t, x["a"] + 1, p - x["a"])).alias("space"), F.locate(" ", F.reverse(F.substr(t, p + 1, x["b"] - p))).alias("tail")), lambda y: words(p, n, x["a"], x["b"], y["space"], y["tail"])))
+
+    def words(p: F.Column, n: F.Column, a: F.Column, b: F.Column, space: F.Column, tail: F.Column) -> F.Column:
         start = F.when((a > 0) & (space > 0), a + space).otherwise(a)
         stop = F.when((b < n) & (tail > 0) & (b - tail > p), b - tail).otherwise(b)
         return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"))
 
     none = F.array().cast("array<struct<start:int,stop:int>>")
     free = lambda acc, w: ~F.exists(acc, lambda o: (w["start"] <= o["stop"]) & (w["stop"] >= o["start"]))
-    chosen = F.aggregate(F.transform(order, window), none, lambda acc, w: F.when((F.size(acc) < MAX_WINDOWS) & free(acc, w) & (w["stop"] > w["start"]), F.array_append(acc, w)).otherwise(acc))
+    chosen = F.aggregate(let(F.length(t), lambda n: F.transform(order, lambda p: window(p, n))), none, lambda acc, w: F.when((F.size(acc) < MAX_WINDOWS) & free(acc, w) & (w["stop"] > w["start"]), F.array_append(acc, w)).otherwise(acc))
     return F.transform(F.array_sort(chosen), lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), F.trim(F.substr(t, w["start"] + 1, w["stop"] - w["start"])).alias("text")))
 
 
