@@ -242,21 +242,22 @@ _PLACE = ("label", "kind", "priority", "item", "start", "reason", "hit", "seq",
 
 def _places(s: DataFrame, key: str) -> DataFrame:
     """Places of material language in sections, the begin of those without any and without boilerplate, and of those that changed."""
-    s = settled(s.where(F.col("item").isNotNull() | ~_contents(F.col("body"))).withColumn("low", F.lower("body")))
-    body, low, kind = F.col("body"), F.col("low"), "array<struct<at:int,seq:int>>"
-    wide = F.contains(low, F.lit("effective")) & holds_any(low, ("disclosure controls", "internal control"))
+    s = s.where(F.col("item").isNotNull() | ~_contents(F.col("body")))
+    body, kind = F.col("body"), "array<struct<at:int,seq:int>>"
 
     def of(at: Column, head: Column) -> Column:
         begins = lambda i: reduce(lambda a, w: a | F.startswith(F.lower(head), F.lit(w)), WORDS[i], F.lit(False))
-        says = [begins(i) & head.rlike(f"(?i)^(?:{p})") & (~F.col("wide") if i == _WIDE else F.lit(True)) for i, (p, _, _) in enumerate(MATERIAL)]
+        says = [begins(i) & head.rlike(f"(?i)^(?:{p})") for i, (p, _, _) in enumerate(MATERIAL)]
         return F.transform(F.array_compact(F.array(*[F.when(x, F.lit(100 + i)) for i, x in enumerate(says)])), lambda n: F.struct(at.alias("at"), n.alias("seq")))
 
     words = F.flatten(F.transform(cut(body, _WORDS), lambda x: let(F.substr(body, x["start"] + 1, F.lit(64)), lambda head: of(x["start"], head)))).cast(kind)
     over = F.transform(spans(body, f"(?i){MATERIAL[_WIDE][0]}"), lambda x: F.struct(x["start"].alias("at"), F.lit(100 + _WIDE).alias("seq"))).cast(kind)
-    s = settled(s.withColumn("wide", wide)).withColumn("hits", F.concat(words, F.when(F.col("wide"), over).otherwise(F.array().cast(kind))))
-    s = settled(s)
+    # only what the next pattern matches too can begin a match that spans other words; then the whole body is searched for those
+    wide = F.exists("hits", lambda x: x["seq"] == 101 + _WIDE) & body.rlike("(?i)effective")
+    s = settled(s.withColumn("hits", words))
+    s = settled(s.withColumn("hits", F.when(wide, F.concat(F.filter("hits", lambda x: x["seq"] != 100 + _WIDE), over)).otherwise(F.col("hits"))))
     begin = lambda seq, when: F.when(when, F.array(F.struct(F.lit(0).alias("at"), F.lit(seq).alias("seq"))).cast(kind)).otherwise(F.array().cast(kind))
-    boilerplate = holds_any(low, NEEDS) & _any(body, BOILERPLATE)
+    boilerplate = holds_any(F.lower(body), NEEDS) & _any(body, BOILERPLATE)
     named = F.exists("changed", lambda c: F.contains(F.lower("label"), c))
     events = F.concat("hits", begin(201, (F.size("hits") == 0) & ~boilerplate), begin(200, named))
     r = s.select(key, "label", "kind", "priority", "item", "start", "body", F.explode(events).alias("x")).select("*", "x.at", "x.seq")
@@ -273,11 +274,11 @@ def _terms(f: DataFrame, key: str) -> DataFrame:
     terms, kind = (*UP, *DOWN), "array<struct<at:int,seq:int>>"
     kinds = [next((k for p, k, _ in MATERIAL if re.search(p, t, re.IGNORECASE)), None) for t in terms]
     numbered = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i).alias("seq")) for i, t in enumerate(terms)])
-    mine = settled(f.where("family <> 'fallback' AND baseline <> ''").select(key, "visible", "parts", F.lower("visible").alias("low"), F.filter(numbered, lambda x: F.contains(F.lower("baseline"), x["term"])).alias("terms")))
-    # where letters keep their places in lower case, a plain search finds them; else all words of the text are looked at
+    mine = settled(f.where("family <> 'fallback' AND baseline <> ''").select(key, "visible", "parts", F.lower("visible").alias("low"), let(F.lower("baseline"), lambda low: F.filter(numbered, lambda x: F.contains(low, x["term"]))).alias("terms")))
+    # a plain search finds terms in lower case; where a letter becomes two there (one does), all words of the text are looked at
     plain = F.flatten(F.transform("terms", lambda t: F.transform(literals(F.col("low"), t["term"]), lambda at: F.struct(at.alias("at"), t["seq"].alias("seq"))))).cast(kind)
     each = F.flatten(F.transform("terms", lambda t: F.transform(cut(F.col("visible"), _TERMS), lambda x: F.struct(x["start"].alias("at"), t["seq"].alias("seq"))))).cast(kind)
-    places = F.explode(F.when(F.length("low") == F.length("visible"), plain).otherwise(each)).alias("x")
+    places = F.explode(F.when(F.contains("visible", F.lit("\u0130")), each).otherwise(plain)).alias("x")
     found = settled(mine.select(key, "visible", "parts", places).select(key, "visible", "parts", "x.at", "x.seq"))
     word, before = F.substr("visible", F.col("at") + 1, F.lit(24)), F.substr("visible", F.greatest(F.col("at"), F.lit(1)), F.lit(1))
     bare = (F.col("at") == 0) | ~before.rlike(r"\w")

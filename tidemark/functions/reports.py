@@ -183,7 +183,8 @@ def _keyword_windows(t: F.Column, up: Sequence[str], down: Sequence[str]) -> F.C
 
     def window(p: F.Column, n: F.Column) -> F.Column:
         ends = F.struct(F.greatest(F.lit(0), p - WINDOW // 2).alias("a"), F.least(n, p + WINDOW // 2).alias("b"))
-        return let(ends, lambda x: let(F.struct(F.locate(" ", F.substr(t, x["a"] + 1, p - x["a"])).alias("space"), F.locate(" ", F.reverse(F.substr(t, p + 1, x["b"] - p))).alias("tail")), lambda y: words(p, n, x["a"], x["b"], y["space"], y["tail"])))
+        near = lambda x: let(F.substr(t, x["a"] + 1, x["b"] - x["a"]), lambda s: F.struct(F.locate(" ", F.substr(s, F.lit(1), p - x["a"])).alias("space"), F.locate(" ", F.reverse(F.substr(s, p - x["a"] + 1, x["b"] - p))).alias("tail")))
+        return let(ends, lambda x: let(near(x), lambda y: words(p, n, x["a"], x["b"], y["space"], y["tail"])))
 
     def words(p: F.Column, n: F.Column, a: F.Column, b: F.Column, space: F.Column, tail: F.Column) -> F.Column:
         start = F.when((a > 0) & (space > 0), a + space).otherwise(a)
